@@ -43,4 +43,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
-ORACLES = {"op7_quality_rules": OP7}
+OP4 = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY body)
+"""
+
+ORACLES = {"op4_exact_dedup": OP4, "op7_quality_rules": OP7}

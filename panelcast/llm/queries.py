@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import license_scan, quality
-from .common import read
+from . import bpe, exact_dedup, license_scan, quality, token_store
+from .common import new_path, read
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +18,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_license_scan)}
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    token_store.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.documents(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store)}
