@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .line_dedup import MAX_RATIO, MIN_PAGES
+from .mixing import BUDGET_PERCENT, DOMAINS, LEAF, MAX_EPOCHS, SEED, WEIGHTS
 from .quality import RULES, STOP_WORDS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,7 +18,7 @@ _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OP7 = rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), grams AS (
   SELECT doc_id, i, list_slice(w, i, i + 2) AS g
@@ -30,7 +32,7 @@ WITH base AS (
          CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
-         len(regexp_extract_all(body, '!!')) AS n_shouts, len(list_filter(w, x -> lower(x) IN ({_STOPS}))) AS n_stops
+         len(regexp_extract_all(body, '!!')) AS n_shouts, len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stops
   FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id
 ), q AS (
   SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word,
@@ -49,4 +51,73 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM n WINDOW g AS (PARTITION BY body)
 """
 
-ORACLES = {"op4_exact_dedup": OP4, "op7_quality_rules": OP7}
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP3 = f"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS host, i, l, trim(l, {_SPACE}) AS bare
+  FROM (SELECT doc_id, source, ls, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), bad AS (
+  SELECT c.host, c.bare
+  FROM (SELECT host, bare, count(DISTINCT doc_id) AS pages FROM lines WHERE bare <> '' GROUP BY host, bare) c
+  JOIN (SELECT coalesce(source, '') AS host, count(*) AS n FROM documents GROUP BY 1) t ON c.host = t.host
+  WHERE c.pages >= {MIN_PAGES} AND c.pages > {MAX_RATIO} * t.n
+), marked AS (SELECT l.*, b.bare IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.bare = b.bare),
+cut AS (
+  SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
+         count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, d.source, c.text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
+"""
+
+
+def _case(table: dict, column: str, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {other} END"
+
+
+def _level(depth: int) -> str:
+    """One level of the tree: capacities summed to it, then its parents' budgets shared out."""
+    path, level = ", ".join(LEAF[: depth + 1]), LEAF[depth]
+    over = "PARTITION BY " + (", ".join(LEAF[:depth]) or "0")
+    join = f"JOIN s{depth - 1} p USING ({', '.join(LEAF[:depth])})" if depth else ""
+    budget = "p.share" if depth else f"(SELECT (CAST(sum(tokens) AS BIGINT) * {BUDGET_PERCENT}) // 100 FROM leaves)"
+    return f"""
+n{depth} AS (
+  SELECT c.*, {budget} AS budget, {_case(WEIGHTS[level], level, "1")} AS weight
+  FROM (SELECT {path}, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaves GROUP BY {path}) c {join}
+), f{depth} AS (
+  SELECT *, capacity * sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      <= weight * greatest(budget - coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS is_full
+  FROM n{depth} WINDOW o AS ({over} ORDER BY capacity / weight, {level})
+), g{depth} AS (
+  SELECT *, greatest(budget - coalesce(sum(capacity) FILTER (WHERE is_full) OVER (p), 0), 0) AS rest_, sum(weight) FILTER (WHERE NOT is_full) OVER (p) AS open_
+  FROM f{depth} WINDOW p AS ({over})
+), h{depth} AS (SELECT *, CASE WHEN is_full THEN capacity ELSE (weight * rest_) // open_ END AS part FROM g{depth}),
+s{depth} AS (
+  SELECT {path}, CAST(part + CASE WHEN NOT is_full AND row_number() OVER ({over} ORDER BY is_full, {level}) <= rest_ - sum(part) FILTER (WHERE NOT is_full) OVER ({over}) THEN 1 ELSE 0 END AS BIGINT) AS share
+  FROM h{depth}
+)"""
+
+
+OP1 = f"""
+WITH units AS (
+  SELECT *, {_case(DOMAINS, "source", "'other'")} AS domain FROM (
+    SELECT min(doc_id) AS doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS uid, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+           CAST(sum(len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) AS BIGINT) AS n
+    FROM documents GROUP BY 2, 3, 4) WHERE n > 0
+), leaves AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * {MAX_EPOCHS} AS BIGINT) AS capacity FROM units GROUP BY 1, 2, 3),
+{_level(0)}, {_level(1)}, {_level(2)},
+plan AS (SELECT l.*, coalesce(s2.share, 0) // tokens AS whole, coalesce(s2.share, 0) % tokens AS rest FROM leaves l LEFT JOIN s2 USING (domain, lang, source)),
+placed AS (
+  SELECT u.*, whole, rest, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole || ':' || uid), n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM units u JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, n AS n_tokens, n AS take_tokens
+FROM (SELECT *, unnest(generate_series(0, whole - 1)) AS epoch FROM placed)
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(whole AS BIGINT), n, CAST(least(n, rest - before) AS BIGINT) FROM placed WHERE before < rest
+"""
+
+ORACLES = {"op1_source_mix": OP1, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, quality, token_store
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, token_store
 from .common import new_path, read
 
 
@@ -18,6 +18,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(read(spark, sf_dir, "documents")).drop("uid")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table with each source as a host."""
+    return line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -32,4 +41,4 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_line_dedup, op4_exact_dedup, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store)}
