@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, token_store
+from . import bpe, exact_dedup, license_scan, line_dedup, lm_score, mixing, quality, token_store
 from .common import new_path, read
 
 
@@ -31,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,4 +45,4 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_line_dedup, op4_exact_dedup, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_line_dedup, op4_exact_dedup, op5_lm_score, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store)}
