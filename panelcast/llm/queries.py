@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, line_dedup, lm_score, mixing, quality, token_store
+from . import bpe, chunk_dedup, exact_dedup, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, token_store
 from .common import new_path, read
 
 
@@ -22,6 +22,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(read(spark, sf_dir, "documents")).drop("uid")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table with each source as a host."""
     return line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
@@ -45,4 +49,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_line_dedup, op4_exact_dedup, op5_lm_score, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_lm_score, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store, op10_substring_dedup)}
