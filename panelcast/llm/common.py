@@ -8,6 +8,8 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
+
 #: White space of every word contract: blank and the five ASCII controls from tab to carriage return.
 WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
@@ -15,7 +17,7 @@ WORD_CHAR_RE = r"[^\x20\x09-\x0D]"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return reach_workers(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
