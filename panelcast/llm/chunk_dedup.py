@@ -45,13 +45,13 @@ def bounds_of(data: np.ndarray, starts: np.ndarray) -> Iterator[list[int]]:
     marks = np.flatnonzero((h >> np.uint32(12)) & np.uint32(2**BITS - 1) == 0) + 1
     inside = np.append((data & 0xC0) == 0x80, False)  # bytes that go on with a character, before which no chunk ends
     marks = marks[~inside[marks]]
-    at, marks, inside = np.searchsorted(marks, starts, side="right").tolist(), marks.tolist(), inside.tolist()
+    at, marks = np.searchsorted(marks, starts, side="right").tolist(), marks.tolist()
+    h[inside[1:]] = 0
 
     def forced(last: int) -> int:
-        last += MOST
-        while inside[last]:
-            last -= 1
-        return last
+        """Without a mark the chunk ends at the last of the greatest hashes in reach, so that texts that repeat a short pattern are cut alike, too."""
+        reach = h[last + LEAST - 1 : last + MOST]
+        return last + MOST - int(reach[::-1].argmax())
 
     for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
         out, last = [], a
