@@ -109,5 +109,7 @@ def score_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
 
 def keep_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    held = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_row", F.col(f"`{text}`").alias("_text"))
-    return score_quality(held, "_text", rules).where("kept").select("_row.*")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    # the verdict goes through explode, because a plain filter would be pushed down into the projections and have the words split
+    # anew for every window
+    return score_quality(held, "_text", rules).select("_row", F.explode(F.array("kept")).alias("_kept")).where("_kept").select("_row.*")
