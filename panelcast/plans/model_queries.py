@@ -1 +1,123 @@
-"""Queries of models and files."""
+"""Queries of models, explanations and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import explain, models
+from ..session import scratch
+from ..sources import io
+from .views import M, features, m, p, query, table
+
+FEATURES = ["last_1", "last_10", "month"]
+IDS = ["entity", "season", "week"]
+
+
+def frame(spark: SparkSession, d: str) -> DataFrame:
+    return features(spark, d).select(*IDS, (F.col("h_last_1_score") / 1000).alias("last_1"), (F.col("h_last_10_score") / 1000).alias("last_10"), F.col("week").cast("double").alias("month"), (F.col("score") / 1000).alias("target"))
+
+
+def split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = frame(spark, d)
+    return rows.where("season < 1997"), rows.where("season = 1997")
+
+
+def told(rows: DataFrame) -> DataFrame:
+    return rows.select(*IDS, F.round("target", 6).alias("target"), F.round("prediction", 4).alias("prediction"))
+
+
+@query()
+def fit_linear(spark: SparkSession, d: str) -> DataFrame:
+    train, test = split(spark, d)
+    return told(models.project(models.robust_linear(FEATURES, "target"), train, test, "target"))
+
+
+@query()
+def fit_tree(spark: SparkSession, d: str) -> DataFrame:
+    train, test = split(spark, d)
+    return told(models.project(models.boosted_trees(FEATURES, "target", rounds=5, depth=3), train, test, "target"))
+
+
+@query()
+def grid_select(spark: SparkSession, d: str) -> DataFrame:
+    rows = frame(spark, d).persist()
+    grid = [(f"ridge {r} of {len(f)}", models.robust_linear(f, "target", regularisation=r)) for r in (0.01, 1.0) for f in (FEATURES, FEATURES[:2])]
+    out = spark.createDataFrame([(n, round(s, 3)) for n, s in models.grid_select(rows, grid, "target", folds=2)], "candidate string, mae double")
+    rows.unpersist()
+    return out
+
+
+def additive(spark: SparkSession, d: str) -> tuple[models.AdditiveModel, DataFrame]:
+    train, test = split(spark, d)
+    return models.Additive(FEATURES, "target").fit(train), test
+
+
+@query()
+def additive_terms(spark: SparkSession, d: str) -> DataFrame:
+    model, test = additive(spark, d)
+    return explain.additive_terms(model, test).select("feature", "bin", "n", *(F.round(c, 4).alias(c) for c in ("weight", "centred", "importance")))
+
+
+@query()
+def local_terms(spark: SparkSession, d: str) -> DataFrame:
+    model, test = additive(spark, d)
+    return explain.local_terms(model, test, IDS).select(*IDS, "feature", "bin", *(F.round(c, 4).alias(c) for c in ("weight", "prediction")))
+
+
+def linear(spark: SparkSession, d: str):
+    train, test = split(spark, d)
+    return models.robust_linear(FEATURES, "target").fit(train), test
+
+
+@query()
+def ale_curve(spark: SparkSession, d: str) -> DataFrame:
+    model, test = linear(spark, d)
+    return explain.accumulated_effects(model, test, FEATURES).select("feature", "bin", "n", F.round("upper", 4).alias("upper"), F.round("effect", 4).alias("effect"))
+
+
+@query()
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    model, test = linear(spark, d)
+    return explain.permutation_importance(model, test, FEATURES, "target").select("feature", F.round("importance", 4).alias("importance"), F.round("deviation", 4).alias("deviation"))
+
+
+@query()
+def shap_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A report on bounded samples: 25 rows against 50 of the background."""
+    model, test = linear(spark, d)
+    sample, background = explain.bounded_sample(test, 25), explain.bounded_sample(frame(spark, d).where("season < 1997"), 50)
+    return explain.shapley_values(model, sample, background, FEATURES, IDS).select(*IDS, "feature", F.round("value", 4).alias("value"), F.round("base", 4).alias("base"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = table(spark, d, "nation"), scratch(spark, "csv")
+    io.write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = table(spark, d, "customer"), scratch(spark, "dataset")
+    io.write_dataset(rows, path, rows.schema, nullable=rows.columns)
+    return io.read_dataset(spark, path, expected=io.fingerprint(rows, "customer").first()["fingerprint"])
+
+
+@query(f"WITH {M} SELECT player_id, target_season, target_week, prediction, CASE WHEN model = 'A' THEN position END AS position, CASE model WHEN 'A' THEN 'MEAN' ELSE 'Newest' END AS model FROM M")
+def predictions_from_files(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = m(spark, d), scratch(spark, "models")
+    identity = ["player_id", "target_season", "target_week"]
+    io.prediction_columns(rows.where("model = 'A'"), identity, ["position"]).write.parquet(f"{path}/mean")
+    io.prediction_columns(rows.where("model = 'B'"), identity).write.parquet(f"{path}/newest")
+    return io.read_predictions(spark, [f"{path}/mean", f"{path}/newest"]).select("player_id", "target_season", "target_week", "prediction", "position", "model")
+
+
+@query()
+def frame_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return io.fingerprint(table(spark, d, "lineitem"), "lineitem").unionByName(io.fingerprint(table(spark, d, "orders"), "orders"))
+
+
+@query()
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return io.manifest([("orders", table(spark, d, "orders")), ("customer", table(spark, d, "customer"))], [("panel", p(spark, d))], {"entity": "customer", "period": "month"})

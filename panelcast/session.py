@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,12 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([*have, ROOT])
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; only where that is unset (tests) in one of our own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
