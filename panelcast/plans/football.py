@@ -93,11 +93,15 @@ def _sided(frame: DataFrame, schedules: DataFrame, own: bool) -> DataFrame:
     return games.withColumn("_points", F.when(on_neither, F.raise_error(F.concat(F.lit("team isn't in its game: "), "team")).cast("double")).otherwise(points))
 
 
-def defense_history(team_stats: DataFrame, schedules: DataFrame) -> DataFrame:
+def defense_games(team_stats: DataFrame, schedules: DataFrame) -> DataFrame:
     """What each defense allowed: the offense's row counts for its opponent."""
     rows = _sided(_regular(check_input(team_stats, TEAM_STATS)), schedules, own=False)
     stats = {"points_allowed": number_or_zero(F.col("_points"))} | _stats({"passing_yards_allowed": "passing_yards", "rushing_yards_allowed": "rushing_yards", "turnovers": ["passing_interceptions", "fumbles_lost_total"]})
-    out = _history(_keyed(rows, ["defense"], {"defense": F.col("opponent_team")}, stats), "defense", "defense")
+    return _keyed(rows, ["defense"], {"defense": F.col("opponent_team")}, stats)
+
+
+def defense_history(team_stats: DataFrame, schedules: DataFrame) -> DataFrame:
+    out = _history(defense_games(team_stats, schedules), "defense", "defense")
     return out.select(F.col("defense").alias("opponent"), *PERIOD, "defense_history_through_season", "defense_history_through_week", *_features("defense"))
 
 
@@ -108,26 +112,38 @@ def two_point_attempts(plays: DataFrame) -> DataFrame:
     return tries.groupBy("game_id", "player_id").agg(F.count_if(passed).alias("passing_two_point_attempts"), F.count_if(~passed).alias("rushing_two_point_attempts"))
 
 
-def quarterback_features(player_stats: DataFrame, schedules: DataFrame, team_stats: DataFrame, players: DataFrame, plays: DataFrame, min_attempts: int = 5, weights: dict = presets.QUARTERBACK) -> DataFrame:
-    """Quarterbacks by game. A first game takes the means of all rookies' games before it, if there are any."""
+def known_players(players: DataFrame) -> DataFrame:
+    return players.select(F.col("gsis_id").alias("player_id"), "display_name", as_day(F.col("birth_date")).alias("birth_date"), F.col("rookie_season").cast("bigint").alias("rookie_season")).where("player_id is not null").dropDuplicates(["player_id"])
+
+
+def quarterback_games(player_stats: DataFrame, schedules: DataFrame, players: DataFrame, plays: DataFrame, min_attempts: int = 5) -> DataFrame:
+    """Regular-season games of quarterbacks with enough attempts, one row for each player and week."""
     rows = _regular(check_input(player_stats, PLAYER_STATS)).where((F.col("position") == "QB") & (F.col("attempts") >= min_attempts)).withColumn("opponent", current_code(F.col("opponent_team")))
     rows = roster.must_match(rows, schedule_of(schedules).select("game_id", "game_date"), ["game_id"], "game").join(two_point_attempts(plays), ["game_id", "player_id"], "left")
-    known = players.select(F.col("gsis_id").alias("player_id"), "display_name", as_day(F.col("birth_date")).alias("birth_date"), F.col("rookie_season").cast("bigint").alias("rookie_season")).where("player_id is not null").dropDuplicates(["player_id"])
-    rows = rows.join(known, "player_id", "left")
+    rows = rows.join(known_players(players), "player_id", "left")
     stats = _stats({
         "passing_attempts": "attempts", "passing_yards": "passing_yards", "passing_touchdowns": "passing_tds", "passing_interceptions": "passing_interceptions", "passing_two_point_attempts": "passing_two_point_attempts",
         "passing_two_point_made": "passing_2pt_conversions", "rushing_attempts": "carries", "rushing_yards": "rushing_yards", "rushing_touchdowns": "rushing_tds", "rushing_two_point_attempts": "rushing_two_point_attempts",
         "rushing_two_point_made": "rushing_2pt_conversions", "fumbles": "fumbles_total",
     })
     extra = {"player_id": F.col("player_id"), "player_name": F.coalesce("display_name", "player_display_name"), "opponent": F.col("opponent"), "game_date": F.col("game_date"), "birth_date": F.col("birth_date"), "rookie_season": F.col("rookie_season")}
-    games = _keyed(rows, ["player_id"], extra, stats)
+    return _keyed(rows, ["player_id"], extra, stats)
+
+
+def quarterback_score(weights: dict = presets.QUARTERBACK) -> Column:
+    made = F.col("passing_two_point_made") + F.col("rushing_two_point_made")
+    return weighted_score({k: v for k, v in weights.items() if k != "two_point_conversions"}) + made * weights["two_point_conversions"]
+
+
+def quarterback_features(player_stats: DataFrame, schedules: DataFrame, team_stats: DataFrame, players: DataFrame, plays: DataFrame, min_attempts: int = 5, weights: dict = presets.QUARTERBACK) -> DataFrame:
+    """Quarterbacks by game. A first game takes the means of all rookies' games before it, if there are any."""
+    games = quarterback_games(player_stats, schedules, players, plays, min_attempts)
     rookies = asof.cohort_means(games, F.col("target_season") == F.col("rookie_season"), STATS["qb"], PERIOD)
     q = _history(games, "player_id", "qb").join(F.broadcast(rookies), list(PERIOD), "left")
     through = F.col("cohort_through")
     q = q.withColumns({"qb_history_through_season": F.coalesce("qb_history_through_season", (through / 100).cast("bigint")), "qb_history_through_week": F.coalesce("qb_history_through_week", through % 100)} | {c: F.coalesce(c, f"cohort_{c.split('_', 3)[3]}") for c in _features("qb")})
     out = q.join(defense_history(team_stats, schedules), ["opponent", *PERIOD], "left").where("birth_date is not null and defense_history_through_season is not null and qb_last_1_passing_attempts is not null")
-    score = weighted_score({k: v for k, v in weights.items() if k != "two_point_conversions"}) + (F.col("passing_two_point_made") + F.col("rushing_two_point_made")) * weights["two_point_conversions"]
-    out = out.withColumns({"age": age_years(F.col("birth_date"), F.col("game_date")), "years_pro": experience(F.col("target_season"), F.col("rookie_season")).cast("double"), "fantasy_points": score})
+    out = out.withColumns({"age": age_years(F.col("birth_date"), F.col("game_date")), "years_pro": experience(F.col("target_season"), F.col("rookie_season")).cast("double"), "fantasy_points": quarterback_score(weights)})
     return out.select("player_id", "player_name", *PERIOD, "target_game_id", "qb_history_through_season", "qb_history_through_week", "defense_history_through_season", "defense_history_through_week", "age", "years_pro", *_features("qb"), *_features("defense"), "fantasy_points")
 
 
@@ -206,3 +222,48 @@ def coaching_continuity(schedules: DataFrame) -> DataFrame:
     sides = roster.two_rows(schedules, ["season", "week"], {"team": ("home_team", "away_team"), "coach": ("home_coach", "away_coach")})
     rows = sides.withColumns({"team": current_code(F.col("team")), "season": F.col("season").cast("bigint")})
     return roster.holder_changes(rows, "team", "season", [F.col("week")], "coach")
+
+
+def latest_state(games: DataFrame, entity: str, prefix: str) -> DataFrame:
+    """Of each entity the last value and the mean of up to ten of its newest games, and the newest game's period."""
+    newest = panel.top_rows(games, [entity], [F.desc(p) for p in PERIOD], 10, "_k")
+    last = F.col("_k") == 1
+    return newest.groupBy(entity).agg(
+        *(F.max(F.when(last, F.col(f))).alias(f"{prefix}_last_1_{f}") for f in STATS[prefix]), *(F.avg(f).alias(f"{prefix}_last_10_{f}") for f in STATS[prefix]),
+        *(F.max(F.when(last, F.col(p))).alias(f"{prefix}_history_through_{p.removeprefix('target_')}") for p in PERIOD))
+
+
+def quarterback_forecast(games: DataFrame, defenses: DataFrame, schedules: DataFrame, depth_charts: DataFrame, players: DataFrame, target_year: int, through: int, as_of: str, outcomes: DataFrame | None = None) -> DataFrame:
+    """A season's games with each team's first quarterback as of a day, frozen at the end of season `through`.
+
+    games, defenses: the facts of quarterback_games and defense_games. The day is the one asked for, or the day before the first game.
+    A player without history takes the rookies' means. A team without a starter or a birth date, or an opponent without history, fails the job.
+    """
+    if target_year <= through:
+        raise ValueError("target_year must be after the history")
+    season = schedules.where((F.col("season") == target_year) & (F.col("game_type") == "REG")).withColumns({"day": as_day(F.col("gameday")), "home_team": current_code(F.col("home_team")), "away_team": current_code(F.col("away_team"))})
+    day = F.broadcast(asof.forecast_day(season, "day", "season", F.lit(as_of).cast("date")).select(F.col("as_of").alias("forecast_as_of")))
+    charts = depth_charts.where("pos_abb = 'QB' and pos_rank = 1").withColumn("_day", as_day(F.col("dt"))).crossJoin(day)
+    starters = asof.snapshot(charts, "_day", F.col("forecast_as_of")).select(current_code(F.col("team")).alias("team"), F.col("gsis_id").alias("player_id"), "player_name", "forecast_as_of")
+    sides = roster.two_rows(season, ["game_id", "week", "day"], {"team": ("home_team", "away_team"), "opponent": ("away_team", "home_team")})
+    rows = roster.must_match(sides, starters, ["team"], "team's starter")
+    past = games.where(F.col("target_season") <= through)
+    state = latest_state(past, "player_id", "qb")
+    cohort = past.where("target_season = rookie_season").agg(*(F.avg(f).alias(f"_rookie_{f}") for f in STATS["qb"]), F.max(asof.period_number(PERIOD)).alias("_rookie_through"))
+    rows = rows.join(state, "player_id", "left").crossJoin(F.broadcast(cohort))
+    rows = rows.withColumns({c: F.coalesce(c, f"_rookie_{c.split('_', 3)[3]}") for c in _features("qb")} | {
+        "qb_history_through_season": F.coalesce("qb_history_through_season", (F.col("_rookie_through") / 100).cast("bigint")), "qb_history_through_week": F.coalesce("qb_history_through_week", F.col("_rookie_through") % 100)})
+    rows = rows.join(known_players(players).select("player_id", "birth_date", "rookie_season"), "player_id", "left")
+    born = F.when(F.col("birth_date").isNull(), F.raise_error(F.concat(F.lit("no birth date of "), "player_name")).cast("date")).otherwise(F.col("birth_date"))
+    against = latest_state(defenses.where(F.col("target_season") <= through), "defense", "defense").withColumnRenamed("defense", "opponent")
+    rows = roster.must_match(rows, against, ["opponent"], "opponent's history")
+    if outcomes is None:
+        rows = rows.withColumn("fantasy_points", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(outcomes.select("player_id", F.col("target_game_id").alias("game_id"), "fantasy_points"), ["player_id", "game_id"], "left")
+    # here a first season of 0 is as unknown as none
+    years = experience(F.lit(target_year).cast("bigint"), F.nullif("rookie_season", F.lit(0))).cast("double")
+    return rows.select(
+        "player_id", "player_name", F.lit("QB").alias("position"), "team", "opponent", F.lit(target_year).cast("bigint").alias("target_season"), F.col("week").cast("bigint").alias("target_week"), F.col("game_id").alias("target_game_id"),
+        F.col("forecast_as_of").cast("string").alias("forecast_as_of"), F.lit(through).cast("bigint").alias("history_through_season"), "qb_history_through_season", "qb_history_through_week", "defense_history_through_season", "defense_history_through_week",
+        age_years(born, F.col("day")).alias("age"), years.alias("years_pro"), *_features("qb"), *_features("defense"), "fantasy_points")

@@ -85,3 +85,17 @@ def test_reports_and_coaches(spark):
     assert [(r["week"], r["pace"], r["weeks_missed"], r["delta"], r["played"]) for r in got] == [(3, 24.0, 0, None, False), (4, 24.0, 1, -22.0, True)]
     c = {(r["team"], r["season"]): r["changed"] for r in fb.coaching_continuity(schedules(spark)).collect()}
     assert c[("LV", 2022)] is True and c[("LV", 2021)] is False and c[("GB", 2020)] is False
+
+
+def test_forecast(spark):
+    players = spark.createDataFrame([("q1", "a", "1990-01-01", 2020), ("new", "b", "2000-01-01", 2023)], "gsis_id string, display_name string, birth_date string, rookie_season int")
+    plays = spark.createDataFrame([], "game_id string, season_type string, two_point_attempt int, passer_player_id string, rusher_player_id string")
+    games = fb.quarterback_games(player_stats(spark), schedules(spark), players, plays)
+    defenses = fb.defense_games(team_stats(spark), schedules(spark))
+    season = spark.createDataFrame([("f1", 2023, "REG", 1, "2023-09-01", "GB", "OAK")], "game_id string, season int, game_type string, week int, gameday string, home_team string, away_team string")
+    charts = spark.createDataFrame([("2023-08-01", "GB", "old", "x", "QB", 1), ("2023-08-30", "GB", "a", "q1", "QB", 1), ("2023-08-30", "OAK", "b", "new", "QB", 1), ("2023-09-05", "GB", "late", "y", "QB", 1)], "dt string, team string, player_name string, gsis_id string, pos_abb string, pos_rank int")
+    got = {r["team"]: r for r in fb.quarterback_forecast(games, defenses, season, charts, players, 2023, 2022, "2023-12-31").collect()}
+    assert set(got) == {"GB", "LV"} and {r["forecast_as_of"] for r in got.values()} == {"2023-08-31"} and got["GB"]["fantasy_points"] is None
+    assert got["GB"]["qb_last_1_passing_yards"] == 220.0 and (got["GB"]["qb_history_through_season"], got["GB"]["qb_history_through_week"]) == (2022, 2)
+    assert got["LV"]["player_id"] == "new" and got["LV"]["qb_last_1_passing_yards"] == got["LV"]["qb_last_10_passing_yards"] == 215.0
+    assert got["LV"]["qb_history_through_season"] == 2020 and got["LV"]["years_pro"] == 0.0
