@@ -19,6 +19,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # else each of many small stores sets megabytes of disk aside
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Hits are broadcast up to so many rows (a locator is about 100 bytes); beyond, they are joined by a shuffle.
 BROADCAST_HITS = 200_000
