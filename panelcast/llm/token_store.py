@@ -14,22 +14,36 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Chunk lengths in ids, and the window of the rolling hash (no larger than the least length).
 LEAST, MOST, MEAN_BITS, WINDOW, SEED = 32, 1024, 8, 16, 20_240_601
-BATCH_CHARS, CACHE_WORDS = 4_000_000, 400_000
+BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_200_000
+#: Fixed value: the pattern of byte-level vocabularies of this kind.
+MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for re, in texts without the characters that \w and \s of re see otherwise: numbers other than digits, and four control characters; texts with
+#: characters beyond 16 bits are taken for such, too.
+PLAIN_MATCH = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 DIGEST = 16
+#: Kinds of bytes: letters (with all bytes beyond ASCII), digits, other signs, the blank, other white space, and what stands between texts.
+LETTER, NUMBER, OTHER, BLANK, WHITE, TEXT_END = range(6)
+KIND = np.array([LETTER if b > 127 or chr(b).isalpha() else NUMBER if chr(b).isdigit() else BLANK if b == 32 else WHITE if 9 <= b <= 13 else OTHER for b in range(256)], np.uint8)
+KIND[255] = TEXT_END
 #: zlib's polynomial, reflected.
 POLY = 0xEDB88320
 BLOBS = "kind string, key binary, payload binary, id bigint, n_tokens bigint, ends array<bigint>, digests array<binary>, root binary"
+RECIPES = "id bigint, n_tokens bigint, ends array<bigint>, digests array<binary>, root binary, start bigint, shard int"
+SHARDS = "shard int, docs bigint, ids bigint, start bigint, root binary"
 
 
 def digest(data: bytes) -> bytes:
@@ -46,44 +60,120 @@ def merkle_root(leaves: Iterable[bytes]) -> bytes:
 
 
 class PieceEncoder:
-    """tokenizers over the distinct pieces of a text. Each piece is a run of white space and the word after it; the
-    byte-level pattern never matches across the end of a word, so that pieces encode on their own as they do in the text."""
+    """tokenizers over the distinct matches of the vocabulary's pattern, each of which encodes on its own as it does in its text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        #: \s of Python without the four control characters that aren't white space in the pattern
-        self.pattern = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-
-    def _learn(self, cache: dict[str, bytes], pieces: list[str], before: str = "") -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast([before + p for p in pieces], add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile(r"(?!)")
+        self.special_ids = {t: i.to_bytes(4, "little") for t, i in special.items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_blank[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.known = dict(self.special_ids)
+        self.match, self.plain_match = regex.compile(MATCH), re.compile(PLAIN_MATCH)
+        numbers = "".join(re.escape(c) for c in map(chr, range(65_536)) if unicodedata.category(c) in ("No", "Nl"))
+        self.odd, self.far = re.compile(f"[{numbers}\x1c-\x1f]"), re.compile("[\U00010000-\U0010ffff]")
+
+    def _matches(self, text: str) -> list[str]:
+        if self.special.search(text):
+            return [m for part in self.special.split(text) for m in ([part] if part in self.special_ids else self._parts(part))]
+        return self._parts(text)
+
+    def _parts(self, text: str) -> list[str]:
+        return (self.match if self.odd.search(text) or self.far.search(text) else self.plain_match).findall(text)
+
+    def _learn(self, new: set[str]) -> None:
+        # letters after a blank are encoded many in a row: their first ids alone begin with the blank
+        spaced = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        rows = self.tokenizer.encode_batch_fast(["".join(spaced[k : k + 500]) for k in range(0, len(spaced), 500)], add_special_tokens=False)
+        ids = np.array([i for r in rows for i in r.ids], "<u4")
+        self._keep(spaced, ids, np.append(np.flatnonzero(self.after_blank[ids]), len(ids)))
+        others = list(new.difference(spaced))
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self._keep(others, np.fromiter(chain.from_iterable(lists), "<u4"), np.append(0, np.cumsum(list(map(len, lists)))))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        raw, ends = ids.tobytes(), (4 * bounds.astype(np.int64)).tolist()
+        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
-
-        Texts are cut before each blank. A blank that follows white space belongs to a longer run, so no piece that
-        is empty or ends in white space is ever in these two caches; a text with one is cut by the pattern instead.
-        """
-        if len(self.first) + len(self.spaced) + len(self.runs) > CACHE_WORDS:
-            for cache in (self.first, self.spaced, self.runs):
-                cache.clear()
-        cut = [t.split(" ") for t in texts]
-        heads, rest = [ws[0] for ws in cut], [ws[1:] for ws in cut]
-        self._learn(self.first, [p for p in set(heads).difference(self.first) if p and not p[-1].isspace()])
-        self._learn(self.spaced, [p for p in set().union(*rest).difference(self.spaced) if p and not p[-1].isspace()], " ")
-        for text, head, tail in zip(texts, heads, rest, strict=True):
-            try:
-                yield b"".join([self.first[head] if head else b"", *map(self.spaced.__getitem__, tail)])
-            except KeyError:
-                pieces = self.pattern.findall(text)
-                self._learn(self.runs, list(set(pieces).difference(self.runs)))
-                yield b"".join(map(self.runs.__getitem__, pieces))
+        """Ids of each text as little-endian unsigned 32-bit integers. Texts that the arrays can't cut are matched by the pattern."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = dict(self.special_ids)
+        odd = [c for c in set().union(*texts) if "\x1c" <= c <= "\x1f" or (c > "\x7f" and not c.isalpha())]
+        hard = re.compile("|".join([*map(re.escape, odd), *([self.special.pattern] if self.special_ids else [])]) or r"(?!)")
+        easy = [not hard.search(t) for t in texts]
+        cut = self._encode_arrays([t for t, e in zip(texts, easy, strict=True) if e])
+        for text, plain in zip(texts, easy, strict=True):
+            yield next(cut) if plain else self._encode_one(text)
+
+    def _encode_one(self, text: str) -> bytes:
+        ms = self._matches(text)
+        self._learn(set(ms).difference(self.known))
+        return b"".join(map(self.known.__getitem__, ms))
+
+    def _encode_arrays(self, texts: list[str]) -> Iterator[bytes]:
+        """All texts' matches are cut and told apart in arrays of bytes; only distinct ones become strings."""
+        if not texts:
+            return
+        raw = b"\xff".join([t.encode() for t in texts]) + b"\xff"
+        data = np.frombuffer(raw, np.uint8)
+        kind = KIND[data]
+        start = match_starts(data, kind)
+        begin = np.flatnonzero(start)
+        size = np.diff(np.append(begin, len(data)))
+        word = kind[begin] != TEXT_END
+        place = np.arange(len(data)) - np.repeat(begin, size)
+        keys = []
+        for seed in (1, 2):
+            rng = np.random.default_rng(seed)
+            sign, step = rng.integers(0, 2**63, 256, dtype=np.uint64), rng.integers(0, 2**63, dtype=np.uint64) | np.uint64(1)
+            power = np.multiply.accumulate(np.full(int(size.max()), step))
+            keys.append(np.add.reduceat(sign[data] * power[place], begin)[word])
+        _, first, which = np.unique(keys[0], return_index=True, return_inverse=True)
+        if len(which) and not np.array_equal(keys[1], keys[1][first][which]):
+            yield from map(self._encode_one, texts)  # two matches with one key
+            return
+        at, to = begin[word][first].tolist(), (begin + size)[word][first].tolist()
+        names = [raw[x:y].decode() for x, y in zip(at, to, strict=True)]
+        self._learn(set(names).difference(self.known))
+        parts = [self.known[x] for x in names]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, offset = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(counts) - counts
+        n = counts[which]
+        flat = ids[np.repeat(offset[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+        # matches before each text's end, and so its ids
+        upto = np.cumsum(word)[~word]
+        ends = (4 * np.append(0, np.cumsum(n))[upto]).tolist()
+        for x, y in zip([0, *ends], ends, strict=False):
+            yield flat[x:y]
+
+
+def match_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where matches of the pattern begin, in texts of ASCII and other letters that end with a byte of kind TEXT_END.
+
+    A run of letters, digits or other signs is a match with the blank before it. White space is a match up to its last character,
+    which stands alone or with the run that follows; at a text's end it is one match. An apostrophe that begins a match
+    takes one of the endings s, t, m, d, re, ve, ll with it.
+    """
+    before, after = np.append(np.uint8(TEXT_END), kind[:-1]), np.append(kind[1:], np.uint8(TEXT_END))
+    white, white_before = (kind == BLANK) | (kind == WHITE), (before == BLANK) | (before == WHITE)
+    start = np.where(white, ~white_before | (after < BLANK), (kind != before) & (before != BLANK)) | (kind == TEXT_END)
+    quote = np.flatnonzero((data == 39) & (before != BLANK) & (before != OTHER))
+    get = lambda k: data[np.minimum(quote + k, len(data) - 1)]
+    one, two = get(1), get(2)
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    start[quote[short | long] + 1] = False
+    start[quote[short] + 2] = True
+    start[quote[long] + 3] = True
+    # what follows a blank doesn't begin a match, whatever ended before the blank
+    start[1:] &= ~((kind[:-1] == BLANK) & (kind[1:] < BLANK))
+    return start
 
 
 _LOADED: dict[str, PieceEncoder] = {}
@@ -191,7 +281,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     before = sums.withColumn("before", F.coalesce(F.sum("of_shard").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     final = inner.join(before.select("shard", "before"), "shard").withColumn("start", F.coalesce("start", F.lit(0)) + F.col("before")).drop("before")
     final.sortWithinPartitions("shard", "start").write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/recipes")
-    shard_roots(spark.read.schema(final.schema).parquet(f"{path}/recipes")).write.parquet(f"{path}/shards")
+    shard_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).write.parquet(f"{path}/shards")
 
 
 def shard_roots(recipes: DataFrame) -> DataFrame:
@@ -204,7 +294,7 @@ def shard_roots(recipes: DataFrame) -> DataFrame:
             docs = pa.array([len(x) for x in b.column("leaves")], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("shard"), docs, b.column("ids"), b.column("start"), pa.array(roots, pa.binary())], names=["shard", "docs", "ids", "start", "root"])
 
-    return listed.mapInArrow(work, "shard int, docs bigint, ids bigint, start bigint, root binary")
+    return listed.mapInArrow(work, SHARDS)
 
 
 def ids_of(payload: bytes) -> np.ndarray:
@@ -258,14 +348,14 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """Shards whose recorded Merkle root differs from the one over their recipes; none in a sound store."""
-    was = spark.read.parquet(f"{path}/shards").select("shard", F.col("root").alias("recorded"))
-    now = shard_roots(spark.read.parquet(f"{path}/recipes"))
+    was = spark.read.schema(SHARDS).parquet(f"{path}/shards").select("shard", F.col("root").alias("recorded"))
+    now = shard_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
     return now.join(was, "shard", "full").where(~F.col("recorded").eqNullSafe(F.col("root")))
 
 
 def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Per document, from the files alone: id, start, n_tokens, ids_crc32. A chunk that is missing or altered fails the read."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     part = recipes.select("id", "start", "n_tokens", "ends", F.posexplode("digests").alias("at", "key"))
     end = F.get("ends", F.col("at"))
     part = part.select("id", "start", "key", (end - F.coalesce(F.get("ends", F.col("at") - 1), F.lit(0))).alias("size"), (F.col("n_tokens") - end).alias("after"))
