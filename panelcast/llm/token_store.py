@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Chunk lengths in ids, and the window of the rolling hash (no larger than the least length).
-LEAST, MOST, MEAN_BITS, WINDOW, SEED = 32, 1024, 8, 16, 20_240_601
+LEAST, MOST, MEAN_BITS, WINDOW, SEED = 64, 2048, 9, 16, 20_240_601
 BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_200_000
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
