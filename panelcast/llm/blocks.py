@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Words of a block, and keys of a bucket, about. Both may be larger on a cluster with larger executors.
-BLOCK_WORDS, BUCKET_KEYS = 2_000_000, 1_500_000
+BLOCK_WORDS, BUCKET_KEYS = 1_500_000, 1_500_000
 BLOCKS = "block bigint, ids array<bigint>, flags binary, bounds binary, words binary, stream binary, n_words bigint"
 RUNS = "kind int, bucket int, block bigint, keys binary, vals binary"
 REPLIES = "block bigint, kind int, bucket int, vals binary"
