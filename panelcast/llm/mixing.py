@@ -25,7 +25,7 @@ WEIGHTS = {
 }
 MAX_EPOCHS, SEED, BUDGET_PERCENT = 4, 20_240_601, 50
 #: Documents of a leaf that are ordered in one task, about.
-RUN_DOCS = 20_000
+RUN_DOCS = 2_000
 LEAF = ["domain", "lang", "source"]
 
 
