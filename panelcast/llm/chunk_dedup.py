@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the bytes of a text sets the chunk bounds, so that an insertion moves the bounds near it only and
-a shared passage is cut alike in every text. Blocks of documents ask buckets of digests, for each of their distinct
-chunks, for the smallest document that holds it, if more than one does. A run of chunks that earlier documents hold too is a repeat, if one of them, the first
-holder, has enough words of it.
+a shared passage is cut alike in every text. What is compared are windows: from each chunk on, and up to each chunk, the fewest chunks in a row that have
+MIN_WORDS words. Blocks of documents ask buckets of keys, for each of their distinct windows, for the smallest document that holds it, if more
+than one does. So every run of chunks of MIN_WORDS words that any one earlier document holds in a row is found whole, whoever holds pieces
+of it before, and pieces of several documents don't add up to a repeat.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, answer, bucket_bits, cut_runs, expand, meet, send, squeeze
+from .blocks import U64, answer, bucket_bits, cut_runs, expand, meet, mix, send, squeeze
 from .common import stage
 
 #: Chunk bounds in bytes, the number of hash bits that must be 0 at a bound, and the bytes that the hash looks back on.
@@ -27,7 +28,10 @@ LEAST, MOST, BITS, WINDOW, SEED = 16, 96, 4, 16, 20_240_601
 MIN_WORDS = 24
 BLOCK_BYTES = 16_000_000
 ALONE = np.iinfo(np.int64).max
-CHUNKS = "block bigint, ids array<bigint>, bounds binary, ends binary, words binary, keys binary, n_chunks bigint"
+#: Factor of the polynomial keys of windows, and its inverse modulo 2**64.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 2**64)
+CHUNKS = "block bigint, ids array<bigint>, bounds binary, ends binary, words binary, inside binary, keys binary, n_chunks bigint"
 REPEATS = "doc_id bigint, first_doc_id bigint, start bigint, end bigint, n_words bigint, n_chunks bigint"
 
 
@@ -71,7 +75,7 @@ def bounds_of(data: np.ndarray, starts: np.ndarray) -> Iterator[list[int]]:
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Blocks of documents with the bounds, the words (by their first bytes) and the 64-bit digests of their chunks."""
+    """Blocks of documents with the bounds, the words (by their first bytes) and the 64-bit digests of their chunks, and which chunks begin inside a word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (TaskContext.get().partitionId() * 2**32 + k for k in count())
@@ -94,9 +98,9 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Dat
             digest = [blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), flat.tolist(), strict=True)]
             keys = np.frombuffer(b"".join(digest), U64)
             offset = np.repeat(starts[:-1], n)
-            cells = [next(names), list(ids), squeeze(np.append(0, np.cumsum(n)).astype(np.int64)), squeeze(flat - offset), squeeze((before[flat] - before[begin]).astype(np.int32)), squeeze(keys), len(keys)]
+            cells = [next(names), list(ids), squeeze(np.append(0, np.cumsum(n)).astype(np.int64)), squeeze(flat - offset), squeeze((before[flat] - before[begin]).astype(np.int32)), squeeze(~white[begin] & ~first[begin]), squeeze(keys), len(keys)]
             ids.clear(), texts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()], strict=True)], names=["block", "ids", "bounds", "ends", "words", "keys", "n_chunks"])
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64()], strict=True)], names=["block", "ids", "bounds", "ends", "words", "inside", "keys", "n_chunks"])
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -114,10 +118,25 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Dat
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, CHUNKS)
 
 
-def owners(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document id and key of each chunk, and the bounds of documents in them."""
+def windows(row: dict, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, chunk after the last, number of the document in the block, and key of each window.
+
+    A window counts the word that its first bound cuts, so that equal chunks are equal windows whatever stands before them.
+    """
     bounds, keys = expand(row["bounds"], np.int64), expand(row["keys"], U64)
-    return np.repeat(np.array(row["ids"], np.int64), np.diff(bounds)), keys, bounds
+    upto = np.append(0, np.cumsum(expand(row["words"], np.int32), dtype=np.int64))
+    at = np.arange(len(keys))
+    number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    since = upto[:-1] - expand(row["inside"], bool)  # words before a window that begins here; never falls
+    on = np.maximum(np.searchsorted(upto, since + min_words), at + 1)
+    fit = on <= bounds[number + 1]
+    back = np.minimum(np.searchsorted(since, upto[1:] - min_words, side="right") - 1, at)
+    # windows that are the shortest both ways come once
+    more = (back >= bounds[number]) & ~(fit[back] & (on[back] == at + 1))
+    first, last = np.append(at[fit], back[more]), np.append(on[fit], at[more] + 1)
+    powers = lambda x: np.multiply.accumulate(np.append(U64(1), np.full(len(keys), x, U64)))
+    sums = np.append(U64(0), np.cumsum(mix(keys) * powers(BACK)[:-1], dtype=U64))
+    return first, last, np.append(number[fit], number[more]), mix((sums[last] - sums[first]) * powers(STEP)[first] + (last - first).astype(U64))
 
 
 def first_holders(kind: int, place: np.ndarray, vals: np.ndarray, n: int) -> np.ndarray:
@@ -129,18 +148,20 @@ def first_holders(kind: int, place: np.ndarray, vals: np.ndarray, n: int) -> np.
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per repeat: id, first_doc_id (the smallest id that holds its chunks), start and end in UTF-8 bytes, n_words, n_chunks.
+    """One row per repeat: id, first_doc_id (the smallest id that holds each of its windows), start and end in UTF-8 bytes, n_words, n_chunks.
 
-    The first holder has no row for what it holds itself, so that all rows' spans can be cut and each passage stays once. Repeats inside one
-    document alone are none. Rows without id or text are not compared; rows with one id count as one document. Digests have 64 bits: n chunks hold two
-    with one digest with a chance of about n*n / 2**65, and a repeat needs several in a row. An empty table gives an empty one.
+    The first holder has no row for what it holds itself, so that all rows' spans can be cut and each chunk stays at least once, in the smallest
+    document that holds it. Where parts of a passage have other first holders, each has a row, and these overlap. Repeats inside one
+    document alone are none. Rows without id or text are not compared; rows with one id count as one document. Keys have 64 bits: n windows (up to two
+    a chunk) hold two with one key with a chance of about n*n / 2**65. n_words counts a word that the start cuts. An empty table gives an empty one.
     """
     pair = np.dtype([("least", np.int64), ("most", np.int64)])
     blocks = stage(chunks(docs, id_col, text_col, block_bytes), "chunk-blocks")
-    bits = bucket_bits(blocks.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0])
+    bits = bucket_bits(2 * blocks.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0])
 
     def ask(row: dict) -> Iterator[tuple]:
-        doc, keys, _ = owners(row)
+        _, _, number, keys = windows(row, min_words)
+        doc = np.array(row["ids"], np.int64)[number]
         distinct, place = np.unique(keys, return_inverse=True)
         vals = np.empty(len(distinct), pair)
         vals["least"], vals["most"] = ALONE, np.iinfo(np.int64).min
@@ -151,30 +172,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     replies = stage(answer(send(blocks, ask), pair, first_holders), "chunk-holders")
 
     def find(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
-        doc, keys, bounds = owners(row)
-        _, place = np.unique(keys, return_inverse=True)
-        holder = got[0][place] if len(keys) else np.zeros(0, np.int64)
-        ends, words = expand(row["ends"], np.int64), expand(row["words"], np.int32)
-        shared = (holder != ALONE) & (holder != doc)
+        first, last, number, keys = windows(row, min_words)
+        doc = np.array(row["ids"], np.int64)[number]
+        holder = got[0][np.unique(keys, return_inverse=True)[1]] if len(keys) else np.zeros(0, np.int64)
+        shared = np.flatnonzero((holder != ALONE) & (holder != doc))
+        shared = shared[np.lexsort((first[shared], holder[shared], number[shared]))]
+        first, last, number, holder, doc = (x[shared] for x in (first, last, number, holder, doc))
+        bounds, ends, inside = expand(row["bounds"], np.int64), expand(row["ends"], np.int64), expand(row["inside"], bool)
         start = np.append(0, ends[:-1]) if len(ends) else ends
         start[bounds[:-1][bounds[:-1] < len(start)]] = 0
-        # runs of shared chunks that don't cross a document's bounds
-        edge = np.zeros(len(keys) + 1, bool)
-        edge[bounds] = True
-        opens = np.flatnonzero(shared & (edge[:-1] | ~np.append(False, shared[:-1])))
-        closes = np.flatnonzero(shared & (edge[1:] | ~np.append(shared[1:], False))) + 1
-        total = np.append(0, np.cumsum(words))
-        out = []
-        for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
-            if total[b] - total[a] < min_words:
-                continue
-            who, at = np.unique(holder[a:b], return_inverse=True)
-            # chance finds of single chunks elsewhere don't add up to min_words of one holder
-            for k in np.flatnonzero(np.bincount(at, weights=words[a:b]) >= min_words).tolist():
-                own = np.flatnonzero(at == k)
-                x, y = a + int(own[0]), a + int(own[-1])
-                out.append((int(doc[a]), int(who[k]), int(start[x]), int(ends[y]), int(total[y + 1] - total[x]), y + 1 - x))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
+        upto = np.append(0, np.cumsum(expand(row["words"], np.int32), dtype=np.int64))
+        # windows of one document and holder that overlap are one row
+        group = np.cumsum(np.append(False, (number[1:] != number[:-1]) | (holder[1:] != holder[:-1])))[: len(number)] * (len(ends) + 1)
+        reach = np.maximum.accumulate(group + last)
+        opens = np.flatnonzero(np.append(True, (group + first)[1:] >= reach[:-1])[: len(number)])
+        x, y = first[opens], (reach - group)[np.append(opens[1:], len(number))[: len(opens)] - 1]
+        cols = [doc[opens], holder[opens], start[x], ends[y - 1], upto[y] - upto[x] + inside[x], y - x]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "first_doc_id", "start", "end", "n_words", "n_chunks"])
 
     return meet(blocks, replies, find, np.int64, REPEATS).withColumnRenamed("doc_id", id_col)

@@ -201,6 +201,49 @@ def test_chunk_dedup(spark):
     assert set(clashing(spark, docs).columns) == set(chunk_dedup.cut_repeats(clashing(spark, docs)).columns)
 
 
+def test_chunk_dedup_passage_of_which_earlier_documents_hold_pieces(spark):
+    docs, passages = [], {}
+    for n in range(12):
+        words = prose(2000 + n, 54).split()
+        whole = " ".join(words)
+        around = lambda k, part: f"{prose(3000 + 10 * n + k, 40)} {part} {prose(5000 + 10 * n + k, 40)}"  # noqa: B023, E731
+        docs += [(10 * n + k, around(k, " ".join(words[18 * k : 18 * k + 18])), None, None, 0) for k in range(3)]
+        docs += [(10 * n + k, around(k, whole), None, None, 0) for k in (5, 7)]
+        passages[10 * n + 7] = whole
+    got = chunk_dedup.repeats(frame(spark, docs), block_bytes=3_000).collect()
+    # pieces of 18 words are no repeats, also not three of them in a row
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(i, i - 2) for i in passages}
+    text = {i: t.encode() for i, t, *_ in docs}
+    for r in got:
+        span = text[r["doc_id"]][r["start"] : r["end"]]
+        assert span in text[r["first_doc_id"]] and r["n_words"] == len(span.split()) >= chunk_dedup.MIN_WORDS
+
+
+@pytest.mark.parametrize("min_words", [6, 24])
+def test_chunk_dedup_finds_all_runs(spark, min_words):
+    """Against brute force over the chunks: which chunks lie in a run that one smaller id holds in a row, with enough words."""
+    pieces = [prose(7000 + k, n) for k, n in enumerate((3, 9, 14, 20, 26, 33, 50))] + ["x" * 400, "the " * 60, " \n " * 40]
+    rng = np.random.default_rng(5)
+    docs = [(k, " ".join([pieces[j] for j in rng.integers(0, len(pieces), 6)] + [prose(8000 + k, 12)]), None, None, 0) for k in range(40)]
+    data = {i: t.encode() for i, t, *_ in docs}
+    cut = {i: [0, *next(iter(chunk_dedup.bounds_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))))] for i, t in data.items()}
+    runs = defaultdict(set)
+    for i, t in data.items():
+        for a in range(len(cut[i]) - 1):
+            for b in range(a + 1, len(cut[i])):
+                runs[tuple(t[x:y] for x, y in zip(cut[i][a:b], cut[i][a + 1 : b + 1], strict=True))].add(i)
+    want = defaultdict(set)
+    for i, t in data.items():
+        for a in range(len(cut[i]) - 1):
+            for b in range(a + 1, len(cut[i])):
+                if len(t[cut[i][a] : cut[i][b]].split()) >= min_words and min(runs[tuple(t[x:y] for x, y in zip(cut[i][a:b], cut[i][a + 1 : b + 1], strict=True))]) < i:
+                    want[i].update(range(cut[i][a], cut[i][b]))
+    have = defaultdict(set)
+    for r in chunk_dedup.repeats(frame(spark, docs), min_words=min_words, block_bytes=4_000).collect():
+        have[r["doc_id"]].update(range(r["start"], r["end"]))
+    assert want and have == want
+
+
 def test_empty(spark, tmp_path):
     none = frame(spark, [])
     assert ngram_join.join(none).count() == 0 and lm_score.score(none).count() == 0 and chunk_dedup.repeats(none).count() == 0
