@@ -1,17 +1,20 @@
 """Content-addressed store of token-id streams.
 
 Layout under a store's path:
-  blobs/kind=chunk     digest, payload: every distinct chunk of ids once, under its own digest
+  blobs/kind=chunk     packs of chunks: names (their digests), sizes and payload, one after the other; every distinct chunk of ids once, under its own
+                       digest; a pack's key is the digest of its names
   blobs/kind=recipe    one row per document: the digests and lengths of its chunks, and their Merkle root
   recipes              the same rows in ascending id order, with `start`: the number of ids of all documents before
   shards               one row per range of ids: its documents, ids and the Merkle root over its documents' roots
 A gear-like rolling hash over the last WINDOW ids cuts each document's stream, so that equal passages give equal
-chunks wherever they stand. Reading verifies each payload against its digest and each recipe and shard against its root.
+chunks wherever they stand. Chunks are short, as documents share passages of a hundred ids; so that they cost no row each, tasks send them in
+parts by bucket of their digests, and a bucket stores them in packs. Reading verifies each payload against its digest and each recipe and shard against its root.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import unicodedata
@@ -21,13 +24,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Chunk lengths in ids, and the window of the rolling hash (no larger than the least length).
-LEAST, MOST, MEAN_BITS, WINDOW, SEED = 64, 2048, 9, 16, 20_240_601
+from .blocks import U64, bucket_bits, expand, meet, squeeze
+from .common import stage
+
+#: Chunk lengths in ids (48 on average), and the window of the rolling hash (no larger than the least length).
+LEAST, MOST, MEAN_BITS, WINDOW, SEED = 16, 512, 5, 16, 20_240_601
+#: Characters of text for a bucket of the store, bytes of a part that a task sends and of a pack, and chunks of a block of recipes, about.
+BUCKET_CHARS, PART_BYTES, PACK_BYTES, BLOCK_CHUNKS = 8_000_000, 4_000_000, 500_000, 200_000
 BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_200_000
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,8 +50,11 @@ KIND = np.array([LETTER if b > 127 or chr(b).isalpha() else NUMBER if chr(b).isd
 KIND[255] = TEXT_END
 #: zlib's polynomial, reflected.
 POLY = 0xEDB88320
-BLOBS = "kind string, key binary, payload binary, id bigint, n_tokens bigint, ends array<bigint>, digests array<binary>, root binary"
-RECIPES = "id bigint, n_tokens bigint, ends array<bigint>, digests array<binary>, root binary, start bigint, shard int"
+BLOBS = "kind string, key binary, names binary, sizes binary, payload binary, id bigint, n_tokens bigint, ends array<bigint>, digests binary, root binary"
+RECIPES = "id bigint, n_tokens bigint, ends array<bigint>, digests binary, root binary, start bigint, shard int"
+HEADS = "block bigint, ids array<bigint>, starts binary, bounds binary, ends binary, names binary, n_chunks bigint"
+#: What a document needs to know of a chunk.
+FACT = np.dtype([("n", np.int64), ("crc", np.int64)])
 SHARDS = "shard int, docs bigint, ids bigint, start bigint, root binary"
 
 
@@ -226,13 +238,49 @@ def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
         yield which, some
 
 
-def blobs(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Recipe rows and chunk rows (once in each task) of every document."""
+def ranked(names: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests in order as pairs of numbers, the place of each digest among them, and where each stands first."""
+    pair = np.frombuffer(names, ">u8").astype(U64).reshape(-1, 2)
+    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    ordered = pair[order]
+    new = np.append(True, (ordered[1:] != ordered[:-1]).any(axis=1))[: len(order)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place, order[new]
+
+
+def bucket_ends(high: np.ndarray, bits: int) -> list[int]:
+    """Ends of the buckets in sorted first halves of digests; the top bits name the bucket."""
+    return [*np.searchsorted(high, np.arange(1, 2**bits, dtype=U64) << U64(64 - bits)).tolist(), len(high)]
+
+
+def blobs(docs: DataFrame, tokenizer: str, end_id: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Recipe rows of every document, and parts of chunks by bucket; a chunk is there once in a task, as long as the task remembers it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
         seen: set[bytes] = set()
-        task, done = TaskContext.get().partitionId(), 0
+        fresh: list[bytes] = []
+        payloads: list[bytes] = []
+        held, done = 0, TaskContext.get().partitionId()
+        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        columns = ["bucket", "kind", "key", "names", "sizes", "payload", "id", "n_tokens", "ends", "digests", "root"]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            distinct, _, first = ranked(b"".join(fresh))
+            ends, at = bucket_ends(distinct[:, 0], bits), first.tolist()
+            rows = []
+            for k, (x, y) in enumerate(zip([0, *ends], ends, strict=False)):
+                if y > x:
+                    own = [payloads[j] for j in at[x:y]]
+                    rows.append((k, "chunk", None, b"".join([fresh[j] for j in at[x:y]]), np.array(list(map(len, own)), "<u4").tobytes(), b"".join(own), None, None, None, None, None))
+            fresh.clear(), payloads.clear()
+            if rows:
+                yield batch(rows)
+
         for b in batches:
             for which, texts in _slices(b.column(0), b.column(1)):
                 streams = [x + end for x in enc.encode(texts)]
@@ -248,28 +296,55 @@ def blobs(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                         names.append(name := digest(payload))
                         if name not in seen:
                             seen.add(name)
-                            rows.append(("chunk", name, payload, None, None, None, None, None))
-                    # its task and place make a recipe's key: equal ids keep a row each, and a task that runs again gives the same keys
-                    rows.append(("recipe", b"%d:%d" % (task, done := done + 1), None, i, e - s, [x - s for x in ends], names, merkle_root(names)))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
-                for k in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 20_000], t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "key", "payload", "id", "n_tokens", "ends", "digests", "root"])
+                            fresh.append(name)
+                            payloads.append(payload)
+                            held += len(payload)
+                    # recipes are dealt in turn, so that many equal documents make no large bucket
+                    done += 1
+                    rows.append((done % 2**bits, "recipe", None, None, None, None, i, e - s, [x - s for x in ends], b"".join(names), merkle_root(names)))
+                for k in range(0, len(rows), 5_000):
+                    yield batch(rows[k : k + 5_000])
+                if held >= PART_BYTES:
+                    yield from parts()
+                    held = 0
                 if len(seen) > 500_000:
                     seen.clear()
-
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, BLOBS)
+        yield from parts()
+
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, f"bucket int, {BLOBS}")
+
+
+def packs(table: pa.Table) -> pa.Table:
+    """The rows of a bucket: its recipes as they are, and its distinct chunks in packs."""
+    table = table.drop_columns(["bucket"])
+    chunk = pc.equal(table.column("kind"), "chunk")
+    recipes, parts = table.filter(pc.invert(chunk)), table.filter(chunk)
+    names, raw = (b"".join(parts.column(c).to_pylist()) for c in ("names", "payload"))
+    sizes = np.frombuffer(b"".join(parts.column("sizes").to_pylist()), "<u4").astype(np.int64)
+    _, _, first = ranked(names)
+    ends = np.cumsum(sizes)
+    pack = np.cumsum(sizes[first]) // PACK_BYTES
+    cut = [0, *(np.flatnonzero(pack[1:] != pack[:-1]) + 1).tolist(), len(first)] if len(first) else []
+    rows = []
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        own = first[x:y]
+        listed = b"".join([names[DIGEST * j : DIGEST * (j + 1)] for j in own.tolist()])
+        payload = b"".join([raw[p:q] for p, q in zip((ends - sizes)[own].tolist(), ends[own].tolist(), strict=True)])
+        rows.append({"kind": "chunk", "key": digest(listed), "names": listed, "sizes": sizes[own].astype("<u4").tobytes(), "payload": payload})
+    return pa.concat_tables([recipes, pa.Table.from_pylist(rows, schema=recipes.schema)])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 50_000) -> None:
-    """Writes the store. One shuffle moves each distinct chunk of a task once; rows of recipes travel with them, under keys of their own.
+    """Writes the store. One shuffle moves each distinct chunk of a task once, in parts by bucket; rows of recipes travel with them.
 
     Null texts count as empty and hold the end id alone. Rows with null ids come first in order. Of an empty table the
     store has no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    made = blobs(docs, tokenizer, end_id, id_col, text_col)
-    made.dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
+    chars = docs.agg(F.coalesce(F.sum(F.length(f"`{text_col}`")), F.lit(0))).first()[0]
+    bits = max(5, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
+    made = blobs(docs, tokenizer, end_id, bits, id_col, text_col)
+    made.groupBy("bucket").applyInArrow(packs, BLOBS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
     recipes = spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'recipe'").select("id", "n_tokens", "ends", "digests", "root")
     shards = max(1, -(-recipes.count() // shard_docs))
     ordered = recipes.repartitionByRange(shards, "id", "root").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("id", "root")
@@ -329,21 +404,31 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
-    """key, n, crc of every stored chunk, read back and checked against its digest."""
+def chunk_facts(spark: SparkSession, path: str, bits: int = 0) -> DataFrame:
+    """bucket, names, facts (FACT) of all stored chunks, a row for each pack and bucket, read back and checked against their digests."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, crc = [], []
-            for key, payload in zip(b.column("key").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                if digest(payload) != key:
-                    raise ValueError(f"chunk {key.hex()} doesn't hold what its digest says")
-                ids = ids_of(payload)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["key", "n", "crc"])
-
-    return spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").select("key", "payload").mapInArrow(work, "key binary, n bigint, crc bigint")
+            rows = []
+            for row in range(b.num_rows):  # one pack at a time
+                key, names, sizes, payload = (c[row].as_py() for c in b.columns)
+                size = np.frombuffer(sizes, "<u4").astype(np.int64)
+                facts = np.empty(len(size), FACT)
+                if digest(names) != key or len(names) != DIGEST * len(size) or size.sum() != len(payload):
+                    raise ValueError(f"pack {key.hex()} doesn't hold what its digest says")
+                ends = np.cumsum(size)
+                for k, (x, y) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
+                    if digest(part := payload[x:y]) != names[DIGEST * k : DIGEST * (k + 1)]:
+                        raise ValueError(f"chunk {names[DIGEST * k : DIGEST * (k + 1)].hex()} doesn't hold what its digest says")
+                    ids = ids_of(part)
+                    facts[k] = len(ids), zlib.crc32(ids.tobytes())
+                high = np.frombuffer(names, ">u8")[::2].astype(U64)
+                cut = bucket_ends(high, bits)
+                rows += [(k, names[DIGEST * x : DIGEST * y], facts[x:y].tobytes()) for k, (x, y) in enumerate(zip([0, *cut], cut, strict=False)) if y > x]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "names", "facts"])
+
+    return spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").select("key", "names", "sizes", "payload").mapInArrow(work, "bucket int, names binary, facts binary")
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
@@ -353,22 +438,70 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     return now.join(was, "shard", "full").where(~F.col("recorded").eqNullSafe(F.col("root")))
 
 
-def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the files alone: id, start, n_tokens, ids_crc32. A chunk that is missing or altered fails the read."""
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    part = recipes.select("id", "start", "n_tokens", "ends", F.posexplode("digests").alias("at", "key"))
-    end = F.get("ends", F.col("at"))
-    part = part.select("id", "start", "key", (end - F.coalesce(F.get("ends", F.col("at") - 1), F.lit(0))).alias("size"), (F.col("n_tokens") - end).alias("after"))
-    joined = part.join(chunk_facts(spark, path), "key", "left").select("id", "start", "size", "after", "n", "crc")
+def heads(recipes: DataFrame) -> DataFrame:
+    """Blocks of recipes: ids and starts of documents, the bounds of documents in chunks, ends and digests of chunks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = TaskContext.get().partitionId() * 2**32
+        for b in batches:
+            n = np.array([len(x) // DIGEST for x in b.column("digests").to_pylist()], np.int64)
+            group = np.cumsum(n) // BLOCK_CHUNKS
+            cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                own = b.slice(x, y - x)
+                ends = own.column("ends").flatten().to_numpy(zero_copy_only=False)
+                cells = [named, own.column("id").to_pylist(), squeeze(own.column("start").to_numpy()), squeeze(np.append(0, np.cumsum(n[x:y]))), squeeze(ends), b"".join(own.column("digests").to_pylist()), len(ends)]
+                named += 1
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()], strict=True)], names=["block", "ids", "starts", "bounds", "ends", "names", "n_chunks"])
+
+    return recipes.select("id", "start", "ends", "digests").mapInArrow(work, HEADS)
+
+
+def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Per document, from the files alone: id, start, n_tokens, ids_crc32. A chunk that is missing or altered fails the read.
+
+    Blocks of recipes ask buckets of digests for the facts of their distinct chunks.
+    """
+    blocks = stage(heads(spark.read.schema(RECIPES).parquet(f"{path}/recipes")), "store-recipes")
+    bits = bucket_bits(blocks.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, size = b.column("n"), b.column("size")
-            if n.null_count or not np.array_equal(n.to_numpy(zero_copy_only=False), size.to_numpy(zero_copy_only=False)):
-                raise ValueError("a recipe names a chunk that is missing or of another length")
-            share = crc_shift(b.column("crc").to_numpy(zero_copy_only=False), 4 * b.column("after").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column(x) for x in ("id", "start", "n")] + [pa.array(share.astype(np.int64))], names=["id", "start", "n", "share"])
-
-    shares = joined.mapInArrow(work, "id bigint, start bigint, n bigint, share bigint")
-    # every document has its end id, so that no two start at the same place
-    return shares.groupBy("id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("share").alias("ids_crc32")).select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
+            for block, names in zip(b.column("block").to_pylist(), b.column("names").to_pylist(), strict=True):
+                distinct, _, _ = ranked(names)
+                cut, listed = bucket_ends(distinct[:, 0], bits), distinct.astype(">u8").tobytes()
+                rows = [(k, listed[DIGEST * x : DIGEST * y], None, block) for k, (x, y) in enumerate(zip([0, *cut], cut, strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int64()], strict=True)], names=["bucket", "names", "facts", "block"])
+
+    def look_up(table: pa.Table) -> pa.Table:
+        names, facts, block = (table.column(c).to_pylist() for c in ("names", "facts", "block"))
+        distinct, place, _ = ranked(b"".join(names))
+        known = np.full(len(distinct), -1, FACT)
+        ends = np.cumsum([len(x) // DIGEST for x in names]).tolist()
+        runs = list(zip([0, *ends], ends, facts, block, strict=False))
+        for x, y, f, _ in runs:
+            if f is not None:
+                known[place[x:y]] = np.frombuffer(f, FACT)
+        out = [(k, squeeze(known[place[x:y]])) for x, y, f, k in runs if f is None]
+        n = len(out)
+        cols = [pa.array([k for k, _ in out], pa.int64()), pa.array([0] * n, pa.int32()), pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), pa.array([v for _, v in out], pa.binary())]
+        return pa.table(cols, names=["block", "kind", "bucket", "vals"])
+
+    def put_together(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
+        ends, bounds = expand(row["ends"], np.int64), expand(row["bounds"], np.int64)
+        facts = got[0][ranked(row["names"])[1]]
+        size = np.diff(ends, prepend=0)
+        size[bounds[:-1]] = ends[bounds[:-1]]
+        if not np.array_equal(facts["n"], size):
+            raise ValueError("a recipe names a chunk that is missing or of another length")
+        # no document is without its end id, so that each has a chunk
+        whole = ends[bounds[1:] - 1]
+        share = crc_shift(facts["crc"], 4 * (np.repeat(whole, np.diff(bounds)) - ends))
+        crc = np.bitwise_xor.reduceat(share, bounds[:-1]).astype(np.int64)
+        cells = [pa.array(row["ids"], pa.int64()), pa.array(expand(row["starts"], np.int64)), pa.array(whole), pa.array(crc)]
+        return pa.table(cells, names=["id", "start", "n_tokens", "ids_crc32"])
+
+    asked = blocks.select("block", "names").mapInArrow(ask, "bucket int, names binary, facts binary, block bigint")
+    runs = chunk_facts(spark, path, bits).withColumn("block", F.lit(None).cast("bigint")).union(asked)
+    replies = runs.groupBy("bucket").applyInArrow(look_up, "block bigint, kind int, bucket int, vals binary")
+    return meet(blocks, replies, put_together, FACT, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)

@@ -186,6 +186,36 @@ def test_store_chunks_follow_content():
     assert token_store.merkle_root([b"a"]) == b"a" and token_store.merkle_root([b"a", b"b", b"c"]) != token_store.merkle_root([b"a", b"c", b"b"])
 
 
+def test_store_shares_short_passages(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 50_000, n).astype(np.uint32)
+    for n, least in ((1000, 0.9), (300, 0.7), (100, 0.2)):
+        once = 0
+        for _ in range(100):
+            parts, passage = [], draw(n)
+            for _ in range(2):
+                x = np.concatenate([draw(200), passage, draw(200)])
+                ends = next(iter(token_store.cuts(x, np.array([0, len(x)]))))
+                parts.append({x[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)})
+            once += sum(map(len, parts[0] & parts[1])) // 4
+        assert once >= least * n * 100, (n, once / n / 100)
+    # the same in a store, whose chunks don't take a row each
+    passage = prose(77, 150)
+    docs = [(k, f"{prose(9000 + k, 60)} {passage} {prose(9500 + k, 60)}", None, None, 0) for k in range(20)]
+    path = str(tmp_path / "store")
+    token_store.write(frame(spark, docs).repartition(4), path, BYTE_FILE)
+    facts = [np.frombuffer(r["facts"], token_store.FACT) for r in token_store.chunk_facts(spark, path).collect()]
+    ids = lambda t: len(Tokenizer.from_file(BYTE_FILE).encode(t, add_special_tokens=False).ids)
+    total = sum(r["n_tokens"] for r in token_store.documents(spark, path).collect())
+    assert sum(f["n"].sum() for f in facts) < total - 19 * 0.6 * ids(passage) and sum(map(len, facts)) > 2 * len(facts)
+    # a chunk that a recipe names and no pack holds is noticed
+    bad = str(tmp_path / "bad")
+    spark.read.parquet(f"{path}/recipes").write.parquet(f"{bad}/recipes")
+    spark.read.schema(token_store.BLOBS).parquet(f"{path}/blobs").where("kind = 'recipe' or hex(key) < '8'").write.partitionBy("kind").parquet(f"{bad}/blobs")
+    with pytest.raises(Exception, match="missing"):
+        token_store.documents(spark, bad).collect()
+
+
 def test_chunk_dedup(spark):
     passage = prose(900, 60)
     docs = [(k, f"{prose(500 + k, 150)} {passage} {prose(700 + k, 90)}", None, None, 0) for k in range(4)]
