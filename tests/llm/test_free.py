@@ -151,6 +151,18 @@ def test_bpe(spark):
         assert (s["n_tokens"], s["ids_sha256"], s["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(told.encode()).hexdigest())
 
 
+def test_pipeline_decodes(spark):
+    import corpus_pipeline
+
+    lib = Tokenizer.from_file(WORD_FILE)
+    texts = {i: t or "" for i, t, *_ in corpus()}
+    rows = corpus_pipeline.bpe_encode(spark, frame(spark, corpus()), "").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = lib.encode(texts[r["doc_id"]], add_special_tokens=False)
+        assert (r["ids"], r["n_tokens"], r["decoded_sha256"]) == (found.ids, len(found.ids), hashlib.sha256(" ".join(found.tokens).encode()).hexdigest())
+
+
 def test_token_store(spark, tmp_path):
     docs = corpus() + corpus()[:1] + [(None, "no id", None, None, 0)]
     path = str(tmp_path / "store")
