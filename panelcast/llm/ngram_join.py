@@ -7,20 +7,21 @@ Two documents link when den * |intersection| >= num * |union| of their sets of w
    link allows has no partner and is done with. Equal sets are one class from here on, with its smallest id.
 2. For the others all keys are counted. In the order of frequency, rarest first, linked sets share one of their first
    size - need + 1 keys. Documents that share such a key, directly or through others, form a family.
-3. Within a family, inverted lists of all keys answer each document's search. The need T of shared keys is found
-   by merging the short lists with a heap and asking the L longest by binary search about those that reached T - L.
-   Before, a few pivots are held against the whole family: what links to one pivot needs no search among itself, so that a group of thousands of
-   copies costs a pass and not its square. Only documents outside the family's largest component search.
-Families beyond a size are split into blocks, and every two blocks are searched together.
+3. Every link comes from a search: a document's need T of shared keys is looked for in the inverted lists of its keys. The L longest
+   lists are set aside; the short ones are merged with a heap that skips what can't reach T - L; what reaches it is looked up in the long ones by binary
+   search. A family of bounded size is searched in one task. What a search linked needs no search among itself: after PILOTS searches
+   only documents outside the largest component found so far go on, so that a group of thousands of near copies isn't searched by all its members.
+4. A larger family is dealt to parts by id, each with inverted lists of its own. In rounds, a few pilots are searched in all parts; the documents outside the
+   largest component that remain are searched among the documents that share a prefix key with them, key by key.
 """
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
-from itertools import count, groupby
+from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,11 @@ from .blocks import U64, Block, answer, bucket_bits, chain, cut_runs, expand, me
 from .common import stage
 from .components import connected
 
-#: Keys of a family that are searched in one task, and of a bundle of small families.
-FAMILY_KEYS = 3_000_000
-#: Pivots of a family, and the weight of a binary search against a step of the merge (mu of DivideSkip).
-PIVOTS, PROBE = 16, 0.01
-#: Elements up to which short lists are merged with a heap; longer ones are merged as sorted runs of an array.
-HEAP = 20_000
+#: Keys of a family that are searched in one task, of a part of a larger one, and of a bundle of small ones.
+FAMILY_KEYS = 150_000
+#: Searches before the largest component is left out, rounds of them in families of several parts, and the weight of a binary search against
+#: a step of the merge (mu of DivideSkip).
+PILOTS, ROUNDS, PROBE = 16, 3, 0.01
 
 SETS = "id bigint, n bigint, digest binary, keys binary"
 RANKED = "id bigint, n bigint, keys binary, prefix array<bigint>"
@@ -184,97 +184,206 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def merged(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
-    """(member, how often) of the members that stand in `least` of the sorted lists or more."""
-    if sum(map(len, lists)) <= HEAP:
-        runs = ((k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in lists))))
-        return [(k, c) for k, c in runs if c >= least]
-    # a stable sort of integers merges the sorted runs that it finds
-    found = np.sort(np.concatenate(lists), kind="stable")
-    member, times = np.unique(found, return_counts=True)
-    hit = times >= least
-    return list(zip(member[hit].tolist(), times[hit].tolist(), strict=True))
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(member, in how many lists) of the members that stand in `least` of the sorted lists or more.
 
-
-def search_family(sizes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Forest:
-    """Components of the documents of one family, given in ascending order of ids, by the links between them."""
+    The heap holds the front of each list. Where the smallest member stands in too few, so many lists leave the heap that
+    the rest can't make up a hit below the then smallest front, and go on from that front by binary search.
+    """
+    width = len(lists)
+    at = [0] * width
+    heap = [x[0] * width + k for k, x in enumerate(lists)]
+    heapify(heap)
+    while len(heap) >= least:
+        member = heap[0] // width
+        out = [heappop(heap) % width]
+        while heap and heap[0] // width == member:
+            out.append(heappop(heap) % width)
+        if len(out) >= least:
+            yield member, len(out)
+            front = member + 1
+        else:
+            while heap and len(out) < least - 1:
+                out.append(heappop(heap) % width)
+            if not heap:
+                return
+            front = heap[0] // width
+        for k in out:
+            own = lists[k]
+            at[k] = i = at[k] + 1 if own[at[k]] == front - 1 else bisect_left(own, front, at[k])
+            if i < len(own):
+                heappush(heap, own[i] * width + k)
+
+
+class Lists:
+    """Inverted lists of sets: for each key the numbers of the sets that hold it, in order."""
+
+    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray]):
+        self.sizes = sizes
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.posting = owner[order]
+        self.keys, self.start = np.unique(flat[order], return_index=True)
+        self.end = np.append(self.start[1:], len(flat))
+
+    def search(self, size: int, keys: np.ndarray, num: int, den: int) -> Iterator[int]:
+        """The sets that link to one of so many keys, itself included if it is among them. `keys` may leave out what no other set has."""
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        place = place[self.keys[place] == keys]
+        least = int(need(size, num, den))
+        if len(place) < least:
+            return
+        length = (self.end - self.start)[place]
+        place = place[np.argsort(length, kind="stable")]
+        n_long = min(int(least / (PROBE * np.log2(max(int(length.max()), 2)) + 1)), least - 1)
+        cut = lambda some: [self.posting[a:b] for a, b in zip(self.start[some].tolist(), self.end[some].tolist(), strict=True)]
+        found = list(merge_skip([x.tolist() for x in cut(place[: len(place) - n_long])], least - n_long))
+        if not found:
+            return
+        member, times = (np.array(x) for x in zip(*found, strict=True))
+        goal = pair_need(size, self.sizes[member], num, den)
+        for k, long in enumerate(cut(place[len(place) - n_long :])):
+            # who has enough, or can't have enough any more, is not looked up further
+            ask = np.flatnonzero((times < goal) & (times + n_long - k >= goal))
+            if not len(ask):
+                break
+            at = np.minimum(np.searchsorted(long, member[ask]), len(long) - 1)
+            times[ask] += long[at] == member[ask]
+        yield from member[times >= goal].tolist()
+
+
+def search_family(sizes: np.ndarray, sets: list[np.ndarray], num: int, den: int, found: list | None = None) -> Forest:
+    """Components of the sets of one family by the links that searches find; `found` gathers those that joined two components."""
     m = len(sets)
-    forest = Forest(m)
-    bounds = np.append(0, np.cumsum([len(s) for s in sets]))
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), np.diff(bounds))
-    out = np.ones(m, bool)
-    for _ in range(PIVOTS):
-        left = np.flatnonzero(out)
-        if not len(left):
-            break
-        pivot = int(left[0])
-        mark = np.zeros(len(vocabulary), bool)
-        mark[flat[bounds[pivot] : bounds[pivot + 1]]] = True
-        shared = np.bincount(owner, weights=mark[flat], minlength=m).astype(np.int64)
-        links = np.flatnonzero(shared >= pair_need(sizes[pivot], sizes, num, den))
-        out[pivot] = False
-        for x in links.tolist():
-            forest.join(pivot, x)
-        out[links] = False
-    roots = np.array([forest.root(x) for x in range(m)])
-    largest = np.bincount(roots).argmax()
-    seek = np.flatnonzero(roots != largest).tolist()
-    if not seek:
-        return forest
-    by_key = np.argsort(flat, kind="stable")
-    start = np.append(0, np.cumsum(np.bincount(flat, minlength=len(vocabulary))))
-    posting = owner[by_key]
-    for q in seek:
-        lists = sorted((posting[start[k] : start[k + 1]] for k in flat[bounds[q] : bounds[q + 1]].tolist() if start[k + 1] - start[k] > 1), key=len)
-        least = int(need(sizes[q], num, den))
-        if len(lists) < least:
-            continue
-        longest = len(lists[-1])
-        n_long = min(int(least / (PROBE * np.log2(max(longest, 2)) + 1)), least - 1)
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        for x, times in merged(short, least - n_long):
-            if x == q or forest.root(x) == forest.root(q):
-                continue
-            t = int(pair_need(sizes[q], sizes[x], num, den))
-            for k, one in enumerate(long):
-                if times >= t or times + len(long) - k < t:
-                    break
-                at = bisect_left(one, x)
-                times += at < len(one) and one[at] == x
-            if times >= t:
+    forest, lists = Forest(m), Lists(sizes, sets)
+
+    def search(q: int) -> None:
+        for x in lists.search(int(sizes[q]), sets[q], num, den):
+            if forest.root(x) != forest.root(q):
                 forest.join(q, x)
+                if found is not None:
+                    found.append((q, x))
+
+    done: set[int] = set()
+    for q in range(m):
+        if len(done) == PILOTS:
+            break
+        if forest.root(q) == q:  # not linked to an earlier one
+            done.add(q)
+            search(q)
+    roots = [forest.root(x) for x in range(m)]
+    largest = int(np.bincount(roots).argmax())
+    for q in range(m):
+        if q not in done and forest.root(q) != forest.root(largest):
+            search(q)
     return forest
 
 
-def search(families: DataFrame, num: int, den: int, family_keys: int) -> DataFrame:
-    """(id, root) of linked documents. families: family, id, n, keys. Small families are searched several to a task."""
-    sizes = stage(families.groupBy("family").agg(F.sum(F.length("keys") / 8).cast("bigint").alias("total")), "families")
-    whole = sizes.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    bundles = max(1, 4 * (whole // family_keys + 1))
-    parts = F.when(F.col("total") > family_keys, F.ceil(2 * F.col("total") / family_keys)).otherwise(1).cast("bigint")
-    placed = families.join(sizes.withColumn("parts", parts), "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    lone = F.col("parts") == 1
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    dealt = placed.withColumn("bundle", F.when(lone, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.col("family"))).withColumn("lone", lone).withColumn("p", F.explode(pairs))
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*found, strict=True)) or [[], []])], names=["a", "b"])
+
+
+def _keys_of(column: pa.ChunkedArray, at: Iterable[int]) -> list[np.ndarray]:
+    return [np.frombuffer(column[int(k)].as_buffer(), U64) for k in at]
+
+
+def _groups(name: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each name, in the order of ids."""
+    order = np.lexsort((ids, name))
+    edges = np.flatnonzero(np.append(True, np.diff(name[order]) != 0)).tolist()
+    return (order[a:b] for a, b in zip(edges, [*edges[1:], len(order)], strict=True))
+
+
+def search_small(families: DataFrame, bundles: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of families that fit a task; families: family, id, n, keys. Several go to a task."""
 
     def work(table: pa.Table) -> pa.Table:
-        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        family, keys = table.column("family").to_numpy(), table.column("keys")
-        order = np.lexsort((ids, family))
-        edges = np.flatnonzero(np.append(True, np.diff(family[order]) != 0))
+        ids, n, keys = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("keys")
         found: list[tuple[int, int]] = []
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-            own = order[a:b]
+        for own in _groups(table.column("family").to_numpy(), ids):
             if len(own) > 1:
-                forest = search_family(n[own], [np.frombuffer(keys[int(k)].as_buffer(), U64) for k in own], num, den)
+                forest = search_family(n[own], _keys_of(keys, own), num, den)
                 found += [(int(ids[own[x]]), int(ids[own[forest.root(x)]])) for x in range(len(own)) if forest.root(x) != x]
-        return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*found, strict=True)) or [[], []])], names=["id", "root"])
+        return _links(found)
+
+    dealt = families.withColumn("bundle", F.pmod(F.xxhash64("family"), F.lit(bundles)))
+    return dealt.select("bundle", "family", "id", "n", "keys").groupBy("bundle").applyInArrow(work, "a bigint, b bigint")
+
+
+def search_parts(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of the rows that seek with the rows that are `listed`; rows: bundle, grp, id, n, keys, seeks, listed. What has
+    one `root` already needs no link."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, n, keys = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("keys")
+        seeks, listed, root = (table.column(c).to_numpy() for c in ("seeks", "listed", "root"))
+        found: list[tuple[int, int]] = []
+        for own in _groups(table.column("grp").to_numpy(), ids):
+            inside, asking = own[listed[own]], own[seeks[own]]
+            if len(inside) and len(asking):
+                lists = Lists(n[inside], _keys_of(keys, inside))
+                for q in asking.tolist():
+                    hits = inside[list(lists.search(int(n[q]), _keys_of(keys, [q])[0], num, den))]
+                    found += [(int(ids[q]), int(ids[x])) for x in hits.tolist() if root[x] != root[q]]
+        return _links(found)
+
+    return rows.select("bundle", "grp", "id", "n", "keys", "seeks", "listed", "root").groupBy("bundle").applyInArrow(work, "a bigint, b bigint")
+
+
+def search_large(rows: DataFrame, sizes: DataFrame, num: int, den: int, family_keys: int) -> DataFrame:
+    """Links (a, b) of families of several parts; rows: family, id, n, keys, prefix; sizes: family, total."""
+    parts = sizes.select("family", F.ceil(F.col("total") / family_keys).cast("bigint").alias("parts"))
+    rows = stage(rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "large-families")
+    links = None
+    left, seekers = rows.withColumn("root", F.col("id")), rows
+    for turn in range(ROUNDS):
+        # about PILOTS documents of each family, by a hash that is new in every round
+        many = seekers.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
+        pilots = seekers.join(many, "family").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("many")) < PILOTS).select("id")
+        pilots = left.join(pilots, "id", "left_semi")
+        ask = pilots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("seeks", F.lit(True)).withColumn("listed", F.lit(False))
+        both = left.withColumn("seeks", F.lit(False)).withColumn("listed", F.lit(True)).unionByName(ask)
+        both = both.withColumn("grp", F.xxhash64("family", "part")).withColumn("bundle", F.col("grp"))
+        new = search_parts(both, num, den)
+        links = stage(new if links is None else links.union(new), "pilot-links")
+        roots = connected(links)
+        left = stage(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "large-roots")
+        counts = left.groupBy("family", "root").agg(F.count(F.lit(1)).alias("many"))
+        largest = counts.groupBy("family").agg(F.max(F.struct("many", "root")).alias("top")).select("family", F.col("top.root").alias("largest"))
+        seekers = stage(left.join(largest, "family").where("root <> largest").select("family", "id", "prefix", F.length("keys").alias("bytes")), "seekers")
+        remain = seekers.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // 8
+        if not remain:
+            return links
+        if remain <= family_keys:
+            break
+    # the documents that share a prefix key with one that seeks; keys of the same documents (told by a sum of 64-bit hashes) are one group
+    wanted = seekers.select(F.explode("prefix").alias("key")).distinct()
+    posting = left.select("id", F.length("keys").alias("bytes"), F.explode("prefix").alias("key")).join(wanted, "key", "left_semi")
+    groups = posting.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("mark"), F.sum("bytes").alias("bytes")).where("many > 1")
+    groups = groups.groupBy("many", "mark").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")).select("key", F.ceil(F.col("bytes") / 8 / family_keys).cast("bigint").alias("pieces"))
+    seeking = seekers.select("id", F.lit(True).alias("seeks")).distinct()
+    members = posting.select("key", "id").join(groups, "key").join(seeking, "id", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
+    own = F.pmod(F.xxhash64("id"), F.col("pieces"))
+    piece = F.explode(F.when(F.col("seeks"), F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).otherwise(F.array(own)))
+    dealt = members.withColumn("piece", piece).withColumn("listed", F.col("piece") == own).join(left.select("id", "n", "keys", "root"), "id")
+    dealt = dealt.withColumn("grp", F.xxhash64("key", "piece"))
+    total = dealt.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 8
+    dealt = dealt.withColumn("bundle", F.when(F.col("pieces") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(2 * (total // family_keys) + 1))))
+    return stage(links.union(search_parts(dealt, num, den)), "links")
 
-    links = dealt.select("lone", "bundle", "p.i", "p.j", "family", "id", "n", "keys").groupBy("lone", "bundle", "i", "j").applyInArrow(work, "id bigint, root bigint")
+
+def search(families: DataFrame, num: int, den: int, family_keys: int) -> DataFrame:
+    """(id, root) of linked documents. families: family, id, n, keys, prefix."""
+    sizes = stage(families.groupBy("family").agg(F.sum(F.length("keys") / 8).cast("bigint").alias("total")), "families")
+    whole, most = sizes.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first()
+    large = sizes.where(F.col("total") > family_keys)
+    small = families.join(large.select("family"), "family", "left_anti") if most > family_keys else families
+    links = search_small(small, 2 * (whole // family_keys) + 1, num, den)
+    if most > family_keys:
+        links = links.union(search_large(families.join(large.select("family"), "family", "left_semi"), large, num, den, family_keys))
     links = stage(links, "links")
-    split = not sizes.where(F.col("total") > family_keys).isEmpty()
-    return connected(links.select(F.col("id").alias("a"), F.col("root").alias("b"))) if split else links
+    return connected(links) if most > family_keys else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_words: int | None = None, family_keys: int = FAMILY_KEYS) -> DataFrame:
@@ -292,7 +401,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     posting = rows.select("id", F.explode("prefix").alias("key"))
     leads = posting.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
     families = connected(posting.join(leads, "key").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    grouped = rows.join(families.select("id", F.col("root").alias("family")), "id").select("family", "id", "n", "keys")
+    grouped = rows.join(families.select("id", F.col("root").alias("family")), "id").select("family", "id", "n", "keys", "prefix")
     roots = search(grouped, num, den, family_keys).groupBy("id").agg(F.min("root").alias("root"))
     of_class = classes.join(roots, classes["first"] == roots["id"], "left").select("digest", F.coalesce("root", "first").alias("root"))
     out = sets.select("id", "n", "digest").join(of_class, "digest", "left")

@@ -77,31 +77,79 @@ def test_ngram_join(spark, n, num, family_keys):
     assert sum(i != c for i, (_, c) in want.items()) >= 5
 
 
-def test_search_family_without_pivots(monkeypatch):
-    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
-    rng = np.random.default_rng(3)
-    base = rng.choice(10_000, 60, replace=False).astype(np.uint64)
+def brute_roots(sets, num, den):
+    up = list(range(len(sets)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if den * k >= num * (len(sets[i]) + len(sets[j]) - k):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(x) for x in range(len(sets))]
+
+
+def some_sets(rng, m):
+    """Near copies of a few bases and sets of their own, all over one small vocabulary."""
+    bases = [rng.choice(3_000, 60, replace=False).astype(np.uint64) for _ in range(3)]
     sets = []
-    for k in range(60):
-        s = base.copy() if k % 2 else rng.choice(10_000, 60, replace=False).astype(np.uint64)
+    for k in range(m):
+        s = bases[k % 5].copy() if k % 5 < 3 else rng.choice(3_000, 60, replace=False).astype(np.uint64)
         s[rng.integers(0, 60, k % 9)] = rng.integers(20_000, 20_050, k % 9)
         sets.append(np.unique(s))
+    return sets
+
+
+@pytest.mark.parametrize("probe", [1e-6, 0.01, 0.3, 100.0])
+def test_divide_skip_finds_every_link_itself(monkeypatch, probe):
+    """From all lists long but one to all lists short: the search alone gives each set's links, and they alone make the components."""
+    monkeypatch.setattr(ngram_join, "PROBE", probe)
+    sets = some_sets(np.random.default_rng(3), 80)
     sizes = np.array([len(s) for s in sets])
-    for heap in (0, 10**6):
-        monkeypatch.setattr(ngram_join, "HEAP", heap)
-        f = ngram_join.search_family(sizes, sets, 80, 100)
-        up = list(range(60))
-
-        def root(x, up=up):
-            return x if up[x] == x else root(up[x])
-
-        for i in range(60):
-            for j in range(i):
-                k = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
-                    a, b = root(i), root(j)
-                    up[max(a, b)] = min(a, b)
-        assert [f.root(x) for x in range(60)] == [root(x) for x in range(60)]
+    lists = ngram_join.Lists(sizes, sets)
+    links = 0
+    for q, s in enumerate(sets):
+        want = [x for x, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
+        assert sorted(lists.search(len(s), s, 80, 100)) == want
+        links += len(want) - 1
+    assert links > 200
+    for pilots in (1, 16):
+        monkeypatch.setattr(ngram_join, "PILOTS", pilots)
+        found = []
+        forest = ngram_join.search_family(sizes, sets, 80, 100, found)
+        want = brute_roots(sets, 80, 100)
+        assert [forest.root(x) for x in range(80)] == want and len(found) == 80 - len(set(want))
+
+
+def test_merge_skip():
+    rng = np.random.default_rng(4)
+    for n in range(1, 12):
+        lists = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).tolist() for _ in range(n)]
+        times = Counter(x for one in lists for x in one)
+        for least in range(1, n + 2):
+            assert list(ngram_join.merge_skip(lists, least)) == sorted((x, k) for x, k in times.items() if k >= least)
+
+
+@pytest.mark.parametrize(("pilots", "rounds"), [(16, 3), (1, 1)])
+def test_ngram_join_of_families_of_many_parts(spark, monkeypatch, pilots, rounds):
+    """A large group of near copies, two small ones and others that share some of their words, all in families of many parts."""
+    monkeypatch.setattr(ngram_join, "PILOTS", pilots)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = np.random.default_rng(6)
+    bases = [prose(1300 + k, 100).split() for k in range(4)]
+    docs = []
+    for k in range(90):
+        own = list(bases[0 if k % 3 else 1 + k // 3 % 2])
+        for at in rng.integers(0, 100, k % 4):
+            own[at] = f"w{k}{at}"
+        if k % 10 == 9:
+            own = own[:45] + bases[3][:55]
+        docs.append((k, " ".join(own), None, None, 0))
+    got = ngram_join.join(frame(spark, docs).repartition(3), n=4, num=85, block_words=2_000, family_keys=600).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == links(docs, 4, 85, 100)
 
 
 def test_components(spark):
