@@ -50,6 +50,15 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the gaps between them, whose bytes are stored place by place: the upper ones are nearly all 0."""
+    return squeeze(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(expand(data, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
 class Block:
     """ids and flags of documents, their bounds in `stream`, and `words`: the sorted 64-bit keys that the stream's numbers stand for."""
 
@@ -114,7 +123,7 @@ def cut_runs(kind: int, block: int, keys: np.ndarray, vals: np.ndarray, bits: in
     at = np.searchsorted(keys, np.arange(1, 2**bits, dtype=U64) << U64(64 - bits)).tolist()
     for bucket, (a, b) in enumerate(zip([0, *at], [*at, len(keys)], strict=True)):
         if b > a:
-            yield kind, bucket, block, keys[a:b].tobytes(), squeeze(vals[a:b])
+            yield kind, bucket, block, pack_keys(keys[a:b]), squeeze(vals[a:b])
 
 
 def send(blocks: DataFrame, runs: Callable[[dict], Iterable[tuple]]) -> DataFrame:
@@ -137,7 +146,7 @@ def answer(runs: DataFrame, value_type, put: Callable[[int, np.ndarray, np.ndarr
 
     def work(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [np.frombuffer(x.as_buffer(), U64) for x in table.column("keys")]
+        keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
         vals = np.concatenate([expand(x.as_py(), value_type) for x in table.column("vals")])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         values = put(kind, place, vals, len(distinct))

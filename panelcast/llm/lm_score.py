@@ -1,12 +1,13 @@
-"""LM scoring with a weighted backoff automaton of word n-grams (here pairs), smoothed with a Dirichlet prior.
+"""LM scoring with a weighted backoff automaton of word n-grams, smoothed with Dirichlet priors.
 
-States are contexts: a word that occurs in training is a state, and the root stands for no context. The arc of word w from state h
-carries log10((c(h,w) + mu p(w)) / (c(h) + mu)) for each pair seen in training; every other word leaves h by its failure arc, of weight log10(mu / (c(h) + mu)),
-to the root, whose arcs carry p(w) = (c(w) + 1) / (N + V + 1), with one part left for all words unseen. Weights of a state sum to 1. The
-end of a text is a word of its own and the state in which the next text starts.
+States are contexts of up to order - 1 words that occur in training; the root stands for none. The arc of word w from state h carries
+log10 p(w|h) with p(w|h) = (c(h,w) + mu p(w|h')) / (c(h) + mu), for each n-gram (h, w) seen in training; h' is h without its first word. Every
+other word leaves h by its failure arc, of weight log10(mu / (c(h) + mu)), to the state h', and so on until a state has an arc; the root has arcs with
+p(w) = (c(w) + 1) / (N + V + 1) and one for all words unseen. Weights of a state sum to 1. The end of a text is a word of its own, and a state
+of that one word is where the next text starts.
 
-Counts cover all training documents: blocks of documents ask buckets of keys for the counts of their words and pairs, which are the arcs that their own texts can
-take, and then traverse these texts once from left to right. As the state after a word is that word's state, a traversal carries one number.
+Counts cover all training documents: blocks of documents ask buckets of keys for the counts of their n-grams, which make the states and arcs that their own texts
+can reach, and then traverse these texts once from left to right.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from pyspark.sql import functions as F
 from .blocks import U64, Block, answer, bucket_bits, chain, cut_runs, expand, meet, send, staged_pack, sums
 from .common import stage
 
-#: Weight of the prior in a state, in words.
-MU = 500.0
+#: Weights of the priors in states of one word, two words and so on, in words. There is one order more than weights.
+MUS = (500.0, 50.0)
 #: Key of the end of a text.
 END = U64(0x5AFE_C0DE_0000_0E0D)
-WORD, PAIR = 0, 1
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -34,71 +34,139 @@ def held_out(id_col) -> object:
 
 
 class Stream:
-    """A block's words and ends in one array of numbers of keys, with the number of the state before each."""
-
-    def __init__(self, block: Block):
-        self.keys = np.union1d(block.words, np.array([END], U64))
-        end = np.searchsorted(self.keys, END)
-        moved = np.searchsorted(self.keys, block.words)[block.stream] if len(block.stream) else np.zeros(0, np.int64)
-        self.word = np.insert(moved, block.bounds[1:], end)
-        self.state = np.append(end, self.word[:-1])
-        self.sizes = np.diff(block.bounds) + 1
-        self.trained = np.repeat(block.flags == 0, self.sizes)
-        self.pairs, self.pair = np.unique(chain(self.keys[self.state], self.keys[self.word]), return_inverse=True)
+    """A block's words and ends in one array, and the n-grams that end at each of them.
 
+    grams[k - 1]: keys of the distinct n-grams of k words; gram[k - 1]: number of the n-gram that ends at each token, or -1 where the text doesn't reach
+    back so far. The end before a text counts as its word before the first.
+    """
 
-class Automaton:
-    """The part of the automaton that a block's texts can reach."""
+    def __init__(self, block: Block, order: int):
+        words = np.union1d(block.words, np.array([END], U64))
+        end = np.searchsorted(words, END)
+        moved = np.searchsorted(words, block.words)[block.stream] if len(block.stream) else np.zeros(0, np.int64)
+        word = np.insert(moved, block.bounds[1:], end)
+        self.end, self.sizes = int(end), np.diff(block.bounds) + 1
+        self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
+        self.trained = np.repeat(block.flags == 0, self.sizes)
+        self.grams, self.gram = [words], [word]
+        place = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
+        last = words[word]
+        key = chain(words[np.append(end, word[:-1])], last)
+        for k in range(2, order + 1):
+            whole = np.flatnonzero(place >= k - 2)
+            grams, which = np.unique(key[whole], return_inverse=True)
+            number = np.full(len(word), -1)
+            number[whole] = which
+            self.grams.append(grams)
+            self.gram.append(number)
+            key = np.append(U64(0), chain(key[:-1], last[1:]))
+
+    def counts(self, k: int) -> np.ndarray:
+        """How often each n-gram of k words ends at a token of a training text."""
+        number = self.gram[k - 1]
+        return np.bincount(number[self.trained & (number >= 0)], minlength=len(self.grams[k - 1])).astype(np.uint32)
 
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray, tokens: int, kinds: int, mu: float):
-        self.root = np.log10((word_counts + 1) / (tokens + kinds + 1))
-        # a state that training never saw has no arcs and a failure arc of weight 1
-        self.fail = np.log10(mu / (word_counts + mu))
-        self.pair_counts, self.word_counts, self.mu = pair_counts, word_counts, mu
 
-    def traverse(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """Log-probability of each step of the one pass over the stream."""
-        seen = self.pair_counts[arc]
-        direct = np.log10((seen + self.mu * 10 ** self.root[word]) / (self.word_counts[state] + self.mu))
-        return np.where(seen > 0, direct, self.fail[state] + self.root[word])
+class Automaton:
+    """The part of the automaton that a block's texts can reach.
 
+    State 0 is the root; states of k words are the block's n-grams of k words that training has. `fail` and `weight` are each state's
+    failure arc; arcs of states of k words are the n-grams of k + 1 words that training has, and `arc[k]` holds their weights.
+    """
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, block_words: int | None = None) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    def __init__(self, stream: Stream, seen: list[np.ndarray], tokens: int, kinds: int, mus: tuple[float, ...]):
+        self.stream, order = stream, len(mus) + 1
+        first = np.cumsum([1, *map(len, seen)])  # number of the first state of each length
+        self.fail, self.weight = np.zeros(first[order - 1], np.int64), np.zeros(first[order - 1])
+        # of each token: the longest state that it leads to, which is the one before the next token
+        self.after = np.zeros(len(stream.gram[0]), np.int64)
+        p = (seen[0] + 1) / (tokens + kinds + 1)
+        self.arc, self.has = [np.log10(p)], [None]
+        p = p[stream.gram[0]]
+        start = np.zeros(len(p), bool)
+        start[stream.starts] = True
+        for k in range(1, order):
+            at, number = stream.gram[k - 1], np.arange(first[k - 1], first[k])
+            known = np.flatnonzero((at >= 0) & (seen[k - 1][at] > 0))
+            own = number[at[known]]
+            self.fail[own] = self.after[known]  # up to here the longest state of fewer words
+            self.weight[number] = np.log10(mus[k - 1] / (seen[k - 1] + mus[k - 1]))
+            self.after[known] = own
+            # the n-grams of k + 1 words: count of the context of each token's, which is the state before it
+            context = np.append(0, at[:-1])
+            if k == 1:
+                context[start] = stream.end
+            whole = np.flatnonzero(stream.gram[k] >= 0)
+            arc = stream.gram[k][whole]
+            p[whole] = (seen[k][arc] + mus[k - 1] * p[whole]) / (seen[k - 1][context[whole]] + mus[k - 1])
+            weights = np.zeros(len(seen[k]))
+            weights[arc] = np.log10(p[whole])
+            self.arc.append(weights)
+            self.has.append(seen[k] > 0)
+        self.length = np.searchsorted(first, np.arange(first[order - 1]), side="right")
+        self.length[0] = 0
+        self.begin = int(first[0] + stream.end) if len(mus) and seen[0][stream.end] else 0
+        self.start = start
+
+    def traverse(self) -> np.ndarray:
+        """Log-probability of each token, by arcs and failure arcs from the state that the tokens before it lead to."""
+        state = np.append(0, self.after[:-1])
+        state[self.start] = self.begin
+        total, left = np.zeros(len(state)), np.arange(len(state))
+        for k in range(len(self.arc) - 1, 0, -1):
+            here = left[self.length[state[left]] == k]
+            arc = self.stream.gram[k][here]
+            hit = (arc >= 0) & self.has[k][arc]
+            total[here[hit]] += self.arc[k][arc[hit]]
+            miss = here[~hit]
+            total[miss] += self.weight[state[miss]]
+            state[miss] = self.fail[state[miss]]
+            done = np.zeros(len(state), bool)
+            done[here[hit]] = True
+            left = left[~done[left]]
+        total[left] += self.arc[0][self.stream.gram[0][left]]
+        return total
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus: tuple[float, ...] = MUS, block_words: int | None = None) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. The order of the model is len(mus) + 1.
 
     A null text is empty and has one token, its end. A null id counts as the empty string for the split. Repeated rows each count and are each scored.
-    Words are told apart by 64-bit keys; n words hold two with one key with a chance of about n*n / 2**65. An empty table gives an empty one.
+    Ids are integers. Words and n-grams are told apart by 64-bit keys; n of them hold two with one key with a chance of about n*n / 2**65. An empty
+    table gives an empty one.
     """
+    order = len(mus) + 1
     size = {"block_words": block_words} if block_words else {}
     blocks, words = staged_pack(docs, id_col, text_col, held_out(F.col(f"`{id_col}`")), name="lm-blocks", **size)
     bits = bucket_bits(words)
 
     def ask(row: dict) -> Iterator[tuple]:
         block = Block(row)
-        s = Stream(block)
-        counts = np.bincount(s.word[s.trained], minlength=len(s.keys)).astype(np.uint32)
-        yield from cut_runs(WORD, block.block, s.keys, counts, bits)
-        yield from cut_runs(PAIR, block.block, s.pairs, np.bincount(s.pair[s.trained], minlength=len(s.pairs)).astype(np.uint32), bits)
+        s = Stream(block, order)
+        for k in range(1, order + 1):
+            yield from cut_runs(k, block.block, s.grams[k - 1], s.counts(k), bits)
 
     def totals(kind: int, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return np.array([values.sum(), (values > 0).sum()], np.int64) * (kind == WORD)
+        return np.array([values.sum(), (values > 0).sum()], np.int64) * (kind == 1)
+
+    def read_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [expand(x, np.int64) for x in b.column("vals").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[j]) for x in pairs], pa.int64()) for j in (0, 1)], names=["tokens", "kinds"])
 
     replies = stage(answer(send(blocks, ask), np.uint32, sums, totals), "lm-counts")
-    # two numbers of each bucket
-    tokens, kinds = 0, 0
-    for r in replies.where(f"block = -1 and kind = {WORD}").select("vals").toLocalIterator():
-        a, b = expand(r["vals"], np.int64).tolist()
-        tokens, kinds = tokens + a, kinds + b
+    sums_of = replies.where("block = -1 and kind = 1").select("vals").mapInArrow(read_totals, "tokens bigint, kinds bigint")
+    tokens, kinds = sums_of.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def run(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
         block = Block(row)
-        s = Stream(block)
-        fsa = Automaton(got[WORD], got[PAIR], tokens, kinds, mu)
-        starts = np.append(0, np.cumsum(s.sizes))[:-1]
-        total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no text is without its end
+        s = Stream(block, order)
+        fsa = Automaton(s, [got.get(k, np.zeros(0, np.int64)) for k in range(1, order + 1)], tokens, kinds, mus)
+        total = lambda x: np.add.reduceat(x, s.starts)  # noqa: E731  no text is without its end
+        word = s.gram[0]
         cells = [
-            pa.array(block.ids, pa.int64()), pa.array(block.flags != 0), pa.array(s.sizes, pa.int64()), pa.array(total((got[WORD][s.word] > 0).astype(np.int64)), pa.int64()),
-            pa.array(total(fsa.root[s.word]), pa.float64()), pa.array(total(fsa.traverse(s.state, s.word, s.pair)), pa.float64()),
+            pa.array(block.ids, pa.int64()), pa.array(block.flags != 0), pa.array(s.sizes, pa.int64()), pa.array(total((got[1][word] > 0).astype(np.int64)), pa.int64()),
+            pa.array(total(fsa.arc[0][word]), pa.float64()), pa.array(total(fsa.traverse()), pa.float64()),
         ]
         return pa.table(cells, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

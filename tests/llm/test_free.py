@@ -159,29 +159,43 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_lm_score(spark):
+@pytest.mark.parametrize("mus", [(500.0,), (500.0, 50.0), (7.0, 3.0, 2.0)])
+def test_lm_score(spark, mus):
     docs = corpus() + corpus()[:1]
-    got = lm_score.score(clashing(spark, docs).repartition(2), block_words=300).collect()
-    tok = [(i, (t or "").encode().lower().split() + [0]) for i, t, *_ in docs]
+    got = lm_score.score(clashing(spark, docs).repartition(2), block_words=300, mus=mus).collect()
+    tok = [(i, [0, *(t or "").encode().lower().split(), 0]) for i, t, *_ in docs]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in tok}
-    c, b = Counter(), Counter()
+    c, after = Counter(), Counter()
     for i, ws in tok:
         if not held[i]:
-            c.update(ws)
-            b.update(zip([0, *ws[:-1]], ws, strict=True))
-    n, v, mu = sum(c.values()), len(c), lm_score.MU
+            for t in range(1, len(ws)):
+                for k in range(len(mus) + 1):
+                    if t - k >= 0:
+                        c[tuple(ws[t - k : t + 1])] += 1
+                        after[tuple(ws[t - k : t])] += 1
+    n, v = after[()], sum(len(x) == 1 for x in c)
+
+    def automaton(context, w):
+        """Failure arcs are followed until a state has an arc."""
+        if not context:
+            return math.log10((c[w,] + 1) / (n + v + 1))
+        mu = mus[len(context) - 1]
+        if c[*context, w]:
+            return math.log10((c[*context, w] + mu * 10 ** automaton(context[1:], w)) / (after[context] + mu))
+        return (math.log10(mu / (after[context] + mu)) if after[context] else 0) + automaton(context[1:], w)
+
     want = {}
     for i, ws in tok:
-        p = [(c[w] + 1) / (n + v + 1) for w in ws]
-        want[i] = (held[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(map(math.log10, p)), sum(math.log10((b[h, w] + mu * q) / (c[h] + mu)) for h, w, q in zip([0, *ws[:-1]], ws, p, strict=True)))
+        base = sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in ws[1:])
+        want[i] = (held[i], len(ws) - 1, sum(c[w,] > 0 for w in ws[1:]), n, base, sum(automaton(tuple(ws[max(0, t - len(mus)) : t]), ws[t]) for t in range(1, len(ws))))
     assert len(got) == len(docs)
     for r in got:
         assert tuple(r)[:5][1:] == want[r["doc_id"]][:4]
         assert r["base_score"] == pytest.approx(want[r["doc_id"]][4]) and r["score"] == pytest.approx(want[r["doc_id"]][5])
-    # a state's arcs and its failure arc share out all of its weight
-    p = {w: (c[w] + 1) / (n + v + 1) for w in c}
-    for h in list(c)[:20]:
-        assert sum((b[h, w] + mu * p[w]) / (c[h] + mu) for w in c) + mu / (n + v + 1) / (c[h] + mu) == pytest.approx(1)
+    # a state's arcs and failure arc share out all of its weight
+    for h in [x for x in after if 0 < len(x)][:40]:
+        unseen = 1 - sum(10 ** automaton(h[1:], w) for (w,) in (x for x in c if len(x) == 1))
+        assert sum(10 ** automaton(h, w) for (w,) in (x for x in c if len(x) == 1)) + unseen * mus[len(h) - 1] / (after[h] + mus[len(h) - 1]) == pytest.approx(1)
 
 
 def test_bpe(spark):
