@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import integer_id, stage
 
 #: Words of a block, and keys of a bucket, about. Both may be larger on a cluster with larger executors.
 BLOCK_WORDS, BUCKET_KEYS = 1_500_000, 1_500_000
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, flag=None, block_words: in
             yield flush()
 
     mark = F.lit(0) if flag is None else flag.cast("int")
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("flag")).mapInArrow(work, BLOCKS)
+    return integer_id(docs, id_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("flag")).mapInArrow(work, BLOCKS)
 
 
 def bucket_bits(keys: int) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U64, answer, bucket_bits, cut_runs, expand, meet, mix, send, squeeze
-from .common import stage
+from .common import integer_id, stage
 
 #: Chunk bounds in bytes, the number of hash bits that must be 0 at a bound, and the bytes that the hash looks back on.
 LEAST, MOST, BITS, WINDOW, SEED = 16, 96, 4, 16, 20_240_601
@@ -115,7 +115,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Dat
         if ids:
             yield flush()
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, CHUNKS)
+    return integer_id(docs, id_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, CHUNKS)
 
 
 def windows(row: dict, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

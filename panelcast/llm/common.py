@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import reach_workers
+from ..session import reach_workers, shared_folder
 
 #: White space of every word contract: blank and the five ASCII controls from tab to carriage return.
 WS = " \t\n\x0b\x0c\r"
@@ -21,12 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests, local runs) one of our own."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    """The folder in spark.checkpoint.dir; only where it is unset on a local master (tests) one of our own."""
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,6 +42,9 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_RE))
 
 
-def ascii_lower(text: bytes) -> bytes:
-    """bytes.lower() maps A-Z only, as the word contracts want."""
-    return text.lower()
+def integer_id(docs: DataFrame, id_col: str) -> DataFrame:
+    """The same rows. Operators that gather ids in arrays of 64-bit integers take no others."""
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"ids must be integers, not {kind.simpleString()}; number the rows first")
+    return docs

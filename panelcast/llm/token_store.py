@@ -3,23 +3,27 @@
 Layout under a store's path:
   blobs/kind=chunk     packs of chunks: names (their digests), sizes and payload, one after the other; every distinct chunk of ids once, under its own
                        digest; a pack's key is the digest of its names
-  blobs/kind=recipe    one row per document: the digests and lengths of its chunks, and their Merkle root
-  recipes              the same rows in ascending id order, with `start`: the number of ids of all documents before
-  shards               one row per range of ids: its documents, ids and the Merkle root over its documents' roots
+  blobs/kind=recipe    one row per document: the digests and sizes of its chunks, and their root, in no order
+  manifest             the recipes in ascending id order, each with the number of ids before it in its shard, and a row for each shard: documents,
+                       ids and root
 A gear-like rolling hash over the last WINDOW ids cuts each document's stream, so that equal passages give equal
 chunks wherever they stand. Chunks are short, as documents share passages of a hundred ids; so that they cost no row each, tasks send them in
-parts by bucket of their digests, and a bucket stores them in packs. Reading verifies each payload against its digest and each recipe and shard against its root.
+parts by bucket of their digests, and a bucket stores them in packs.
+
+The Merkle tree has FAN children a node: chunk digests are the leaves of a recipe, whose root also covers their sizes, and recipes with
+their ids and places are the leaves of a shard. Every reader computes the roots anew from the digests, sizes, ids and places that it reads, and each
+chunk's digest from its payload, and fails where one differs from what is recorded.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import U64, bucket_bits, expand, meet, squeeze
-from .common import stage
+from .common import integer_id, stage
 
 #: Chunk lengths in ids (48 on average), and the window of the rolling hash (no larger than the least length).
 LEAST, MOST, MEAN_BITS, WINDOW, SEED = 16, 512, 5, 16, 20_240_601
@@ -43,32 +47,40 @@ MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for re, in texts without the characters that \w and \s of re see otherwise: numbers other than digits, and four control characters; texts with
 #: characters beyond 16 bits are taken for such, too.
 PLAIN_MATCH = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
-DIGEST = 16
+DIGEST, FAN = 16, 64
 #: Kinds of bytes: letters (with all bytes beyond ASCII), digits, other signs, the blank, other white space, and what stands between texts.
 LETTER, NUMBER, OTHER, BLANK, WHITE, TEXT_END = range(6)
 KIND = np.array([LETTER if b > 127 or chr(b).isalpha() else NUMBER if chr(b).isdigit() else BLANK if b == 32 else WHITE if 9 <= b <= 13 else OTHER for b in range(256)], np.uint8)
 KIND[255] = TEXT_END
-#: zlib's polynomial, reflected.
+#: Fixed value: zlib's polynomial, reflected.
 POLY = 0xEDB88320
-BLOBS = "kind string, key binary, names binary, sizes binary, payload binary, id bigint, n_tokens bigint, ends array<bigint>, digests binary, root binary"
-RECIPES = "id bigint, n_tokens bigint, ends array<bigint>, digests binary, root binary, start bigint, shard int"
-HEADS = "block bigint, ids array<bigint>, starts binary, bounds binary, ends binary, names binary, n_chunks bigint"
-#: What a document needs to know of a chunk.
-FACT = np.dtype([("n", np.int64), ("crc", np.int64)])
-SHARDS = "shard int, docs bigint, ids bigint, start bigint, root binary"
+BLOBS = "kind string, key binary, names binary, sizes binary, payload binary, id bigint, n_tokens bigint, root binary"
+#: Rows of kind recipe have id to root; rows of kind shard have shard, docs, n_tokens (of all of them) and root.
+MANIFEST = "kind string, shard int, id bigint, within bigint, n_tokens bigint, sizes binary, digests binary, root binary, docs bigint"
+HEADS = "block bigint, shard int, ids array<bigint>, within binary, bounds binary, sizes binary, names binary, leaves binary, n_ids bigint, n_chunks bigint"
+#: What a document needs to know of a chunk: its ids and their CRC.
+FACT = np.dtype([("n", np.uint32), ("crc", np.uint32)])
 
 
 def digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=DIGEST).digest()
+    return blake2b(data, digest_size=DIGEST).digest()
+
+
+def merkle_root(leaves: bytes, kind: bytes) -> bytes:
+    """Root over digests one after the other; nodes of different kinds, and of chunks, have different digests of the same data."""
+    while True:
+        leaves = b"".join([blake2b(leaves[k : k + DIGEST * FAN], digest_size=DIGEST, person=kind).digest() for k in range(0, max(len(leaves), 1), DIGEST * FAN)])
+        if len(leaves) == DIGEST:
+            return leaves
+
+
+def recipe_root(digests: bytes, sizes: bytes) -> bytes:
+    return digest(merkle_root(digests, b"recipe") + sizes)
 
 
-def merkle_root(leaves: Iterable[bytes]) -> bytes:
-    """Root over leaves in order; a last odd node moves up as it is; no leaves give the digest of nothing."""
-    level = list(leaves)
-    while len(level) > 1:
-        pairs = [digest(level[i] + level[i + 1]) for i in range(0, len(level) - 1, 2)]
-        level = pairs + level[len(level) & ~1 :]
-    return level[0] if level else digest(b"")
+def leaf(id_, within: int, n_tokens: int, root: bytes) -> bytes:
+    """A document's leaf in its shard."""
+    return digest(repr((id_, within, n_tokens)).encode() + root)
 
 
 class PieceEncoder:
@@ -197,8 +209,8 @@ def encoder(path: str) -> PieceEncoder:
     return _LOADED[path]
 
 
-def cuts(ids: np.ndarray, starts: np.ndarray) -> Iterator[list[int]]:
-    """Chunk ends of each stream; `starts` are the streams' bounds in ids."""
+def cuts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all chunks, and the number of chunks of each stream; `starts` are the streams' bounds in ids."""
     gear = np.random.default_rng(SEED).integers(0, 2**63, 65_536, dtype=np.uint64)
     h = gear[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16))
     width = 1
@@ -206,23 +218,26 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> Iterator[list[int]]:
         h[width:] += h[:-width] << np.uint64(width)  # numpy takes the right side's values from before the change
         width *= 2
     marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(2**MEAN_BITS - 1) == 0) + 1
-    bounds = np.searchsorted(marks, starts)
-    marks, bounds = marks.tolist(), bounds.tolist()
+    bounds = np.searchsorted(marks, starts).tolist()
+    marks = marks.tolist()
+    out, counts = [], []
+    put = out.append
     for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-        out, last = [], a
+        last, before = a, len(out)
         for m in marks[bounds[k] : bounds[k + 1]]:
             while m - last > MOST:
                 last += MOST
-                out.append(last)
+                put(last)
             if m - last >= LEAST:
-                out.append(m)
+                put(m)
                 last = m
         while b - last > MOST:
             last += MOST
-            out.append(last)
+            put(last)
         if b > last:
-            out.append(b)
-        yield out
+            put(b)
+        counts.append(len(out) - before)
+    return np.array(out, np.int64), np.array(counts, np.int64)
 
 
 def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
@@ -263,8 +278,9 @@ def blobs(docs: DataFrame, tokenizer: str, end_id: int, bits: int, id_col: str =
         fresh: list[bytes] = []
         payloads: list[bytes] = []
         held, done = 0, TaskContext.get().partitionId()
-        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        columns = ["bucket", "kind", "key", "names", "sizes", "payload", "id", "n_tokens", "ends", "digests", "root"]
+        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary()]
+        columns = ["bucket", "kind", "key", "names", "sizes", "payload", "id", "n_tokens", "root"]
+        wide = 2 if len(enc.after_blank) <= 65_536 else 4
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
@@ -276,7 +292,7 @@ def blobs(docs: DataFrame, tokenizer: str, end_id: int, bits: int, id_col: str =
             for k, (x, y) in enumerate(zip([0, *ends], ends, strict=False)):
                 if y > x:
                     own = [payloads[j] for j in at[x:y]]
-                    rows.append((k, "chunk", None, b"".join([fresh[j] for j in at[x:y]]), np.array(list(map(len, own)), "<u4").tobytes(), b"".join(own), None, None, None, None, None))
+                    rows.append((k, "chunk", None, b"".join([fresh[j] for j in at[x:y]]), (np.fromiter(map(len, own), np.int64, len(own)) // wide).astype("<u2").tobytes(), b"".join(own), None, None, None))
             fresh.clear(), payloads.clear()
             if rows:
                 yield batch(rows)
@@ -286,22 +302,21 @@ def blobs(docs: DataFrame, tokenizer: str, end_id: int, bits: int, id_col: str =
                 streams = [x + end for x in enc.encode(texts)]
                 flat = np.frombuffer(b"".join(streams), "<u4")
                 starts = np.append(0, np.cumsum([len(x) // 4 for x in streams]))
-                # ids of small vocabularies take two bytes; the first byte of a payload says which
-                raw, wide = (flat.astype("<u2").tobytes(), 2) if flat.max() < 65_536 else (flat.tobytes(), 4)
-                tag, rows = bytes([wide]), []
-                for i, s, e, ends in zip(which, starts[:-1].tolist(), starts[1:].tolist(), cuts(flat, starts), strict=True):
-                    names = []
-                    for x, y in zip([s, *ends], ends, strict=False):
-                        payload = tag + raw[x * wide : y * wide]
-                        names.append(name := digest(payload))
-                        if name not in seen:
-                            seen.add(name)
-                            fresh.append(name)
-                            payloads.append(payload)
-                            held += len(payload)
+                raw = flat.astype(f"<u{wide}").tobytes()
+                ends, counts = cuts(flat, starts)
+                chunks = list(map(raw.__getitem__, map(slice, (wide * np.append(0, ends[:-1])).tolist(), (wide * ends).tolist())))
+                names = [blake2b(x, digest_size=DIGEST).digest() for x in chunks]
+                new = [k for k, name in enumerate(names) if name not in seen and not seen.add(name)]
+                fresh += [names[k] for k in new]
+                payloads += (own := [chunks[k] for k in new])
+                held += sum(map(len, own))
+                sizes, listed = np.diff(ends, prepend=0).astype("<u2").tobytes(), b"".join(names)
+                upto, rows = np.append(0, np.cumsum(counts)).tolist(), []
+                for i, n, x, y in zip(which, np.diff(starts).tolist(), upto, upto[1:], strict=False):
                     # recipes are dealt in turn, so that many equal documents make no large bucket
                     done += 1
-                    rows.append((done % 2**bits, "recipe", None, None, None, None, i, e - s, [x - s for x in ends], b"".join(names), merkle_root(names)))
+                    own_names, own_sizes = listed[DIGEST * x : DIGEST * y], sizes[2 * x : 2 * y]
+                    rows.append((done % 2**bits, "recipe", None, own_names, own_sizes, None, i, n, recipe_root(own_names, own_sizes)))
                 for k in range(0, len(rows), 5_000):
                     yield batch(rows[k : k + 5_000])
                 if held >= PART_BYTES:
@@ -311,158 +326,182 @@ def blobs(docs: DataFrame, tokenizer: str, end_id: int, bits: int, id_col: str =
                     seen.clear()
         yield from parts()
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, f"bucket int, {BLOBS}")
+    return integer_id(docs, id_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, f"bucket int, {BLOBS}")
 
 
 def packs(table: pa.Table) -> pa.Table:
-    """The rows of a bucket: its recipes as they are, and its distinct chunks in packs."""
+    """The rows of a bucket: its recipes as they are, and its distinct chunks in packs. A pack's payload begins with the bytes of an id."""
     table = table.drop_columns(["bucket"])
     chunk = pc.equal(table.column("kind"), "chunk")
     recipes, parts = table.filter(pc.invert(chunk)), table.filter(chunk)
     names, raw = (b"".join(parts.column(c).to_pylist()) for c in ("names", "payload"))
-    sizes = np.frombuffer(b"".join(parts.column("sizes").to_pylist()), "<u4").astype(np.int64)
+    sizes = np.frombuffer(b"".join(parts.column("sizes").to_pylist()), "<u2").astype(np.int64)
+    wide = len(raw) // max(1, int(sizes.sum()))
     _, _, first = ranked(names)
-    ends = np.cumsum(sizes)
-    pack = np.cumsum(sizes[first]) // PACK_BYTES
+    ends = wide * np.cumsum(sizes)
+    pack = np.cumsum(wide * sizes[first]) // PACK_BYTES
     cut = [0, *(np.flatnonzero(pack[1:] != pack[:-1]) + 1).tolist(), len(first)] if len(first) else []
     rows = []
     for x, y in zip(cut[:-1], cut[1:], strict=True):
         own = first[x:y]
-        listed = b"".join([names[DIGEST * j : DIGEST * (j + 1)] for j in own.tolist()])
-        payload = b"".join([raw[p:q] for p, q in zip((ends - sizes)[own].tolist(), ends[own].tolist(), strict=True)])
-        rows.append({"kind": "chunk", "key": digest(listed), "names": listed, "sizes": sizes[own].astype("<u4").tobytes(), "payload": payload})
+        listed = b"".join(map(names.__getitem__, map(slice, (DIGEST * own).tolist(), (DIGEST * own + DIGEST).tolist())))
+        payload = b"".join(map(raw.__getitem__, map(slice, (ends - wide * sizes)[own].tolist(), ends[own].tolist())))
+        rows.append({"kind": "chunk", "key": digest(listed), "names": listed, "sizes": sizes[own].astype("<u2").tobytes(), "payload": bytes([wide]) + payload})
     return pa.concat_tables([recipes, pa.Table.from_pylist(rows, schema=recipes.schema)])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 50_000) -> None:
     """Writes the store. One shuffle moves each distinct chunk of a task once, in parts by bucket; rows of recipes travel with them.
 
-    Null texts count as empty and hold the end id alone. Rows with null ids come first in order. Of an empty table the
-    store has no rows. Other columns are not read.
+    Null texts count as empty and hold the end id alone. Rows with null ids come first in order; rows of one id stand in the order of their
+    roots. Ids are integers. Of an empty table the store has no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length(f"`{text_col}`")), F.lit(0))).first()[0]
     bits = max(5, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
     made = blobs(docs, tokenizer, end_id, bits, id_col, text_col)
     made.groupBy("bucket").applyInArrow(packs, BLOBS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
-    recipes = spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'recipe'").select("id", "n_tokens", "ends", "digests", "root")
-    shards = max(1, -(-recipes.count() // shard_docs))
-    ordered = recipes.repartitionByRange(shards, "id", "root").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("id", "root")
-    ordered.write.option("compression", "zstd").parquet(f"{path}/unplaced")
-    placed = spark.read.schema(ordered.schema).parquet(f"{path}/unplaced")
-    inner = placed.withColumn("start", F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("id", "root").rowsBetween(Window.unboundedPreceding, -1)))
-    sums = placed.groupBy("shard").agg(F.sum("n_tokens").alias("of_shard"), F.count(F.lit(1)).alias("docs"))
-    # one row per shard: a window over a few rows, not over the documents
-    before = sums.withColumn("before", F.coalesce(F.sum("of_shard").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    final = inner.join(before.select("shard", "before"), "shard").withColumn("start", F.coalesce("start", F.lit(0)) + F.col("before")).drop("before")
-    final.sortWithinPartitions("shard", "start").write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/recipes")
-    shard_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).write.parquet(f"{path}/shards")
-
-
-def shard_roots(recipes: DataFrame) -> DataFrame:
-    """shard, docs, ids, start, root. A shard holds a bounded number of documents, whatever the corpus."""
-    listed = recipes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("start", "id", "root"))).alias("leaves"), F.sum("n_tokens").alias("ids"), F.min("start").alias("start"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roots = [merkle_root(x["root"] for x in leaves) for leaves in b.column("leaves").to_pylist()]
-            docs = pa.array([len(x) for x in b.column("leaves")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("shard"), docs, b.column("ids"), b.column("start"), pa.array(roots, pa.binary())], names=["shard", "docs", "ids", "start", "root"])
-
-    return listed.mapInArrow(work, SHARDS)
-
-
-def ids_of(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, "<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
-
-
-def _powers() -> list[np.ndarray]:
-    """For each bit k, what 2**k zero bytes after a message make of each bit of its CRC."""
-    step = np.array([POLY, *(1 << i for i in range(31))], dtype=np.uint64)  # one zero bit
-    for _ in range(3):
-        step = _apply(step, step)
-    out = [step]
-    for _ in range(47):
-        out.append(_apply(out[-1], out[-1]))
+    stored = spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'recipe'")
+    # the place in its file parts rows of equal id and text, so that any number of them make several shards
+    recipes = stored.select("id", "n_tokens", "sizes", F.col("names").alias("digests"), "root", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("tie"))
+    shards = max(1, -(-stored.count() // shard_docs))
+    ordered = recipes.repartitionByRange(shards, "id", "root", "tie").sortWithinPartitions("id", "root", "tie").drop("tie")
+    ordered.mapInArrow(_shard, MANIFEST).write.option("compression", "zstd").parquet(f"{path}/manifest")
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's recipes with their places, and a row for it as a shard."""
+    number, within, leaves = TaskContext.get().partitionId(), 0, []
+    for b in batches:
+        n = b.column("n_tokens").to_numpy()
+        places = within + np.cumsum(n) - n
+        within += int(n.sum())
+        leaves += map(leaf, b.column("id").to_pylist(), places.tolist(), n.tolist(), b.column("root").to_pylist())
+        same = lambda x, t, k=b.num_rows: pa.array([x] * k, t)
+        cells = [same("recipe", pa.string()), same(number, pa.int32()), b.column("id"), pa.array(places, pa.int64()), b.column("n_tokens"), b.column("sizes"), b.column("digests"), b.column("root"), same(None, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cells, names=["kind", "shard", "id", "within", "n_tokens", "sizes", "digests", "root", "docs"])
+    if leaves:
+        row = {"kind": "shard", "shard": number, "n_tokens": within, "root": merkle_root(b"".join(leaves), b"shard"), "docs": len(leaves)}
+        kinds = [("kind", pa.string()), ("shard", pa.int32()), ("id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("digests", pa.binary()), ("root", pa.binary()), ("docs", pa.int64())]
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
+
+
+def zero_tables() -> np.ndarray:
+    """[n, k, b]: what 4 * n zero bytes after a message make of byte k of its CRC, if it is b. The CRC of a whole is this of its first part, and the second part's own, by xor."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(POLY), table >> 1)
+    out = np.empty((MOST + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << np.array([[0], [8], [16], [24]], np.uint32)
+    for n in range(1, MOST + 1):
+        now = out[n - 1]
+        for _ in range(4):
+            now = (now >> 8) ^ table[now & 255]
+        out[n] = now
     return out
 
 
-def _apply(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values), np.uint64)
-    for j in range(32):
-        out ^= np.where((values >> np.uint64(j)) & np.uint64(1), matrix[j], np.uint64(0))
+def joined_crc(sizes: np.ndarray, crcs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """CRC of each document from those of its chunks: the first chunks of all documents, then the second ones, and so on."""
+    tables, count = zero_tables(), np.diff(bounds)
+    order = np.argsort(-count, kind="stable")
+    first, remain = bounds[:-1][order], np.searchsorted(-count[order], -np.arange(count.max(initial=0)), side="left")
+    whole = np.zeros(len(order), np.uint32)
+    for k, n in enumerate(remain.tolist()):
+        at, was = first[:n] + k, whole[:n]
+        size = sizes[at]
+        whole[:n] = tables[size, 0, was & 255] ^ tables[size, 1, (was >> 8) & 255] ^ tables[size, 2, (was >> 16) & 255] ^ tables[size, 3, was >> 24] ^ crcs[at]
+    out = np.empty(len(order), np.uint32)
+    out[order] = whole
     return out
 
 
-def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    """The share of a part with this CRC in the CRC of a whole in which so many bytes follow it; a whole's CRC is the xor of its parts' shares."""
-    out = crc.astype(np.uint64)
-    for k, matrix in enumerate(_powers()):
-        rows = np.flatnonzero((zeros >> k) & 1)
-        if len(rows):
-            out[rows] = _apply(matrix, out[rows])
-    return out
-
-
-def chunk_facts(spark: SparkSession, path: str, bits: int = 0) -> DataFrame:
-    """bucket, names, facts (FACT) of all stored chunks, a row for each pack and bucket, read back and checked against their digests."""
+def stored_chunks(spark: SparkSession, path: str, bits: int = 0, payloads: bool = False) -> DataFrame:
+    """bucket, names, facts of all stored chunks, a row for each pack and bucket, checked against their digests. facts: FACT of each chunk, and with `payloads` its ids as well."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for row in range(b.num_rows):  # one pack at a time
                 key, names, sizes, payload = (c[row].as_py() for c in b.columns)
-                size = np.frombuffer(sizes, "<u4").astype(np.int64)
-                facts = np.empty(len(size), FACT)
-                if digest(names) != key or len(names) != DIGEST * len(size) or size.sum() != len(payload):
+                size, wide = np.frombuffer(sizes, "<u2").astype(np.int64), payload[0]
+                if digest(names) != key or len(names) != DIGEST * len(size) or wide * size.sum() != len(payload) - 1:
                     raise ValueError(f"pack {key.hex()} doesn't hold what its digest says")
                 ends = np.cumsum(size)
-                for k, (x, y) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
-                    if digest(part := payload[x:y]) != names[DIGEST * k : DIGEST * (k + 1)]:
-                        raise ValueError(f"chunk {names[DIGEST * k : DIGEST * (k + 1)].hex()} doesn't hold what its digest says")
-                    ids = ids_of(part)
-                    facts[k] = len(ids), zlib.crc32(ids.tobytes())
+                cut = lambda raw, w: map(raw.__getitem__, map(slice, (w * (ends - size)).tolist(), (w * ends).tolist()))  # noqa: B023, E731
+                if b"".join([blake2b(x, digest_size=DIGEST).digest() for x in cut(payload[1:], wide)]) != names:
+                    raise ValueError(f"a chunk of pack {key.hex()} doesn't hold what its digest says")
+                ids = np.frombuffer(payload, f"<u{wide}", offset=1).astype("<u4")
+                facts = np.empty(len(size), FACT)
+                facts["n"], facts["crc"] = size, np.fromiter(map(zlib.crc32, cut(ids.tobytes(), 4)), np.uint32, len(size))
                 high = np.frombuffer(names, ">u8")[::2].astype(U64)
-                cut = bucket_ends(high, bits)
-                rows += [(k, names[DIGEST * x : DIGEST * y], facts[x:y].tobytes()) for k, (x, y) in enumerate(zip([0, *cut], cut, strict=False)) if y > x]
+                edges = bucket_ends(high, bits)
+                upto = np.append(0, ends)
+                rows += [(k, names[DIGEST * x : DIGEST * y], facts[x:y].tobytes(), ids[upto[x] : upto[y]].tobytes() if payloads else None) for k, (x, y) in enumerate(zip([0, *edges], edges, strict=False)) if y > x]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "names", "facts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["bucket", "names", "facts", "ids"])
 
-    return spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").select("key", "names", "sizes", "payload").mapInArrow(work, "bucket int, names binary, facts binary")
+    return spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").select("key", "names", "sizes", "payload").mapInArrow(work, "bucket int, names binary, facts binary, ids binary")
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Shards whose recorded Merkle root differs from the one over their recipes; none in a sound store."""
-    was = spark.read.schema(SHARDS).parquet(f"{path}/shards").select("shard", F.col("root").alias("recorded"))
-    now = shard_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
-    return now.join(was, "shard", "full").where(~F.col("recorded").eqNullSafe(F.col("root")))
-
-
-def heads(recipes: DataFrame) -> DataFrame:
-    """Blocks of recipes: ids and starts of documents, the bounds of documents in chunks, ends and digests of chunks."""
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a shard's recipes: ids and places of documents, their bounds in chunks, sizes and digests of chunks, leaves. Fails where a recipe's root isn't that of its digests and sizes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = TaskContext.get().partitionId() * 2**32
         for b in batches:
-            n = np.array([len(x) // DIGEST for x in b.column("digests").to_pylist()], np.int64)
+            if not b.num_rows:
+                continue
+            digests, sizes, ids, total, roots = (b.column(c).to_pylist() for c in ("digests", "sizes", "id", "n_tokens", "root"))
+            within, shard = b.column("within").to_numpy(), b.column("shard").to_numpy()
+            n = np.array([len(x) // DIGEST for x in digests], np.int64)
+            flat = np.frombuffer(b"".join(sizes), "<u2").astype(np.int64)
+            bounds = np.append(0, np.cumsum(n))
+            of_size = np.array([len(x) // 2 for x in sizes], np.int64)
+            # no document is without its end id, so that each has a chunk
+            if roots != list(map(recipe_root, digests, sizes)) or (n == 0).any() or (of_size != n).any() or np.add.reduceat(flat, bounds[:-1]).tolist() != total:
+                raise ValueError("a recipe doesn't hold what its root says")
+            leaves = list(map(leaf, ids, within.tolist(), total, roots))
             group = np.cumsum(n) // BLOCK_CHUNKS
-            cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
+            cut = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (shard[1:] != shard[:-1])) + 1).tolist(), b.num_rows]
             for x, y in zip(cut[:-1], cut[1:], strict=True):
-                own = b.slice(x, y - x)
-                ends = own.column("ends").flatten().to_numpy(zero_copy_only=False)
-                cells = [named, own.column("id").to_pylist(), squeeze(own.column("start").to_numpy()), squeeze(np.append(0, np.cumsum(n[x:y]))), squeeze(ends), b"".join(own.column("digests").to_pylist()), len(ends)]
+                p, q = int(bounds[x]), int(bounds[y])
+                cells = [named, int(shard[x]), ids[x:y], squeeze(within[x:y]), squeeze(bounds[x : y + 1] - p), squeeze(flat[p:q].astype("<u2")), b"".join(digests[x:y]), b"".join(leaves[x:y]), sum(total[x:y]), q - p]
                 named += 1
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()], strict=True)], names=["block", "ids", "starts", "bounds", "ends", "names", "n_chunks"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.int64()], strict=True)], names=["block", "shard", "ids", "within", "bounds", "sizes", "names", "leaves", "n_ids", "n_chunks"])
 
-    return recipes.select("id", "start", "ends", "digests").mapInArrow(work, HEADS)
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where("kind = 'recipe'")
+    return rows.select("shard", "id", "within", "n_tokens", "sizes", "digests", "root").mapInArrow(work, HEADS)
 
 
-def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the files alone: id, start, n_tokens, ids_crc32. A chunk that is missing or altered fails the read.
+def unsound(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
+    """shard of each shard whose recorded root, documents or ids differ from those of the recipes read. A shard has a bounded number of documents."""
+
+    def work(table: pa.Table) -> pa.Table:
+        pieces = sorted(zip((expand(x, np.int64)[0] for x in table.column("within").to_pylist()), table.column("leaves").to_pylist(), strict=True))
+        leaves = b"".join(x for _, x in pieces)
+        return pa.table({"shard": table.column("shard")[:1], "now": pa.array([merkle_root(leaves, b"shard")], pa.binary()), "now_docs": pa.array([len(leaves) // DIGEST], pa.int64()), "now_ids": pa.array([sum(table.column("n_ids").to_pylist())], pa.int64())})
+
+    now = blocks.select("shard", "within", "leaves", "n_ids").groupBy("shard").applyInArrow(work, "shard int, now binary, now_docs bigint, now_ids bigint")
+    was = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where("kind = 'shard'").select("shard", "root", "docs", "n_tokens")
+    same = F.col("now").eqNullSafe(F.col("root")) & F.col("now_docs").eqNullSafe(F.col("docs")) & F.col("now_ids").eqNullSafe(F.col("n_tokens"))
+    return now.join(was, "shard", "full").where(~same).select("shard")
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """shard of each shard whose root isn't that of its recipes; none in a sound store. Fails where a recipe itself doesn't hold what its root says."""
+    return unsound(spark, path, heads(spark, path))
 
-    Blocks of recipes ask buckets of digests for the facts of their distinct chunks.
+
+def _assembled(spark: SparkSession, path: str, assemble, value_type, schema: str, payloads: bool) -> DataFrame:
+    """assemble(block row, replies on its distinct chunks, place of each of its chunks among them) for every block of recipes, once all roots are checked.
+
+    Blocks ask buckets of digests for the facts (or ids) of their distinct chunks. A chunk that is missing or altered fails the read.
     """
-    blocks = stage(heads(spark.read.schema(RECIPES).parquet(f"{path}/recipes")), "store-recipes")
+    blocks = stage(heads(spark, path), "store-recipes")
+    bad = unsound(spark, path, blocks).first()
+    if bad is not None:
+        raise ValueError(f"shard {bad[0]} doesn't hold what its root says")
     bits = bucket_bits(blocks.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,38 +509,81 @@ def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFra
             for block, names in zip(b.column("block").to_pylist(), b.column("names").to_pylist(), strict=True):
                 distinct, _, _ = ranked(names)
                 cut, listed = bucket_ends(distinct[:, 0], bits), distinct.astype(">u8").tobytes()
-                rows = [(k, listed[DIGEST * x : DIGEST * y], None, block) for k, (x, y) in enumerate(zip([0, *cut], cut, strict=False)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int64()], strict=True)], names=["bucket", "names", "facts", "block"])
+                rows = [(k, listed[DIGEST * x : DIGEST * y], None, None, block) for k, (x, y) in enumerate(zip([0, *cut], cut, strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3, pa.int64()], strict=True)], names=["bucket", "names", "facts", "ids", "block"])
 
     def look_up(table: pa.Table) -> pa.Table:
-        names, facts, block = (table.column(c).to_pylist() for c in ("names", "facts", "block"))
+        names, facts, ids, block = (table.column(c).to_pylist() for c in ("names", "facts", "ids", "block"))
         distinct, place, _ = ranked(b"".join(names))
-        known = np.full(len(distinct), -1, FACT)
+        known = np.zeros(len(distinct), FACT)
+        where = np.zeros(len(distinct), np.int64)
         ends = np.cumsum([len(x) // DIGEST for x in names]).tolist()
         runs = list(zip([0, *ends], ends, facts, block, strict=False))
-        for x, y, f, _ in runs:
+        offset, kept = 0, []
+        for (x, y, f, _), raw in zip(runs, ids, strict=True):
             if f is not None:
-                known[place[x:y]] = np.frombuffer(f, FACT)
-        out = [(k, squeeze(known[place[x:y]])) for x, y, f, k in runs if f is None]
+                known[place[x:y]] = fact = np.frombuffer(f, FACT)
+                where[place[x:y]] = offset + np.cumsum(fact["n"]) - fact["n"]
+                if payloads:
+                    kept.append(raw)
+                    offset += len(raw) // 4
+        flat = np.frombuffer(b"".join(kept), "<u4")
+        out = []
+        for x, y, f, k in runs:
+            if f is None:
+                own = known[place[x:y]]
+                if (own["n"] == 0).any():
+                    raise ValueError("a recipe names a chunk that is missing")
+                n = own["n"].astype(np.int64)
+                out.append((k, squeeze(flat[np.repeat(where[place[x:y]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if payloads else own)))
         n = len(out)
         cols = [pa.array([k for k, _ in out], pa.int64()), pa.array([0] * n, pa.int32()), pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), pa.array([v for _, v in out], pa.binary())]
         return pa.table(cols, names=["block", "kind", "bucket", "vals"])
 
     def put_together(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
-        ends, bounds = expand(row["ends"], np.int64), expand(row["bounds"], np.int64)
-        facts = got[0][ranked(row["names"])[1]]
-        size = np.diff(ends, prepend=0)
-        size[bounds[:-1]] = ends[bounds[:-1]]
-        if not np.array_equal(facts["n"], size):
-            raise ValueError("a recipe names a chunk that is missing or of another length")
-        # no document is without its end id, so that each has a chunk
-        whole = ends[bounds[1:] - 1]
-        share = crc_shift(facts["crc"], 4 * (np.repeat(whole, np.diff(bounds)) - ends))
-        crc = np.bitwise_xor.reduceat(share, bounds[:-1]).astype(np.int64)
-        cells = [pa.array(row["ids"], pa.int64()), pa.array(expand(row["starts"], np.int64)), pa.array(whole), pa.array(crc)]
-        return pa.table(cells, names=["id", "start", "n_tokens", "ids_crc32"])
-
-    asked = blocks.select("block", "names").mapInArrow(ask, "bucket int, names binary, facts binary, block bigint")
-    runs = chunk_facts(spark, path, bits).withColumn("block", F.lit(None).cast("bigint")).union(asked)
+        return assemble(row, got[0], ranked(row["names"])[1])
+
+    asked = blocks.select("block", "names").mapInArrow(ask, "bucket int, names binary, facts binary, ids binary, block bigint")
+    runs = stored_chunks(spark, path, bits, payloads).withColumn("block", F.lit(None).cast("bigint")).union(asked)
     replies = runs.groupBy("bucket").applyInArrow(look_up, "block bigint, kind int, bucket int, vals binary")
-    return meet(blocks, replies, put_together, FACT, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)
+    found = meet(blocks.drop("leaves"), replies, put_together, value_type, f"shard int, {schema}")
+    # one row a shard: a window over a few rows, not over the documents
+    shards = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where("kind = 'shard'").select("shard", "n_tokens")
+    before = shards.select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return found.join(before, "shard").withColumn("start", F.col("start") + F.col("before")).drop("shard", "before")
+
+
+def documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Per document, from the files alone: id, start, n_tokens, ids_crc32: the chunks' CRCs, computed from their stored ids, put together."""
+
+    def assemble(row: dict, facts: np.ndarray, place: np.ndarray) -> pa.Table:
+        bounds, size, facts = expand(row["bounds"], np.int64), expand(row["sizes"], "<u2").astype(np.int64), facts[place]
+        if not np.array_equal(facts["n"], size):
+            raise ValueError("a recipe names a chunk of another length")
+        crc = joined_crc(size, facts["crc"], bounds).astype(np.int64)
+        n = len(row["ids"])
+        return pa.table([pa.array([row["shard"]] * n, pa.int32()), pa.array(row["ids"], pa.int64()), pa.array(expand(row["within"], np.int64)), pa.array(np.add.reduceat(size, bounds[:-1])), pa.array(crc)], names=["shard", "id", "start", "n_tokens", "ids_crc32"])
+
+    out = _assembled(spark, path, assemble, FACT, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", False)
+    return out.select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
+
+
+def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Per document: id, start, ids: its whole stream, put together from the stored chunks, which travel to the blocks of recipes."""
+
+    def assemble(row: dict, flat: np.ndarray, place: np.ndarray) -> pa.Table:
+        bounds, size = expand(row["bounds"], np.int64), expand(row["sizes"], "<u2").astype(np.int64)
+        # sizes of the distinct chunks, in the order in which the replies hold them
+        of = np.zeros(place.max() + 1, np.int64)
+        of[place] = size
+        if of.sum() != len(flat) or not np.array_equal(of[place], size):
+            raise ValueError("a recipe names a chunk of another length")
+        begin = (np.cumsum(of) - of)[place]
+        ids = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        ends = np.append(0, np.cumsum(size))[bounds]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int64)))
+        n = len(row["ids"])
+        return pa.table([pa.array([row["shard"]] * n, pa.int32()), pa.array(row["ids"], pa.int64()), pa.array(expand(row["within"], np.int64)), lists], names=["shard", "id", "start", "ids"])
+
+    out = _assembled(spark, path, assemble, "<u4", "id bigint, start bigint, ids array<bigint>", True)
+    return out.select(F.col("id").alias(id_col), "start", "ids")

@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelcast.llm import bpe, chunk_dedup, components, exact_dedup, lm_score, ngram_join, token_store
@@ -225,39 +224,117 @@ def test_pipeline_decodes(spark):
         assert (r["ids"], r["n_tokens"], r["decoded_sha256"]) == (found.ids, len(found.ids), hashlib.sha256(" ".join(found.tokens).encode()).hexdigest())
 
 
+def store_rows(docs):
+    lib = Tokenizer.from_file(BYTE_FILE)
+    raw = [(i, [*lib.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in docs]
+    return sorted(raw, key=lambda x: (x[0] is not None, x[0] or 0))
+
+
 def test_token_store(spark, tmp_path):
     docs = corpus() + corpus()[:1] + [(None, "no id", None, None, 0)]
     path = str(tmp_path / "store")
     token_store.write(clashing(spark, docs).repartition(3), path, BYTE_FILE, 0, shard_docs=10)
-    lib = Tokenizer.from_file(BYTE_FILE)
-    raw = sorted(((i, np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t, *_ in docs), key=lambda x: (x[0] is not None, x[0] or 0))
     got = sorted(token_store.documents(spark, path).collect(), key=lambda r: r["start"])
+    whole = sorted(token_store.read_ids(spark, path).collect(), key=lambda r: r["start"])
     start = 0
-    for (i, data), r in zip(raw, got, strict=True):
-        assert tuple(r) == (i, start, len(data) // 4, zlib.crc32(data))
-        start += len(data) // 4
-    keys = [bytes(r[0]) for r in spark.read.schema(token_store.BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").select("key").collect()]
-    assert len(keys) == len(set(keys))  # stored once
-    assert token_store.verify(spark, path).count() == 0 and spark.read.parquet(f"{path}/shards").count() > 1
-    # an altered payload is noticed
-    bad = str(tmp_path / "bad")
-    blobs = spark.read.schema(token_store.BLOBS).parquet(f"{path}/blobs")
-    blobs.withColumn("payload", F.when(F.col("kind") == "chunk", F.concat("payload", F.lit("xx").cast("binary")))).write.partitionBy("kind").parquet(f"{bad}/blobs")
-    with pytest.raises(Exception, match="digest"):
-        token_store.chunk_facts(spark, bad).collect()
+    for (i, ids), r, w in zip(store_rows(docs), got, whole, strict=True):
+        assert tuple(r) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert tuple(w) == (i, start, ids)
+        start += len(ids)
+    names = [bytes(r[0]) for r in spark.read.schema(token_store.BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").select("names").collect()]
+    chunks = [n[k : k + 16] for n in names for k in range(0, len(n), 16)]
+    assert len(chunks) == len(set(chunks))  # stored once
+    manifest = spark.read.parquet(f"{path}/manifest")
+    assert token_store.verify(spark, path).count() == 0 and manifest.where("kind = 'shard'").count() > 1
+
+
+def test_token_store_notices_every_change(spark, tmp_path):
+    passage = prose(88, 120)
+    docs = [(k, f"{prose(60 + k, 150)} {passage}", None, None, 0) for k in range(6)]
+    path = str(tmp_path / "store")
+    token_store.write(frame(spark, docs), path, BYTE_FILE)
+    rows = {r["id"]: r.asDict() for r in spark.read.schema(token_store.MANIFEST).parquet(f"{path}/manifest").where("kind = 'recipe'").collect()}
+    shards = [r.asDict() for r in spark.read.schema(token_store.MANIFEST).parquet(f"{path}/manifest").where("kind = 'shard'").collect()]
+    blobs = [r.asDict() for r in spark.read.schema(token_store.BLOBS).parquet(f"{path}/blobs").where("kind = 'chunk'").collect()]
+
+    def recipes(change):
+        new = {k: dict(v) for k, v in rows.items()}
+        change(new)
+        return [*new.values(), *shards]
+
+    def swap(new, *columns):
+        for c in columns:
+            new[0][c], new[1][c] = new[1][c], new[0][c]
+
+    def turn(new):
+        d = new[2]["digests"]
+        new[2]["digests"] = d[16:32] + d[:16] + d[32:]
+
+    def forge(new):  # a recipe with a sound root, but not the one of its shard
+        swap(new, "digests", "sizes", "n_tokens", "root")
+
+    def longer(new):
+        new[3]["n_tokens"] += 1
+
+    def sizes(new):
+        s = np.frombuffer(new[4]["sizes"], "<u2").copy()
+        s[0], s[1] = s[0] - 1, s[1] + 1
+        new[4]["sizes"] = s.tobytes()
+
+    changes = {
+        "digests of another": recipes(lambda new: swap(new, "digests", "sizes", "n_tokens")), "order": recipes(turn), "forged": recipes(forge), "length": recipes(longer), "sizes": recipes(sizes),
+        "root": recipes(lambda new: new[5].update(root=b"0" * 16)), "place": recipes(lambda new: new[5].update(within=new[5]["within"] + 1)), "gone": recipes(lambda new: new.pop(3)), "id": recipes(lambda new: new[2].update(id=77)),
+        "shard root": [*rows.values(), *(dict(x, root=b"1" * 16) for x in shards)], "shard ids": [*rows.values(), *(dict(x, n_tokens=x["n_tokens"] + 5) for x in shards)], "no shard": list(rows.values()),
+    }
+
+    def put(name, manifest, packs):
+        bad = str(tmp_path / name.replace(" ", "-"))
+        spark.createDataFrame([tuple(r[c.split()[0]] for c in token_store.MANIFEST.split(", ")) for r in manifest], token_store.MANIFEST).write.parquet(f"{bad}/manifest")
+        spark.createDataFrame([tuple(r[c.split()[0]] for c in token_store.BLOBS.split(", ")) for r in packs], token_store.BLOBS).write.partitionBy("kind").parquet(f"{bad}/blobs")
+        return bad
+
+    assert token_store.documents(spark, put("same", [*rows.values(), *shards], blobs)).count() == 6
+    for name, manifest in changes.items():
+        with pytest.raises(Exception, match="doesn't hold what its root says"):
+            token_store.documents(spark, put(name, manifest, blobs)).collect()
+    def flip(x, at):
+        return x[:at] + bytes([x[at] ^ 1]) + x[at + 1 :]
+
+    for name, packs, error in (
+        ("payload", [dict(r, payload=flip(bytes(r["payload"]), 9)) for r in blobs], "digest"), ("names", [dict(r, names=flip(bytes(r["names"]), 3)) for r in blobs], "digest"),
+        ("missing", [dict(r, names=bytes(r["names"])[16:], sizes=bytes(r["sizes"])[2:], payload=bytes(r["payload"])[:1] + bytes(r["payload"])[1 + 2 * int.from_bytes(bytes(r["sizes"])[:2], "little") :], key=token_store.digest(bytes(r["names"])[16:])) for r in blobs], "missing"),
+    ):
+        bad = put(name, [*rows.values(), *shards], packs)
+        for reader in (token_store.documents, token_store.read_ids):
+            with pytest.raises(Exception, match=error):
+                reader(spark, bad).collect()
+
+
+def store_chunks(ids):
+    ends, counts = token_store.cuts(ids, np.array([0, len(ids)]))
+    assert counts.tolist() == [len(ends)] and ends[-1] == len(ids) and max(np.diff(ends, prepend=0)) <= token_store.MOST
+    return {ids[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)}
 
 
 def test_store_chunks_follow_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50_000, 20_000).astype(np.uint32)
     b = np.concatenate([a[:777], rng.integers(0, 50_000, 5).astype(np.uint32), a[777:]])
-    parts = []
-    for x in (a, b):
-        ends = next(iter(token_store.cuts(x, np.array([0, len(x)]))))
-        assert ends[-1] == len(x) and max(np.diff([0, *ends])) <= token_store.MOST
-        parts.append({x[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)})
+    parts = [store_chunks(x) for x in (a, b)]
     assert len(parts[0] & parts[1]) >= len(parts[0]) - 4
-    assert token_store.merkle_root([b"a"]) == b"a" and token_store.merkle_root([b"a", b"b", b"c"]) != token_store.merkle_root([b"a", b"c", b"b"])
+    leaves = [bytes([k]) * 16 for k in range(200)]
+    root = lambda x: token_store.merkle_root(b"".join(x), b"shard")
+    assert len({root(x) for x in ([], leaves[:1], leaves[:64], leaves[:65], leaves, leaves[::-1], [*leaves[:64], *leaves[64:0:-1]])}) == 7
+    assert root(leaves[:1]) != leaves[0] and root(leaves) != token_store.merkle_root(b"".join(leaves), b"recipe")
+
+
+def test_store_crc():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, token_store.MOST + 1, 60)
+    bounds = np.array([0, 1, 7, 7 + 30, 60])
+    parts = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in sizes]
+    got = token_store.joined_crc(sizes, np.array([zlib.crc32(x.tobytes()) for x in parts], np.uint32), bounds)
+    assert got.tolist() == [zlib.crc32(np.concatenate(parts[a:b]).tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def test_store_shares_short_passages(spark, tmp_path):
@@ -266,11 +343,8 @@ def test_store_shares_short_passages(spark, tmp_path):
     for n, least in ((1000, 0.9), (300, 0.7), (100, 0.2)):
         once = 0
         for _ in range(100):
-            parts, passage = [], draw(n)
-            for _ in range(2):
-                x = np.concatenate([draw(200), passage, draw(200)])
-                ends = next(iter(token_store.cuts(x, np.array([0, len(x)]))))
-                parts.append({x[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)})
+            passage = draw(n)
+            parts = [store_chunks(np.concatenate([draw(200), passage, draw(200)])) for _ in range(2)]
             once += sum(map(len, parts[0] & parts[1])) // 4
         assert once >= least * n * 100, (n, once / n / 100)
     # the same in a store, whose chunks don't take a row each
@@ -278,16 +352,10 @@ def test_store_shares_short_passages(spark, tmp_path):
     docs = [(k, f"{prose(9000 + k, 60)} {passage} {prose(9500 + k, 60)}", None, None, 0) for k in range(20)]
     path = str(tmp_path / "store")
     token_store.write(frame(spark, docs).repartition(4), path, BYTE_FILE)
-    facts = [np.frombuffer(r["facts"], token_store.FACT) for r in token_store.chunk_facts(spark, path).collect()]
+    facts = [np.frombuffer(r["facts"], token_store.FACT) for r in token_store.stored_chunks(spark, path).collect()]
     ids = lambda t: len(Tokenizer.from_file(BYTE_FILE).encode(t, add_special_tokens=False).ids)
     total = sum(r["n_tokens"] for r in token_store.documents(spark, path).collect())
     assert sum(f["n"].sum() for f in facts) < total - 19 * 0.6 * ids(passage) and sum(map(len, facts)) > 2 * len(facts)
-    # a chunk that a recipe names and no pack holds is noticed
-    bad = str(tmp_path / "bad")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{bad}/recipes")
-    spark.read.schema(token_store.BLOBS).parquet(f"{path}/blobs").where("kind = 'recipe' or hex(key) < '8'").write.partitionBy("kind").parquet(f"{bad}/blobs")
-    with pytest.raises(Exception, match="missing"):
-        token_store.documents(spark, bad).collect()
 
 
 def test_chunk_dedup(spark):
