@@ -1,14 +1,19 @@
 """Exact dedup by stateful streaming.
 
-A stream reads the document files and writes (locator, id, digest) of the normalised text. A second
+A stream reads the document files and writes (source, locator, id, digest) of the normalised text. A second
 stream aggregates those by digest; its keyed state sits on disk (RocksDB), never expires and holds, for each
 digest, the smallest identifier with the locator (file and row) of its content, and the number of rows. Rows
 whose digest is held by more than one row are hits: their full normalised bytes are read again and
 compared, so that a digest collision never merges different texts.
+
+Under a state's path, digests, state and the streams' progress outlive a call: a later call, in the same session or another, reads only files that it hasn't
+read, and holds their rows against all rows before.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,67 +48,77 @@ def _run(stream) -> None:
     stream.trigger(availableNow=True).start().awaitTermination()
 
 
-def digest_stream(spark: SparkSession, path: str, id_col: str, text_col: str, digest_chars: int, files_per_batch: int) -> DataFrame:
-    """(locator, id, sha, digest) of every row, gathered by the first stream into the shared folder."""
+def digest_stream(spark: SparkSession, path: str, state: str, id_col: str, text_col: str, digest_chars: int, files_per_batch: int) -> DataFrame:
+    """(source, locator, id, sha, digest) of every row of this and earlier calls; the first stream adds those of new files. `source` is the path that a call was given."""
     schema = spark.read.parquet(path).schema
-    out = new_path(spark, "digests")
     # a pattern, because a stream takes a plain path for a folder and the table may be one file
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
     rows = source.select(
-        _locator().alias("locator"), F.col(f"`{id_col}`").alias("id"), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("sha")
+        F.lit(path).alias("source"), _locator().alias("locator"), F.col(f"`{id_col}`").alias("id"), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("sha")
     ).withColumn("digest", F.substring("sha", 1, digest_chars))
-    _run(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "digests-log")))
-    return spark.read.schema(rows.schema).parquet(out)
+    _run(rows.writeStream.format("parquet").option("path", f"{state}/digests").option("checkpointLocation", f"{state}/digests-log"))
+    return spark.read.schema(rows.schema).parquet(f"{state}/digests")
 
 
-def digest_state(digests: DataFrame, path: str, files_per_batch: int) -> DataFrame:
-    """(digest, keep, n): the last state of every key, from the updates that each batch of the second stream wrote."""
-    spark, out = digests.sparkSession, new_path(digests.sparkSession, "state")
+def digest_state(digests: DataFrame, state: str, files_per_batch: int) -> DataFrame:
+    """(digest, keep, n): the last state of every key, from the updates that each batch of the second stream wrote, in this and earlier calls."""
+    spark, out = digests.sparkSession, f"{state}/updates"
     held = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    keyed = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).groupBy("digest").agg(_first(), F.count(F.lit(1)).alias("n"))
-    seen = []
+    keyed = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{state}/digests").groupBy("digest").agg(_first(), F.count(F.lit(1)).alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
-        seen.append(number)
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
+        # a batch that is run again after a failure takes its own place
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     try:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
-        _run(keyed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", new_path(spark, "state-log")))
+        _run(keyed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{state}/keyed-log"))
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if not seen:
+    if digests.limit(1).isEmpty():
         return spark.createDataFrame([], keyed.schema)
-    rows = spark.read.parquet(out)
-    if len(seen) == 1:
+    rows = spark.read.schema(f"{_ddl(keyed)}, batch bigint").parquet(out)
+    if rows.select("batch").distinct().limit(2).count() == 1:
         return rows.select("digest", "keep", "n")
     return rows.groupBy("digest").agg(F.max_by(F.struct("keep", "n"), "batch").alias("s")).select("digest", "s.keep", "s.n")
 
 
-def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, files_per_batch: int = 10_000) -> DataFrame:
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, files_per_batch: int = 500, state: str | None = None) -> DataFrame:
     """One row per row of the Parquet table at `path`: id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty. A null id sorts after all others. Of repeated rows of one id, one (the first by file
-    and row) is kept. Other columns are not read. An empty table gives an empty result. `digest_chars` is the length of the
-    hex digest that keys the state; the byte check makes the result the same at any length.
+    Without `state` the table is held against itself. With it, a shared folder, also against all rows of earlier calls with that folder, whose
+    own results stand: a smaller id that comes later takes the place of the one that was kept. Files that a call has read must stay, as hits are
+    compared byte by byte; a file isn't read into the state twice, and `digest_chars` and the kind of ids must stay the same. Null text counts as empty. A null
+    id sorts after all others. Of repeated rows of one id, one (the first by file and row) is kept. Other columns are not read. An empty table gives an
+    empty result. `digest_chars` is the length of the hex digest that keys the state; the byte check makes the result the same at any length.
     """
-    digests = digest_stream(spark, path, id_col, text_col, digest_chars, files_per_batch)
-    source = digests.inputFiles()
-    state = digest_state(digests, source[0].rsplit("/", 1)[0], files_per_batch) if source else spark.createDataFrame([], "digest string, keep struct<no_id:boolean,id:bigint,locator:string>, n bigint")
-    hits = stage(digests.join(state.where("n > 1").select("digest"), "digest", "left_semi").select("locator", "id", "digest"), "hits")
+    folder = state.rstrip("/") if state else new_path(spark, "dedup-state")
+    digests = digest_stream(spark, path, folder, id_col, text_col, digest_chars, files_per_batch)
+    state = digest_state(digests, folder, files_per_batch)
+    # one path for each call with this state
+    sources = [r[0] for r in digests.select("source").distinct().collect()] or [path]
+    own = digests.where(F.col("source") == path)
+    shared = state.where("n > 1").select("digest")
+    if len(sources) > 1:
+        shared = shared.join(own.select("digest"), "digest", "left_semi")
+    hits = stage(digests.join(shared, "digest", "left_semi").select("locator", "id", "digest"), "hits")
     few = hits.count() <= BROADCAST_HITS
-    texts = spark.read.parquet(path).select(_locator().alias("locator"), F.col(f"`{text_col}`").alias("text"))
+    texts = reduce(DataFrame.union, [spark.read.parquet(x).select(_locator().alias("locator"), F.col(f"`{text_col}`").alias("text")) for x in sources])
     read = texts.join(F.broadcast(hits) if few else hits, "locator").withColumn("body", normalised(F.col("text"))).drop("text")
     equal = read.groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n"))
     several = equal.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.first("keep").alias("keep"), F.first("n").alias("n"))
     checked = stage(several, "checked")
-    out = digests.join(checked.where("bodies = 1"), "digest", "left").select("id", "locator", "sha", "digest", "keep", "n")
+    out = own.join(checked.where("bodies = 1"), "digest", "left").select("id", "locator", "sha", "digest", "keep", "n")
     if not checked.where("bodies > 1").isEmpty():
         apart = read.join(checked.where("bodies > 1").select("digest"), "digest", "left_semi")
         sizes = apart.groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n"))
-        apart = apart.join(sizes, ["digest", "body"]).join(digests.select("locator", "sha"), "locator").select("id", "locator", "sha", "digest", "keep", "n")
+        apart = apart.join(sizes, ["digest", "body"]).join(own.select("locator", "sha"), "locator").select("id", "locator", "sha", "digest", "keep", "n")
         out = out.join(checked.where("bodies > 1").select("digest"), "digest", "left_anti").select(apart.columns).union(apart)
     single = F.col("keep").isNull()
     return out.select(

@@ -40,6 +40,28 @@ def test_exact_dedup(spark, tmp_path, digest_chars):
         assert r["text_sha256"] == hashlib.sha256(body[r["doc_id"]].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("digest_chars", [64, 1])
+def test_exact_dedup_state_outlives_a_call(spark, tmp_path, digest_chars):
+    """A second call, and a third on a table that has grown, against the state of the first."""
+    texts = [prose(k, 20) for k in range(6)]
+    row = lambda i, k: (i, texts[k], None, None, 0)
+    tables = [[row(10, 0), row(11, 1), row(12, 1), row(13, 2)], [row(20, 1), row(9, 0), row(21, 3), row(22, 3), row(23, 4)]]
+    later = [row(30, 4), row(31, 5), row(8, 2)]
+    state = str(tmp_path / "state")
+    seen = []
+    for n, rows in enumerate([*tables, later]):
+        path = str(tmp_path / f"t{min(n, 1)}.parquet")
+        frame(spark, rows).repartition(2).write.mode("append").parquet(path)
+        seen += rows
+        table = rows if n < 2 else tables[1] + later
+        got = exact_dedup.dedup(spark, path, state=state, digest_chars=digest_chars, files_per_batch=1).collect()
+        groups = defaultdict(list)
+        for i, t, *_ in seen:
+            groups[t].append(i)
+        want = sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t, *_ in table)
+        assert sorted(tuple(r)[:4] for r in got) == want
+
+
 def test_exact_dedup_repeated_rows_and_empty(spark, tmp_path):
     path = write(frame(spark, [(1, "a", None, None, 1)] * 3 + [(2, "b", None, None, 1)]).coalesce(1), tmp_path)
     got = sorted((r["doc_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(spark, path).collect())
