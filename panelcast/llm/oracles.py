@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import STEP, templates
+from .license_scan import templates
 from .line_dedup import MAX_RATIO, MIN_PAGES
 from .mixing import BUDGET_PERCENT, DOMAINS, LEAF, MAX_EPOCHS, SEED, WEIGHTS
 from .quality import RULES, STOP_WORDS
@@ -125,19 +125,19 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_TEMPLATES = ", ".join(f"('{t['label']}', {str(t['exact']).lower()}, {t['need']}, {_list(t['kinds'])}, {_list(t['body'])})" for t in templates())
+_TEMPLATES = ", ".join(f"('{t['label']}', {str(t['exact']).lower()}, {t['need']}, {t['step']}, {_list(t['kinds'])}, {_list(t['body'])})" for t in templates())
 
 #: Every block against every template.
 OP8 = rf"""
-WITH t(label, exact, need, kinds, body) AS (VALUES {_TEMPLATES}),
+WITH t(label, exact, need, step, kinds, body) AS (VALUES {_TEMPLATES}),
 w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), spots AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1)) AS i FROM w WHERE len(w) > 0),
 places AS (SELECT doc_id, i, label FROM spots, t WHERE exact AND w[i + 1] = body[1] AND w[i + 1 : i + len(body)] = body),
-blocks AS (SELECT doc_id, w[i + 1 : i + {2 * STEP}] AS b FROM spots WHERE i % {STEP} = 0),
+blocks AS (SELECT doc_id, step, w[i + 1 : i + 2 * step] AS b FROM spots, (SELECT DISTINCT step FROM t) WHERE i % step = 0),
 near AS (
   SELECT doc_id, label, len(list_intersect(kinds, b)) AS shared, len(kinds) AS size
-  FROM blocks, t WHERE NOT exact AND list_has_any(kinds, b) AND len(list_intersect(kinds, b)) >= need
+  FROM blocks JOIN t USING (step) WHERE NOT exact AND list_has_any(kinds, b) AND len(list_intersect(kinds, b)) >= need
 ), base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
 every AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score

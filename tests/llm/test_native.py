@@ -5,7 +5,7 @@ from collections import Counter
 
 from panelcast.llm import license_scan, line_dedup, mixing, quality
 
-from .helpers import WORD, clashing, corpus, frame
+from .helpers import WORD, clashing, corpus, frame, prose
 
 
 def quality_counts(text):
@@ -58,6 +58,31 @@ def test_license(spark):
     assert all(r["first_word"] == r["doc_id"] == r["last_word"] for r in license_scan.scan_licenses(frame(spark, far)).collect())
 
 
+def test_license_paragraphs(spark):
+    """Whole paragraphs at any offset, with some words changed, and too many; against every block and template."""
+    rows = license_scan.templates()
+    texts = []
+    for k, r in enumerate(r for r in rows if not r["exact"]):
+        words = list(r["body"])
+        texts += [prose(k, 7 * k) + " " + " ".join(words).upper() + ". " + prose(50 + k, 30), " ".join([*prose(80 + k, 3 * k).split(), *words[: len(words) // 2]])]
+        texts.append(" ".join("changed" if j % 40 == 7 else x for j, x in enumerate(words)))
+    docs = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    assert max(r["step"] for r in rows) >= 128
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, docs)).collect()}
+    for i, text, *_ in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        labels, score = set(), 0.0
+        for r in rows:
+            for a in range(0, len(w), r["step"]):
+                block = w[a : a + 2 * r["step"]]
+                shared = len(set(block) & set(r["kinds"]))
+                if shared >= r["need"] and (not r["exact"] or any(w[b : b + len(r["body"])] == r["body"] for b in range(a, a + r["step"]))):
+                    labels.add(r["label"])
+                    score = max(score, shared / len(r["kinds"]))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), score), i
+    assert all(r["label"] in got[3 * k]["labels"].split(",") for k, r in enumerate(r for r in rows if not r["exact"]))
+
+
 def test_lines(spark):
     docs = corpus()
     got = {r["doc_id"]: r for r in line_dedup.drop_lines(clashing(spark, docs), max_ratio=0.3, min_pages=5, counts=True).collect()}
