@@ -41,13 +41,15 @@ from .common import integer_id, stage
 LEAST, MOST, MEAN_BITS, WINDOW, SEED = 16, 512, 5, 16, 20_240_601
 #: Characters of text for a bucket of the store, bytes of a part that a task sends and of a pack, and chunks of a block of recipes, about.
 BUCKET_CHARS, PART_BYTES, PACK_BYTES, BLOCK_CHUNKS = 8_000_000, 4_000_000, 500_000, 200_000
-BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_200_000
+BATCH_CHARS, CACHE_WORDS = 2_000_000, 1_200_000
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for re, in texts without the characters that \w and \s of re see otherwise: numbers other than digits, and four control characters; texts with
 #: characters beyond 16 bits are taken for such, too.
 PLAIN_MATCH = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 DIGEST, FAN = 16, 64
+#: A random number for each byte, and the factor from place to place, of the keys by which matches are told apart.
+SIGNS, STEP = np.random.default_rng(1).integers(0, 2**63, 256, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of bytes: letters (with all bytes beyond ASCII), digits, other signs, the blank, other white space, and what stands between texts.
 LETTER, NUMBER, OTHER, BLANK, WHITE, TEXT_END = range(6)
 KIND = np.array([LETTER if b > 127 or chr(b).isalpha() else NUMBER if chr(b).isdigit() else BLANK if b == 32 else WHITE if 9 <= b <= 13 else OTHER for b in range(256)], np.uint8)
@@ -97,11 +99,15 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_blank[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.known = dict(self.special_ids)
+        self.known: dict[bytes, bytes] = {}
+        self.forget()
         self.match, self.plain_match = regex.compile(MATCH), re.compile(PLAIN_MATCH)
         numbers = "".join(re.escape(c) for c in map(chr, range(65_536)) if unicodedata.category(c) in ("No", "Nl"))
         self.odd, self.far = re.compile(f"[{numbers}\x1c-\x1f]"), re.compile("[\U00010000-\U0010ffff]")
 
+    def forget(self) -> None:
+        self.known = {b"": b""} | {t.encode(): i for t, i in self.special_ids.items()}
+
     def _matches(self, text: str) -> list[str]:
         if self.special.search(text):
             return [m for part in self.special.split(text) for m in ([part] if part in self.special_ids else self._parts(part))]
@@ -110,70 +116,76 @@ class PieceEncoder:
     def _parts(self, text: str) -> list[str]:
         return (self.match if self.odd.search(text) or self.far.search(text) else self.plain_match).findall(text)
 
-    def _learn(self, new: set[str]) -> None:
-        # letters after a blank are encoded many in a row: their first ids alone begin with the blank
-        spaced = [x for x in new if x[0] == " " and x[1:].isalpha()]
-        rows = self.tokenizer.encode_batch_fast(["".join(spaced[k : k + 500]) for k in range(0, len(spaced), 500)], add_special_tokens=False)
-        ids = np.array([i for r in rows for i in r.ids], "<u4")
+    def _learn(self, spaced: list[bytes], others: list[bytes]) -> None:
+        """Puts the ids of new matches into the cache; `spaced` are letters after a blank."""
+        # these are encoded many in a row: their first ids alone begin with the blank
+        rows = self.tokenizer.encode_batch_fast([b"".join(spaced[k : k + 500]).decode() for k in range(0, len(spaced), 500)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable([r.ids for r in rows]), "<u4")
         self._keep(spaced, ids, np.append(np.flatnonzero(self.after_blank[ids]), len(ids)))
-        others = list(new.difference(spaced))
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False)]
         self._keep(others, np.fromiter(chain.from_iterable(lists), "<u4"), np.append(0, np.cumsum(list(map(len, lists)))))
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> None:
         raw, ends = ids.tobytes(), (4 * bounds.astype(np.int64)).tolist()
         self.known.update(zip(pieces, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Texts that the arrays can't cut are matched by the pattern."""
         if len(self.known) > CACHE_WORDS:
-            self.known = dict(self.special_ids)
-        odd = [c for c in set().union(*texts) if "\x1c" <= c <= "\x1f" or (c > "\x7f" and not c.isalpha())]
-        hard = re.compile("|".join([*map(re.escape, odd), *([self.special.pattern] if self.special_ids else [])]) or r"(?!)")
-        easy = [not hard.search(t) for t in texts]
+            self.forget()
+        odd = {c for c in set().union(*(t for t in texts if not t.isascii())) if c > "\x7f" and not c.isalpha()}
+        marks = [*self.special_ids, *"\x1c\x1d\x1e\x1f"]
+        easy = [not any(m in t for m in marks) and (not odd or t.isascii() or odd.isdisjoint(t)) for t in texts]
         cut = self._encode_arrays([t for t, e in zip(texts, easy, strict=True) if e])
         for text, plain in zip(texts, easy, strict=True):
             yield next(cut) if plain else self._encode_one(text)
 
     def _encode_one(self, text: str) -> bytes:
-        ms = self._matches(text)
-        self._learn(set(ms).difference(self.known))
+        ms = list(map(str.encode, self._matches(text)))
+        self._learn([], list(set(ms).difference(self.known)))
         return b"".join(map(self.known.__getitem__, ms))
 
     def _encode_arrays(self, texts: list[str]) -> Iterator[bytes]:
-        """All texts' matches are cut and told apart in arrays of bytes; only distinct ones become strings."""
+        """All texts' matches are cut and told apart in arrays of bytes; only new ones become strings."""
         if not texts:
             return
         raw = b"\xff".join([t.encode() for t in texts]) + b"\xff"
         data = np.frombuffer(raw, np.uint8)
         kind = KIND[data]
-        start = match_starts(data, kind)
-        begin = np.flatnonzero(start)
-        size = np.diff(np.append(begin, len(data)))
-        word = kind[begin] != TEXT_END
-        place = np.arange(len(data)) - np.repeat(begin, size)
-        keys = []
-        for seed in (1, 2):
-            rng = np.random.default_rng(seed)
-            sign, step = rng.integers(0, 2**63, 256, dtype=np.uint64), rng.integers(0, 2**63, dtype=np.uint64) | np.uint64(1)
-            power = np.multiply.accumulate(np.full(int(size.max()), step))
-            keys.append(np.add.reduceat(sign[data] * power[place], begin)[word])
-        _, first, which = np.unique(keys[0], return_index=True, return_inverse=True)
-        if len(which) and not np.array_equal(keys[1], keys[1][first][which]):
-            yield from map(self._encode_one, texts)  # two matches with one key
+        begin = np.flatnonzero(match_starts(data, kind)).astype(np.int32)
+        size = np.diff(begin, append=np.int32(len(data)))
+        here = np.arange(len(data), dtype=np.int32)
+        place = here - np.repeat(begin, size)
+        power = np.multiply.accumulate(np.full(int(size.max()), STEP))
+        values = SIGNS[data]
+        values *= power[place]
+        coded = pa.array(np.add.reduceat(values, begin)).dictionary_encode()
+        which = coded.indices.to_numpy()
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        # two matches with one key would differ somewhere from the first match with it
+        if not np.array_equal(data[np.repeat(begin[first][which] - begin, size) + here], data):
+            yield from map(self._encode_one, texts)
             return
-        at, to = begin[word][first].tolist(), (begin + size)[word][first].tolist()
-        names = [raw[x:y].decode() for x, y in zip(at, to, strict=True)]
-        self._learn(set(names).difference(self.known))
-        parts = [self.known[x] for x in names]
+        at, to = begin[first].tolist(), (begin + size)[first].tolist()
+        names = list(map(raw.__getitem__, map(slice, at, to)))
+        ends = names.index(b"\xff")  # of texts
+        names[ends] = b""
+        parts = list(map(self.known.get, names))
+        new = [k for k, x in enumerate(parts) if x is None]
+        if new:
+            starts = begin[first[new]]
+            letters = (kind[starts] == BLANK) & (kind[starts + 1] == LETTER)
+            self._learn([names[k] for k, x in zip(new, letters.tolist(), strict=True) if x], [names[k] for k, x in zip(new, letters.tolist(), strict=True) if not x])
+            for k in new:
+                parts[k] = self.known[names[k]]
         counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids, offset = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(counts) - counts
         n = counts[which]
-        flat = ids[np.repeat(offset[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
-        # matches before each text's end, and so its ids
-        upto = np.cumsum(word)[~word]
-        ends = (4 * np.append(0, np.cumsum(n))[upto]).tolist()
-        for x, y in zip([0, *ends], ends, strict=False):
+        upto = np.cumsum(n)
+        flat = ids[np.repeat(offset[which] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        stops = (4 * upto[which == ends]).tolist()
+        for x, y in zip([0, *stops], stops, strict=False):
             yield flat[x:y]
 
 
