@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import integer_id, stage
 
 #: Words of a block, and keys of a bucket, about. Both may be larger on a cluster with larger executors.
-BLOCK_WORDS, BUCKET_KEYS = 1_500_000, 1_500_000
+BLOCK_WORDS, BUCKET_KEYS = 1_900_000, 1_500_000
 BLOCKS = "block bigint, ids array<bigint>, flags binary, bounds binary, words binary, stream binary, n_words bigint"
 RUNS = "kind int, bucket int, block bigint, keys binary, vals binary"
 REPLIES = "block bigint, kind int, bucket int, vals binary"
@@ -43,20 +43,25 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """Compressed byte place by byte place, as the upper bytes of counts and numbers are nearly all 0."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes(), 1)
 
 
 def expand(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the gaps between them, whose bytes are stored place by place: the upper ones are nearly all 0."""
-    return squeeze(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Sorted keys as the gaps between them: their number, the lower bytes as they are, as nothing compresses them, and the upper three compressed."""
+    planes = np.ascontiguousarray(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
+    return len(keys).to_bytes(4, "little") + planes[:5].tobytes() + zstandard.compress(planes[5:].tobytes(), 1)
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(expand(data, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data[4 : 4 + 5 * n] + zstandard.decompress(data[4 + 5 * n :]), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U64).ravel(), dtype=U64)
 
 
 class Block:
@@ -65,7 +70,7 @@ class Block:
     def __init__(self, row: dict):
         self.block, self.ids = row["block"], row["ids"]
         self.flags, self.bounds = expand(row["flags"], np.uint8), expand(row["bounds"], np.int64)
-        self.words, self.stream = expand(row["words"], U64), expand(row["stream"], np.uint32)
+        self.words, self.stream = unpack_keys(row["words"]), expand(row["stream"], np.uint32)
 
 
 def word_keys(found: Iterable[bytes]) -> np.ndarray:
@@ -87,7 +92,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, flag=None, block_words: in
             # two words with one key become one word
             words, at = np.unique(keys, return_inverse=True)
             stream = at.astype(np.uint32)[np.concatenate(parts)] if size else np.zeros(0, np.uint32)
-            cells = [next(names), list(ids), squeeze(np.array(flags, np.uint8)), squeeze(np.array([0, *ends], np.int64)), squeeze(words), squeeze(stream), size]
+            cells = [next(names), list(ids), squeeze(np.array(flags, np.uint8)), squeeze(np.array([0, *ends], np.int64)), pack_keys(words), squeeze(stream), size]
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()]
             number.clear()
             ids.clear(), flags.clear(), ends.clear(), parts.clear()

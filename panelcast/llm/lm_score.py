@@ -48,14 +48,14 @@ class Stream:
         self.end, self.sizes = int(end), np.diff(block.bounds) + 1
         self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
         self.trained = np.repeat(block.flags == 0, self.sizes)
-        self.grams, self.gram = [words], [word]
+        self.grams, self.gram = [words], [word.astype(np.int32)]
         place = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
         last = words[word]
         key = chain(words[np.append(end, word[:-1])], last)
         for k in range(2, order + 1):
             whole = np.flatnonzero(place >= k - 2)
             grams, which = np.unique(key[whole], return_inverse=True)
-            number = np.full(len(word), -1)
+            number = np.full(len(word), -1, np.int32)
             number[whole] = which
             self.grams.append(grams)
             self.gram.append(number)
@@ -79,7 +79,7 @@ class Automaton:
         first = np.cumsum([1, *map(len, seen)])  # number of the first state of each length
         self.fail, self.weight = np.zeros(first[order - 1], np.int64), np.zeros(first[order - 1])
         # of each token: the longest state that it leads to, which is the one before the next token
-        self.after = np.zeros(len(stream.gram[0]), np.int64)
+        self.after = np.zeros(len(stream.gram[0]), np.int32)
         p = (seen[0] + 1) / (tokens + kinds + 1)
         self.arc, self.has = [np.log10(p)], [None]
         p = p[stream.gram[0]]
