@@ -12,12 +12,13 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Unicode white space, as the regular expressions of the vocabulary files see it.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -174,32 +175,27 @@ def load(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Every row with its ids as array<int>; null text gives an empty array. A column named as ids_col is replaced."""
-    held = docs.drop(ids_col) if ids_col != text_col else docs
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in held.schema)}, `{ids_col}` array<int>"
+def _added(rows: DataFrame, source: str, column: str, kind: str, work: Callable[[list], pa.Array]) -> DataFrame:
+    """The rows with one column more, worked out from column `source`; a column of its name is replaced. Columns go by number, so that any names will do."""
+    fields = [f for f in rows.schema if f.name != column]
+    held = rows.select(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(fields)), F.col(f"`{source}`").alias("source"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(b.column(text_col).to_pylist())], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], work(b.column(len(fields)).to_pylist())], names=[f"c{k}" for k in range(len(fields) + 1)])
 
-    return held.mapInArrow(work, schema)
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)), f"c{len(fields)} {kind}"])
+    return held.mapInArrow(run, schema).toDF(*(f.name for f in fields), column)
 
 
-def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Every row with the text of its ids; null ids give an empty text. A column named as text_col is replaced."""
-    held = rows.drop(text_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in held.schema)}, `{text_col}` string"
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Every row with its ids as array<int>; null text gives an empty array. A column named as ids_col is replaced."""
+    return _added(docs, text_col, ids_col, "array<int>", lambda texts: pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in load(path).encode(texts)], pa.list_(pa.int32())))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for b in batches:
-            texts = pa.array([bpe.decode(np.array(x or [], np.int64)) for x in b.column(ids_col).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, text_col])
 
-    return held.mapInArrow(work, schema)
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """Every row with the text of its ids; null ids give an empty text. A column named as text_col is replaced."""
+    return _added(rows, ids_col, text_col, "string", lambda ids: pa.array([load(path).decode(np.array(x or [], np.int64)) for x in ids], pa.string()))
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

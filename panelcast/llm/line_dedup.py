@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import WS, stage
 
-#: A line on more than MAX_RATIO of its host's pages, and on MIN_PAGES of them at least, is boilerplate.
-MAX_RATIO, MIN_PAGES = 0.03, 5
-#: So many boilerplate lines (16-byte digests) may be broadcast; beyond, the hosts' lists are joined by a shuffle.
-BROADCAST_LINES = 200_000
+#: A line on more than MAX_RATIO of its host's pages is boilerplate. On two pages alone it may be a copy of one page, so that it needs MIN_PAGES.
+MAX_RATIO, MIN_PAGES = 0.03, 3
+#: So many boilerplate lines (16-byte digests) may be broadcast; beyond, the hosts' lists are joined by a shuffle, in which a host has SALTS parts.
+BROADCAST_LINES, SALTS = 200_000, 64
 
 
 def _lines(text: Column) -> Column:
@@ -35,8 +35,8 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
     return counts.join(totals, "host").where(F.col("pages") > max_ratio * F.col("of_host"))
 
 
-def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
-    """The same rows and columns with boilerplate lines cut out of the text; counts=True adds n_lines and n_dropped.
+def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """The same rows and columns with boilerplate lines cut out of the text; counts=True adds n_lines and n_dropped, in place of columns of these names.
 
     A null host is the host "". A null text stays null. White space around a line doesn't matter for comparing, blank
     lines are neither counted nor dropped, and a text may become empty. A host has at most (lines per page) / max_ratio such
@@ -44,15 +44,22 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     """
     found = stage(boilerplate(docs, F.col(f"`{host_col}`"), F.col(f"`{text_col}`"), max_ratio, min_pages), "boilerplate")
     lists = found.groupBy("host").agg(F.collect_list("line").alias("_drop")).withColumnRenamed("host", "_host")
-    lists = F.broadcast(lists) if found.count() <= BROADCAST_LINES else lists
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(f"`{host_col}`"), F.lit("")).alias("_host"), F.col(f"`{text_col}`").alias("_text"))
-    rows = rows.join(lists, "_host", "left").withColumn("_lines", _lines(F.col("_text")))
+    if found.count() <= broadcast_lines:
+        rows = rows.join(F.broadcast(lists), "_host", "left")
+    else:
+        # a host's rows go to several tasks, each of which gets its list
+        salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")
+        lists = lists.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        rows = rows.withColumn("_salt", F.coalesce(salt, F.lit(0))).join(lists, ["_host", "_salt"], "left")
+    rows = rows.withColumn("_lines", _lines(F.col("_text")))
     kept = F.filter("_lines", lambda x: ~F.array_contains("_drop", _digest(x)) | ~_solid(x))
     rows = rows.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
     text = F.when(F.size("_kept") == F.size("_lines"), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    out = rows.withColumn("_new", text).select(
-        *(F.col("_new").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns),
-        F.coalesce(F.size(F.filter("_lines", _solid)), F.lit(0)).cast("bigint").alias("_n"),
-        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("bigint").alias("_d"),
-    )
-    return out.withColumnsRenamed({"_n": "n_lines", "_d": "n_dropped"}) if counts else out.drop("_n", "_d")
+    tallies = {
+        "n_lines": F.coalesce(F.size(F.filter("_lines", _solid)), F.lit(0)).cast("bigint"),
+        "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("bigint"),
+    }
+    own = [c for c in docs.columns if not (counts and c in tallies)]
+    columns = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in own]
+    return rows.select(*columns, *(v.alias(k) for k, v in tallies.items() if counts))

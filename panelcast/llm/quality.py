@@ -33,15 +33,16 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds q (a struct of counts and ratios) to each row; other columns stay as they are.
+    """Adds q (a struct of counts and ratios) to each row, in place of a column of that name; all other columns stay as they are.
 
     Null text counts as empty: every count is 0. Three-word windows are compared by 64-bit hashes of
     their words, so that two different windows of one text of n words are confused with a chance of
     about n*n / 2**65.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD_CHAR_RE))
-    base = docs.withColumns({"_w": words(F.col(text)), "_l": lines})
+    base = held.withColumns({"_w": words(F.col("_text")), "_l": lines})
     grams = F.when(
         F.size("_w") >= 3,
         F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))),
@@ -81,7 +82,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "dup_line_ratio": _ratio(c["n_dup_lines"], c["n_lines"]),
     }
     kept = [c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")]
-    return counts.withColumn("q", F.struct(*kept, *(v.alias(k) for k, v in ratios.items()))).drop("_w", "_l", "_g", "_s", "_p", "_c")
+    return counts.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c != "q"), F.struct(*kept, *(v.alias(k) for k, v in ratios.items())).alias("q"))
 
 
 def verdict(q: Column, rules=RULES) -> Column:

@@ -36,4 +36,13 @@ def clashing(spark, rows):
     from pyspark.sql import functions as F
 
     f = frame(spark, rows)
-    return f.select("*", *(F.lit("x").alias(c) for c in ("q", "kept", "base_failed", "id", "row", "n", "ids", "uid", "domain", "host", "_row", "_text", "_w", "n_words", "_host", "_drop", "_lines", "_kept", "key")))
+    return f.select("*", *(F.lit("x").alias(c) for c in ("q", "kept", "base_failed", "id", "row", "n", "ids", "uid", "domain", "host", "_row", "_text", "_w", "n_words", "_host", "_drop", "_lines", "_kept", "key", "_l", "_g", "_s", "_p", "_c", "_n", "_d", "_salt", "n_lines", "n_dropped", "a.b", "c0", "source_", "root", "family", "digest", "block", "start", "ends")))
+
+
+def untouched(got, docs, *changed):
+    """The columns that `clashing` adds came out whole, but for those that the operator gives itself."""
+    from collections import Counter
+
+    extra = [c for c in docs.columns if c not in {f.name for f in DOCS} | set(changed)]
+    rows = got.select(*(f"`{c}`" for c in extra)).collect()
+    assert Counter(map(tuple, rows)) == {("x",) * len(extra): docs.count()}

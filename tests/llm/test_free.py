@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from panelcast.llm import bpe, chunk_dedup, components, exact_dedup, lm_score, ngram_join, token_store
 
-from .helpers import clashing, corpus, frame, prose
+from .helpers import clashing, corpus, frame, prose, untouched
 
 WORD_FILE, BYTE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -222,7 +222,9 @@ def test_lm_score(spark, mus):
 def test_bpe(spark):
     docs = corpus()
     lib = Tokenizer.from_file(WORD_FILE)
-    rows = bpe.decode(bpe.encode(clashing(spark, docs), WORD_FILE), WORD_FILE).collect()
+    told = bpe.decode(bpe.encode(clashing(spark, docs), WORD_FILE), WORD_FILE)
+    untouched(told, clashing(spark, docs), "ids")
+    rows = told.collect()
     sums = {r["doc_id"]: r for r in bpe.encode_digests(frame(spark, docs), WORD_FILE).collect()}
     text = {i: t for i, t, *_ in docs}
     assert len(rows) == len(sums) == len(docs)
@@ -438,6 +440,24 @@ def test_chunk_dedup_finds_all_runs(spark, min_words):
     assert want and have == want
 
 
+def test_very_long_texts_and_text_ids(spark, tmp_path):
+    long = prose(41, 20_000)
+    docs = [(1, long, None, None, 0), (2, long + " more", None, None, 0), (3, long, None, None, 0)]
+    f = frame(spark, docs)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(f, block_words=5_000).collect()} == links(docs, 5, 80, 100)
+    assert [r["n_tokens"] for r in lm_score.score(f, block_words=5_000).orderBy("doc_id").collect()] == [20_001, 20_002, 20_001]
+    path = str(tmp_path / "store")
+    token_store.write(f, path, BYTE_FILE)
+    assert [tuple(r)[1:] for r in token_store.read_ids(spark, path).orderBy("start").select("start", "doc_id", "ids").collect()] == store_rows(docs)
+    assert {(r["doc_id"], r["first_doc_id"]) for r in chunk_dedup.repeats(f, block_bytes=20_000).collect()} == {(2, 1), (3, 1)}
+    lib = Tokenizer.from_file(WORD_FILE)
+    assert bpe.encode(f, WORD_FILE).where("doc_id = 2").first()["ids"] == lib.encode(docs[1][1], add_special_tokens=False).ids
+    named = f.selectExpr("cast(doc_id as string) as doc_id", "text")
+    for run in (ngram_join.join, lm_score.score, chunk_dedup.repeats, lambda d: token_store.write(d, str(tmp_path / "no"), BYTE_FILE)):
+        with pytest.raises(TypeError, match="ids must be integers"):
+            run(named)
+
+
 def test_empty(spark, tmp_path):
     none = frame(spark, [])
     assert ngram_join.join(none).count() == 0 and lm_score.score(none).count() == 0 and chunk_dedup.repeats(none).count() == 0

@@ -3,9 +3,10 @@
 import re
 from collections import Counter
 
+import pytest
 from panelcast.llm import license_scan, line_dedup, mixing, quality
 
-from .helpers import WORD, clashing, corpus, frame, prose
+from .helpers import WORD, clashing, corpus, frame, prose, untouched
 
 
 def quality_counts(text):
@@ -20,7 +21,9 @@ def quality_counts(text):
 
 def test_quality(spark):
     docs = corpus()
-    got = {r["doc_id"]: r for r in quality.score_quality(clashing(spark, docs)).collect()}
+    scored = quality.score_quality(clashing(spark, docs))
+    untouched(scored, clashing(spark, docs), "q", "base_failed", "kept")
+    got = {r["doc_id"]: r for r in scored.collect()}
     assert len(got) == len(docs)
     for i, text, *_ in docs:
         q, want = got[i]["q"], quality_counts(text)
@@ -83,9 +86,13 @@ def test_license_paragraphs(spark):
     assert all(r["label"] in got[3 * k]["labels"].split(",") for k, r in enumerate(r for r in rows if not r["exact"]))
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("broadcast_lines", [200_000, 0])
+def test_lines(spark, broadcast_lines):
     docs = corpus()
-    got = {r["doc_id"]: r for r in line_dedup.drop_lines(clashing(spark, docs), max_ratio=0.3, min_pages=5, counts=True).collect()}
+    cut = line_dedup.drop_lines(clashing(spark, docs), max_ratio=0.3, min_pages=5, counts=True, broadcast_lines=broadcast_lines)
+    untouched(cut, clashing(spark, docs), "n_lines", "n_dropped")
+    untouched(line_dedup.drop_lines(clashing(spark, docs)), clashing(spark, docs))
+    got = {r["doc_id"]: r for r in cut.collect()}
     total, pages = Counter(), Counter()
     for _, text, _, host, _ in docs:
         total[host or ""] += 1
@@ -155,3 +162,17 @@ def test_empty(spark):
     assert license_scan.scan_licenses(none).count() == 0
     assert line_dedup.drop_lines(none).count() == 0
     assert mixing.select(none).count() == 0
+
+
+def test_very_long_texts_and_ties(spark):
+    """20,000 words and lines, and texts and hashes that are equal."""
+    long = "\n".join(prose(k, 40) for k in range(500))
+    docs = [(k, long, "en", "src0", 0) for k in range(3)] + [(9, long.replace("\n", " "), "en", "src0", 0)]
+    got = {r["doc_id"]: r for r in quality.score_quality(frame(spark, docs)).collect()}
+    assert all(tuple(got[i]["q"])[:5] == quality_counts(t) for i, t, *_ in docs)
+    assert {r["doc_id"]: r["n_words"] for r in license_scan.scan_licenses(frame(spark, docs)).collect()} == {i: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) for i, t, *_ in docs}
+    cut = {r["doc_id"]: r for r in line_dedup.drop_lines(frame(spark, docs), counts=True).collect()}
+    assert [(cut[i]["n_lines"], cut[i]["n_dropped"], cut[i]["text"] == "") for i in (0, 1, 2, 9)] == [(500, 500, True)] * 3 + [(1, 0, False)]
+    same = [(7, "one two three", "en", "src0", 0)] * 4 + [(8, "one two three", "en", "src0", 0)] * 2  # rows of one id are one unit
+    taken = mixing.select(frame(spark, same), budget=13, max_epochs=1).collect()
+    assert sum(r["take_tokens"] for r in taken) == 13 and {(r["doc_id"], r["n_tokens"]) for r in taken} == {(7, 12), (8, 6)}
