@@ -20,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 from itertools import count
 
 import numpy as np
@@ -37,7 +37,9 @@ from .components import connected
 FAMILY_KEYS = 150_000
 #: Searches before the largest component is left out, rounds of them in families of several parts, and the weight of a binary search against
 #: a step of the merge (mu of DivideSkip).
-PILOTS, ROUNDS, PROBE = 16, 3, 0.01
+PILOTS, ROUNDS, PROBE = 16, 2, 0.01
+#: Long lists that are asked at once.
+PROBES = 24
 
 SETS = "id bigint, n bigint, digest binary, keys binary"
 RANKED = "id bigint, n bigint, keys binary, prefix array<bigint>"
@@ -187,70 +189,74 @@ class Forest:
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
     """(member, in how many lists) of the members that stand in `least` of the sorted lists or more.
 
-    The heap holds the front of each list. Where the smallest member stands in too few, so many lists leave the heap that
-    the rest can't make up a hit below the then smallest front, and go on from that front by binary search.
+    The heap holds the front of each list. Below the front that is the `least`-th of all, a member can't stand in enough lists: after a member without a
+    hit, the lists before it go on to that front by binary search.
     """
     width = len(lists)
-    at = [0] * width
+    at, ends = [0] * width, list(map(len, lists))
     heap = [x[0] * width + k for k, x in enumerate(lists)]
     heapify(heap)
     while len(heap) >= least:
-        member = heap[0] // width
-        out = [heappop(heap) % width]
+        member, times = heap[0] // width, 0
         while heap and heap[0] // width == member:
-            out.append(heappop(heap) % width)
-        if len(out) >= least:
-            yield member, len(out)
-            front = member + 1
-        else:
-            while heap and len(out) < least - 1:
-                out.append(heappop(heap) % width)
-            if not heap:
-                return
+            k = heap[0] % width
+            at[k] = i = at[k] + 1
+            if i < ends[k]:
+                heapreplace(heap, lists[k][i] * width + k)
+            else:
+                heappop(heap)
+            times += 1
+        if times >= least:
+            yield member, times
+        elif len(heap) >= least > 1:
+            out = [heappop(heap) % width for _ in range(least - 1)]
             front = heap[0] // width
-        for k in out:
-            own = lists[k]
-            at[k] = i = at[k] + 1 if own[at[k]] == front - 1 else bisect_left(own, front, at[k])
-            if i < len(own):
-                heappush(heap, own[i] * width + k)
+            for k in out:
+                at[k] = i = bisect_left(lists[k], front, at[k])
+                if i < ends[k]:
+                    heappush(heap, lists[k][i] * width + k)
 
 
 class Lists:
     """Inverted lists of sets: for each key the numbers of the sets that hold it, in order."""
 
     def __init__(self, sizes: np.ndarray, sets: list[np.ndarray]):
-        self.sizes = sizes
+        self.sizes, self.m = sizes, len(sets)
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(flat, kind="stable")
         self.posting = owner[order]
-        self.keys, self.start = np.unique(flat[order], return_index=True)
-        self.end = np.append(self.start[1:], len(flat))
+        self.keys, self.start, length = np.unique(flat[order], return_index=True, return_counts=True)
+        self.end = self.start + length
+        #: All lists one after the other, as (number of the key, member), in order.
+        self.pairs = np.repeat(np.arange(len(self.keys)), length) * self.m + self.posting
 
-    def search(self, size: int, keys: np.ndarray, num: int, den: int) -> Iterator[int]:
+    def search(self, size: int, keys: np.ndarray, num: int, den: int) -> np.ndarray:
         """The sets that link to one of so many keys, itself included if it is among them. `keys` may leave out what no other set has."""
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         place = place[self.keys[place] == keys]
         least = int(need(size, num, den))
+        none = np.zeros(0, np.int64)
         if len(place) < least:
-            return
+            return none
         length = (self.end - self.start)[place]
         place = place[np.argsort(length, kind="stable")]
         n_long = min(int(least / (PROBE * np.log2(max(int(length.max()), 2)) + 1)), least - 1)
-        cut = lambda some: [self.posting[a:b] for a, b in zip(self.start[some].tolist(), self.end[some].tolist(), strict=True)]
-        found = list(merge_skip([x.tolist() for x in cut(place[: len(place) - n_long])], least - n_long))
+        short, long = place[: len(place) - n_long], place[len(place) - n_long :]
+        found = list(merge_skip([self.posting[a:b].tolist() for a, b in zip(self.start[short].tolist(), self.end[short].tolist(), strict=True)], least - n_long))
         if not found:
-            return
+            return none
         member, times = (np.array(x) for x in zip(*found, strict=True))
         goal = pair_need(size, self.sizes[member], num, den)
-        for k, long in enumerate(cut(place[len(place) - n_long :])):
+        for k in range(0, n_long, PROBES):
             # who has enough, or can't have enough any more, is not looked up further
             ask = np.flatnonzero((times < goal) & (times + n_long - k >= goal))
             if not len(ask):
                 break
-            at = np.minimum(np.searchsorted(long, member[ask]), len(long) - 1)
-            times[ask] += long[at] == member[ask]
-        yield from member[times >= goal].tolist()
+            want = long[k : k + PROBES, None] * self.m + member[ask]
+            at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+            times[ask] += (self.pairs[at] == want).sum(axis=0)
+        return member[times >= goal]
 
 
 def search_family(sizes: np.ndarray, sets: list[np.ndarray], num: int, den: int, found: list | None = None) -> Forest:
@@ -259,7 +265,7 @@ def search_family(sizes: np.ndarray, sets: list[np.ndarray], num: int, den: int,
     forest, lists = Forest(m), Lists(sizes, sets)
 
     def search(q: int) -> None:
-        for x in lists.search(int(sizes[q]), sets[q], num, den):
+        for x in lists.search(int(sizes[q]), sets[q], num, den).tolist():
             if forest.root(x) != forest.root(q):
                 forest.join(q, x)
                 if found is not None:
@@ -324,7 +330,7 @@ def search_parts(rows: DataFrame, num: int, den: int) -> DataFrame:
             if len(inside) and len(asking):
                 lists = Lists(n[inside], _keys_of(keys, inside))
                 for q in asking.tolist():
-                    hits = inside[list(lists.search(int(n[q]), _keys_of(keys, [q])[0], num, den))]
+                    hits = inside[lists.search(int(n[q]), _keys_of(keys, [q])[0], num, den)]
                     found += [(int(ids[q]), int(ids[x])) for x in hits.tolist() if root[x] != root[q]]
         return _links(found)
 
@@ -335,42 +341,53 @@ def search_large(rows: DataFrame, sizes: DataFrame, num: int, den: int, family_k
     """Links (a, b) of families of several parts; rows: family, id, n, keys, prefix; sizes: family, total."""
     parts = sizes.select("family", F.ceil(F.col("total") / family_keys).cast("bigint").alias("parts"))
     rows = stage(rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "large-families")
+
+    def in_all_parts(listed: DataFrame, seeks: DataFrame) -> DataFrame:
+        ask = seeks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("seeks", F.lit(True)).withColumn("listed", F.lit(False))
+        both = listed.withColumn("seeks", F.lit(False)).withColumn("listed", F.lit(True)).unionByName(ask)
+        return both.withColumn("grp", F.xxhash64("family", "part")).withColumn("bundle", F.col("grp"))
+
     links = None
-    left, seekers = rows.withColumn("root", F.col("id")), rows
+    left = seekers = rows.withColumn("root", F.col("id"))
     for turn in range(ROUNDS):
         # about PILOTS documents of each family, by a hash that is new in every round
         many = seekers.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
-        pilots = seekers.join(many, "family").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("many")) < PILOTS).select("id")
-        pilots = left.join(pilots, "id", "left_semi")
-        ask = pilots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("seeks", F.lit(True)).withColumn("listed", F.lit(False))
-        both = left.withColumn("seeks", F.lit(False)).withColumn("listed", F.lit(True)).unionByName(ask)
-        both = both.withColumn("grp", F.xxhash64("family", "part")).withColumn("bundle", F.col("grp"))
-        new = search_parts(both, num, den)
+        pilots = seekers.join(many, "family").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("many")) < PILOTS).drop("many")
+        new = search_parts(in_all_parts(left, pilots), num, den)
         links = stage(new if links is None else links.union(new), "pilot-links")
-        roots = connected(links)
-        left = stage(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "large-roots")
+        left = stage(rows.join(connected(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "large-roots")
         counts = left.groupBy("family", "root").agg(F.count(F.lit(1)).alias("many"))
         largest = counts.groupBy("family").agg(F.max(F.struct("many", "root")).alias("top")).select("family", F.col("top.root").alias("largest"))
-        seekers = stage(left.join(largest, "family").where("root <> largest").select("family", "id", "prefix", F.length("keys").alias("bytes")), "seekers")
-        remain = seekers.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // 8
+        seekers = stage(left.join(largest, "family").where("root <> largest").drop("largest"), "seekers")
+        remain = seekers.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 8
         if not remain:
             return links
         if remain <= family_keys:
             break
-    # the documents that share a prefix key with one that seeks; keys of the same documents (told by a sum of 64-bit hashes) are one group
+    # those that still seek go to all parts of their family, or to the documents that share a prefix key with them: whichever are fewer places
+    places = seekers.groupBy("family").agg(F.avg(F.size("prefix")).alias("places"), F.first("parts").alias("parts"))
+    by_keys = stage(places.where("places < parts").select("family"), "spread-families")
+    if by_keys.isEmpty():
+        return stage(links.union(search_parts(in_all_parts(left, seekers), num, den)), "links")
+    apart = lambda df, how: df.join(by_keys, "family", how)
+    links = links.union(search_parts(in_all_parts(apart(left, "left_anti"), apart(seekers, "left_anti")), num, den))
+    return stage(links.union(search_parts(in_key_groups(apart(left, "left_semi"), apart(seekers, "left_semi"), family_keys), num, den)), "links")
+
+
+def in_key_groups(rows: DataFrame, seekers: DataFrame, family_keys: int) -> DataFrame:
+    """The rows that share a prefix key with one that seeks, key by key; keys of the same documents (told by a sum of 64-bit hashes) are one group."""
     wanted = seekers.select(F.explode("prefix").alias("key")).distinct()
-    posting = left.select("id", F.length("keys").alias("bytes"), F.explode("prefix").alias("key")).join(wanted, "key", "left_semi")
+    posting = rows.select("id", F.length("keys").alias("bytes"), F.explode("prefix").alias("key")).join(wanted, "key", "left_semi")
     groups = posting.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("mark"), F.sum("bytes").alias("bytes")).where("many > 1")
     groups = groups.groupBy("many", "mark").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")).select("key", F.ceil(F.col("bytes") / 8 / family_keys).cast("bigint").alias("pieces"))
     seeking = seekers.select("id", F.lit(True).alias("seeks")).distinct()
     members = posting.select("key", "id").join(groups, "key").join(seeking, "id", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
     own = F.pmod(F.xxhash64("id"), F.col("pieces"))
     piece = F.explode(F.when(F.col("seeks"), F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).otherwise(F.array(own)))
-    dealt = members.withColumn("piece", piece).withColumn("listed", F.col("piece") == own).join(left.select("id", "n", "keys", "root"), "id")
+    dealt = members.withColumn("piece", piece).withColumn("listed", F.col("piece") == own).join(rows.select("id", "n", "keys", "root"), "id")
     dealt = dealt.withColumn("grp", F.xxhash64("key", "piece"))
     total = dealt.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 8
-    dealt = dealt.withColumn("bundle", F.when(F.col("pieces") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(2 * (total // family_keys) + 1))))
-    return stage(links.union(search_parts(dealt, num, den)), "links")
+    return dealt.withColumn("bundle", F.when(F.col("pieces") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(2 * (total // family_keys) + 1))))
 
 
 def search(families: DataFrame, num: int, den: int, family_keys: int) -> DataFrame:

@@ -134,7 +134,7 @@ def test_divide_skip_finds_every_link_itself(monkeypatch, probe):
     links = 0
     for q, s in enumerate(sets):
         want = [x for x, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
-        assert sorted(lists.search(len(s), s, 80, 100)) == want
+        assert sorted(lists.search(len(s), s, 80, 100).tolist()) == want
         links += len(want) - 1
     assert links > 200
     for pilots in (1, 16):
