@@ -33,11 +33,11 @@ from .blocks import U64, Block, answer, bucket_bits, chain, cut_runs, expand, me
 from .common import stage
 from .components import connected
 
-#: Keys of a family that are searched in one task, of a part of a larger one, and of a bundle of small ones.
-FAMILY_KEYS = 150_000
+#: Keys of a family that is searched in one task or of a part of a larger one, and of a bundle of small families, about.
+FAMILY_KEYS, BUNDLE_KEYS = 1_000_000, 150_000
 #: Searches before the largest component is left out, rounds of them in families of several parts, and the weight of a binary search against
 #: a step of the merge (mu of DivideSkip).
-PILOTS, ROUNDS, PROBE = 16, 2, 0.01
+PILOTS, ROUNDS, PROBE = 16, 2, 0.003
 #: Long lists that are asked at once.
 PROBES = 24
 
@@ -396,7 +396,7 @@ def search(families: DataFrame, num: int, den: int, family_keys: int) -> DataFra
     whole, most = sizes.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first()
     large = sizes.where(F.col("total") > family_keys)
     small = families.join(large.select("family"), "family", "left_anti") if most > family_keys else families
-    links = search_small(small, 2 * (whole // family_keys) + 1, num, den)
+    links = search_small(small, 2 * (whole // BUNDLE_KEYS) + 1, num, den)
     if most > family_keys:
         links = links.union(search_large(families.join(large.select("family"), "family", "left_semi"), large, num, den, family_keys))
     links = stage(links, "links")
