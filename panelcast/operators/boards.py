@@ -7,29 +7,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import agreement
+from ..functions.scalar import agreement, first_present, flags
 
 CONSENSUS = "Consensus"
-IDENTITY = ("player_id", "player_name", "position", "team", "target_season", "target_week")
+#: Columns that rows of several models must share to be one forecast; those that a frame lacks are left out.
+IDENTITY = (
+    "player_id", "player_name", "position", "team", "opponent", "target_season", "target_week", "target_game_id", "forecast_as_of", "history_through_season", "status", "missed",
+)
+REQUIRED = ("player_id", "player_name", "target_season", "target_week", "prediction")
+#: Context of a forecast, and the feature that stands for it where the forecast has none.
+OPPORTUNITY = {
+    "projected_target_share": "receiving_last_10_target_share",
+    "projected_carry_share": "receiving_last_10_carry_share",
+    "team_previous_season_targets": "receiving_last_10_team_targets",
+    "team_previous_season_pass_attempts": "receiving_last_10_team_pass_attempts",
+    "team_previous_season_rushing_attempts": "receiving_last_10_team_rushing_attempts",
+    "team_previous_season_offensive_plays": "receiving_last_10_team_offensive_plays",
+    "team_previous_season_pass_rate": "receiving_last_10_team_pass_rate",
+    "team_previous_season_rush_rate": "receiving_last_10_team_rush_rate",
+}
+#: What stands for a missing position, team and opponent.
+DEFAULTS = {"position": "QB", "team": "N/A", "opponent": "N/A"}
 #: Spreads up to which models agree tightly, and up to which they are mixed.
 TIGHT, MIXED = 1.5, 3.0
+#: Shares and plays below which an opportunity is at risk.
+COMMITTEE_SHARE, LOW_TARGET_SHARE, LOW_VOLUME = 0.45, 0.15, 58.0
 
 
-def prepare(frame: DataFrame, model: str | None = None, required: Sequence[str] = ("player_id", "player_name", "target_season", "target_week", "prediction")) -> DataFrame:
-    """A prediction frame with all columns that boards read: defaults, upper-case positions, error of the prediction."""
-    missing = [c for c in required if c not in frame.columns]
+def opportunity(columns: Sequence[str]) -> dict[str, Column]:
+    """The context columns, from the forecast itself or else from trailing features, and which of the two they rest on."""
+    found = {c: first_present(columns, [(c, "own"), (trailing, "trailing")])[0] for c, trailing in OPPORTUNITY.items()}
+    have = set(columns)
+    basis = "Depth-chart estimate" if have & set(OPPORTUNITY) else "Trailing history" if have & set(OPPORTUNITY.values()) else "Unavailable"
+    return found | {"opportunity_basis": F.lit(basis)}
+
+
+def prepare(frame: DataFrame, model: str | None = None) -> DataFrame:
+    """A prediction frame with all columns that boards read, beside those that it has: defaults, upper-case names of positions and teams, context, error of the prediction.
+
+    A model that is given is the name of all rows. A frame without a required column is refused; whether it has rows is for the reader of files to check.
+    """
+    missing = [c for c in REQUIRED if c not in frame.columns]
     if missing:
         raise ValueError(f"predictions lack {', '.join(missing)}")
     have = set(frame.columns)
-    text = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in have else F.lit(d)
-    number = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
-    out = frame.select(
-        F.col("player_id").cast("string").alias("player_id"), text("player_name", "Unknown").alias("player_name"), F.upper(text("position", "UNK")).alias("position"), text("team", "UNK").alias("team"),
-        F.col("target_season").cast("bigint").alias("target_season"), F.col("target_week").cast("bigint").alias("target_week"),
-        (F.col("model") if "model" in have else F.lit(model or "Model")).alias("model"), number("prediction").alias("prediction"), number("actual").alias("actual"),
-        (F.coalesce(F.col("missed"), F.lit(False)) if "missed" in have else F.lit(False)).alias("missed"),
-    )
-    return out.withColumns({"error": F.col("prediction") - F.col("actual"), "absolute_error": F.abs(F.col("prediction") - F.col("actual"))})
+    typed = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t)
+    new = {
+        "player_id": typed("player_id", "string"), "player_name": typed("player_name", "string"), "target_season": typed("target_season", "bigint"), "target_week": typed("target_week", "bigint"),
+        "prediction": typed("prediction", "double"), "actual": typed("actual", "double"), "missed": F.coalesce(typed("missed", "boolean"), F.lit(False)), "status": typed("status", "string"),
+        "model": F.lit(model) if model or "model" not in have else F.col("model"),
+    }
+    new |= opportunity(frame.columns) | {c: F.upper(F.coalesce(typed(c, "string"), F.lit(d))) for c, d in DEFAULTS.items()}
+    return frame.withColumns(new).withColumns({"error": F.col("prediction") - F.col("actual"), "absolute_error": F.abs(F.col("prediction") - F.col("actual"))})
 
 
 def union_models(frames: Sequence[DataFrame]) -> DataFrame:
@@ -39,13 +68,18 @@ def union_models(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _context(columns: Sequence[str]) -> list[Column]:
+    means = [F.avg(c).alias(c) for c in OPPORTUNITY if c in columns]
+    return [*means, F.min("opportunity_basis").alias("opportunity_basis")] if "opportunity_basis" in columns else means
+
+
 def consensus(frame: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """Mean prediction over models, their sample deviation and number, and the first actual there is (models share it)."""
-    out = frame.groupBy(*identity).agg(
+    """Mean prediction over models, their sample deviation and number, an actual if there is one (models share it), and the context's means."""
+    out = frame.groupBy(*(c for c in identity if c in frame.columns)).agg(
         F.avg("prediction").alias("prediction"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("spread"), F.countDistinct("model").alias("models"),
-        F.max("actual").alias("actual"), F.max("missed").alias("missed"),
+        F.max("actual").alias("actual"), *_context(frame.columns),
     )
-    return out.withColumn("error", F.col("prediction") - F.col("actual")).withColumn("model", F.lit(CONSENSUS))
+    return out.withColumns({"error": F.col("prediction") - F.col("actual"), "absolute_error": F.abs(F.col("prediction") - F.col("actual")), "model": F.lit(CONSENSUS)})
 
 
 def choose_model(frame: DataFrame, model: str) -> DataFrame:
@@ -62,27 +96,59 @@ def model_choices(frame: DataFrame) -> DataFrame:
 
 
 def draft_board(frame: DataFrame, season: int, positions: Sequence[str] | None = None) -> DataFrame:
-    """One row a player for a season: projected, actual and availability-adjusted totals, ranked within the position.
+    """One row a player for a season: projected and actual totals, those with games missed by injury added at the projected or the actual pace, gaps to the
+    projection (in points and percent), context and its risks, ranked within the position.
 
-    Actual figures are null until the selection has any result: that is one row joined on, not a window over the board.
+    Actual figures are null until the selection has any result (one row joined on, not a window over the board), and points also where the player neither
+    played nor missed a game by injury. The frame is one model or the consensus (see choose_model).
     """
     rows = frame.where(F.col("target_season") == season)
     if positions is not None:
         rows = rows.where(F.col("position").isin(list(positions)))
-    sums = rows.groupBy("player_id", "player_name", "position", "team").agg(
-        F.sum("prediction").alias("projected_points"), F.avg("prediction").alias("projected_ppg"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("volatility"), F.count(F.lit(1)).alias("projected_games"),
-        F.count("actual").alias("actual_games"), F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual_points"), F.count_if("missed").alias("missed_games"),
+    out = rows.groupBy("player_id", "player_name", "position", "team").agg(
+        F.sum("prediction").alias("projected_points"), F.avg("prediction").alias("points_per_game"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("volatility"), F.avg("spread").alias("model_spread"),
+        F.count(F.lit(1)).alias("projected_games"), F.count("actual").alias("actual_games"), F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual_points"), F.count_if("missed").alias("injury_games"), *_context(rows.columns),
     )
-    any_result = F.broadcast(rows.agg((F.count("actual") > 0).alias("_any")))
-    gated = sums.crossJoin(any_result)
-    for c in ("actual_games", "actual_points", "missed_games"):
-        gated = gated.withColumn(c, F.when(F.col("_any"), F.col(c)))
-    played_ppg = F.try_divide("actual_points", "actual_games")
-    out = gated.drop("_any").withColumns({"actual_ppg": played_ppg, "adjusted_points": F.col("actual_points") + F.col("missed_games") * F.col("projected_ppg"), "adjusted_actual": F.col("actual_points") + F.col("missed_games") * F.coalesce(played_ppg, F.lit(0.0))})
-    out = out.withColumns({"adjusted_delta": F.col("adjusted_points") - F.col("projected_points"), "adjusted_gap": F.try_divide(F.col("adjusted_points") - F.col("projected_points"), F.col("projected_points"))})
+    out = out.crossJoin(F.broadcast(rows.agg((F.count("actual") > 0).alias("_any"))))
+    there = F.col("_any") & ((F.col("actual_games") > 0) | (F.col("injury_games") > 0))
+    out = out.withColumns({"actual_points": F.when(there, F.col("actual_points")), "injury_games": F.when(F.col("_any"), F.col("injury_games")), "actual_games": F.when(F.col("_any"), F.col("actual_games"))}).drop("_any")
+    out = out.withColumns({"actual_points_per_game": F.when(F.col("actual_games") > 0, F.try_divide("actual_points", "actual_games")), "projection_delta": F.col("actual_points") - F.col("projected_points")})
+    for pace, per_game in (("projected_pace", "points_per_game"), ("actual_pace", "actual_points_per_game")):
+        added = F.col("injury_games") * F.col(per_game)
+        delta = F.col("actual_points") + added - F.col("projected_points")
+        out = out.withColumns({
+            f"{pace}_injury_points": added, f"{pace}_adjusted_actual": F.col("actual_points") + added, f"{pace}_adjusted_delta": delta,
+            f"{pace}_adjusted_delta_percent": F.try_divide(delta, "projected_points") * 100,
+        })
+    if "opportunity_basis" in out.columns:
+        out = out.withColumn("opportunity_risk", opportunity_risk())
     return out.withColumn("position_rank", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("projected_points"), "player_id")).cast("bigint"))
 
 
+def opportunity_risk() -> Column:
+    position = F.col("position")
+    return flags({
+        "RB committee": (position == "RB") & (F.col("projected_carry_share") < COMMITTEE_SHARE),
+        "Low target share": position.isin("WR", "TE") & (F.col("projected_target_share") < LOW_TARGET_SHARE),
+        "Low-volume offense": position.isin("QB", "RB", "WR", "TE") & (F.col("team_previous_season_offensive_plays") < LOW_VOLUME),
+    })
+
+
+#: The measures of a board as bars: points they start from, and points added for games missed by injury.
+MEASURES = {
+    "Projected": ("projected_points", None), "Actual": ("actual_points", None),
+    "Adjusted at projected PPG": ("actual_points", "projected_pace_injury_points"), "Adjusted at actual PPG": ("actual_points", "actual_pace_injury_points"),
+}
+
+
+def measure_bars(board: DataFrame, ids: Sequence[str] = ("player_id",)) -> DataFrame:
+    """ids, measure, base_points, addition_points, total_points of each measure; adjusted ones of players that missed games by injury alone, and none without points."""
+    bar = lambda name, base, more: F.struct(F.lit(name).alias("measure"), F.col(base).alias("base_points"), (F.col(more) if more else F.lit(0.0)).alias("addition_points"), F.lit(more is None).alias("plain"))
+    rows = board.select(*ids, "injury_games", F.explode(F.array(*(bar(k, *v) for k, v in MEASURES.items()))).alias("s")).select(*ids, "injury_games", "s.*")
+    rows = rows.where(F.col("plain") | (F.col("injury_games") > 0)).withColumn("total_points", F.col("base_points") + F.col("addition_points"))
+    return rows.where(F.col("total_points").isNotNull()).select(*ids, "measure", "base_points", "addition_points", "total_points")
+
+
 def weekly_board(frame: DataFrame, season: int, week: int, positions: Sequence[str] | None = None) -> DataFrame:
     rows = frame.where((F.col("target_season") == season) & (F.col("target_week") == week))
     if positions is not None:
@@ -98,17 +164,19 @@ def top_players(board: DataFrame, measure: str, count: int, search: str | None =
 
 
 def scorecard(frame: DataFrame) -> DataFrame:
-    """Samples, MAE, RMSE and bias (prediction - actual) of each model, and of the consensus."""
-    both = frame.select("model", "error").unionByName(consensus(frame).select("model", "error")).where(F.col("error").isNotNull())
+    """Samples, MAE, RMSE and bias (prediction - actual) of each model, and of the consensus if there are several."""
+    several = F.broadcast(frame.agg((F.countDistinct("model") > 1).alias("_several")))
+    of_all = consensus(frame).select("model", "error").crossJoin(several).where("_several").drop("_several")
+    both = frame.select("model", "error").unionByName(of_all).where(F.col("error").isNotNull())
     return both.groupBy("model").agg(
         F.count(F.lit(1)).alias("samples"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"))
 
 
-def forecast_state(frame: DataFrame, through: Column) -> DataFrame:
-    """One row: predictions, results and the last season of history, and whether this is a replay, upcoming or rolling forecast."""
-    one = frame.agg(F.count(F.lit(1)).alias("n_predictions"), F.count("actual").alias("n_actual"), F.max(through).alias("history_through"), F.max("target_season").alias("target_season"))
-    label = F.when(F.col("history_through") == F.col("target_season"), "rolling").when(F.col("n_actual") == 0, "upcoming").otherwise("replay")
-    return one.withColumn("state", label)
+def forecast_state(frame: DataFrame, through: str = "history_through_season") -> DataFrame:
+    """One row: predictions, results, and the state: of a forecast with a frozen history a replay if there are results, else upcoming; rolling without that column."""
+    frozen = through in frame.columns
+    one = frame.agg(F.count(F.lit(1)).alias("n_predictions"), F.count("actual").alias("n_actual"), (F.max(through) if frozen else F.lit(None).cast("bigint")).alias("history_through"), F.max("target_season").alias("target_season"))
+    return one.withColumn("state", F.when(F.col("n_actual") > 0, "replay").otherwise("upcoming") if frozen else F.lit("rolling"))
 
 
 def long_series(frame: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "series", value: str = "points") -> DataFrame:

@@ -11,10 +11,12 @@ from .panel import PERIOD
 
 
 def metrics(frame: DataFrame, actual: Column, prediction: Column) -> DataFrame:
-    """One row: n, MAE, RMSE, and the mean relative error over actual values other than 0 (null without any)."""
+    """One row: n, MAE, RMSE, and the mean relative error over actual values other than 0. Reading it fails without any sample, and if all actual values are 0."""
     e = actual - prediction
-    return frame.where(actual.isNotNull() & prediction.isNotNull()).agg(
+    one = frame.where(actual.isNotNull() & prediction.isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(actual != 0, F.abs(e) / F.abs(actual))).alias("relative_error"))
+    wrong = F.when(F.col("n") == 0, F.lit("metrics need at least one sample")).otherwise(F.lit("the relative error needs an actual value other than 0"))
+    return one.withColumn("relative_error", F.when(F.col("relative_error").isNull(), F.raise_error(wrong).cast("double")).otherwise(F.col("relative_error")))
 
 
 def _cohort(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
 from ..operators import boards, evaluate
-from .views import CONSENSUS, M, P, m, p, query, r6
+from .views import CONSENSUS, FT, M, P, m, p, query, r6
 
 
 def r4(c: str) -> Column:
@@ -16,7 +15,8 @@ def r4(c: str) -> Column:
 
 @query(f"""WITH {M} SELECT player_id, player_name, position, team, target_season, target_week, model, prediction, actual, missed, round(error + 1.3e-7, 6) AS error, round(absolute_error + 1.3e-7, 6) AS absolute_error FROM M""")
 def prepare_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return m(spark, d).withColumns({"error": r6(F.col("error")), "absolute_error": r6(F.col("absolute_error"))})
+    shown = ("player_id", "player_name", "position", "team", "target_season", "target_week", "model", "prediction", "actual", "missed")
+    return m(spark, d).select(*shown, r6(F.col("error")).alias("error"), r6(F.col("absolute_error")).alias("absolute_error"))
 
 
 @query(f"""WITH {CONSENSUS} SELECT player_id, target_season, target_week, round(prediction + 1.3e-7, 4) AS prediction, round(spread + 1.3e-7, 4) AS spread, models, actual, missed FROM C""")
@@ -29,24 +29,41 @@ def model_choices(spark: SparkSession, d: str) -> DataFrame:
     return boards.model_choices(m(spark, d))
 
 
-_BOARD = """B0 AS (SELECT * FROM M WHERE model = 'A' AND target_season = 1997), ANYR AS (SELECT count(actual) > 0 AS a FROM B0),
-B1 AS (SELECT player_id, player_name, position, team, sum(prediction) AS projected_points, avg(prediction) AS projected_ppg, coalesce(stddev_samp(prediction), 0) AS volatility, count(*) AS projected_games,
-         count(actual) AS g, coalesce(sum(actual), 0) AS pts, count(*) FILTER (WHERE missed) AS ms FROM B0 GROUP BY ALL),
-B2 AS (SELECT * EXCLUDE (g, pts, ms, a), CASE WHEN a THEN g END AS actual_games, CASE WHEN a THEN pts END AS actual_points, CASE WHEN a THEN ms END AS missed_games FROM B1, ANYR),
-B3 AS (SELECT *, CASE WHEN actual_games <> 0 THEN actual_points / actual_games END AS actual_ppg, actual_points + missed_games * projected_ppg AS adjusted_points FROM B2),
-BOARD AS (SELECT *, actual_points + missed_games * coalesce(actual_ppg, 0) AS adjusted_actual, adjusted_points - projected_points AS adjusted_delta, CASE WHEN projected_points <> 0 THEN (adjusted_points - projected_points) / projected_points END AS adjusted_gap,
-  row_number() OVER (PARTITION BY position ORDER BY projected_points DESC, player_id) AS position_rank FROM B3)"""
+#: The panel's segments as positions, and columns of the panel as context.
+_POSITIONS = {"AUTOMOBILE": "QB", "BUILDING": "RB", "FURNITURE": "WR", "HOUSEHOLD": "TE", "MACHINERY": "K"}
+_CASE = "CASE position " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _POSITIONS.items()) + " END"
+
 
+def _season(spark: SparkSession, d: str) -> DataFrame:
+    named = F.create_map(*(F.lit(x) for pair in _POSITIONS.items() for x in pair))
+    rows = m(spark, d).withColumns({"position": named[F.col("position")], "projected_carry_share": F.col("target_week") / 12, "projected_target_share": F.col("target_week") / 40, "team_previous_season_offensive_plays": F.lit(50.0) + F.col("target_week")})
+    return boards.draft_board(boards.choose_model(boards.prepare(rows), "A"), 1997)
 
-@query(f"""WITH {M}, {_BOARD} SELECT player_id, player_name, position, team, round(projected_points + 1.3e-7, 4) AS projected_points, round(projected_ppg + 1.3e-7, 4) AS projected_ppg, round(volatility + 1.3e-7, 4) AS volatility, projected_games, actual_games,
-round(actual_points + 1.3e-7, 4) AS actual_points, missed_games, round(adjusted_points + 1.3e-7, 4) AS adjusted_points, round(adjusted_actual + 1.3e-7, 4) AS adjusted_actual, round(adjusted_delta + 1.3e-7, 4) AS adjusted_delta, round(adjusted_gap + 1.3e-7, 4) AS adjusted_gap, position_rank,
-concat_ws('; ', CASE WHEN volatility > 100000 THEN 'Volatile' END, CASE WHEN projected_games <= 2 THEN 'Few games' END, CASE WHEN missed_games > 0 THEN 'Missed games' END) AS risk FROM BOARD""")
+
+_BOARD = f"""B0 AS (SELECT * REPLACE ({_CASE} AS position) FROM M WHERE model = 'A' AND target_season = 1997), ANYR AS (SELECT count(actual) > 0 AS a FROM B0),
+B1 AS (SELECT player_id, player_name, position, team, sum(prediction) AS projected_points, avg(prediction) AS points_per_game, coalesce(stddev_samp(prediction), 0) AS volatility, count(*) AS projected_games,
+         avg(target_week / 12) AS projected_carry_share, avg(target_week / 40) AS projected_target_share, avg(50 + target_week) AS team_previous_season_offensive_plays,
+         count(actual) AS g, coalesce(sum(actual), 0) AS pts, count(*) FILTER (WHERE missed) AS ms FROM B0 GROUP BY ALL),
+B2 AS (SELECT * EXCLUDE (g, pts, ms, a), CASE WHEN a THEN g END AS actual_games, CASE WHEN a AND (g > 0 OR ms > 0) THEN pts END AS actual_points, CASE WHEN a THEN ms END AS injury_games FROM B1, ANYR),
+B3 AS (SELECT *, CASE WHEN actual_games > 0 THEN actual_points / actual_games END AS actual_points_per_game, actual_points - projected_points AS projection_delta FROM B2),
+B4 AS (SELECT *, injury_games * points_per_game AS projected_pace_injury_points, injury_games * actual_points_per_game AS actual_pace_injury_points FROM B3),
+B5 AS (SELECT *, actual_points + projected_pace_injury_points AS projected_pace_adjusted_actual, actual_points + actual_pace_injury_points AS actual_pace_adjusted_actual FROM B4),
+BOARD AS (SELECT *, projected_pace_adjusted_actual - projected_points AS projected_pace_adjusted_delta, actual_pace_adjusted_actual - projected_points AS actual_pace_adjusted_delta,
+  (projected_pace_adjusted_actual - projected_points) / nullif(projected_points, 0) * 100 AS projected_pace_adjusted_delta_percent, (actual_pace_adjusted_actual - projected_points) / nullif(projected_points, 0) * 100 AS actual_pace_adjusted_delta_percent,
+  concat_ws('; ', CASE WHEN position = 'RB' AND projected_carry_share < 0.45 THEN 'RB committee' END, CASE WHEN position IN ('WR', 'TE') AND projected_target_share < 0.15 THEN 'Low target share' END,
+    CASE WHEN position IN ('QB', 'RB', 'WR', 'TE') AND team_previous_season_offensive_plays < 58 THEN 'Low-volume offense' END) AS opportunity_risk,
+  row_number() OVER (PARTITION BY position ORDER BY projected_points DESC, player_id) AS position_rank FROM B5)"""
+_POINTS = (
+    "projected_points", "points_per_game", "volatility", "projected_carry_share", "projected_target_share", "team_previous_season_offensive_plays", "actual_points", "actual_points_per_game", "projection_delta",
+    "projected_pace_injury_points", "actual_pace_injury_points", "projected_pace_adjusted_actual", "actual_pace_adjusted_actual", "projected_pace_adjusted_delta", "actual_pace_adjusted_delta",
+    "projected_pace_adjusted_delta_percent", "actual_pace_adjusted_delta_percent",
+)
+_SHOWN = ", ".join(f"round({c} + 1.3e-7, 4) AS {c}" for c in _POINTS)
+
+
+@query(f"""WITH {M}, {_BOARD} SELECT player_id, player_name, position, team, {_SHOWN}, CAST(0 AS DOUBLE) AS model_spread, projected_games, actual_games, injury_games, 'Depth-chart estimate' AS opportunity_basis, opportunity_risk, position_rank FROM BOARD""")
 def draft_board(spark: SparkSession, d: str) -> DataFrame:
-    b = boards.draft_board(m(spark, d).where("model = 'A'"), 1997)
-    risk = scalar.flags({"Volatile": F.col("volatility") > 100000, "Few games": F.col("projected_games") <= 2, "Missed games": F.col("missed_games") > 0})
-    return b.select(
-        "player_id", "player_name", "position", "team", r4("projected_points"), r4("projected_ppg"), r4("volatility"), "projected_games", "actual_games", r4("actual_points"), "missed_games",
-        r4("adjusted_points"), r4("adjusted_actual"), r4("adjusted_delta"), r4("adjusted_gap"), "position_rank", risk.alias("risk"))
+    return _season(spark, d).select("player_id", "player_name", "position", "team", *map(r4, _POINTS), "model_spread", "projected_games", "actual_games", "injury_games", "opportunity_basis", "opportunity_risk", "position_rank")
 
 
 @query(f"""WITH {CONSENSUS} SELECT player_id, position, round(prediction + 1.3e-7, 4) AS prediction, row_number() OVER (PARTITION BY position ORDER BY prediction DESC, player_id) AS position_rank,
@@ -56,26 +73,24 @@ def weekly_board(spark: SparkSession, d: str) -> DataFrame:
     return b.select("player_id", "position", r4("prediction"), "position_rank", "agreement")
 
 
-@query(f"""WITH {M}, {_BOARD} SELECT player_name AS player, round(projected_points + 1.3e-7, 4) AS points, round(100 * adjusted_gap + 1.3e-7, 2) AS gap_percent FROM BOARD WHERE contains(player_name, '7') ORDER BY adjusted_points DESC NULLS LAST, player_id LIMIT 25""")
+@query(f"""WITH {M}, {_BOARD} SELECT player_name AS player, round(projected_points + 1.3e-7, 4) AS points, round(projected_pace_adjusted_delta_percent + 1.3e-7, 2) AS gap_percent FROM BOARD WHERE contains(player_name, '7') ORDER BY projected_pace_adjusted_actual DESC NULLS LAST, player_id LIMIT 25""")
 def top_players(spark: SparkSession, d: str) -> DataFrame:
-    b = boards.top_players(boards.draft_board(m(spark, d).where("model = 'A'"), 1997), "adjusted_points", 25, "7")
-    return b.select(F.col("player_name").alias("player"), F.round(F.col("projected_points") + 1.3e-7, 4).alias("points"), F.round(100 * F.col("adjusted_gap") + 1.3e-7, 2).alias("gap_percent"))
+    b = boards.top_players(_season(spark, d), "projected_pace_adjusted_actual", 25, "7")
+    return b.select(F.col("player_name").alias("player"), F.round(F.col("projected_points") + 1.3e-7, 4).alias("points"), F.round(F.col("projected_pace_adjusted_delta_percent") + 1.3e-7, 2).alias("gap_percent"))
 
 
-@query(f"""WITH {M}, H AS (SELECT * FROM M WHERE model = 'A' AND target_season = 1997 AND player_id IN ('1', '4', '7', '10', '13', '100'))
-SELECT player_id, target_week, 'prediction' AS series, prediction AS points FROM H UNION ALL SELECT player_id, target_week, 'actual', actual FROM H""")
+@query(f"""WITH {M}, H AS (SELECT * FROM M WHERE model = 'A')
+SELECT player_id, target_season, target_week, 'prediction' AS series, prediction AS points FROM H UNION ALL SELECT player_id, target_season, target_week, 'actual', actual FROM H""")
 def series_long(spark: SparkSession, d: str) -> DataFrame:
-    h = boards.player_history(m(spark, d).where("model = 'A'"), ["1", "4", "7", "10", "13", "100"], 1997)
-    return boards.long_series(h, ["player_id", "target_week"], ["prediction", "actual"])
+    return boards.long_series(m(spark, d).where("model = 'A'"), ["player_id", "target_season", "target_week"], ["prediction", "actual"])
 
 
-@query(f"""WITH {M}, {_BOARD}, L AS (SELECT player_id, unnest([{{'measure': 'projected', 'base': projected_points, 'added': 0.0}}, {{'measure': 'adjusted', 'base': actual_points, 'added': missed_games * projected_ppg}}]) AS s FROM BOARD)
-SELECT player_id, s.measure AS measure, round(s.base + 1.3e-7, 4) AS base, round(s.added + 1.3e-7, 4) AS added, round(s.base + s.added + 1.3e-7, 4) AS total FROM L WHERE s.base IS NOT NULL""")
+@query(f"""WITH {M}, {_BOARD}, L AS (SELECT player_id, injury_games, unnest([{{'measure': 'Projected', 'base': projected_points, 'added': 0.0}}, {{'measure': 'Actual', 'base': actual_points, 'added': 0.0}},
+  {{'measure': 'Adjusted at projected PPG', 'base': actual_points, 'added': projected_pace_injury_points}}, {{'measure': 'Adjusted at actual PPG', 'base': actual_points, 'added': actual_pace_injury_points}}]) AS s FROM BOARD)
+SELECT player_id, s.measure AS measure, round(s.base + 1.3e-7, 4) AS base_points, round(s.added + 1.3e-7, 4) AS addition_points, round(s.base + s.added + 1.3e-7, 4) AS total_points FROM L
+WHERE s.base + s.added IS NOT NULL AND (injury_games > 0 OR s.measure IN ('Projected', 'Actual'))""")
 def measures_long(spark: SparkSession, d: str) -> DataFrame:
-    b = boards.draft_board(m(spark, d).where("model = 'A'"), 1997)
-    row = lambda name, base, added: F.struct(F.lit(name).alias("measure"), base.alias("base"), added.alias("added"))
-    s = b.select("player_id", F.explode(F.array(row("projected", F.col("projected_points"), F.lit(0.0)), row("adjusted", F.col("actual_points"), F.col("missed_games") * F.col("projected_ppg")))).alias("s")).select("player_id", "s.*").where("base is not null")
-    return s.withColumn("total", F.col("base") + F.col("added")).select("player_id", "measure", r4("base"), r4("added"), r4("total"))
+    return boards.measure_bars(_season(spark, d)).select("player_id", "measure", r4("base_points"), r4("addition_points"), r4("total_points"))
 
 
 @query(f"""WITH {CONSENSUS}, E AS (SELECT model, error FROM M UNION ALL SELECT 'Consensus', prediction - actual FROM C)
@@ -84,11 +99,10 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
     return boards.scorecard(m(spark, d)).select("model", "samples", *(F.round(c, 3).alias(c) for c in ("mae", "rmse", "bias")))
 
 
-@query(f"""WITH {M} SELECT count(*) AS n_predictions, count(actual) AS n_actual, max(history) AS history_through, max(target_season) AS target_season,
-CASE WHEN max(history) = max(target_season) THEN 'rolling' WHEN count(actual) = 0 THEN 'upcoming' ELSE 'replay' END AS state FROM (SELECT *, target_season - CAST(target_week = 1 AS INTEGER) AS history FROM M WHERE target_season = 1997)""")
+@query(f"""WITH {FT} SELECT 2 * count(*) AS n_predictions, 2 * count(*) FILTER (WHERE status <> 'P') AS n_actual, max(h_through_season) AS history_through, max(season) AS target_season,
+CASE WHEN count(*) FILTER (WHERE status <> 'P') > 0 THEN 'replay' ELSE 'upcoming' END AS state FROM FT WHERE season = 1997""")
 def forecast_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = m(spark, d).where("target_season = 1997")
-    return boards.forecast_state(rows, F.col("target_season") - (F.col("target_week") == 1).cast("bigint"))
+    return boards.forecast_state(m(spark, d).where("target_season = 1997"))
 
 
 _E = "E AS (SELECT *, actual - prediction AS e FROM M WHERE model = 'A' AND actual IS NOT NULL)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +62,21 @@ def prediction_columns(frame: DataFrame, identity: Sequence[str], context: Seque
 
 
 def model_name(path: Column) -> Column:
-    """The folder or file name of a prediction file, in capitals if it has up to four letters, else with a capital."""
-    stem = F.regexp_extract(path, r"([A-Za-z0-9_-]+?)(?:-predictions)?(?:\.parquet)?/?(?:part-[^/]*)?$", 1)
-    return F.when(F.length(stem) <= 4, F.upper(stem)).otherwise(F.initcap(stem))
+    """The file's or folder's name without its ending and "-predictions", dashes as blanks: in capitals if it has up to four letters, else each word with a capital."""
+    stem = F.regexp_extract(path, r"([^/]+?)(?:-predictions)?(?:\.parquet)?/?(?:part-[^/]*)?$", 1)
+    name = F.trim(F.replace(F.url_decode(stem), F.lit("-"), F.lit(" ")))
+    return F.when(F.length(name) <= 4, F.upper(name)).otherwise(F.initcap(name))
 
 
 def read_predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Prediction files of several models in one read, with columns that only some have, and the model's name from the path."""
-    return spark.read.option("mergeSchema", True).parquet(*paths).withColumn("model", model_name(F.col("_metadata.file_path")))
+    """Prediction files of several models, each with its model's name from the path, and columns that only some have. No paths, and a path without rows, are errors."""
+    if not paths:
+        raise ValueError("no prediction files")
+    frames = [spark.read.parquet(p).withColumn("model", model_name(F.lit(p))) for p in paths]
+    for path, frame in zip(paths, frames, strict=True):
+        if frame.isEmpty():
+            raise ValueError(f"{path} holds no predictions")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def manifest(sources: Sequence[tuple[str, DataFrame]], outputs: Sequence[tuple[str, DataFrame]], parameters: dict[str, str]) -> DataFrame:

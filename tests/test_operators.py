@@ -112,13 +112,63 @@ def test_consensus_and_board(spark):
     c = boards.consensus(predictions(spark))
     got = rows(c.select("player_id", "target_week", "prediction", F.round("spread", 6), "models"), "player_id", "target_week")
     assert [g[2] for g in got] == [20.0, 22.0, 18.0, 16.0] and {g[3] for g in got} == {1.414214} and {g[4] for g in got} == {2}
-    b = boards.draft_board(c, 2024).select("player_id", "projected_points", "actual_points", "adjusted_points", "position_rank", F.round("adjusted_gap", 6))
-    assert rows(b, "player_id") == [("1", 42.0, 16.0, 37.0, 1, round(-5 / 42, 6)), ("2", 34.0, 20.0, 20.0, 2, round(-14 / 34, 6))]
+    b = boards.draft_board(c, 2024).select("player_id", "projected_points", "actual_points", "projected_pace_adjusted_actual", "position_rank", F.round("projected_pace_adjusted_delta_percent", 4))
+    assert rows(b, "player_id") == [("1", 42.0, 16.0, 37.0, 1, round(-500 / 42, 4)), ("2", 34.0, 20.0, 20.0, 2, round(-1400 / 34, 4))]
 
 
 def test_board_without_results_is_null(spark):
     p = predictions(spark).withColumn("actual", F.lit(None).cast("double"))
-    assert {r["actual_points"] for r in boards.draft_board(p.where("model = 'A'"), 2024).collect()} == {None}
+    got = boards.draft_board(boards.choose_model(p, "A"), 2024).collect()
+    assert {(r["actual_points"], r["actual_games"], r["injury_games"], r["projection_delta"]) for r in got} == {(None,) * 4}
+
+
+def test_board_of_players_without_games_and_of_missed_games_alone(spark):
+    data = [("1", 1, 10.0, 8.0, False), ("2", 1, 10.0, None, False), ("3", 1, 10.0, None, True), ("4", 1, 10.0, 6.0, False), ("4", 2, 14.0, None, True)]
+    p = boards.prepare(spark.createDataFrame([(i, "n", "RB", "t", 2024, w, v, a, x, 0.2, 50.0) for i, w, v, a, x in data], "player_id string, player_name string, position string, team string, target_season int, target_week int, prediction double, actual double, missed boolean, receiving_last_10_carry_share double, receiving_last_10_team_offensive_plays double"), "m")
+    got = {r["player_id"]: r for r in boards.draft_board(boards.choose_model(p, "m"), 2024).collect()}
+    one = lambda i, *names: tuple(got[i][c] for c in names)
+    assert one("2", "actual_points", "injury_games", "projected_pace_adjusted_actual") == (None, 0, None)
+    assert one("3", "actual_points", "projected_pace_adjusted_actual", "actual_points_per_game", "actual_pace_adjusted_actual") == (0.0, 10.0, None, None)
+    assert one("4", "actual_points", "projected_pace_injury_points", "actual_pace_injury_points", "projected_pace_adjusted_delta", "actual_pace_adjusted_delta_percent") == (6.0, 12.0, 6.0, -6.0, -50.0)
+    assert {(r["opportunity_basis"], r["opportunity_risk"], r["team"]) for r in got.values()} == {("Trailing history", "RB committee; Low-volume offense", "T")}
+    bars = {(r["player_id"], r["measure"]): r["total_points"] for r in boards.measure_bars(boards.draft_board(boards.choose_model(p, "m"), 2024)).collect()}
+    assert bars == {**{(i, "Projected"): 24.0 if i == "4" else 10.0 for i in "1234"}, ("1", "Actual"): 8.0, ("3", "Actual"): 0.0, ("4", "Actual"): 6.0, ("3", "Adjusted at projected PPG"): 10.0, ("4", "Adjusted at projected PPG"): 18.0, ("4", "Adjusted at actual PPG"): 12.0}
+
+
+def test_prepare_defaults_and_state(spark):
+    raw = spark.createDataFrame([("1", "n", 2024, 1, 3.0, "x")], "player_id string, player_name string, target_season int, target_week int, prediction double, own string")
+    r = boards.prepare(raw, "svr").first()
+    assert (r["position"], r["team"], r["opponent"], r["own"], r["missed"], r["status"], r["opportunity_basis"], r["model"]) == ("QB", "N/A", "N/A", "x", False, None, "Unavailable", "svr")
+    assert boards.forecast_state(boards.prepare(raw)).first()["state"] == "rolling"
+    frozen = boards.prepare(raw.withColumn("history_through_season", F.lit(2023)))
+    assert boards.forecast_state(frozen).first()["state"] == "upcoming" and boards.forecast_state(frozen.withColumn("actual", F.lit(1.0))).first()["state"] == "replay"
+
+
+def test_consensus_keeps_forecasts_apart_and_scorecard_of_one_model(spark):
+    p = predictions(spark)
+    assert boards.consensus(p.withColumn("opponent", F.when(F.col("model") == "A", "X").otherwise("Y"))).count() == 2 * boards.consensus(p).count()
+    assert {r["model"] for r in boards.scorecard(p).collect()} == {"A", "B", "Consensus"}
+    assert {r["model"] for r in boards.scorecard(p.where("model = 'A'")).collect()} == {"A"}
+
+
+def test_model_names_and_prediction_files(spark, tmp_path):
+    from panelcast.sources import io
+
+    for name in ("svr-predictions.parquet", "elastic-net-predictions.parquet"):
+        predictions(spark).drop("model").write.parquet(str(tmp_path / name))
+    got = io.read_predictions(spark, [str(tmp_path / "svr-predictions.parquet"), str(tmp_path / "elastic-net-predictions.parquet")])
+    assert {r["model"] for r in got.select("model").distinct().collect()} == {"SVR", "Elastic Net"}
+    predictions(spark).limit(0).write.parquet(str(tmp_path / "none.parquet"))
+    for paths in ([], [str(tmp_path / "none.parquet")]):
+        with pytest.raises(ValueError, match="no prediction"):
+            io.read_predictions(spark, paths)
+
+
+def test_metrics_need_samples(spark):
+    f = spark.createDataFrame([(0.0, 1.0)], "a double, p double")
+    for frame in (f, f.limit(0)):
+        with pytest.raises(Exception, match="needs? a"):
+            evaluate.metrics(frame, F.col("a"), F.col("p")).collect()
 
 
 def test_prepare_needs_columns(spark):
