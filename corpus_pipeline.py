@@ -7,7 +7,7 @@ an empty table passes through every stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import bpe, line_dedup, mixing, ngram_join, quality
@@ -18,6 +18,11 @@ from panelcast.session import reach_workers
 BROADCAST_IDS = 1_000_000
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of the table, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.keep_quality(docs)
@@ -25,19 +30,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too large a share of their source's documents go; the documents stay, with n_chars as it is now."""
-    return line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*own(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
     found = stage(ngram_join.join(docs, n=5, num=80, den=100).select("doc_id", "component_id"), "near-copies")
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti").select(*own(docs))
     twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
     # repeated rows of one id and text are one document
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return kept.join(twice, "doc_id", "left_anti").select(*own(docs)).union(kept.join(twice, "doc_id", "left_semi").select(*own(docs)).dropDuplicates(["doc_id", "text"]))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ STAGES = [
     ("mixing sources to target weights", source_mix),
     ("BPE encoding and decoding", bpe_encode),
 ]
-#: The n-gram join's components, and what rests on them, have no SQL; tests hold run() against brute force.
+#: The n-gram join's components, and what rests on them, have no SQL; tests hold each stage and run() against plain Python.
 ORACLE_SQL = None
 
 
