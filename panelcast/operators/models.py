@@ -88,7 +88,7 @@ def grid_select(frame: DataFrame, candidates: Sequence[tuple[str, Pipeline]], ta
         errors = []
         for k in range(1, folds + 1):
             train, test = fold_rows(frame, parts, k, period)
-            errors.append(metrics(pipeline.fit(train).transform(test), F.col(target), F.col("prediction")).first()["mae"])
+            errors.append(metrics(pipeline.fit(train).transform(test), F.col(target), F.col("prediction")).select("mae").first()["mae"])
         scores.append((name, sum(errors) / len(errors)))
     return sorted(scores, key=lambda s: s[1])
 
