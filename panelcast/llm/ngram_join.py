@@ -40,6 +40,8 @@ FAMILY_KEYS, BUNDLE_KEYS = 1_000_000, 150_000
 PILOTS, ROUNDS, PROBE = 16, 2, 0.003
 #: Long lists that are asked at once.
 PROBES = 24
+#: Rows of ids that are broadcast to a join with sets (about 40 bytes each); beyond, both are shuffled.
+BROADCAST_IDS = 500_000
 
 SETS = "id bigint, n bigint, digest binary, keys binary"
 RANKED = "id bigint, n bigint, keys binary, prefix array<bigint>"
@@ -403,6 +405,10 @@ def search(families: DataFrame, num: int, den: int, family_keys: int) -> DataFra
     return connected(links) if most > family_keys else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_words: int | None = None, family_keys: int = FAMILY_KEYS) -> DataFrame:
     """One row per row: id, n_shingles, component_id: the smallest id that links lead to, its own included.
 
@@ -413,13 +419,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     sets = stage(candidates(docs, id_col, text_col, n, num, den, block_words), "sets")
     able = sets.where(F.col("keys").isNotNull())
     classes = stage(able.groupBy("digest").agg(F.min("id").alias("first")), "classes")
-    apart = able.join(classes.select("digest", F.col("first").alias("id")), ["digest", "id"]).select("id", "keys")
+    apart = able.join(_small(classes.select("digest", F.col("first").alias("id"))), ["digest", "id"]).select("id", "keys")
     rows = stage(ranked(apart, num, den), "ranked")
     posting = rows.select("id", F.explode("prefix").alias("key"))
     leads = posting.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
     families = connected(posting.join(leads, "key").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    grouped = rows.join(families.select("id", F.col("root").alias("family")), "id").select("family", "id", "n", "keys", "prefix")
+    grouped = rows.join(_small(families.select("id", F.col("root").alias("family"))), "id").select("family", "id", "n", "keys", "prefix")
     roots = search(grouped, num, den, family_keys).groupBy("id").agg(F.min("root").alias("root"))
     of_class = classes.join(roots, classes["first"] == roots["id"], "left").select("digest", F.coalesce("root", "first").alias("root"))
-    out = sets.select("id", "n", "digest").join(of_class, "digest", "left")
+    out = sets.select("id", "n", "digest").join(_small(of_class), "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
