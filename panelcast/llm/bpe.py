@@ -188,9 +188,15 @@ def _added(rows: DataFrame, source: str, column: str, kind: str, work: Callable[
     return held.mapInArrow(run, schema).toDF(*(f.name for f in fields), column)
 
 
+def _lists(raws: list[bytes]) -> pa.ListArray:
+    """Each text's ids as one entry of array<int>, over one flat array."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in raws)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Every row with its ids as array<int>; null text gives an empty array. A column named as ids_col is replaced."""
-    return _added(docs, text_col, ids_col, "array<int>", lambda texts: pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in load(path).encode(texts)], pa.list_(pa.int32())))
+    return _added(docs, text_col, ids_col, "array<int>", lambda texts: _lists(list(load(path).encode(texts))))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -198,6 +204,10 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     return _added(rows, ids_col, text_col, "string", lambda ids: pa.array([load(path).decode(np.array(x or [], np.int64)) for x in ids], pa.string()))
 
 
+def _decoded_sha(bpe: WordBpe, raw: bytes) -> str:
+    return hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest()
+
+
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens and SHA-256 of the ids and of the text that they decode to. Null text counts as empty."""
 
@@ -208,9 +218,33 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for raw in bpe.encode(b.column(1).to_pylist()):
                 n.append(len(raw) // 4)
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest())
+                text_sha.append(_decoded_sha(bpe, raw))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(f"`{id_col}`", f"`{text_col}`")
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(work, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+#: Rows that round_trip works on at once, so that a task holds the ids and decoded texts of no more.
+ROUND_TRIP_ROWS = 1_000
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Every row without its text, with ids array<int> and decoded_sha256, the SHA-256 of the text that they decode to.
+
+    Both ways in one pass, so that a task has one Python worker and the ids don't leave it in between. Null text counts as empty. Columns
+    named ids or decoded_sha256 are replaced; other columns come out whole, whatever their names.
+    """
+    fields = [f for f in docs.schema if f.name not in (text_col, "ids", "decoded_sha256")]
+    held = docs.select(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(fields)), F.col(f"`{text_col}`").alias("source"))
+    names = [*(f"c{k}" for k in range(len(fields))), "ids", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for b in (x.slice(k, ROUND_TRIP_ROWS) for x in batches for k in range(0, x.num_rows, ROUND_TRIP_ROWS)):
+            raws = list(bpe.encode(b.column(len(fields)).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(raws), pa.array([_decoded_sha(bpe, x) for x in raws], pa.string())], names=names)
+
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)), "ids array<int>, decoded_sha256 string"])
+    return held.mapInArrow(run, schema).toDF(*(f.name for f in fields), "ids", "decoded_sha256")

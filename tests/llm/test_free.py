@@ -227,13 +227,17 @@ def test_bpe(spark):
     rows = told.collect()
     sums = {r["doc_id"]: r for r in bpe.encode_digests(frame(spark, docs), WORD_FILE).collect()}
     text = {i: t for i, t, *_ in docs}
-    assert len(rows) == len(sums) == len(docs)
+    both = bpe.round_trip(clashing(spark, docs), WORD_FILE)
+    untouched(both, clashing(spark, docs), "text", "ids")
+    once = {r["doc_id"]: r for r in both.collect()}
+    assert len(rows) == len(sums) == len(once) == len(docs)
     for r in rows:
         ids = lib.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids
         told = lib.decode(ids, skip_special_tokens=False)
         assert list(r["ids"]) == ids and r["decoded"] == told
         s = sums[r["doc_id"]]
         assert (s["n_tokens"], s["ids_sha256"], s["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(told.encode()).hexdigest())
+        assert (list(once[r["doc_id"]]["ids"]), once[r["doc_id"]]["decoded_sha256"]) == (ids, s["decoded_sha256"])
 
 
 def test_pipeline_decodes(spark):
