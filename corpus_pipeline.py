@@ -52,10 +52,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and their number, and the SHA-256 of the text that the ids decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "ids")
-    told = bpe.decode(ids, path)
-    return told.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    told = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return told.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
