@@ -74,6 +74,19 @@ def daily_charts(charts: DataFrame, as_of: str) -> DataFrame:
     return picked.groupBy("team", F.col("gsis_id").alias("player_id"), "position").agg(F.min_by("player_name", "pos_rank").alias("player_name"), F.min("pos_rank").cast("bigint").alias("rank"))
 
 
+def weekly_charts(charts: DataFrame, year: int) -> DataFrame:
+    """The charts of a season's first week, as seasons before the daily charts have them: kickers from the special teams, all others from the offense."""
+    unit = F.when(F.col("position") == "K", "Special Teams").otherwise("Offense")
+    rows = charts.where((F.col("season") == year) & (F.col("week") == 1) & (F.col("game_type") == "REG") & F.col("position").isin(list(PLAYERS)) & (F.col("formation") == unit))
+    rows = rows.dropna(subset=["gsis_id", "full_name"]).withColumns({"team": current_code(F.col("club_code")), "_rank": F.col("depth_team").cast("bigint")})
+    return rows.groupBy("team", F.col("gsis_id").alias("player_id"), "position").agg(F.min_by("full_name", F.struct("_rank", "full_name")).alias("player_name"), F.min("_rank").alias("rank"))
+
+
+def charts_of(charts: DataFrame, year: int, as_of: str) -> DataFrame:
+    """Charts by day have a column `dt` and are read up to a day; charts by week are read in the season's first."""
+    return daily_charts(charts, as_of) if "dt" in charts.columns else weekly_charts(charts, year)
+
+
 def candidates(charts: DataFrame) -> DataFrame:
     return roster.depth_filter(charts, ["team"], "position", "rank", ["QB", "K"], DEPTH)
 
@@ -168,7 +181,7 @@ def forecast(known: DataFrame, schedules: DataFrame, charts: DataFrame, year: in
     season = schedules.where((F.col("season") == year) & (F.col("game_type") == "REG")).withColumns({"home_team": current_code(F.col("home_team")), "away_team": current_code(F.col("away_team"))})
     sides = roster.two_rows(season, ["game_id", "week"], {"team": ("home_team", "away_team"), "opponent": ("away_team", "home_team")})
     past = known.where(F.col("season") < year)
-    people = projected_shares(complete_roster(candidates(daily_charts(charts, as_of)), past, sides, year), past, year)
+    people = projected_shares(complete_roster(candidates(charts_of(charts, year, as_of)), past, sides, year), past, year)
     teams = sides.select("team").distinct().select(F.concat(F.lit("DST-"), "team").alias("player_id"), F.concat("team", F.lit(" D/ST")).alias("player_name"), F.lit("DST").alias("position"), "team", F.lit(0.0).alias("projected_target_share"), F.lit(0.0).alias("projected_carry_share"))
     rows = sides.join(people.unionByName(teams), "team").withColumns({"target_season": F.lit(year).cast("bigint"), "target_week": F.col("week").cast("bigint"), "is_home": F.col("home").cast("double")})
     rows = rows.join(known.select("player_id", "game_id", "fantasy_points"), ["player_id", "game_id"], "left").withColumnRenamed("game_id", "target_game_id")

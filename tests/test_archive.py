@@ -60,3 +60,18 @@ def test_forecast_completes_the_roster(spark):
     assert got["GBWR"]["projected_target_share"] == pytest.approx(0.5) and got["DST-GB"]["player_last_1_points"] == 17.0 and got["GBQB"]["fantasy_points"] is None
     with pytest.raises(Exception, match="roster slot"):
         archive.forecast(known(spark).where("position <> 'K'"), schedules(spark), charts, 2023, "2023-08-31").collect()
+
+
+def test_charts_by_week(spark):
+    rows = [("2022", 1, "REG", "Offense", "GB", "GBQB", "QB", "GB QB", "1"), ("2022", 1, "REG", "Offense", "GB", "GBQB", "QB", "GB QB", "2"), ("2022", 1, "REG", "Special Teams", "GB", "GBK", "K", "GB K", "1"),
+            ("2022", 1, "REG", "Offense", "GB", "x1", "K", "wrong unit", "1"), ("2022", 1, "REG", "Special Teams", "GB", "x2", "WR", "returner", "1"), ("2022", 2, "REG", "Offense", "GB", "x3", "RB", "later", "1"),
+            ("2022", 1, "POST", "Offense", "GB", "x4", "RB", "other games", "1"), ("2021", 1, "REG", "Offense", "GB", "x5", "RB", "other year", "1"), ("2022", 1, "REG", "Offense", "GB", None, "RB", "no id", "1"), ("2022", 1, "REG", "Offense", "GB", "x6", "RB", None, "1")]
+    charts = spark.createDataFrame(rows, "season string, week int, game_type string, formation string, club_code string, gsis_id string, position string, full_name string, depth_team string")
+    assert sorted((r["player_id"], r["player_name"], r["rank"]) for r in archive.weekly_charts(charts, 2022).collect()) == [("GBK", "GB K", 1), ("GBQB", "GB QB", 1)]
+
+
+def test_past_season_from_weekly_charts(spark):
+    cols = "season int, week int, game_type string, formation string, club_code string, gsis_id string, position string, full_name string, depth_team string"
+    charts = spark.createDataFrame([(2022, 1, "REG", "Special Teams" if p == "K" else "Offense", t, f"{t}{p}", p, f"{t} {p}", "1") for t in TEAMS for p in ("QB", "RB", "WR", "TE", "K")], cols)
+    got = {r["player_id"]: r for r in archive.forecast(known(spark), schedules(spark), charts, 2022, "2022-08-31").collect()}
+    assert len(got) == 12 and got["GBQB"]["fantasy_points"] == 22.0 and got["GBQB"]["player_last_1_points"] == 21.0 and got["GBQB"]["player_history_through_season"] == 2021
