@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import agreement, first_present, flags
+from ..session import staged
+from . import ranks
 
 CONSENSUS = "Consensus"
 #: Columns that rows of several models must share to be one forecast; those that a frame lacks are left out.
@@ -99,7 +101,7 @@ def draft_board(frame: DataFrame, season: int, positions: Sequence[str] | None =
     """One row a player for a season: projected and actual totals, those with games missed by injury added at the projected or the actual pace, gaps to the
     projection (in points and percent), context and its risks, ranked within the position.
 
-    Actual figures are null until the selection has any result (one row joined on, not a window over the board), and points also where the player neither
+    The sums are staged, so that the forecast is read once; ranks are taken over ranges of the points. Actual figures are null until the selection has any result, and points also where the player neither
     played nor missed a game by injury. The frame is one model or the consensus (see choose_model).
     """
     rows = frame.where(F.col("target_season") == season)
@@ -109,7 +111,8 @@ def draft_board(frame: DataFrame, season: int, positions: Sequence[str] | None =
         F.sum("prediction").alias("projected_points"), F.avg("prediction").alias("points_per_game"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("volatility"), F.avg("spread").alias("model_spread"),
         F.count(F.lit(1)).alias("projected_games"), F.count("actual").alias("actual_games"), F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual_points"), F.count_if("missed").alias("injury_games"), *_context(rows.columns),
     )
-    out = out.crossJoin(F.broadcast(rows.agg((F.count("actual") > 0).alias("_any"))))
+    out = staged(out, "board")
+    out = out.crossJoin(F.broadcast(out.agg((F.sum("actual_games") > 0).alias("_any"))))
     there = F.col("_any") & ((F.col("actual_games") > 0) | (F.col("injury_games") > 0))
     out = out.withColumns({"actual_points": F.when(there, F.col("actual_points")), "injury_games": F.when(F.col("_any"), F.col("injury_games")), "actual_games": F.when(F.col("_any"), F.col("actual_games"))}).drop("_any")
     out = out.withColumns({"actual_points_per_game": F.when(F.col("actual_games") > 0, F.try_divide("actual_points", "actual_games")), "projection_delta": F.col("actual_points") - F.col("projected_points")})
@@ -122,7 +125,7 @@ def draft_board(frame: DataFrame, season: int, positions: Sequence[str] | None =
         })
     if "opportunity_basis" in out.columns:
         out = out.withColumn("opportunity_risk", opportunity_risk())
-    return out.withColumn("position_rank", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("projected_points"), "player_id")).cast("bigint"))
+    return ranks.ordinal(out, ["position"], "projected_points", ["player_id"], "position_rank")
 
 
 def opportunity_risk() -> Column:
@@ -153,8 +156,8 @@ def weekly_board(frame: DataFrame, season: int, week: int, positions: Sequence[s
     rows = frame.where((F.col("target_season") == season) & (F.col("target_week") == week))
     if positions is not None:
         rows = rows.where(F.col("position").isin(list(positions)))
-    rank = F.row_number().over(Window.partitionBy("position").orderBy(F.desc("prediction"), "player_id")).cast("bigint")
-    return rows.withColumns({"position_rank": rank, "agreement": agreement(F.col("models"), F.col("spread"), TIGHT, MIXED)})
+    ranked = ranks.ordinal(staged(rows, "week"), ["position"], "prediction", ["player_id"], "position_rank")
+    return ranked.withColumn("agreement", agreement(F.col("models"), F.col("spread"), TIGHT, MIXED))
 
 
 def top_players(board: DataFrame, measure: str, count: int, search: str | None = None) -> DataFrame:
@@ -164,12 +167,15 @@ def top_players(board: DataFrame, measure: str, count: int, search: str | None =
 
 
 def scorecard(frame: DataFrame) -> DataFrame:
-    """Samples, MAE, RMSE and bias (prediction - actual) of each model, and of the consensus if there are several."""
-    several = F.broadcast(frame.agg((F.countDistinct("model") > 1).alias("_several")))
-    of_all = consensus(frame).select("model", "error").crossJoin(several).where("_several").drop("_several")
-    both = frame.select("model", "error").unionByName(of_all).where(F.col("error").isNotNull())
-    return both.groupBy("model").agg(
-        F.count(F.lit(1)).alias("samples"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"))
+    """Samples, MAE, RMSE and bias (prediction - actual) of each model, and of the consensus if there are several.
+
+    Whether there are is told by the scorecard itself, a row a model, before those without an error go.
+    """
+    both = frame.select("model", "error").unionByName(consensus(frame).select("model", "error"))
+    each = both.groupBy("model").agg(
+        F.count("error").alias("samples"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"))
+    told = each.withColumn("_models", F.count_if(F.col("model") != CONSENSUS).over(Window.partitionBy()))
+    return told.where((F.col("samples") > 0) & (~F.col("model").eqNullSafe(CONSENSUS) | (F.col("_models") > 1))).drop("_models")
 
 
 def forecast_state(frame: DataFrame, through: str = "history_through_season") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from . import ranks
 from .panel import PERIOD
 
 
@@ -32,20 +34,26 @@ def residuals_by_category(frame: DataFrame, actual: Column, prediction: Column,
 def residuals_by_quantile(frame: DataFrame, actual: Column, prediction: Column, columns: Sequence[str], bins: int = 4) -> DataFrame:
     """Cohorts between a column's exact quantiles; equal edges are one. A column of one value has the one bin 1.
 
-    The edges are a row a column, joined on; each row finds its bin by counting the inner edges not above it.
+    Rows are summed up by value once; the edges come from the running count of the values, interpolated between the two values around
+    a place, and each value finds its bin by counting the inner edges not above it.
     """
     if bins < 2:
         raise ValueError("bins must be 2 or more")
     rows = frame.where(actual.isNotNull() & prediction.isNotNull()).select((actual - prediction).alias("_e"), *(F.col(c).cast("double").alias(c) for c in columns))
     long = rows.unpivot(["_e"], list(columns), "column", "_v").where(F.col("_v").isNotNull())
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = long.groupBy("column").agg(F.array_distinct(F.percentile("_v", at)).alias("_edges"))
-    binned = long.join(F.broadcast(edges), "column")
+    sums = staged(long.groupBy("column", "_v").agg(F.count(F.lit(1)).alias("c"), F.sum("_e").alias("_s"), F.sum(F.abs("_e")).alias("_a"), F.sum(F.col("_e") * F.col("_e")).alias("_q")), "quantiles")
+    place = [(F.col("_total") - 1) * (i / bins) for i in range(bins + 1)]
+    holder = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    around = ranks.running(sums, ["column"], "_v").groupBy("column", "_total").agg(*(holder(end(k)).alias(f"_{side}{i}") for i, k in enumerate(place) for side, end in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda i, k: F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise((F.ceil(k) - k) * F.col(f"_lo{i}") + (k - F.floor(k)) * F.col(f"_hi{i}"))
+    edges = around.select("column", F.array_distinct(F.array(*(between(i, k) for i, k in enumerate(place)))).alias("_edges"))
+    binned = sums.join(F.broadcast(edges), "column")
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     binned = binned.withColumn("bin", (1 + F.size(F.filter(inner, lambda e: e <= F.col("_v")))).cast("bigint"))
     bound = lambda k: F.get("_edges", F.least(k, F.size("_edges") - 1))
     binned = binned.withColumns({"lower": bound(F.col("bin").cast("int") - 1), "upper": bound(F.col("bin").cast("int"))})
-    return _cohort(binned, ["column", "bin", "lower", "upper"])
+    mean = lambda c: F.sum(c) / F.sum("c")
+    return binned.groupBy("column", "bin", "lower", "upper").agg(F.sum("c").alias("n"), mean("_s").alias("bias"), mean("_a").alias("mae"), F.sqrt(mean("_q")).alias("rmse"))
 
 
 def error_histogram(frame: DataFrame, actual: Column, prediction: Column, bins: int = 34, width: float = 1.0) -> DataFrame:
@@ -91,21 +99,18 @@ def calibration_periods(frame: DataFrame, fraction: float, period: Sequence[str]
 def conformal_radius(frame: DataFrame, actual: Column, prediction: Column, coverage: float) -> DataFrame:
     """One row: the number of residuals and the one of rank ceil((n - 1) q), from 0, with q = min(1, ceil((n + 1) coverage) / n).
 
-    Residuals are counted by value first, and the rank is found in the running count of distinct values, spread over
+    Residuals are counted by value, once, and the rank is found in the running count of distinct values, spread over
     ranges of values, so that no task orders all residuals.
     """
     if not 0 < coverage < 1:
         raise ValueError("coverage must be between 0 and 1")
-    counts = frame.where(actual.isNotNull() & prediction.isNotNull()).groupBy(F.abs(actual - prediction).alias("r")).agg(F.count(F.lit(1)).alias("c"))
-    edges = counts.agg(F.percentile_approx("r", F.array(*(F.lit(i / 64) for i in range(1, 64))), F.lit(1000)).alias("_edges"), F.sum("c").alias("n"))
-    ranged = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("r"))))
-    before = ranged.groupBy("_range").agg(F.sum("c").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    upto = F.sum("c").over(Window.partitionBy("_range").orderBy("r")) + F.col("_before")
-    placed = ranged.join(F.broadcast(before), "_range").withColumn("_upto", upto)
-    q = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * coverage) / F.col("n"))
-    rank = F.ceil((F.col("n") - 1) * q)
-    return placed.where(F.col("_upto") > rank).groupBy("n").agg(F.min("r").alias("radius"))
+    told = frame.where(actual.isNotNull() & prediction.isNotNull()).select(F.lit(1).alias("_all"), F.abs(actual - prediction).alias("r"))
+    counts = staged(told.groupBy("_all", "r").agg(F.count(F.lit(1)).alias("c")), "residuals")
+    n = F.col("_total")
+    q = F.least(F.lit(1.0), F.ceil((n + 1) * coverage) / n)
+    return ranks.running(counts, ["_all"], "r").where(F.col("_upto") > F.ceil((n - 1) * q)).groupBy(n.alias("n")).agg(F.min("r").alias("radius"))
 
 
 def with_interval(frame: DataFrame, radius: DataFrame, prediction: Column) -> DataFrame:
-    return frame.crossJoin(F.broadcast(radius.select("radius"))).withColumns({"prediction_lower": prediction - F.col("radius"), "prediction_upper": prediction + F.col("radius")}).drop("radius")
+    """Adds prediction_lower, prediction_upper and n, the residuals that the radius rests on."""
+    return frame.crossJoin(F.broadcast(radius.select("n", "radius"))).withColumns({"prediction_lower": prediction - F.col("radius"), "prediction_upper": prediction + F.col("radius")}).drop("radius")

@@ -7,32 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from . import ranks
 from .models import AdditiveModel, bin_edges
 from .panel import PERIOD
 
 
-def _bins(frame: DataFrame, features: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """ids, feature, bin: one row for each feature of a row."""
-    wide = frame.select(*ids, *(F.col(f"_bin_{f}").cast("int").alias(f) for f in features))
-    return wide.unpivot(list(ids), list(features), "feature", "bin")
+def _bins(frame: DataFrame, terms: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """ids, feature, bin: one row for each term of a row. A term is a feature or a pair of them."""
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("feature"), F.col(f"`_bin_{t}`").cast("int").alias("bin")) for t in terms)))
+    return frame.select(*ids, each.alias("_t")).select(*ids, "_t.*")
 
 
 def additive_terms(model: AdditiveModel, frame: DataFrame) -> DataFrame:
     """feature, bin, n, weight, centred, importance: weights centred over the rows, and the mean of their size by feature."""
     spark = frame.sparkSession
     table = F.broadcast(spark.createDataFrame(model.coefficients(frame), "feature string, bin int, weight double"))
-    counts = _bins(model.transform(frame), model.features, []).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")).join(table, ["feature", "bin"])
+    counts = _bins(model.transform(frame), model.terms, []).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")).join(table, ["feature", "bin"])
     of = Window.partitionBy("feature")
     out = counts.withColumn("centred", F.col("weight") - F.sum(F.col("weight") * F.col("n")).over(of) / F.sum("n").over(of))
     return out.withColumn("importance", F.sum(F.abs("centred") * F.col("n")).over(of) / F.sum("n").over(of))
 
 
 def local_terms(model: AdditiveModel, frame: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """ids, feature, bin, weight, prediction: a row's weights and the intercept add up to its prediction."""
+    """ids, feature, bin, weight, intercept, prediction: a row's weights and the intercept add up to its prediction."""
     spark = frame.sparkSession
     table = F.broadcast(spark.createDataFrame(model.coefficients(frame), "feature string, bin int, weight double"))
     scored = model.transform(frame)
-    return _bins(scored, model.features, [*ids, "prediction"]).join(table, ["feature", "bin"]).select(*ids, "feature", "bin", "weight", "prediction")
+    return _bins(scored, model.terms, [*ids, "prediction"]).join(table, ["feature", "bin"]).select(*ids, "feature", "bin", "weight", F.lit(model.intercept).alias("intercept"), "prediction")
 
 
 def accumulated_effects(model, frame: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
@@ -66,13 +68,14 @@ def accumulated_effects(model, frame: DataFrame, features: Sequence[str], bins:
 def permutation_importance(model, frame: DataFrame, features: Sequence[str], target: str, repeats: int = 3, seed: int = 42, period: Sequence[str] = PERIOD) -> DataFrame:
     """feature, importance, deviation: growth of the MAE when a feature is shuffled among the rows of its period.
 
-    The n-th row of a period by a hash takes the value of the n-th by another; all features and repeats go through one transform.
+    The n-th row of a period by a hash takes the value of the n-th by another; all features and repeats go through one transform. A
+    period's rows are numbered in ranges of the hash. Rows without a full period are left out.
     """
-    rows = frame.withColumn("_row", F.xxhash64(*(F.col(c) for c in frame.columns)))
-    by = lambda salt: F.row_number().over(Window.partitionBy(*period, "_repeat").orderBy(F.xxhash64("_row", F.lit(salt), "_repeat"), "_row"))
+    rows = staged(frame.dropna(subset=list(period)).withColumn("_row", F.xxhash64(*(F.col(c) for c in frame.columns))), "shuffled")
     many = rows.withColumn("_repeat", F.explode(F.array(*(F.lit(k) for k in range(repeats)))))
-    taking = many.withColumn("_n", by(seed))
-    giving = many.withColumn("_n", by(seed + 1)).select(*period, "_repeat", "_n", *(F.col(f).alias(f"_new_{f}") for f in features))
+    by = lambda salt: ranks.by_hash(many, [*period, "_repeat"], F.xxhash64("_row", F.lit(salt), "_repeat"), ["_row"], "_n")
+    taking = by(seed)
+    giving = by(seed + 1).select(*period, "_repeat", "_n", *(F.col(f).alias(f"_new_{f}") for f in features))
     mixed = taking.join(giving, [*period, "_repeat", "_n"])
     each = mixed.withColumn("_f", F.explode(F.array(F.lit("_base"), *map(F.lit, features))))
     shuffled = each.withColumns({f: F.when(F.col("_f") == f, F.col(f"_new_{f}")).otherwise(F.col(f)) for f in features})

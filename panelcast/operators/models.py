@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,34 +42,53 @@ def bin_edges(frame: DataFrame, features: Sequence[str], bins: int = BINS) -> di
 
 
 class Additive:
-    """A sum of one step function a feature: features are binned, each bin is a 0-1 column, and a ridge regression weighs them."""
+    """A sum of one step function a feature, and of one for each of `pairs` pairs of features ("a & b"): features are binned, each bin is a 0-1 column, and a
+    ridge regression weighs them. Pairs are those whose cells explain most of what a first fit without pairs leaves over.
+    """
 
-    def __init__(self, features: Sequence[str], target: str, ridge: float = 0.1, bins: int = BINS):
-        self.features, self.target, self.ridge, self.bins = list(features), target, ridge, bins
+    def __init__(self, features: Sequence[str], target: str, ridge: float = 0.1, bins: int = BINS, pairs: int = 0):
+        self.features, self.target, self.ridge, self.bins, self.pairs = list(features), target, ridge, bins, pairs
+
+    def _fit(self, frame: DataFrame, edges: dict[str, list[float]], pairs: Sequence[tuple[str, str]]) -> AdditiveModel:
+        terms = [*self.features, *(f"{a} & {b}" for a, b in pairs)]
+        stages = [Bucketizer(splits=[-float("inf"), *edges[f], float("inf")], inputCol=f, outputCol=f"_bin_{f}", handleInvalid="keep") for f in self.features]
+        if pairs:
+            cells = ", ".join(f"`_bin_{a}` * {self.bins + 2} + `_bin_{b}` AS `_bin_{a} & {b}`" for a, b in pairs)
+            stages.append(SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__"))
+        stages += [OneHotEncoder(inputCol=f"_bin_{t}", outputCol=f"_hot_{t}", dropLast=False, handleInvalid="keep") for t in terms]
+        stages += [VectorAssembler(inputCols=[f"_hot_{t}" for t in terms], outputCol="_hot"), LinearRegression(featuresCol="_hot", labelCol=self.target, regParam=self.ridge, elasticNetParam=0.0, maxIter=50)]
+        return AdditiveModel(terms, Pipeline(stages=stages).fit(frame))
+
+    def _best_pairs(self, main: AdditiveModel, frame: DataFrame) -> list[tuple[str, str]]:
+        """Sums of the residuals in the cells of all pairs, in one aggregate; no more rows than asked for come back."""
+        every = list(combinations(self.features, 2))
+        cells = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`_bin_{a}`").alias("a"), F.col(f"`_bin_{b}`").alias("b")) for k, (a, b) in enumerate(every)))
+        rows = main.transform(frame).select((F.col(self.target) - F.col("prediction")).alias("_e"), F.explode(cells).alias("_x")).select("_e", "_x.*")
+        sums = rows.groupBy("k", "a", "b").agg(F.sum("_e").alias("_s"), F.count("_e").alias("_n"))
+        gains = sums.groupBy("k").agg(F.sum(F.try_divide(F.col("_s") * F.col("_s"), "_n")).alias("gain"))
+        return [every[r["k"]] for r in gains.orderBy(F.desc("gain"), "k").limit(self.pairs).collect()]
 
     def fit(self, frame: DataFrame) -> AdditiveModel:
         edges = bin_edges(frame, self.features, self.bins)
-        stages = []
-        for f in self.features:
-            cuts = [-float("inf"), *edges[f], float("inf")]
-            stages += [Bucketizer(splits=cuts, inputCol=f, outputCol=f"_bin_{f}", handleInvalid="keep"), OneHotEncoder(inputCol=f"_bin_{f}", outputCol=f"_hot_{f}", dropLast=False, handleInvalid="keep")]
-        stages += [VectorAssembler(inputCols=[f"_hot_{f}" for f in self.features], outputCol="_hot"), LinearRegression(featuresCol="_hot", labelCol=self.target, regParam=self.ridge, elasticNetParam=0.0, maxIter=50)]
-        return AdditiveModel(self.features, Pipeline(stages=stages).fit(frame))
+        main = self._fit(frame, edges, [])
+        return main if self.pairs < 1 or len(self.features) < 2 else self._fit(frame, edges, self._best_pairs(main, frame))
 
 
 class AdditiveModel:
-    def __init__(self, features: list[str], pipeline: Model):
-        self.features, self.pipeline = features, pipeline
+    """terms: the features, then the pairs. `_bin_<term>` is a row's bin; a pair's is a cell of its features' bins."""
+
+    def __init__(self, terms: list[str], pipeline: Model):
+        self.terms, self.pipeline = terms, pipeline
 
     def transform(self, frame: DataFrame) -> DataFrame:
         return self.pipeline.transform(frame)
 
     def coefficients(self, frame: DataFrame) -> list[tuple[str, int, float]]:
-        """(feature, bin, weight), in number the bins of all features."""
+        """(term, bin, weight), in number the bins of all terms."""
         line, out, at = self.pipeline.stages[-1], [], 0
-        for k, f in enumerate(self.features):
-            size = self.pipeline.stages[2 * k + 1].categorySizes[0] + 1  # and one for values unseen
-            out += [(f, b, float(line.coefficients[at + b])) for b in range(size)]
+        for t, encoder in zip(self.terms, self.pipeline.stages[-2 - len(self.terms) : -2], strict=True):
+            size = encoder.categorySizes[0] + 1  # and one for values unseen
+            out += [(t, b, float(line.coefficients[at + b])) for b in range(size)]
             at += size
         return out
 

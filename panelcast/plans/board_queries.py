@@ -166,5 +166,5 @@ SELECT player_id, target_week, round(prediction - radius + 1.3e-7, 4) AS lower,
 def conformal_interval(spark: SparkSession, d: str) -> DataFrame:
     frame, actual, prediction = told(spark, d)
     radius = evaluate.conformal_radius(frame.where("target_season < 1997"), actual, prediction, 0.9).select("n", F.round("radius", 6).alias("radius"))
-    out = evaluate.with_interval(frame.where("target_season = 1997"), radius, prediction).crossJoin(F.broadcast(radius.select("n")))
+    out = evaluate.with_interval(frame.where("target_season = 1997"), radius, prediction)
     return out.select("player_id", "target_week", F.round(F.col("prediction_lower") + 1.3e-7, 4).alias("lower"), F.round(F.col("prediction_upper") + 1.3e-7, 4).alias("upper"), "n")

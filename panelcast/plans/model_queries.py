@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explain, models
 from ..session import scratch
 from ..sources import io
-from .views import M, features, m, p, query, table
+from .views import FT, M, features, m, p, query, table
 
 FEATURES = ["last_1", "last_10", "month"]
 IDS = ["entity", "season", "week"]
@@ -36,7 +38,7 @@ def fit_linear(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fit_tree(spark: SparkSession, d: str) -> DataFrame:
     train, test = split(spark, d)
-    return told(models.project(models.boosted_trees(FEATURES, "target", rounds=5, depth=3), train, test, "target"))
+    return told(models.project(models.boosted_trees(FEATURES, "target"), train, test, "target"))
 
 
 @query()
@@ -50,7 +52,7 @@ def grid_select(spark: SparkSession, d: str) -> DataFrame:
 
 def additive(spark: SparkSession, d: str) -> tuple[models.AdditiveModel, DataFrame]:
     train, test = split(spark, d)
-    return models.Additive(FEATURES, "target").fit(train), test
+    return models.Additive(FEATURES, "target", pairs=1).fit(train), test
 
 
 @query()
@@ -62,7 +64,7 @@ def additive_terms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def local_terms(spark: SparkSession, d: str) -> DataFrame:
     model, test = additive(spark, d)
-    return explain.local_terms(model, test, IDS).select(*IDS, "feature", "bin", *(F.round(c, 4).alias(c) for c in ("weight", "prediction")))
+    return explain.local_terms(model, test, IDS).select(*IDS, "feature", "bin", *(F.round(c, 4).alias(c) for c in ("weight", "intercept", "prediction")))
 
 
 def linear(spark: SparkSession, d: str):
@@ -90,6 +92,64 @@ def shap_sample(spark: SparkSession, d: str) -> DataFrame:
     return explain.shapley_values(model, sample, background, FEATURES, IDS).select(*IDS, "feature", F.round("value", 4).alias("value"), F.round("base", 4).alias("base"))
 
 
+class Formula:
+    """A predictor in closed form, so that explanations can be held against SQL."""
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", F.expr(FORMULA))
+
+
+FORMULA = "last_1 * month / 12 + abs(last_10 - 150) / 2"
+_ROWS = """X AS (SELECT entity, season, week, h_last_1_score / 1000 AS last_1, h_last_10_score / 1000 AS last_10, CAST(week AS DOUBLE) AS month FROM FT)"""
+
+
+def _moved(feature: str, edge: str) -> str:
+    """The formula with one feature at an edge."""
+    return re.sub(rf"\b{feature}\b", edge, FORMULA)
+
+
+_STEPS = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, least(greatest(len(list_filter(q, lambda e: e < {f})), 1), len(q) - 1) AS j, q, {_moved(f, 'q[j + 1]')} - ({_moved(f, 'q[j]')}) AS step FROM T, "
+    f"(SELECT list_sort(list_distinct(list_concat([min({f}), max({f})], quantile_disc({f}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])))) AS q FROM T)"
+    for f in FEATURES
+)
+
+
+@query(f"""WITH {FT}, {_ROWS}, T AS (SELECT * FROM X WHERE season = 1997), L AS ({_STEPS}),
+B AS (SELECT feature, j AS bin, any_value(q[j + 1]) AS upper, count(*) AS n, avg(step) AS step FROM L GROUP BY ALL),
+C AS (SELECT *, sum(step) OVER (PARTITION BY feature ORDER BY bin) AS run FROM B)
+SELECT feature, bin, n, round(upper + 1.3e-7, 4) AS upper, round(run - sum(run * n) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) + 1.3e-7, 4) AS effect FROM C""")
+def ale_formula(spark: SparkSession, d: str) -> DataFrame:
+    out = explain.accumulated_effects(Formula(), split(spark, d)[1], FEATURES)
+    return out.select("feature", F.col("bin").cast("bigint").alias("bin"), "n", F.round(F.col("upper") + 1.3e-7, 4).alias("upper"), F.round(F.col("effect") + 1.3e-7, 4).alias("effect"))
+
+
+_PATHS = {
+    # value of each feature on the way forward (those before it are the row's) and back (those after it are)
+    "last_1": ("f(last_1, b10, bm) - f(b1, b10, bm)", "f(last_1, last_10, month) - f(b1, last_10, month)"),
+    "last_10": ("f(last_1, last_10, bm) - f(last_1, b10, bm)", "f(b1, last_10, month) - f(b1, b10, month)"),
+    "month": ("f(last_1, last_10, month) - f(last_1, last_10, bm)", "f(b1, b10, month) - f(b1, b10, bm)"),
+}
+
+
+def _called(text: str) -> str:
+    """f(a, b, c) written out."""
+    return re.sub(r"f\((\w+), (\w+), (\w+)\)", r"(\1 * \3 / 12 + abs(\2 - 150) / 2)", text)
+
+
+_VALUES = " UNION ALL ".join(f"SELECT entity, season, week, '{f}' AS feature, ({_called(one)} + {_called(two)}) / 2 AS value, {_called('f(b1, b10, bm)')} AS base FROM T, G" for f, (one, two) in _PATHS.items())
+
+
+@query(f"""WITH {FT}, {_ROWS}, T AS (SELECT * FROM X WHERE season = 1997), G AS (SELECT avg(last_1) AS b1, avg(last_10) AS b10, month AS bm FROM X WHERE season < 1997 GROUP BY month), V AS ({_VALUES})
+SELECT entity, season, week, feature, round(avg(value) + 1.3e-7, 4) AS value, round(avg(base) + 1.3e-7, 4) AS base FROM V GROUP BY ALL""")
+def shap_formula(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the test year against a background of one mean row a month of the years before."""
+    train, test = split(spark, d)
+    background = train.groupBy("month").agg(F.avg("last_1").alias("last_1"), F.avg("last_10").alias("last_10"))
+    out = explain.shapley_values(Formula(), test, background, FEATURES, IDS)
+    return out.select(*IDS, "feature", *(F.round(F.col(c) + 1.3e-7, 4).alias(c) for c in ("value", "base")))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows, path = table(spark, d, "nation"), scratch(spark, "csv")

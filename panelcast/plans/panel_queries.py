@@ -85,10 +85,9 @@ def restricted_group_volume(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {G} SELECT seq, home AS team, away_score AS allowed FROM G UNION ALL SELECT seq, away, home_score FROM G WHERE away <> home""")
 def side_resolution(spark: SparkSession, d: str) -> DataFrame:
     games = g(spark, d)
-    teams = games.select("seq", F.explode(F.array_distinct(F.array("home", "away"))).alias("team"))
+    teams = games.select("seq", "home", "away", "home_score", "away_score", F.explode(F.array_distinct(F.array("home", "away"))).alias("team"))
     col = F.col
-    joined = teams.join(games, "seq")
-    return joined.select("seq", "team", roster.resolve_side(col("team"), col("home"), col("away"), col("away_score"), col("home_score")).alias("allowed"))
+    return teams.select("seq", "team", roster.resolve_side(col("team"), col("home"), col("away"), col("away_score"), col("home_score")).alias("allowed"))
 
 
 _DEF = """D AS (SELECT team, season, week, avg(allowed) AS allowed FROM (SELECT home AS team, season, week, away_score AS allowed FROM G UNION ALL SELECT away, season, week, home_score FROM G) GROUP BY ALL),

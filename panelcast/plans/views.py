@@ -55,7 +55,7 @@ P = """P AS (
 
 
 def pd(spark: SparkSession, d: str) -> DataFrame:
-    return panel.last_write(p(spark, d), ["entity", "season", "week"], ["day", "seq"])
+    return panel.last_write(p(spark, d), ["entity", "season", "week"], ["day", "seq"], within=["entity"])
 
 
 PD = P + """, PD AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY entity, season, week ORDER BY day DESC, seq DESC) AS rn FROM P) WHERE rn = 1)"""
