@@ -147,4 +147,55 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
 FROM w LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN every ON w.doc_id = every.doc_id
 """
 
-ORACLES = {"op8_license_scan": OP8, "op1_source_mix": OP1, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7}
+#: The CRC-32 table by its rule, as one list t.
+_CRC = """tab AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k) AS v FROM (SELECT unnest(range(256)) AS k)))"""
+
+
+def _crc32(hexes: str) -> str:
+    """CRC-32 of bytes given as capital hex digits; needs tab.t."""
+    byte = f"16 * (strpos('0123456789ABCDEF', substr({hexes}, CAST(2 * i + 1 AS BIGINT), 1)) - 1) + strpos('0123456789ABCDEF', substr({hexes}, CAST(2 * i + 2 AS BIGINT), 1)) - 1"
+    return f"xor(list_reduce(list_transform(range(length({hexes}) // 2), lambda i: CAST({byte} AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295)"
+
+
+OP12 = rf"""
+WITH {_CRC},
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+dw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY doc_id, word),
+kinds AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM b)),
+codes AS (SELECT word, {_crc32("h")} % 10000 AS bucket FROM kinds, tab),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN codes USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM b JOIN codes USING (word) GROUP BY bucket),
+sizes AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+gains AS (
+  SELECT bucket, floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (sizes.s + 10000) AS DOUBLE) / CAST((s.n + 1) * (sizes.t + 10000) AS DOUBLE))) AS gain FROM s LEFT JOIN t USING (bucket), sizes
+), weighed AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(x.weight, 0) AS BIGINT) AS weight,
+         list_reduce(list_transform(range(8), lambda i: CAST(strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), CAST(i + 1 AS BIGINT), 1)) - 1 AS BIGINT)), lambda a, c: 16 * a + c) AS h
+  FROM d LEFT JOIN (SELECT doc_id, sum(n * gain) AS weight FROM dw JOIN codes USING (word) JOIN gains USING (bucket) GROUP BY doc_id) x ON d.doc_id = x.doc_id
+), scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+OP11 = rf"""
+WITH {_CRC},
+turns AS (
+  SELECT conv_id, turn, md5(CAST(length(role) AS VARCHAR) || ':' || role || text) AS k, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS own, hex(encode(CAST(conv_id AS VARCHAR))) AS name FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, own, {_crc32("name")} % 4 AS h FROM convs, tab),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.own, [])[1 : h], c.own[h + 1 :]) AS s FROM heads c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+paths AS (SELECT conv_id, len(s) AS size, d, array_to_string(list_transform(s[1 : d], lambda x: x.k), ',') AS p, CASE WHEN d = 0 THEN 0 ELSE s[d].w END AS w FROM (SELECT conv_id, s, unnest(generate_series(0, len(s))) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, count(*) FILTER (WHERE size = d) AS n_ends,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends
+  FROM paths GROUP BY p, d
+), above AS (SELECT substr(p, 1, CAST(greatest(33 * a - 1, 0) AS BIGINT)) AS up, a, n, w, n_ends FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM nodes)),
+sums AS (SELECT up, a, count(*) FILTER (WHERE n = n_ends) AS n_leaves, CAST(sum((n - 1) * w) AS BIGINT) AS saved_tokens FROM above GROUP BY up, a),
+kids AS (SELECT substr(p, 1, CAST(greatest(33 * (d - 1) - 1, 0) AS BIGINT)) AS up, d - 1 AS a, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN sums s ON s.up = x.p AND s.a = x.d LEFT JOIN kids k ON k.up = x.p AND k.a = x.d
+LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = substr(x.p, 1, CAST(greatest(33 * (x.d - 1) - 1, 0) AS BIGINT))
+"""
+
+ORACLES = {"op8_license_scan": OP8, "op1_source_mix": OP1, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op11_prefix_trie": OP11, "op12_importance": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, exact_dedup, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, token_store
+from . import bpe, chunk_dedup, exact_dedup, importance, license_scan, line_dedup, lm_score, mixing, ngram_join, prefix_trie, quality, token_store
 from .common import new_path, read
 
 
@@ -53,4 +53,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_lm_score, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store, op10_substring_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(read(spark, sf_dir, "conversations"), graft=(20, 4))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_lm_score, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store, op10_substring_dedup,
+        op11_prefix_trie, op12_importance,
+    )
+}
