@@ -4,21 +4,23 @@ Two documents link when den * |intersection| >= num * |union| of their sets of w
 64-bit keys: documents of s distinct n-grams hold two with one key with a chance of about s*s / 2**65.
 
 1. Of every document a quarter of the keys (by the key itself) is counted over the corpus. One that has more keys of its own than a
-   link allows has no partner and is done with. Equal sets are one class from here on, with its smallest id.
+   link allows has no partner and is done with. Both halves of each set's digest ask for the smallest id that holds them, so that equal sets are one class,
+   with its smallest id, in the same exchange.
 2. For the others all keys are counted. In the order of frequency, rarest first, linked sets share one of their first
    size - need + 1 keys. Documents that share such a key, directly or through others, form a family.
 3. Every link comes from a search: a document's need T of shared keys is looked for in the inverted lists of its keys. The L longest
    lists are set aside; the short ones are merged with a heap that skips what can't reach T - L; what reaches it is looked up in the long ones by binary
-   search. A family of bounded size is searched in one task. What a search linked needs no search among itself: after PILOTS searches
-   only documents outside the largest component found so far go on, so that a group of thousands of near copies isn't searched by all its members.
-4. A larger family is dealt to parts by id, each with inverted lists of its own. In rounds, a few pilots are searched in all parts; the documents outside the
-   largest component that remain are searched among the documents that share a prefix key with them, key by key.
+   search. A family of bounded size is searched in one task (families.py). What a search linked needs no search among itself: after a few pilots
+   members are numbered by component and searched only in what their lists hold of later components, so that groups of near copies don't walk their own lists.
+4. A larger family is dealt to parts by id, each with inverted lists of its own, and its seekers to blocks. In rounds, a few pilots are searched in all parts; the
+   documents outside the largest component that remain are searched in all parts, or among the documents that share a prefix key with them, key by key.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush, heapreplace
 from itertools import count
@@ -31,19 +33,14 @@ from pyspark.sql import functions as F
 
 from .blocks import U64, Block, answer, bucket_bits, chain, cut_runs, expand, meet, mix, send, squeeze, staged_pack, sums
 from .common import stage
-from .components import connected
+from .families import FAMILY_KEYS, families_of, search, shared_keys
 
-#: Keys of a family that is searched in one task or of a part of a larger one, and of a bundle of small families, about.
-FAMILY_KEYS, BUNDLE_KEYS = 1_000_000, 150_000
-#: Searches before the largest component is left out, rounds of them in families of several parts, and the weight of a binary search against
-#: a step of the merge (mu of DivideSkip).
-PILOTS, ROUNDS, PROBE = 16, 2, 0.003
+#: The weight of a binary search against a step of the merge (mu of DivideSkip).
+PROBE = 0.003
 #: Long lists that are asked at once.
 PROBES = 24
-#: Rows of ids that are broadcast to a join with sets (about 40 bytes each); beyond, both are shuffled.
-BROADCAST_IDS = 500_000
 
-SETS = "id bigint, n bigint, digest binary, keys binary"
+SETS = "id bigint, n bigint, first bigint, keys binary"
 RANKED = "id bigint, n bigint, keys binary, prefix array<bigint>"
 
 
@@ -84,35 +81,69 @@ def sampled(keys: np.ndarray) -> np.ndarray:
 def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.concatenate(sets) if sets else np.zeros(0, U64)
     keys, n = np.unique(flat, return_counts=True)
-    return keys, n.astype(np.uint32)
+    return keys, n.astype(np.int64)
+
+
+def halves(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set the two halves of its digest, as rows."""
+    raw = b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    return np.frombuffer(raw, U64).reshape(-1, 2)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, block_words: int | None) -> DataFrame:
-    """SETS of every document; keys only of those that may have a partner."""
+    """SETS of every document: `first` is the smallest id of its class, keys are only there for this one, and where it may have a partner.
+
+    Different sets with one half of a digest would get a `first` that is too small for some; the larger answer of the two halves is right unless both collide.
+    """
     size = {"block_words": block_words} if block_words else {}
     blocks, words = staged_pack(docs, id_col, text_col, name="join-blocks", **size)
     bits = bucket_bits(words // 4)
+    few_bits = bucket_bits(blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
+
+    def named(block: Block, sets: list[np.ndarray]) -> np.ndarray:
+        """The documents with a set and an id."""
+        return np.array([k for k, (i, s) in enumerate(zip(block.ids, sets, strict=True)) if i is not None and len(s)], np.int64)
 
     def ask(row: dict) -> Iterator[tuple]:
         block = Block(row)
-        yield from cut_runs(0, block.block, *_counted([s[sampled(s)] for s in shingle_sets(block, n)]), bits)
+        sets = shingle_sets(block, n)
+        yield from cut_runs(0, block.block, *_counted([s[sampled(s)] for s in sets]), bits)
+        own = named(block, sets)
+        ids, digests = np.array([block.ids[k] for k in own], np.int64), halves([sets[k] for k in own])
+        for half in (0, 1):
+            keys, at = np.unique(digests[:, half], return_inverse=True)
+            least = np.full(len(keys), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, ids)
+            yield from cut_runs(1 + half, block.block, keys, least, few_bits)
+
+    def put(kind: int, place: np.ndarray, vals: np.ndarray, size: int) -> np.ndarray:
+        if kind == 0:
+            return sums(kind, place, vals, size)
+        least = np.full(size, np.iinfo(np.int64).max)
+        np.minimum.at(least, place, vals)
+        return least
 
     def sift(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
         block = Block(row)
         sets = shingle_sets(block, n)
         keys, _ = _counted([s[sampled(s)] for s in sets])
         shared = keys[got[0] > 1] if 0 in got else keys
+        own = named(block, sets)
+        digests = halves([sets[k] for k in own])
+        told = [got[1 + half][np.unique(digests[:, half], return_inverse=True)[1]] if len(own) else np.zeros(0, np.int64) for half in (0, 1)]
+        firsts = dict(zip(own.tolist(), np.maximum(*told).tolist(), strict=True))
         out = []
-        for i, s in zip(block.ids, sets, strict=True):
-            some = s[sampled(s)]
-            at = np.minimum(np.searchsorted(shared, some), max(len(shared) - 1, 0))
-            hits = int((shared[at] == some).sum()) if len(shared) else 0
-            keep = len(s) and i is not None and hits >= len(some) - (len(s) - need(len(s), num, den))
-            raw = s.tobytes()
-            out.append((i, len(s), blake2b(raw, digest_size=16).digest() if keep else None, raw if keep else None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["id", "n", "digest", "keys"])
+        for k, (i, s) in enumerate(zip(block.ids, sets, strict=True)):
+            keep = k in firsts and firsts[k] == i
+            if keep:
+                some = s[sampled(s)]
+                at = np.minimum(np.searchsorted(shared, some), max(len(shared) - 1, 0))
+                hits = int((shared[at] == some).sum()) if len(shared) else 0
+                keep = hits >= len(some) - (len(s) - need(len(s), num, den))
+            out.append((i, len(s), firsts.get(k), s.tobytes() if keep else None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["id", "n", "first", "keys"])
 
-    return meet(blocks, answer(send(blocks, ask), np.uint32, sums), sift, np.int64, SETS)
+    return meet(blocks, answer(send(blocks, ask), np.int64, put), sift, np.int64, SETS)
 
 
 def pack_sets(sets: DataFrame, keys_in_block: int) -> DataFrame:
@@ -169,23 +200,7 @@ def ranked(sets: DataFrame, num: int, den: int, keys_in_block: int = 2_000_000)
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], strict=True)], names=["id", "n", "keys", "prefix"])
 
-    return meet(blocks, answer(send(blocks, ask), np.uint32, sums), rank, np.int64, RANKED)
-
-
-class Forest:
-    """Union-find over 0..m-1 with the smallest member as root."""
-
-    def __init__(self, m: int):
-        self.up = list(range(m))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
+    return meet(blocks, answer(send(blocks, ask), np.int64, sums), rank, np.int64, RANKED)
 
 
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -222,8 +237,9 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
 class Lists:
     """Inverted lists of sets: for each key the numbers of the sets that hold it, in order."""
 
-    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray]):
-        self.sizes, self.m = sizes, len(sets)
+    def __init__(self, num: int, den: int, sizes: np.ndarray, payloads: list):
+        sets = [np.frombuffer(x, U64) for x in payloads]
+        self.num, self.den, self.sizes, self.m = num, den, sizes, len(sets)
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(flat, kind="stable")
@@ -233,21 +249,24 @@ class Lists:
         #: All lists one after the other, as (number of the key, member), in order.
         self.pairs = np.repeat(np.arange(len(self.keys)), length) * self.m + self.posting
 
-    def search(self, size: int, keys: np.ndarray, num: int, den: int) -> np.ndarray:
-        """The sets that link to one of so many keys, itself included if it is among them. `keys` may leave out what no other set has."""
+    def search(self, size: int, payload: object, after: int = 0) -> np.ndarray:
+        """The members from `after` on that link to a set of so many keys. Its payload may leave out keys that no other set has."""
+        keys, num, den = np.frombuffer(payload, U64), self.num, self.den
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         place = place[self.keys[place] == keys]
+        start = np.searchsorted(self.pairs, place * self.m + after) if after else self.start[place]
+        length = self.end[place] - start
+        some = np.flatnonzero(length)
         least = int(need(size, num, den))
-        none = np.zeros(0, np.int64)
-        if len(place) < least:
-            return none
-        length = (self.end - self.start)[place]
-        place = place[np.argsort(length, kind="stable")]
-        n_long = min(int(least / (PROBE * np.log2(max(int(length.max()), 2)) + 1)), least - 1)
-        short, long = place[: len(place) - n_long], place[len(place) - n_long :]
-        found = list(merge_skip([self.posting[a:b].tolist() for a, b in zip(self.start[short].tolist(), self.end[short].tolist(), strict=True)], least - n_long))
+        if len(some) < least:
+            return np.zeros(0, np.int64)
+        some = some[np.argsort(length[some], kind="stable")]
+        place, start, length = place[some], start[some], length[some]
+        n_long = min(int(least / (PROBE * np.log2(max(int(length[-1]), 2)) + 1)), least - 1)
+        short, long = len(place) - n_long, place[len(place) - n_long :]
+        found = list(merge_skip([self.posting[a:b].tolist() for a, b in zip(start[:short].tolist(), self.end[place[:short]].tolist(), strict=True)], least - n_long))
         if not found:
-            return none
+            return np.zeros(0, np.int64)
         member, times = (np.array(x) for x in zip(*found, strict=True))
         goal = pair_need(size, self.sizes[member], num, den)
         for k in range(0, n_long, PROBES):
@@ -261,154 +280,6 @@ class Lists:
         return member[times >= goal]
 
 
-def search_family(sizes: np.ndarray, sets: list[np.ndarray], num: int, den: int, found: list | None = None) -> Forest:
-    """Components of the sets of one family by the links that searches find; `found` gathers those that joined two components."""
-    m = len(sets)
-    forest, lists = Forest(m), Lists(sizes, sets)
-
-    def search(q: int) -> None:
-        for x in lists.search(int(sizes[q]), sets[q], num, den).tolist():
-            if forest.root(x) != forest.root(q):
-                forest.join(q, x)
-                if found is not None:
-                    found.append((q, x))
-
-    done: set[int] = set()
-    for q in range(m):
-        if len(done) == PILOTS:
-            break
-        if forest.root(q) == q:  # not linked to an earlier one
-            done.add(q)
-            search(q)
-    roots = [forest.root(x) for x in range(m)]
-    largest = int(np.bincount(roots).argmax())
-    for q in range(m):
-        if q not in done and forest.root(q) != forest.root(largest):
-            search(q)
-    return forest
-
-
-def _links(found: list[tuple[int, int]]) -> pa.Table:
-    return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*found, strict=True)) or [[], []])], names=["a", "b"])
-
-
-def _keys_of(column: pa.ChunkedArray, at: Iterable[int]) -> list[np.ndarray]:
-    return [np.frombuffer(column[int(k)].as_buffer(), U64) for k in at]
-
-
-def _groups(name: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of each name, in the order of ids."""
-    order = np.lexsort((ids, name))
-    edges = np.flatnonzero(np.append(True, np.diff(name[order]) != 0)).tolist()
-    return (order[a:b] for a, b in zip(edges, [*edges[1:], len(order)], strict=True))
-
-
-def search_small(families: DataFrame, bundles: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of families that fit a task; families: family, id, n, keys. Several go to a task."""
-
-    def work(table: pa.Table) -> pa.Table:
-        ids, n, keys = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("keys")
-        found: list[tuple[int, int]] = []
-        for own in _groups(table.column("family").to_numpy(), ids):
-            if len(own) > 1:
-                forest = search_family(n[own], _keys_of(keys, own), num, den)
-                found += [(int(ids[own[x]]), int(ids[own[forest.root(x)]])) for x in range(len(own)) if forest.root(x) != x]
-        return _links(found)
-
-    dealt = families.withColumn("bundle", F.pmod(F.xxhash64("family"), F.lit(bundles)))
-    return dealt.select("bundle", "family", "id", "n", "keys").groupBy("bundle").applyInArrow(work, "a bigint, b bigint")
-
-
-def search_parts(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of the rows that seek with the rows that are `listed`; rows: bundle, grp, id, n, keys, seeks, listed. What has
-    one `root` already needs no link."""
-
-    def work(table: pa.Table) -> pa.Table:
-        ids, n, keys = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("keys")
-        seeks, listed, root = (table.column(c).to_numpy() for c in ("seeks", "listed", "root"))
-        found: list[tuple[int, int]] = []
-        for own in _groups(table.column("grp").to_numpy(), ids):
-            inside, asking = own[listed[own]], own[seeks[own]]
-            if len(inside) and len(asking):
-                lists = Lists(n[inside], _keys_of(keys, inside))
-                for q in asking.tolist():
-                    hits = inside[lists.search(int(n[q]), _keys_of(keys, [q])[0], num, den)]
-                    found += [(int(ids[q]), int(ids[x])) for x in hits.tolist() if root[x] != root[q]]
-        return _links(found)
-
-    return rows.select("bundle", "grp", "id", "n", "keys", "seeks", "listed", "root").groupBy("bundle").applyInArrow(work, "a bigint, b bigint")
-
-
-def search_large(rows: DataFrame, sizes: DataFrame, num: int, den: int, family_keys: int) -> DataFrame:
-    """Links (a, b) of families of several parts; rows: family, id, n, keys, prefix; sizes: family, total."""
-    parts = sizes.select("family", F.ceil(F.col("total") / family_keys).cast("bigint").alias("parts"))
-    rows = stage(rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "large-families")
-
-    def in_all_parts(listed: DataFrame, seeks: DataFrame) -> DataFrame:
-        ask = seeks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("seeks", F.lit(True)).withColumn("listed", F.lit(False))
-        both = listed.withColumn("seeks", F.lit(False)).withColumn("listed", F.lit(True)).unionByName(ask)
-        return both.withColumn("grp", F.xxhash64("family", "part")).withColumn("bundle", F.col("grp"))
-
-    links = None
-    left = seekers = rows.withColumn("root", F.col("id"))
-    for turn in range(ROUNDS):
-        # about PILOTS documents of each family, by a hash that is new in every round
-        many = seekers.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
-        pilots = seekers.join(many, "family").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("many")) < PILOTS).drop("many")
-        new = search_parts(in_all_parts(left, pilots), num, den)
-        links = stage(new if links is None else links.union(new), "pilot-links")
-        left = stage(rows.join(connected(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "large-roots")
-        counts = left.groupBy("family", "root").agg(F.count(F.lit(1)).alias("many"))
-        largest = counts.groupBy("family").agg(F.max(F.struct("many", "root")).alias("top")).select("family", F.col("top.root").alias("largest"))
-        seekers = stage(left.join(largest, "family").where("root <> largest").drop("largest"), "seekers")
-        remain = seekers.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 8
-        if not remain:
-            return links
-        if remain <= family_keys:
-            break
-    # those that still seek go to all parts of their family, or to the documents that share a prefix key with them: whichever are fewer places
-    places = seekers.groupBy("family").agg(F.avg(F.size("prefix")).alias("places"), F.first("parts").alias("parts"))
-    by_keys = stage(places.where("places < parts").select("family"), "spread-families")
-    if by_keys.isEmpty():
-        return stage(links.union(search_parts(in_all_parts(left, seekers), num, den)), "links")
-    apart = lambda df, how: df.join(by_keys, "family", how)
-    links = links.union(search_parts(in_all_parts(apart(left, "left_anti"), apart(seekers, "left_anti")), num, den))
-    return stage(links.union(search_parts(in_key_groups(apart(left, "left_semi"), apart(seekers, "left_semi"), family_keys), num, den)), "links")
-
-
-def in_key_groups(rows: DataFrame, seekers: DataFrame, family_keys: int) -> DataFrame:
-    """The rows that share a prefix key with one that seeks, key by key; keys of the same documents (told by a sum of 64-bit hashes) are one group."""
-    wanted = seekers.select(F.explode("prefix").alias("key")).distinct()
-    posting = rows.select("id", F.length("keys").alias("bytes"), F.explode("prefix").alias("key")).join(wanted, "key", "left_semi")
-    groups = posting.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("mark"), F.sum("bytes").alias("bytes")).where("many > 1")
-    groups = groups.groupBy("many", "mark").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")).select("key", F.ceil(F.col("bytes") / 8 / family_keys).cast("bigint").alias("pieces"))
-    seeking = seekers.select("id", F.lit(True).alias("seeks")).distinct()
-    members = posting.select("key", "id").join(groups, "key").join(seeking, "id", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
-    own = F.pmod(F.xxhash64("id"), F.col("pieces"))
-    piece = F.explode(F.when(F.col("seeks"), F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).otherwise(F.array(own)))
-    dealt = members.withColumn("piece", piece).withColumn("listed", F.col("piece") == own).join(rows.select("id", "n", "keys", "root"), "id")
-    dealt = dealt.withColumn("grp", F.xxhash64("key", "piece"))
-    total = dealt.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // 8
-    return dealt.withColumn("bundle", F.when(F.col("pieces") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(2 * (total // family_keys) + 1))))
-
-
-def search(families: DataFrame, num: int, den: int, family_keys: int) -> DataFrame:
-    """(id, root) of linked documents. families: family, id, n, keys, prefix."""
-    sizes = stage(families.groupBy("family").agg(F.sum(F.length("keys") / 8).cast("bigint").alias("total")), "families")
-    whole, most = sizes.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first()
-    large = sizes.where(F.col("total") > family_keys)
-    small = families.join(large.select("family"), "family", "left_anti") if most > family_keys else families
-    links = search_small(small, 2 * (whole // BUNDLE_KEYS) + 1, num, den)
-    if most > family_keys:
-        links = links.union(search_large(families.join(large.select("family"), "family", "left_semi"), large, num, den, family_keys))
-    links = stage(links, "links")
-    return connected(links) if most > family_keys else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, block_words: int | None = None, family_keys: int = FAMILY_KEYS) -> DataFrame:
     """One row per row: id, n_shingles, component_id: the smallest id that links lead to, its own included.
 
@@ -417,15 +288,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     An empty table gives an empty one.
     """
     sets = stage(candidates(docs, id_col, text_col, n, num, den, block_words), "sets")
-    able = sets.where(F.col("keys").isNotNull())
-    classes = stage(able.groupBy("digest").agg(F.min("id").alias("first")), "classes")
-    apart = able.join(_small(classes.select("digest", F.col("first").alias("id"))), ["digest", "id"]).select("id", "keys")
-    rows = stage(ranked(apart, num, den), "ranked")
-    posting = rows.select("id", F.explode("prefix").alias("key"))
-    leads = posting.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    families = connected(posting.join(leads, "key").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    grouped = rows.join(_small(families.select("id", F.col("root").alias("family"))), "id").select("family", "id", "n", "keys", "prefix")
-    roots = search(grouped, num, den, family_keys).groupBy("id").agg(F.min("root").alias("root"))
-    of_class = classes.join(roots, classes["first"] == roots["id"], "left").select("digest", F.coalesce("root", "first").alias("root"))
-    out = sets.select("id", "n", "digest").join(_small(of_class), "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    rows = stage(ranked(sets.where(F.col("keys").isNotNull()).select("id", "keys"), num, den), "ranked")
+    families = families_of(shared_keys(rows.select("id", F.explode("prefix").alias("key"))))
+    grouped = rows.join(families.select("id", F.col("root").alias("family")), "id").select("family", "id", "n", "keys", "prefix")
+    roots = search(grouped, partial(Lists, num, den), family_keys).groupBy("id").agg(F.min("root").alias("root")).select(F.col("id").alias("first"), "root")
+    out = sets.select("id", "n", "first").join(roots, "first", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "first", "id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, exact_dedup, importance, license_scan, line_dedup, lm_score, mixing, ngram_join, prefix_trie, quality, token_store
+from . import bpe, chunk_dedup, exact_dedup, hyperminhash, importance, license_scan, line_dedup, lm_score, mixing, ngram_join, prefix_trie, quality, token_store
 from .common import new_path, read
 
 
@@ -61,10 +61,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.join(read(spark, sf_dir, "documents"), n=3, num=85, den=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_lm_score, op6_bpe_round_trip, op7_quality_rules, op8_license_scan, op9_token_store, op10_substring_dedup,
-        op11_prefix_trie, op12_importance,
+        op11_prefix_trie, op12_importance, op13_hyperminhash,
     )
 }

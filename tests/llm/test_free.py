@@ -5,13 +5,15 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelcast.llm import bpe, chunk_dedup, components, exact_dedup, lm_score, ngram_join, token_store
+from panelcast.llm import bpe, chunk_dedup, components, exact_dedup, families, lm_score, ngram_join, token_store
 
 from .helpers import clashing, corpus, frame, prose, untouched
 
@@ -130,21 +132,79 @@ def test_divide_skip_finds_every_link_itself(monkeypatch, probe):
     monkeypatch.setattr(ngram_join, "PROBE", probe)
     sets = some_sets(np.random.default_rng(3), 80)
     sizes = np.array([len(s) for s in sets])
-    lists = ngram_join.Lists(sizes, sets)
+    payloads = [s.tobytes() for s in sets]
+    index = partial(ngram_join.Lists, 80, 100)
+    lists = index(sizes, payloads)
     links = 0
     for q, s in enumerate(sets):
         want = [x for x, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
-        assert sorted(lists.search(len(s), s, 80, 100).tolist()) == want
+        assert sorted(lists.search(len(s), payloads[q]).tolist()) == want
+        assert sorted(lists.search(len(s), payloads[q], 33).tolist()) == [x for x in want if x >= 33]
         links += len(want) - 1
     assert links > 200
     for pilots in (1, 16):
-        monkeypatch.setattr(ngram_join, "PILOTS", pilots)
+        monkeypatch.setattr(families, "PILOTS", pilots)
         found = []
-        forest = ngram_join.search_family(sizes, sets, 80, 100, found)
+        forest = families.search_family(sizes, payloads, index, found)
         want = brute_roots(sets, 80, 100)
         assert [forest.root(x) for x in range(80)] == want and len(found) == 80 - len(set(want))
 
 
+def test_two_equal_groups_take_linear_steps():
+    """Members of a group don't walk their own group's lists: twice the members take about twice the steps."""
+
+    class Steps(ngram_join.Lists):
+        taken = 0
+
+        def search(self, size, payload, after=0):
+            keys = np.frombuffer(payload, np.uint64)
+            place = np.searchsorted(self.keys, keys)
+            Steps.taken += int((self.end[place] - np.searchsorted(self.pairs, place * self.m + after)).sum())
+            return super().search(size, payload, after)
+
+    def steps(m):
+        rng = np.random.default_rng(8)
+        bases = [np.append(rng.choice(10**6, 290, replace=False), np.arange(10)).astype(np.uint64) for _ in range(2)]  # ten keys stand in both groups
+        sets = []
+        for k in range(2 * m):
+            s = bases[k % 2].copy()
+            s[rng.integers(0, 290, 8)] = rng.integers(2 * 10**6, 2**60, 8)
+            sets.append(np.unique(s))
+        Steps.taken = 0
+        forest = families.search_family(np.array([len(s) for s in sets]), [s.tobytes() for s in sets], partial(Steps, 80, 100))
+        assert [forest.root(x) for x in range(2 * m)] == [k % 2 for k in range(2 * m)]
+        return Steps.taken / m
+
+    few, many = steps(100), steps(400)
+    # the ten shared keys have lists as long as the other group; all of a member's own would be 300 such lists
+    assert many < 0.1 * 300 * 400 + 2 * few
+
+
+@pytest.mark.parametrize("family_keys", [40, 200])
+def test_many_seekers_of_one_key_come_in_blocks(spark, monkeypatch, family_keys):
+    """No group of a large family holds more than a bounded number of keys of members or of seekers."""
+    monkeypatch.setattr(families, "PILOTS", 2)
+    monkeypatch.setattr(families, "ROUNDS", 1)
+    most, rng = [], np.random.default_rng(9)
+    sets = [np.unique(np.append(rng.choice(10**6, 15, replace=False), 7)).astype(np.uint64) for _ in range(120)]  # all share one key, few link
+    for k in range(0, 120, 4):
+        sets[k] = sets[k // 8].copy()
+    rows = [(0, k, len(s), bytearray(s.tobytes()), [7]) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "family bigint, id bigint, n bigint, keys binary, prefix array<bigint>")
+    real = families.search_parts
+
+    def watched(dealt, index):
+        size = dealt.groupBy("grp").agg(F.sum((F.col("listed").cast("int")) * F.col("n")).alias("l"), F.sum((F.col("seeks").cast("int")) * F.col("n")).alias("s")).agg(F.max("l"), F.max("s")).first()
+        most.append(max(x or 0 for x in size))
+        return real(dealt, index)
+
+    monkeypatch.setattr(families, "search_parts", watched)
+    roots = families.search(table, partial(ngram_join.Lists, 80, 100), family_keys).groupBy("id").agg(F.min("root").alias("root"))
+    got = {r["id"]: r["root"] for r in roots.collect()}
+    assert [got.get(k, k) for k in range(120)] == brute_roots(sets, 80, 100)
+    assert max(most) < 4 * family_keys + 200
+
+
 def test_merge_skip():
     rng = np.random.default_rng(4)
     for n in range(1, 12):
@@ -157,8 +217,8 @@ def test_merge_skip():
 @pytest.mark.parametrize(("pilots", "rounds"), [(16, 3), (1, 1)])
 def test_ngram_join_of_families_of_many_parts(spark, monkeypatch, pilots, rounds):
     """A large group of near copies, two small ones and others that share some of their words, all in families of many parts."""
-    monkeypatch.setattr(ngram_join, "PILOTS", pilots)
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(families, "PILOTS", pilots)
+    monkeypatch.setattr(families, "ROUNDS", rounds)
     rng = np.random.default_rng(6)
     bases = [prose(1300 + k, 100).split() for k in range(4)]
     docs = []
