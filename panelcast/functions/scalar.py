@@ -37,9 +37,11 @@ def as_day(value: Column) -> Column:
     return F.to_date(F.substring(value.cast("string"), 1, 10))
 
 
-def required(value: Column, name: str) -> Column:
-    """The value, or an error that names the field."""
-    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"{name} is required")))
+def required(value: Column, name: str | Column) -> Column:
+    """The value, or an error that names the field; text of blanks alone is no value."""
+    label = F.lit(name) if isinstance(name, str) else F.coalesce(name, F.lit("a value"))
+    there = value.isNotNull() & (F.trim(value.cast("string")) != "")
+    return F.when(there, value).otherwise(F.raise_error(F.concat(label, F.lit(" is required"))))
 
 
 def weighted_score(terms: Mapping[str, float]) -> Column:

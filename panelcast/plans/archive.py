@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import presets
 from ..functions.scalar import as_day, current_code, number_or_zero, one_hot, participated, ratio_or_zero, tiered
 from ..operators import absence, panel, roster
 
@@ -35,7 +36,9 @@ def player_facts(player_stats: DataFrame, schedules: DataFrame) -> DataFrame:
     rows = rows.withColumns({"team": current_code(F.col("team")), "opponent": current_code(F.col("opponent_team")), "player_targets": _num("targets"), "player_carries": _num("carries"), "_attempts": _num("attempts")})
     volume = rows.groupBy("game_id", "team").agg(F.sum("player_targets").alias("team_targets"), F.sum("_attempts").alias("team_pass_attempts"), F.sum("player_carries").alias("team_rushing_attempts"))
     volume = volume.withColumn("team_offensive_plays", F.col("team_pass_attempts") + F.col("team_rushing_attempts"))
-    kicks = (_num("fg_made_0_19") + _num("fg_made_20_29") + _num("fg_made_30_39")) * 3 + _num("fg_made_40_49") * 4 + (_num("fg_made_50_59") + _num("fg_made_60_")) * 5 + _num("pat_made")
+    short, far = _num("fg_made_0_19") + _num("fg_made_20_29") + _num("fg_made_30_39"), _num("fg_made_50_59") + _num("fg_made_60_")
+    w = presets.KICKER
+    kicks = short * w["field_goals_0_39"] + _num("fg_made_40_49") * w["field_goals_40_49"] + far * w["field_goals_50_plus"] + _num("pat_made") * w["extra_points"]
     used = [F.col(c) for c in ("attempts", "carries", "targets", "receptions", "fg_att")]
     rows = rows.where(participated(F.col("fantasy_points"), used)).join(_games(schedules).select("game_id", "home_team"), "game_id").join(volume, ["game_id", "team"], "left")
     plays = F.col("team_offensive_plays")
@@ -169,11 +172,10 @@ def training(known: DataFrame, years: list[int]) -> DataFrame:
 
 
 def absences(injuries: DataFrame, rosters: DataFrame) -> DataFrame:
-    """player_id, season, week, status: reported out, or on reserve."""
+    """player_id, season, week, status: "Out" where reported out, "Reserve list" where on reserve, or both."""
     key = {"player_id": F.col("gsis_id"), "season": F.col("season").cast("bigint"), "week": F.col("week").cast("bigint")}
-    pick = lambda f, c: f.where("game_type = 'REG'").where(F.coalesce(F.col("gsis_id"), F.lit("")) != "").select(*(v.alias(k) for k, v in key.items()), F.col(c).alias("status"))
-    out = pick(injuries, "report_status").where(F.lower("status") == "out")
-    return absence.joined_statuses([out, pick(rosters, "status").where("status = 'RES'")], list(key))
+    pick = lambda f, told: f.where("game_type = 'REG'").where(F.coalesce(F.col("gsis_id"), F.lit("")) != "").select(*(v.alias(k) for k, v in key.items()), F.lit(told).alias("status"))
+    return absence.joined_statuses([pick(injuries.where(F.lower("report_status") == "out"), "Out"), pick(rosters.where("status = 'RES'"), "Reserve list")], list(key))
 
 
 def forecast(known: DataFrame, schedules: DataFrame, charts: DataFrame, year: int, as_of: str, absent: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import presets
-from ..functions.scalar import age_years, as_day, current_code, experience, feature_names, number_or_zero, ratio_or_zero, severity, tiered, weighted_score
+from ..functions.scalar import age_years, as_day, current_code, experience, feature_names, number_or_zero, ratio_or_zero, required, severity, tiered, weighted_score
 from ..operators import absence, asof, panel, roster
 from ..sources import io
 from ..sources.contracts import Contract, check_input
@@ -29,10 +29,16 @@ STATS = {
                   "target_share", "carry_share", "team_targets", "team_pass_attempts", "team_rushing_attempts", "team_offensive_plays", "team_pass_rate", "team_rush_rate"],
     "idp": ["solo_tackles", "assisted_tackles", "sacks", "interceptions", "passes_defended", "fumbles_forced", "touchdowns"],
 }
+#: A kicker's stats, and what the weights call them.
+KICKS = {
+    "fg_made_0_39": "field_goals_0_39", "fg_made_40_49": "field_goals_40_49", "fg_made_50_plus": "field_goals_50_plus", "fg_missed": "field_goals_missed", "pat_made": "extra_points",
+    "pat_missed": "extra_points_missed",
+}
 SCHEDULE = Contract("schedules", {"game_id": "text", "gameday": "date", "home_team": "text", "away_team": "text", "home_score": "number", "away_score": "number"}, ["game_id", "gameday", "home_team", "away_team"])
 KEYS = {"season": "integer", "week": "integer", "season_type": "text", "game_id": "text"}
 PLAYER_STATS = Contract("player_stats", {**KEYS, "player_id": "text", "player_display_name": "text", "position": "text"}, ["season", "week", "game_id"])
 TEAM_STATS = Contract("team_stats", {**KEYS, "team": "text", "opponent_team": "text"}, ["season", "week", "game_id"])
+DEFENDERS = Contract("player_stats", {**KEYS, "player_id": "text", "player_display_name": "text", "position_group": "text"}, ["season", "week", "game_id"])
 INJURIES = Contract("injuries", {"season": "integer", "week": "integer", "gsis_id": "text", "report_status": "text"}, ["season", "week"])
 
 
@@ -59,9 +65,19 @@ def _regular(frame: DataFrame) -> DataFrame:
     return frame.where(F.col("season_type") == "REG")
 
 
+def _arrival(frame: DataFrame) -> Column:
+    """What orders the rows of a frame as they came. A frame's own order is told before any shuffle."""
+    return F.col(io.ARRIVAL) if io.ARRIVAL in frame.columns else F.monotonically_increasing_id()
+
+
+def _arrived(frame: DataFrame) -> DataFrame:
+    return frame.withColumn(io.ARRIVAL, _arrival(frame))
+
+
 def _keyed(frame: DataFrame, entity: Sequence[str], extra: dict[str, Column], stats: dict[str, Column]) -> DataFrame:
-    rows = frame.select(*extra_columns(extra), F.col("season").cast("bigint").alias("target_season"), F.col("week").cast("bigint").alias("target_week"), F.col("game_id").alias("target_game_id"), *(v.alias(k) for k, v in stats.items()))
-    return panel.last_write(rows, [*entity, *PERIOD], ["target_game_id"])
+    """One row for each entity and period. Rows are dealt by entity, so that the windows of its history need no shuffle of their own."""
+    rows = frame.select(*extra_columns(extra), F.col("season").cast("bigint").alias("target_season"), F.col("week").cast("bigint").alias("target_week"), F.col("game_id").alias("target_game_id"), *(v.alias(k) for k, v in stats.items()), io.ARRIVAL)
+    return panel.last_write(rows, [*entity, *PERIOD], [io.ARRIVAL], within=entity).drop(io.ARRIVAL)
 
 
 def extra_columns(extra: dict[str, Column]) -> list[Column]:
@@ -95,7 +111,7 @@ def _sided(frame: DataFrame, schedules: DataFrame, own: bool) -> DataFrame:
 
 def defense_games(team_stats: DataFrame, schedules: DataFrame) -> DataFrame:
     """What each defense allowed: the offense's row counts for its opponent."""
-    rows = _sided(_regular(check_input(team_stats, TEAM_STATS)), schedules, own=False)
+    rows = _sided(_regular(_arrived(check_input(team_stats, TEAM_STATS))), schedules, own=False)
     stats = {"points_allowed": number_or_zero(F.col("_points"))} | _stats({"passing_yards_allowed": "passing_yards", "rushing_yards_allowed": "rushing_yards", "turnovers": ["passing_interceptions", "fumbles_lost_total"]})
     return _keyed(rows, ["defense"], {"defense": F.col("opponent_team")}, stats)
 
@@ -118,7 +134,7 @@ def known_players(players: DataFrame) -> DataFrame:
 
 def quarterback_games(player_stats: DataFrame, schedules: DataFrame, players: DataFrame, plays: DataFrame, min_attempts: int = 5) -> DataFrame:
     """Regular-season games of quarterbacks with enough attempts, one row for each player and week."""
-    rows = _regular(check_input(player_stats, PLAYER_STATS)).where((F.col("position") == "QB") & (F.col("attempts") >= min_attempts)).withColumn("opponent", current_code(F.col("opponent_team")))
+    rows = _regular(_arrived(check_input(player_stats, PLAYER_STATS))).where((F.col("position") == "QB") & (F.col("attempts") >= min_attempts)).withColumn("opponent", current_code(F.col("opponent_team")))
     rows = roster.must_match(rows, schedule_of(schedules).select("game_id", "game_date"), ["game_id"], "game").join(two_point_attempts(plays), ["game_id", "player_id"], "left")
     rows = rows.join(known_players(players), "player_id", "left")
     stats = _stats({
@@ -149,24 +165,24 @@ def quarterback_features(player_stats: DataFrame, schedules: DataFrame, team_sta
 
 def defense_features(team_stats: DataFrame, schedules: DataFrame, weights: dict = presets.DEFENSE) -> DataFrame:
     """Teams' own defenses by game; first games are dropped."""
-    rows = _sided(_regular(check_input(team_stats, TEAM_STATS)), schedules, own=True)
+    rows = _sided(_regular(_arrived(check_input(team_stats, TEAM_STATS))), schedules, own=True)
     stats = {"points_allowed": number_or_zero(F.col("_points"))} | _stats({"sacks": "def_sacks", "interceptions": "def_interceptions", "fumble_recoveries": "fumble_recovery_opp", "touchdowns": "def_tds", "safeties": "def_safeties", "blocked_kicks": ["def_punt_blocks", "def_pat_blocks", "def_fg_blocks"]})
     out = _history(_keyed(rows, ["team"], {"team": F.col("team")}, stats), "team", "dst").where("dst_history_through_season is not null")
     return out.withColumn("fantasy_points", weighted_score(weights) + tiered(F.col("points_allowed"))).select("team", *PERIOD, "target_game_id", "dst_history_through_season", "dst_history_through_week", *_features("dst"), "fantasy_points")
 
 
-def kicker_features(player_stats: DataFrame, weights: dict | None = None) -> DataFrame:
-    weights = weights or {"fg_made_0_39": 3, "fg_made_40_49": 4, "fg_made_50_plus": 5, "fg_missed": 0, "pat_made": 1, "pat_missed": 0}
-    rows = _regular(check_input(player_stats, PLAYER_STATS)).where("position = 'K'")
+def kicker_features(player_stats: DataFrame, weights: dict = presets.KICKER) -> DataFrame:
+    weights = {c: weights[KICKS[c]] for c in STATS["kicker"]}
+    rows = _regular(_arrived(check_input(player_stats, PLAYER_STATS))).where("position = 'K'")
     stats = _stats({"fg_made_0_39": ["fg_made_0_19", "fg_made_20_29", "fg_made_30_39"], "fg_made_40_49": "fg_made_40_49", "fg_made_50_plus": ["fg_made_50_59", "fg_made_60_"], "fg_missed": "fg_missed", "pat_made": "pat_made", "pat_missed": "pat_missed"})
     games = _keyed(rows, ["player_id"], {"player_id": F.col("player_id"), "player_name": F.col("player_display_name")}, stats)
     out = _history(games, "player_id", "kicker").where("kicker_history_through_season is not null")
     return out.withColumn("fantasy_points", weighted_score(weights)).select("player_id", "player_name", *PERIOD, "target_game_id", "kicker_history_through_season", "kicker_history_through_week", *_features("kicker"), "fantasy_points")
 
 
-def receiving_features(player_stats: DataFrame, schedules: DataFrame, team_stats: DataFrame, reception: float = 0.0, positions: Sequence[str] = ("RB", "WR", "TE")) -> DataFrame:
+def receiving_games(player_stats: DataFrame, schedules: DataFrame, positions: Sequence[str] = ("RB", "WR", "TE")) -> DataFrame:
     """Backs, receivers and ends by game, with their shares of the team's targets and carries. Team totals count every position."""
-    every = _regular(check_input(player_stats, PLAYER_STATS)).where("player_id is not null")
+    every = _regular(_arrived(check_input(player_stats, PLAYER_STATS))).where("player_id is not null")
     totals = panel.group_totals(every, ["game_id", "team"], ["targets", "attempts", "carries"])
     rows = every.where(F.col("position").isin(list(positions))).join(totals, ["game_id", "team"])
     rows = roster.must_match(rows, schedule_of(schedules).select("game_id"), ["game_id"], "game")
@@ -179,14 +195,26 @@ def receiving_features(player_stats: DataFrame, schedules: DataFrame, team_stats
     plays = F.col("total_attempts") + F.col("total_carries")
     stats |= {"target_share": share("targets", F.col("total_targets")), "carry_share": share("carries", F.col("total_carries")), "team_pass_rate": share("total_attempts", plays), "team_rush_rate": share("total_carries", plays)}
     extra = {"player_id": F.col("player_id"), "player_name": F.col("player_display_name"), "position": F.col("position"), "team": current_code(F.col("team")), "opponent": current_code(F.col("opponent_team"))}
-    games = _history(_keyed(rows, ["player_id"], extra, stats), "player_id", "receiving")
+    return _keyed(rows, ["player_id"], extra, stats)
+
+
+def receiving_points(reception: float = 0.0) -> Column:
+    """Points of a row of receiving_games. reception: 0, 0.5 or 1 points a catch."""
+    made = F.col("rushing_two_point_made") + F.col("receiving_two_point_made")
+    weights = {k: v for k, v in presets.RECEIVING.items() if k != "two_point_conversions"}
+    return presets.receiving_score(reception, weights) + made * presets.RECEIVING["two_point_conversions"]
+
+
+def receiving_features(player_stats: DataFrame, schedules: DataFrame, team_stats: DataFrame, reception: float = 0.0, positions: Sequence[str] = ("RB", "WR", "TE")) -> DataFrame:
+    """Games of backs, receivers and ends with their history and the opposing defense's; first games are dropped."""
+    games = _history(receiving_games(player_stats, schedules, positions), "player_id", "receiving")
     out = games.join(defense_history(team_stats, schedules), ["opponent", *PERIOD], "left").where("receiving_history_through_season is not null and defense_history_through_season is not null")
-    out = out.withColumn("two_point_conversions", F.col("rushing_two_point_made") + F.col("receiving_two_point_made")).withColumn("fantasy_points", presets.receiving_score(reception))
+    out = out.withColumn("fantasy_points", receiving_points(reception))
     return out.select("player_id", "player_name", "position", "team", "opponent", *PERIOD, "target_game_id", "receiving_history_through_season", "receiving_history_through_week", "defense_history_through_season", "defense_history_through_week", *_features("receiving"), *_features("defense"), "fantasy_points")
 
 
 def defender_features(player_stats: DataFrame, weights: dict = presets.DEFENDER) -> DataFrame:
-    rows = _regular(player_stats).where(F.col("position_group").isin("DL", "LB", "DB"))
+    rows = _regular(_arrived(check_input(player_stats, DEFENDERS))).where(F.col("position_group").isin("DL", "LB", "DB"))
     stats = _stats({"solo_tackles": "def_tackles_solo", "assisted_tackles": "def_tackles_with_assist", "sacks": "def_sacks", "interceptions": "def_interceptions", "passes_defended": "def_pass_defended", "fumbles_forced": "def_fumbles_forced", "touchdowns": "def_tds"})
     games = _keyed(rows, ["player_id"], {"player_id": F.col("player_id"), "player_name": F.col("player_display_name"), "position_group": F.col("position_group")}, stats)
     out = _history(games, "player_id", "idp").where("idp_history_through_season is not null")
@@ -200,10 +228,10 @@ def train_test(features: DataFrame, seasons: Seasons) -> tuple[DataFrame, DataFr
 
 
 def injury_reports(injuries: DataFrame, first: int = 2009, last: int = 2024) -> DataFrame:
-    """Recognised statuses of covered seasons, the last row of a player's week."""
-    rows = absence.covered(check_input(injuries, INJURIES), "season", first, last).where("game_type = 'REG' and gsis_id is not null").withColumn("severity", severity(F.col("report_status"))).where("severity is not null")
-    out = rows.select(F.col("gsis_id").alias("entity"), F.col("season").cast("bigint").alias("season"), F.col("week").cast("bigint").alias("week"), "team", F.col("full_name").alias("name"), F.col("report_status").alias("status"), "severity", F.col("report_primary_injury").alias("primary_injury"))
-    return panel.last_write(out, ["entity", "season", "week"], ["severity", "status"])
+    """Recognised statuses of covered seasons, the last to arrive of a player's week: an Out that becomes Questionable ends as Questionable."""
+    rows = absence.covered(_arrived(check_input(injuries, INJURIES)), "season", first, last).where("game_type = 'REG' and gsis_id is not null").withColumn("severity", severity(F.col("report_status"))).where("severity is not null")
+    out = rows.select(F.col("gsis_id").alias("entity"), F.col("season").cast("bigint").alias("season"), F.col("week").cast("bigint").alias("week"), "team", F.col("full_name").alias("name"), F.col("report_status").alias("status"), "severity", F.col("report_primary_injury").alias("primary_injury"), io.ARRIVAL)
+    return panel.last_write(out, ["entity", "season", "week"], [io.ARRIVAL]).drop(io.ARRIVAL)
 
 
 def injury_impact(games: DataFrame, injuries: DataFrame, window: int = 10, last_week: int = 18) -> DataFrame:
@@ -254,7 +282,7 @@ def quarterback_forecast(games: DataFrame, defenses: DataFrame, schedules: DataF
     rows = rows.withColumns({c: F.coalesce(c, f"_rookie_{c.split('_', 3)[3]}") for c in _features("qb")} | {
         "qb_history_through_season": F.coalesce("qb_history_through_season", (F.col("_rookie_through") / 100).cast("bigint")), "qb_history_through_week": F.coalesce("qb_history_through_week", F.col("_rookie_through") % 100)})
     rows = rows.join(known_players(players).select("player_id", "birth_date", "rookie_season"), "player_id", "left")
-    born = F.when(F.col("birth_date").isNull(), F.raise_error(F.concat(F.lit("no birth date of "), "player_name")).cast("date")).otherwise(F.col("birth_date"))
+    born = required(F.col("birth_date"), F.concat(F.lit("birth date of "), "player_name"))
     against = latest_state(defenses.where(F.col("target_season") <= through), "defense", "defense").withColumnRenamed("defense", "opponent")
     rows = roster.must_match(rows, against, ["opponent"], "opponent's history")
     if outcomes is None:

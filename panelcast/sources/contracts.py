@@ -48,12 +48,18 @@ def check_input(frame: DataFrame, contract: Contract) -> DataFrame:
     return frame
 
 
-def check_output(frame: DataFrame, schema: T.StructType, nullable: Sequence[str] = (), name: str = "output", allowed: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """The frame, if it has exactly these columns in this order and of these types, and no nulls but in the nullable ones."""
+def same_schema(frame: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+    """The frame, if it has exactly these columns in this order and of these types. No job runs."""
     have, want = [(f.name, f.dataType) for f in frame.schema], [(f.name, f.dataType) for f in schema]
     if have != want:
         shown = lambda xs: ", ".join(f"{n} {t.simpleString()}" for n, t in xs)
         raise ContractError(name, [f"has ({shown(have)}), wants ({shown(want)})"])
+    return frame
+
+
+def check_output(frame: DataFrame, schema: T.StructType, nullable: Sequence[str] = (), name: str = "output", allowed: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """The frame, if it has exactly these columns in this order and of these types, and no nulls but in the nullable ones."""
+    same_schema(frame, schema, name)
     strict = [f.name for f in schema if f.name not in nullable]
     tests = {f"{c} has nulls": F.count_if(F.col(c).isNull()) for c in strict}
     tests |= {f"{c} has other values than {', '.join(map(str, v))}": F.count_if(~F.col(c).isin(list(v))) for c, v in (allowed or {}).items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +15,22 @@ from .contracts import ContractError, check_output
 MANIFEST_VERSION = 1
 
 
+#: The column that tells in which order rows arrived.
+ARRIVAL = "_arrival"
+
+
 def scan(spark: SparkSession, path: str, seasons: Sequence[int] | None = None, season: str = "season") -> DataFrame:
     """A table's rows of some seasons; the filter reaches the scan."""
     rows = spark.read.parquet(path)
     return rows if seasons is None else rows.where(F.col(season).isin(list(seasons)))
 
 
+def with_arrival(frame: DataFrame) -> DataFrame:
+    """Adds ARRIVAL to a frame of files: a later file after an earlier one (by time, then path), and a later row of a file after an earlier one."""
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    return frame.select("*", at.alias(ARRIVAL))
+
+
 def fingerprint(frame: DataFrame, name: str) -> DataFrame:
     """One row: name, n_rows, schema, fingerprint. Hashes of rows are added up, so that the order of rows doesn't matter."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in frame.columns))
@@ -79,6 +91,18 @@ def read_predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def digest(n_rows: int, total, xor) -> str:
+    """A fingerprint from its pieces: rows, and the sum and exclusive-or of their hashes; none is 0."""
+    return hashlib.sha256(f"{n_rows}:{0 if total is None else total}:{0 if xor is None else xor}".encode()).hexdigest()
+
+
+def manifest_of(spark: SparkSession, rows: Sequence[dict], parameters: Mapping[str, object]) -> DataFrame:
+    """A manifest from facts that are known already: a few rows (role, name, n_rows, schema, fingerprint, and parameters where they have their own)."""
+    told = json.dumps({k: str(v) for k, v in sorted(parameters.items())}, separators=(",", ":"))
+    cells = [(r["role"], r["name"], int(r["n_rows"]), r["schema"], r["fingerprint"], r.get("parameters", told), MANIFEST_VERSION) for r in rows]
+    return spark.createDataFrame(cells, "role string, name string, n_rows bigint, schema string, fingerprint string, parameters string, version int")
+
+
 def manifest(sources: Sequence[tuple[str, DataFrame]], outputs: Sequence[tuple[str, DataFrame]], parameters: dict[str, str]) -> DataFrame:
     """One row for each source and output: role, name, n_rows, schema, fingerprint, and the run's parameters and version."""
     rows = [fingerprint(f, n).withColumn("role", F.lit(role)) for role, many in (("source", sources), ("output", outputs)) for n, f in many]

@@ -18,9 +18,10 @@ class Scans:
         self.read: dict[str, DataFrame] = {}
 
     def scan(self, table: str, seasons: Sequence[int] | None = None, season: str = "season") -> DataFrame:
+        """The rows with the order in which they arrived."""
         frame = io.scan(self.spark, f"{self.folder}/{table}.parquet", seasons, season)
         self.read[table if seasons is None else f"{table}:{'-'.join(map(str, seasons))}"] = frame
-        return frame
+        return io.with_arrival(frame)
 
     def sources(self) -> list[tuple[str, DataFrame]]:
         return sorted(self.read.items())
@@ -41,11 +42,13 @@ def roster_counts(forecast: DataFrame, positions: Sequence[str]) -> DataFrame:
     return wanted.join(found, "position", "left").select("position", F.coalesce("players", zero).alias("players"), F.coalesce("teams", zero).alias("teams"), "expected_teams")
 
 
+def coverage_rows(forecast: DataFrame, positions: Sequence[str]) -> list[dict]:
+    """Rows of role coverage for a manifest: a position's players as n_rows, the teams that have one in `parameters`."""
+    told = F.to_json(F.create_map(F.lit("teams"), F.col("teams").cast("string"), F.lit("expected_teams"), F.col("expected_teams").cast("string")))
+    return [{"role": "coverage", "name": r["position"], "n_rows": r["players"], "schema": None, "fingerprint": None, "parameters": r["told"]} for r in roster_counts(forecast, positions).withColumn("told", told).collect()]
+
+
 def archive_manifest(scans: Scans, training: DataFrame, forecast: DataFrame, positions: Sequence[str], parameters: dict[str, str]) -> DataFrame:
-    """The manifest of an archive: sources and outputs, and a row of role coverage for each position: its players as n_rows, the teams that have one in `parameters`."""
+    """The manifest of an archive: sources and outputs, and a row of role coverage for each position."""
     files = io.manifest(scans.sources(), [("training", training), ("forecast", forecast)], parameters)
-    counts = roster_counts(forecast, positions)
-    told = F.to_json(F.create_map(F.lit("teams"), F.col("teams").cast("string"), F.lit("expected_teams"), F.col("expected_teams").cast("string")))
-    none = F.lit(None).cast("string")
-    rows = counts.select(F.lit("coverage").alias("role"), F.col("position").alias("name"), F.col("players").alias("n_rows"), none.alias("schema"), none.alias("fingerprint"), told.alias("parameters"), F.lit(io.MANIFEST_VERSION).alias("version"))
-    return files.unionByName(rows)
+    return files.unionByName(io.manifest_of(forecast.sparkSession, coverage_rows(forecast, positions), parameters))

@@ -54,7 +54,7 @@ def test_forecast_completes_the_roster(spark):
     f = archive.forecast(known(spark), schedules(spark), charts, 2023, "2023-08-31", absent)
     got = {r["player_id"]: r for r in f.collect()}
     assert len(got) == 12 and "SEAK" in got and "late" not in got and "newRB" not in got  # the missing kicker is the last season's
-    assert got["GBQB"]["injury_status"] == "OUT / RES" and got["GBQB"]["injury_missed_game"] is True and got["GBWR"]["injury_missed_game"] is False
+    assert got["GBQB"]["injury_status"] == "Out / Reserve list" and got["GBQB"]["injury_missed_game"] is True and got["GBWR"]["injury_missed_game"] is False
     sums = f.groupBy("team").agg(F.sum("projected_target_share").alias("t"), F.sum("projected_carry_share").alias("c")).collect()
     assert all(r["t"] == pytest.approx(1) and r["c"] == pytest.approx(1) for r in sums)
     assert got["GBWR"]["projected_target_share"] == pytest.approx(0.5) and got["DST-GB"]["player_last_1_points"] == 17.0 and got["GBQB"]["fantasy_points"] is None
