@@ -16,6 +16,8 @@ CONSENSUS = "Consensus"
 IDENTITY = (
     "player_id", "player_name", "position", "team", "opponent", "target_season", "target_week", "target_game_id", "forecast_as_of", "history_through_season", "status", "missed",
 )
+#: The columns of a result, and what files call them: the names that boards use come first.
+RESULTS = {"actual": ("actual", "fantasy_points"), "missed": ("missed", "injury_missed_game"), "status": ("status", "injury_status")}
 REQUIRED = ("player_id", "player_name", "target_season", "target_week", "prediction")
 #: Context of a forecast, and the feature that stands for it where the forecast has none.
 OPPORTUNITY = {
@@ -44,19 +46,24 @@ def opportunity(columns: Sequence[str]) -> dict[str, Column]:
     return found | {"opportunity_basis": F.lit(basis)}
 
 
-def prepare(frame: DataFrame, model: str | None = None) -> DataFrame:
-    """A prediction frame with all columns that boards read, beside those that it has: defaults, upper-case names of positions and teams, context, error of the prediction.
+def prepare(frame: DataFrame, model: str | None = None, results: bool = False) -> DataFrame:
+    """A prediction frame with all columns that boards read, beside those that it has: results under any of their names, defaults, upper-case names of positions and
+    teams, context, error of the prediction.
 
-    A model that is given is the name of all rows. A frame without a required column is refused; whether it has rows is for the reader of files to check.
+    A model that is given is the name of all rows. A frame without a required column is refused, and so is one without a column of outcomes where `results` are asked
+    for; whether it has rows is for the reader of files to check.
     """
     missing = [c for c in REQUIRED if c not in frame.columns]
+    if results and not set(RESULTS["actual"]) & set(frame.columns):
+        missing.append(" or ".join(RESULTS["actual"]))
     if missing:
         raise ValueError(f"predictions lack {', '.join(missing)}")
     have = set(frame.columns)
     typed = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t)
+    result = lambda c, t: typed(next((x for x in RESULTS[c] if x in have), c), t)
     new = {
         "player_id": typed("player_id", "string"), "player_name": typed("player_name", "string"), "target_season": typed("target_season", "bigint"), "target_week": typed("target_week", "bigint"),
-        "prediction": typed("prediction", "double"), "actual": typed("actual", "double"), "missed": F.coalesce(typed("missed", "boolean"), F.lit(False)), "status": typed("status", "string"),
+        "prediction": typed("prediction", "double"), "actual": result("actual", "double"), "missed": F.coalesce(result("missed", "boolean"), F.lit(False)), "status": result("status", "string"),
         "model": F.lit(model) if model or "model" not in have else F.col("model"),
     }
     new |= opportunity(frame.columns) | {c: F.upper(F.coalesce(typed(c, "string"), F.lit(d))) for c, d in DEFAULTS.items()}

@@ -19,6 +19,16 @@ def prepare_predictions(spark: SparkSession, d: str) -> DataFrame:
     return m(spark, d).select(*shown, r6(F.col("error")).alias("error"), r6(F.col("absolute_error")).alias("absolute_error"))
 
 
+@query(f"""WITH {M} SELECT player_id, target_week, model, prediction, actual, missed, CASE WHEN missed THEN 'Out' END AS status, upper(position) AS position, 'N/A' AS opponent, round(error + 1.3e-7, 6) AS error FROM M WHERE target_season = 1997""")
+def prepare_prediction_files(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions as forecasts and jobs write them, with their names of outcomes and absences."""
+    names = {"actual": "fantasy_points", "missed": "injury_missed_game"}
+    files = m(spark, d).where("target_season = 1997").withColumnsRenamed(names).withColumn("injury_status", F.when(F.col("injury_missed_game"), "Out"))
+    files = files.select("player_id", "player_name", F.lower("position").alias("position"), "target_season", "target_week", "model", "prediction", *names.values(), "injury_status")
+    got = boards.prepare(files, results=True)
+    return got.select("player_id", "target_week", "model", "prediction", "actual", "missed", "status", "position", "opponent", r6(F.col("error")).alias("error"))
+
+
 @query(f"""WITH {CONSENSUS} SELECT player_id, target_season, target_week, round(prediction + 1.3e-7, 4) AS prediction, round(spread + 1.3e-7, 4) AS spread, models, actual, missed FROM C""")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     return boards.consensus(m(spark, d)).select("player_id", "target_season", "target_week", r4("prediction"), r4("spread"), "models", "actual", "missed")

@@ -91,7 +91,7 @@ def build(scans: Scans, position: str, path: str, seasons: football.Seasons = fo
     """One position's `train` and `test` in `path`, from one scan of its sources; gives the manifest. `options` go to the position's features (weights, least attempts, ...)."""
     job, out = JOBS[position], OUTPUTS[position]
     years = range(seasons.history, seasons.test + 1)
-    tables = {t: scans.scan(t, years) for t in job.seasonal} | {t: scans.scan(t) for t in job.whole}
+    tables = {t: scans.scan(t, years, arrival=True) for t in job.seasonal} | {t: scans.scan(t) for t in job.whole}
     features, season = job.make(tables, **options), F.col("target_season")
     outputs = {"train": (out, (season >= seasons.train) & (season < seasons.test)), "test": (out, season == seasons.test)}
     told = {"position": position, "history_start": seasons.history, "train_start": seasons.train, "test_year": seasons.test} | options
@@ -101,14 +101,14 @@ def build(scans: Scans, position: str, path: str, seasons: football.Seasons = fo
 def build_forecast(scans: Scans, path: str, seasons: football.Seasons, as_of: str, outcomes: bool = False) -> DataFrame:
     """The frozen quarterback forecast: `training`, seasons from seasons.train up to the one before seasons.test, and `forecast`, the season seasons.test as of a day."""
     through, target = seasons.test - 1, seasons.test
-    tables = {t: scans.scan(t, range(seasons.history, target)) for t in JOBS["qb"].seasonal} | {"players": scans.scan("players")}
+    tables = {t: scans.scan(t, range(seasons.history, target), arrival=True) for t in JOBS["qb"].seasonal} | {"players": scans.scan("players")}
     features = football.quarterback_features(*(tables[t] for t in ("player_stats", "schedules", "team_stats", "players", "plays")))
     games = football.quarterback_games(tables["player_stats"], tables["schedules"], tables["players"], tables["plays"])
     defenses = football.defense_games(tables["team_stats"], tables["schedules"])
     season, charts = scans.scan("schedules", [target]), scans.scan("depth_charts", [target])
     played = None
     if outcomes:
-        held = football.quarterback_games(scans.scan("player_stats", [target]), season, tables["players"], scans.scan("plays", [target]))
+        held = football.quarterback_games(scans.scan("player_stats", [target], arrival=True), season, tables["players"], scans.scan("plays", [target]))
         played = held.withColumn("fantasy_points", football.quarterback_score())
     forecast = football.quarterback_forecast(games, defenses, season, charts, tables["players"], target, through, as_of, played)
     trained = F.col("target_season").between(seasons.train, through)
@@ -173,7 +173,7 @@ def build_archive(scans: Scans, facts_path: str, path: str, first: int, last: in
 def injury_report(scans: Scans, path: str, first: int, last: int, positions: Sequence[str] = ("QB", "RB", "WR", "TE"), window: int = 10) -> dict:
     """Impact of reported injuries of some seasons as a CSV in `path`; gives the numbers of events, of those played and of games missed. Seasons without reports have no events."""
     years = range(first, last + 1)
-    stats, injuries = scans.scan("player_stats", years), scans.scan("injuries", years)
+    stats, injuries = (scans.scan(t, years, arrival=True) for t in ("player_stats", "injuries"))
     games = []
     if "QB" in positions:
         quarterbacks = football.quarterback_games(stats, scans.scan("schedules", years), scans.scan("players"), scans.scan("plays", years)).withColumn("score", football.quarterback_score())

@@ -17,11 +17,11 @@ class Scans:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.read: dict[str, DataFrame] = {}
 
-    def scan(self, table: str, seasons: Sequence[int] | None = None, season: str = "season") -> DataFrame:
-        """The rows with the order in which they arrived."""
+    def scan(self, table: str, seasons: Sequence[int] | None = None, season: str = "season", arrival: bool = False) -> DataFrame:
+        """The rows, with the order in which they arrived if that is asked for."""
         frame = io.scan(self.spark, f"{self.folder}/{table}.parquet", seasons, season)
         self.read[table if seasons is None else f"{table}:{'-'.join(map(str, seasons))}"] = frame
-        return io.with_arrival(frame)
+        return io.with_arrival(frame) if arrival else frame
 
     def sources(self) -> list[tuple[str, DataFrame]]:
         return sorted(self.read.items())
