@@ -12,31 +12,27 @@ from stage to stage; within a stage the solver is L-BFGS, all points and folds i
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import blake2b
 from itertools import combinations_with_replacement
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reach_workers, staged
 from .evaluate import chronological_folds
+from .packed import Packed, pack, summed
 from .panel import PERIOD
 
-#: Random Fourier features; landmarks of a Nystroem map; monomials up to which a polynomial is written out; rows of a block.
-FOURIER, LANDMARKS, MONOMIALS, BLOCK_ROWS = 256, 128, 1000, 8192
+#: Random Fourier features; landmarks of a Nystroem map; monomials up to which a polynomial is written out.
+FOURIER, LANDMARKS, MONOMIALS = 256, 128, 1000
 #: Widths of the rounded corner by stage, as parts of the target's deviation, and steps of a stage at most.
 ROUNDING, STEPS, MEMORY = (0.3, 0.03, 0.003), 40, 10
 #: Step lengths that are tried in one job.
 TRIES = np.array([1.0, 0.5, 0.2, 0.05, 0.01, 0.001])
-SUM_ROWS = 32
-BLOCKS = "x binary, y binary, t binary, n bigint"
 
 
 @dataclass(frozen=True)
@@ -114,61 +110,6 @@ class Group:
     epsilon: np.ndarray
 
 
-class Packed(NamedTuple):
-    """BLOCKS in the shared folder, and how many there are."""
-
-    blocks: DataFrame
-    count: int
-
-
-def pack(frame: DataFrame, features: Sequence[str], target: str, order: Column | None) -> Packed:
-    """The rows with a target as blocks. t: the row's place in time. A null feature is an error."""
-    reach_workers(frame.sparkSession)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if any(c.null_count for c in b.columns):
-                raise ValueError("features must not be null")
-            cols = [c.to_numpy() for c in b.columns]
-            x = np.column_stack(cols[:-2]) if len(cols) > 2 else np.zeros((b.num_rows, 0))
-            for a in range(0, b.num_rows, BLOCK_ROWS):
-                part = slice(a, a + BLOCK_ROWS)
-                cells = [np.ascontiguousarray(x[part]).tobytes(), cols[-2][part].tobytes(), cols[-1][part].tobytes(), len(cols[-1][part])]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [*[pa.binary()] * 3, pa.int64()], strict=True)], names=["x", "y", "t", "n"])
-
-    place = F.lit(0.0) if order is None else order.cast("double")
-    rows = frame.where(F.col(target).isNotNull()).select(*(F.col(f"`{f}`").cast("double").alias(f"x{k}") for k, f in enumerate(features)), F.col(f"`{target}`").cast("double").alias("y"), place.alias("t"))
-    blocks = staged(rows.mapInArrow(work, BLOCKS), "svr-blocks")
-    return Packed(blocks, blocks.count())
-
-
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    y, t = np.frombuffer(row["y"]), np.frombuffer(row["t"])
-    return np.frombuffer(row["x"]).reshape(len(y), -1), y, t
-
-
-def summed(packed: Packed, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all blocks of work(x, y, t), an array of `size` numbers: by task, with many blocks then over SUM_ROWS groups of tasks, and on the driver."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(size), False
-        for b in batches:
-            for k in range(b.num_rows):
-                total += work(*_arrays(b.slice(k, 1).to_pylist()[0]))
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_ROWS]), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
-
-    def group(table: pa.Table) -> pa.Table:
-        whole = np.sum([np.frombuffer(x) for x in table.column("total").to_pylist()], axis=0)
-        return pa.table({"total": pa.array([whole.tobytes()], pa.binary())})
-
-    parts = packed.blocks.mapInArrow(each, "part bigint, total binary")
-    if packed.count > SUM_ROWS:
-        parts = parts.groupBy("part").applyInArrow(group, "total binary")
-    return np.sum([np.frombuffer(r["total"]) for r in parts.select("total").collect()] or [np.zeros(size)], axis=0)
-
-
 def scalers(blocks: Packed, n_features: int, befores: Sequence[float]) -> list[tuple[int, Scaler, float, float]]:
     """For each bound of time the rows before it: their number, scaler, and the mean and deviation of the target. Two jobs: means, then squares around them."""
     p, g = n_features, len(befores)
@@ -289,12 +230,13 @@ def solve(blocks: Packed, groups: Sequence[Group], starts: Sequence[float], spre
 def landmarks(blocks: Packed, n_features: int, before: float, rows: int = LANDMARKS, seed: int = 42) -> np.ndarray:
     """A bounded sample of the rows before a time, by a seeded hash of their bytes, so that it doesn't depend on how rows are dealt."""
 
+    arrays, salt = blocks.arrays(), seed.to_bytes(8, "little")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[int, bytes]] = []
-        salt = seed.to_bytes(8, "little")
         for b in batches:
             for k in range(b.num_rows):
-                x, _, t = _arrays(b.slice(k, 1).to_pylist()[0])
+                x, _, t = arrays(b.slice(k, 1).to_pylist()[0])
                 raw = [r.tobytes() for r in x[t < before]]
                 best = sorted({*best, *((int.from_bytes(blake2b(r, digest_size=7, salt=salt).digest(), "little"), r) for r in raw)})[:rows]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in best], pa.int64()), pa.array([r for _, r in best], pa.binary())], names=["h", "x"])
@@ -357,7 +299,7 @@ class Svr:
 
 def fit_points(frame: DataFrame, features: Sequence[str], target: str, points: Sequence[Point], steps: int = STEPS) -> list[SvrModel]:
     """A model for each point, all fitted in lockstep over all rows with a target."""
-    blocks = pack(frame, features, target, None)
+    blocks = pack(frame, [F.col(f"`{f}`") for f in features], F.col(f"`{target}`"))
     groups, starts, spreads, members = groups_of(blocks, len(features), points, [(math.inf, math.inf)])
     out: list[SvrModel | None] = [None] * len(points)
     for g, w, own in zip(groups, solve(blocks, groups, starts, spreads, steps), members, strict=True):
@@ -380,7 +322,7 @@ def search(frame: DataFrame, features: Sequence[str], target: str, points: Seque
     own = F.struct(*(F.col(p) for p in period))
     kinds = {f.name: f.dataType for f in frame.schema}
     place = sum((F.when(own >= F.struct(*(F.lit(v).cast(kinds[p]).alias(p) for p, v in zip(period, low, strict=True))), 1).otherwise(0) for low in lows), F.lit(0))
-    blocks = pack(frame, features, target, place)
+    blocks = pack(frame, [F.col(f"`{f}`") for f in features], F.col(f"`{target}`"), place)
     scores = [0.0] * len(points)
     for key in dict.fromkeys(p.map_key for p in points):
         some = [k for k, p in enumerate(points) if p.map_key == key]
