@@ -184,18 +184,25 @@ def band_posting(classes: DataFrame, num: int, den: int) -> DataFrame:
     return classes.select("id", "n", "registers", "firsts").mapInArrow(work, "id bigint, key bigint")
 
 
-def expected_collisions(a: int, b: np.ndarray) -> np.ndarray:
-    """Registers in which unrelated sets of a and of b n-grams agree, about: both minima lie in one octave, and their mantissas are equal."""
+def octave_chances(n: np.ndarray) -> np.ndarray:
+    """For sets of n n-grams how likely a bucket's minimum lies in each octave."""
     octave = 0.5 ** np.arange(0, 57)
-    chance = lambda n: np.exp(-np.multiply.outer(n / BUCKETS, octave[1:])) - np.exp(-np.multiply.outer(n / BUCKETS, octave[:-1]))
-    return BUCKETS * (chance(np.asarray(b, float)) @ chance(float(a))) / 2**MANTISSA
+    rest = np.exp(-np.multiply.outer(np.asarray(n, np.float32) / BUCKETS, octave.astype(np.float32)))
+    return np.diff(rest, axis=-1)
 
 
-def estimate(n: int, regs: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard similarity of a set to others by their registers, less expected collisions, and the registers that either fills."""
-    same = ((others == regs) & (regs > 0)).sum(axis=1)
-    either = ((others > 0) | (regs > 0)).sum(axis=1)
-    return np.maximum(same - expected_collisions(n, sizes) * (1 - same / either), 0) / either, either
+def expected_collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Registers in which unrelated sets agree, about: both minima lie in one octave, and their mantissas are equal. a: chances of one set; b: of others."""
+    return BUCKETS * (b @ a) / 2**MANTISSA
+
+
+def estimate(chances: np.ndarray, regs: np.ndarray, other_chances: np.ndarray, others: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of a set to others by their registers, less expected collisions, and the registers that either fills. filled: those that each of the others fills."""
+    own = np.flatnonzero(regs)
+    theirs = others[:, own]
+    same = np.count_nonzero(theirs == regs[own], axis=1)
+    either = len(own) + filled - np.count_nonzero(theirs, axis=1)
+    return np.maximum(same - expected_collisions(chances, other_chances) * (1 - same / either), 0) / either, either
 
 
 class Sketches:
@@ -204,6 +211,8 @@ class Sketches:
     def __init__(self, num: int, den: int, sizes: np.ndarray, payloads: list):
         self.num, self.den, self.sizes = num, den, sizes
         self.regs = np.stack([np.frombuffer(x, np.uint16, BUCKETS) for x in payloads])
+        self.filled = np.count_nonzero(self.regs, axis=1)
+        self.chances = octave_chances(sizes)
         self.sets = [np.frombuffer(x, U64, offset=2 * BUCKETS) for x in payloads]
 
     def search(self, size: int, payload: object, after: int = 0) -> np.ndarray:
@@ -213,7 +222,7 @@ class Sketches:
         near = after + np.flatnonzero((den * sizes >= num * size) & (num * sizes <= den * size))
         if not len(near):
             return near
-        told, either = estimate(size, np.frombuffer(payload, np.uint16, BUCKETS), self.sizes[near], self.regs[near])
+        told, either = estimate(octave_chances(np.array(size)), np.frombuffer(payload, np.uint16, BUCKETS), self.chances[near], self.regs[near], self.filled[near])
         t = num / den
         near = near[told >= t - ERRORS * np.sqrt(t * (1 - t) / either)]
         own = np.frombuffer(payload, U64, offset=2 * BUCKETS)

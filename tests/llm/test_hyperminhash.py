@@ -52,12 +52,14 @@ def test_registers_and_estimate():
         sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) for _ in range(120)]
         regs = np.stack([one(s) for s in sets])
         hits = [((regs[a] == regs[b]) & (regs[a] > 0)).sum() for a in range(120) for b in range(a)]
-        assert abs(np.mean(hits) - hyperminhash.expected_collisions(n, np.array([n]))[0]) < 0.02
+        assert abs(np.mean(hits) - hyperminhash.expected_collisions(hyperminhash.octave_chances(np.array(n)), hyperminhash.octave_chances(np.array([n])))[0]) < 0.02
     for n in (80, 500, 5000):
         told = []
         for _ in range(60):
             a, b = pair(rng, n, 85, 100)
-            told.append(hyperminhash.estimate(len(a), one(a), np.array([len(b)]), one(b)[None])[0][0])
+            x, y = one(a), one(b)[None]
+            chances = hyperminhash.octave_chances(np.array([len(a), len(b)]))
+            told.append(hyperminhash.estimate(chances[0], x, chances[1:], y, np.count_nonzero(y, axis=1))[0][0])
         assert abs(np.mean(told) - 0.85) < 0.015 and np.std(told) < 0.06
 
 
