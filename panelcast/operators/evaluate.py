@@ -86,6 +86,23 @@ def fold_rows(frame: DataFrame, folds: DataFrame, fold: int, period: Sequence[st
     return train, frame.join(F.broadcast(own.select(*period)), list(period), "left_semi")
 
 
+def fold_starts(frame: DataFrame, folds: int, period: Sequence[str] = PERIOD) -> list[tuple]:
+    """The first period of each fold: a row a fold comes to the driver."""
+    parts = chronological_folds(frame, folds, period)
+    lows = [tuple(r["low"]) for r in parts.groupBy("fold").agg(F.min(F.struct(*period)).alias("low")).orderBy("fold").collect()]
+    if len(lows) < folds:
+        raise ValueError(f"{folds} folds need {folds + 1} periods")
+    return lows
+
+
+def with_fold(frame: DataFrame, folds: int, period: Sequence[str] = PERIOD, name: str = "_fold") -> DataFrame:
+    """Adds the fold of a row's period; 0 before the first. Fold k is tested on its own rows and trained on those with a smaller number."""
+    kinds = {f.name: f.dataType for f in frame.schema}
+    own = F.struct(*(F.col(p) for p in period))
+    low = lambda at: F.struct(*(F.lit(v).cast(kinds[p]).alias(p) for p, v in zip(period, at, strict=True)))
+    return frame.withColumn(name, sum((F.when(own >= low(at), 1).otherwise(0) for at in fold_starts(frame, folds, period)), F.lit(0)))
+
+
 def calibration_periods(frame: DataFrame, fraction: float, period: Sequence[str] = PERIOD) -> DataFrame:
     """period, calibration: true for the latest periods, at least one and never all."""
     if not 0 < fraction < 1:

@@ -65,20 +65,40 @@ def accumulated_effects(model, frame: DataFrame, features: Sequence[str], bins:
     return out.select("feature", "bin", "upper", "n", (F.col("_sum") - F.sum(F.col("_sum") * F.col("n")).over(of) / F.sum("n").over(of)).alias("effect"))
 
 
-def permutation_importance(model, frame: DataFrame, features: Sequence[str], target: str, repeats: int = 3, seed: int = 42, period: Sequence[str] = PERIOD) -> DataFrame:
-    """feature, importance, deviation: growth of the MAE when a feature is shuffled among the rows of its period.
+def multipliers(repeats: int, seed: int) -> list[tuple[int, int, int]]:
+    """Two primes and a shift for each repeat, by a rule from the seed."""
+    primes, n = [], 1_000_003 + 2 * (abs(seed) % 1_000_000)
+    while len(primes) < 2 * repeats:
+        if all(n % d for d in range(3, int(n**0.5) + 1, 2)):
+            primes.append(n)
+        n += 2
+    return [(primes[2 * k], primes[2 * k + 1], 104_729 * (seed + k) + 7919 * k * k + 1) for k in range(repeats)]
 
-    The n-th row of a period by a hash takes the value of the n-th by another; all features and repeats go through one transform. A
-    period's rows are numbered in ranges of the hash. Rows without a full period are left out.
+
+def giver(rank: Column, n: Column, repeat: tuple[int, int, int]) -> Column:
+    """The rank whose value a rank takes, both from 0: a bijection of 0 .. n - 1, as the factor shares no divisor with n (of two primes at least one doesn't, up to 10^12 rows)."""
+    one, two, shift = repeat
+    factor = F.when(n % one != 0, F.lit(one)).otherwise(F.lit(two)).cast("bigint")
+    return F.pmod(rank * factor + F.lit(shift).cast("bigint"), n)
+
+
+def permutation_importance(model, frame: DataFrame, features: Sequence[str], target: str, repeats: int = 3, seed: int = 42, season: Sequence[str] = (PERIOD[0],), order: Column | None = None) -> DataFrame:
+    """feature, importance, deviation: growth of the MAE when a feature is shuffled among the rows of its season.
+
+    A season's rows are numbered once, by a hash (or `order`, a bigint) and in ranges of it. Who gives a row its value is computed from its number: a bijection that is another one in each
+    repeat. All features and repeats go through one transform. Rows without a season or without a target are left out.
     """
-    rows = staged(frame.dropna(subset=list(period)).withColumn("_row", F.xxhash64(*(F.col(c) for c in frame.columns))), "shuffled")
-    many = rows.withColumn("_repeat", F.explode(F.array(*(F.lit(k) for k in range(repeats)))))
-    by = lambda salt: ranks.by_hash(many, [*period, "_repeat"], F.xxhash64("_row", F.lit(salt), "_repeat"), ["_row"], "_n")
-    taking = by(seed)
-    giving = by(seed + 1).select(*period, "_repeat", "_n", *(F.col(f).alias(f"_new_{f}") for f in features))
-    mixed = taking.join(giving, [*period, "_repeat", "_n"])
+    rows = frame.dropna(subset=[*season, target]).withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in frame.columns)))
+    rows = rows.withColumn("_order", F.xxhash64("_row", F.lit(seed)) if order is None else order.cast("bigint"))
+    rows = staged(rows, "shuffled")
+    numbered = staged(ranks.by_hash(rows, season, F.col("_order"), ["_row"], "_n").withColumn("_n", F.col("_n") - 1), "numbered")
+    sizes = numbered.groupBy(*season).agg(F.count(F.lit(1)).alias("_size"))  # a row a season
+    from_ = F.array(*(F.struct(F.lit(k).alias("_repeat"), giver(F.col("_n"), F.col("_size"), m).alias("_from")) for k, m in enumerate(multipliers(repeats, seed))))
+    taking = ranks.beside(numbered, sizes, season).withColumn("_x", F.explode(from_)).select("*", "_x.*").drop("_x", "_n", "_size")
+    giving = numbered.select(*season, F.col("_n").alias("_from"), *(F.col(f"`{f}`").alias(f"_new_{f}") for f in features))
+    mixed = taking.join(giving, [*season, "_from"])
     each = mixed.withColumn("_f", F.explode(F.array(F.lit("_base"), *map(F.lit, features))))
-    shuffled = each.withColumns({f: F.when(F.col("_f") == f, F.col(f"_new_{f}")).otherwise(F.col(f)) for f in features})
+    shuffled = each.withColumns({f: F.when(F.col("_f") == f, F.col(f"`_new_{f}`")).otherwise(F.col(f"`{f}`")) for f in features})
     errors = model.transform(shuffled).groupBy("_f", "_repeat").agg(F.avg(F.abs(F.col("prediction") - F.col(target))).alias("mae"))
     base = errors.where("_f = '_base'").select("_repeat", F.col("mae").alias("_base"))
     grown = errors.where("_f <> '_base'").join(F.broadcast(base), "_repeat").withColumn("_d", F.col("mae") - F.col("_base"))

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
+from queue import Queue
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import chronological_folds, fold_rows, metrics
+from ..session import staged
+from .evaluate import metrics, with_fold
 from .panel import PERIOD
 
 #: Bins of each feature of the additive model.
@@ -97,19 +101,32 @@ class AdditiveModel:
         return float(self.pipeline.stages[-1].intercept)
 
 
-def grid_select(frame: DataFrame, candidates: Sequence[tuple[str, Pipeline]], target: str, folds: int = 3, period: Sequence[str] = PERIOD) -> list[tuple[str, float]]:
+def grid_select(frame: DataFrame, candidates: Sequence[tuple[str, Pipeline]], target: str, folds: int = 3, period: Sequence[str] = PERIOD, side_by_side: int = 4) -> list[tuple[str, float]]:
     """(name, mean MAE over chronological folds) of each candidate, best first; of equals the first given stays first.
 
-    The loop is over candidates and folds; every fit and every metric is a Spark job over all rows of its fold.
+    Rows are staged once with their fold, and fits go `side_by_side` from a pool of threads, each in a scheduler pool of its own (which counts where the session's
+    scheduler is fair), so that small fits don't wait for one another; every fit and every metric is a Spark job over all rows of its fold.
     """
-    parts = chronological_folds(frame, folds, period)
-    scores = []
-    for name, pipeline in candidates:
-        errors = []
-        for k in range(1, folds + 1):
-            train, test = fold_rows(frame, parts, k, period)
-            errors.append(metrics(pipeline.fit(train).transform(test), F.col(target), F.col("prediction")).select("mae").first()["mae"])
-        scores.append((name, sum(errors) / len(errors)))
+    spark = frame.sparkSession
+    rows = staged(with_fold(frame, folds, period), "folds")
+    turns: Queue[str] = Queue()
+    for k in range(side_by_side):
+        turns.put(f"fit-{k}")
+
+    def error(pipeline: Pipeline, fold: int) -> float:
+        pool = turns.get()
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            fitted = pipeline.fit(rows.where(F.col("_fold") < fold).drop("_fold"))
+            held = fitted.transform(rows.where(F.col("_fold") == fold).drop("_fold"))
+            return metrics(held, F.col(target), F.col("prediction")).select("mae").first()["mae"]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            turns.put(pool)
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        jobs = [[pool.submit(inheritable_thread_target(spark)(error), p, k) for k in range(1, folds + 1)] for _, p in candidates]
+        scores = [(name, sum(j.result() for j in own) / folds) for (name, _), own in zip(candidates, jobs, strict=True)]
     return sorted(scores, key=lambda s: s[1])
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import chronological_folds
+from .evaluate import with_fold
 from .packed import Packed, pack, summed
 from .panel import PERIOD
 
@@ -311,18 +311,10 @@ def fit_points(frame: DataFrame, features: Sequence[str], target: str, points: S
 def search(frame: DataFrame, features: Sequence[str], target: str, points: Sequence[Point], folds: int = 5, period: Sequence[str] = PERIOD, steps: int = STEPS) -> list[tuple[Point, float]]:
     """(point, mean MAE over chronological folds), best first; of equals the first given stays first. All points of one map, and all folds, are fitted at once.
 
-    Periods are numbered in order (a small table); fold k trains on the periods before its first.
+    Fold k trains on the periods before its first.
     """
-    parts = chronological_folds(frame.where(F.col(target).isNotNull()), folds, period)
-    bounds = parts.groupBy("fold").agg(F.min(F.struct(*period)).alias("low")).orderBy("fold").collect()  # a row a fold
-    lows = [tuple(r["low"]) for r in bounds]
-    if len(lows) < folds:
-        raise ValueError(f"{folds} folds need {folds + 1} periods")
-    # a row's place: the number of folds whose first period isn't after its own
-    own = F.struct(*(F.col(p) for p in period))
-    kinds = {f.name: f.dataType for f in frame.schema}
-    place = sum((F.when(own >= F.struct(*(F.lit(v).cast(kinds[p]).alias(p) for p, v in zip(period, low, strict=True))), 1).otherwise(0) for low in lows), F.lit(0))
-    blocks = pack(frame, [F.col(f"`{f}`") for f in features], F.col(f"`{target}`"), place)
+    rows = with_fold(frame.where(F.col(f"`{target}`").isNotNull()), folds, period)
+    blocks = pack(rows, [F.col(f"`{f}`") for f in features], F.col(f"`{target}`"), F.col("_fold"))
     scores = [0.0] * len(points)
     for key in dict.fromkeys(p.map_key for p in points):
         some = [k for k, p in enumerate(points) if p.map_key == key]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import as_day
 from ..operators import asof
 from ..sources import io
+from ..sources.contracts import ContractError, check_output
 from ..sources.provenance import Scans, coverage_rows
 from ..sources.publish import Folder, Output, publish
 from . import archive, football
@@ -69,6 +70,36 @@ ARCHIVE_TRAINING = Output("archive training", _ARCHIVE, nullable=["injury_status
 ARCHIVE_FORECAST = Output("archive forecast", _ARCHIVE, nullable=["injury_status", "fantasy_points"], allowed={"position": archive.POSITIONS})
 
 
+#: Marker columns of written tables, the most telling first: (columns, with outcomes, without).
+KINDS = (
+    (("player_history_through_season",), ARCHIVE_TRAINING, ARCHIVE_FORECAST),
+    (("qb_history_through_season", "forecast_as_of"), None, QB_FORECAST),
+    (("qb_history_through_season",), OUTPUTS["qb"], None),
+    (("dst_history_through_season",), OUTPUTS["dst"], None),
+    (("kicker_history_through_season",), OUTPUTS["kicker"], None),
+    (("receiving_history_through_season",), OUTPUTS["receiving"], None),
+    (("idp_history_through_season",), OUTPUTS["idp"], None),
+)
+
+
+def kind_of(columns: Sequence[str], outcomes: bool = True) -> Output:
+    """The contract of a table by what it holds. `outcomes`: as a table to train on, which must have them, or as a forecast, which may lack them."""
+    for markers, trained, frozen in KINDS:
+        if set(markers) <= set(columns):
+            found = trained if outcomes else frozen
+            if found is None:
+                raise ContractError(", ".join(markers), ["is a forecast, not a table to train on" if outcomes else "is no forecast"])
+            return found
+    raise ContractError("table", [f"has none of {', '.join(m[0] for m, *_ in KINDS)}"])
+
+
+def read_table(spark: SparkSession, path: str, outcomes: bool = True) -> DataFrame:
+    """A written table under the contract that its marker columns call for."""
+    frame = spark.read.parquet(path)
+    output = kind_of(frame.columns, outcomes)
+    return check_output(frame, output.schema, output.nullable, output.name, output.allowed)
+
+
 @dataclass(frozen=True)
 class Job:
     """A position's features: how they are made, and of which tables by season and which without."""
