@@ -28,23 +28,30 @@ def pace_and_streak(games: DataFrame, reports: DataFrame, entity: str = "entity"
     """For each report: played, the mean score of up to `window` games before it (over seasons), the weeks since the last game
     of this season (by weeks of play), the score and its distance from the pace. Entities need both games and reports.
 
-    Linear in rows: the pace after each game is a window over games, and a report takes the one before it.
+    Games and reports have one row a key each. Both are read once and dealt by entity once; all that follows are windows on that.
     """
     season, week = period
     key = [entity, season, week]
-    both = games.select(entity).distinct().join(reports.select(entity).distinct(), entity, "left_semi")
-    w = Window.partitionBy(entity).orderBy(season, week)
-    paced = games.join(both, entity, "left_semi").select(*key, score).withColumn("_pace", F.avg(score).over(w.rowsBetween(-(window - 1), 0)))
-    told = reports.join(both, entity, "left_semi").withColumn("_told", F.lit(True))
-    rows = paced.join(told, key, "full")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    more = [c for c in reports.columns if c not in key]
+    kinds, none = dict(reports.dtypes), lambda kind: F.lit(None).cast(kind)
+    kinds[score] = dict(games.dtypes)[score]
+    played = games.select(*key, score, *(none(kinds[c]).alias(c) for c in more), F.lit(False).alias("_told"))
+    told = reports.select(*key, none(kinds[score]).alias(score), *more, F.lit(True).alias("_told"))
+    one = played.unionByName(told).repartition(entity).groupBy(*key).agg(F.max(score).alias(score), *(F.max_by(c, "_told").alias(c) for c in more), F.max("_told").alias("_told"))
+    every = Window.partitionBy(entity)
+    w = every.orderBy(season, week)
+    upto, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy(entity, season).orderBy(week).rowsBetween(Window.unboundedPreceding, -1)
+    there = F.col(score).isNotNull()
+    rows = one.withColumns({"_both": F.max(there).over(every) & F.max("_told").over(every), "_nth": F.count(score).over(upto)}).where("_both")
+    # the mean of the games with the last numbers; rows without a game have no score and their last game's number
+    rows = rows.withColumn("_pace", F.when(there, F.avg(score).over(every.orderBy("_nth").rangeBetween(-(window - 1), 0))))
     rows = rows.withColumns({
         "pace": F.last("_pace", ignorenulls=True).over(past),
-        "weeks_missed": (F.col(week) - 1 - F.coalesce(F.max(F.when(F.col(score).isNotNull(), F.col(week))).over(own), F.lit(0))).cast("bigint"),
-        "played": F.col(score).isNotNull(),
+        "weeks_missed": (F.col(week) - 1 - F.coalesce(F.max(F.when(there, F.col(week))).over(own), F.lit(0))).cast("bigint"),
+        "played": there,
     })
-    out = rows.where("_told").withColumn("delta", F.col(score) - F.col("pace")).drop("_pace", "_told")
+    out = rows.where("_told").withColumn("delta", F.col(score) - F.col("pace")).drop("_pace", "_told", "_both", "_nth")
     return out if last_week is None else out.where(F.col(week) <= last_week)
 
 

@@ -159,6 +159,25 @@ def measure_bars(board: DataFrame, ids: Sequence[str] = ("player_id",)) -> DataF
     return rows.where(F.col("total_points").isNotNull()).select(*ids, "measure", "base_points", "addition_points", "total_points")
 
 
+#: The columns of the season's and the week's table as they are shown, and what they hold (and times what).
+SEASON_TABLE = {
+    "Rank": "position_rank", "Pos": "position", "Player": "player_name", "Team": "team", "Projected": "projected_points", "Target share %": ("projected_target_share", 100.0),
+    "Carry share %": ("projected_carry_share", 100.0), "Off. plays/game": "team_previous_season_offensive_plays", "Pass rate %": ("team_previous_season_pass_rate", 100.0),
+    "Usage watch": "opportunity_risk", "Usage basis": "opportunity_basis", "Actual": "actual_points", "Inj. missed": "injury_games", "Adj. at proj. PPG": "projected_pace_adjusted_actual",
+    "Proj. pace gap %": "projected_pace_adjusted_delta_percent", "Adj. at actual PPG": "actual_pace_adjusted_actual", "Actual pace gap %": "actual_pace_adjusted_delta_percent",
+    "Projected PPG": "points_per_game", "Actual PPG": "actual_points_per_game", "Played": "actual_games", "Scheduled": "projected_games", "Weekly swing": "volatility", "Model spread": "model_spread",
+}
+WEEK_TABLE = {
+    "Rank": "position_rank", "Pos": "position", "Player": "player_name", "Team": "team", "Opponent": "opponent", "Projected": "prediction", "Model spread": "spread", "Agreement": "agreement", "Actual": "actual",
+}
+
+
+def display_table(board: DataFrame, columns: dict[str, str | tuple[str, float]]) -> DataFrame:
+    """A board as it is shown: its columns under their labels, shares as percents."""
+    cell = lambda v: F.col(v) if isinstance(v, str) else F.col(v[0]) * v[1]
+    return board.select(*(cell(v).alias(label) for label, v in columns.items()))
+
+
 def weekly_board(frame: DataFrame, season: int, week: int, positions: Sequence[str] | None = None) -> DataFrame:
     rows = frame.where((F.col("target_season") == season) & (F.col("target_week") == week))
     if positions is not None:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 LEAST_RANGES = 64
 
 
@@ -48,11 +50,16 @@ def ahead(frame: DataFrame, keys: Sequence[str], amount: Column, order: Column)
     return sums.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_ahead"), F.sum("_here").over(of).alias("_total"))
 
 
-def ordinal(frame: DataFrame, group: Sequence[str], value: str, ties: Sequence[str], name: str = "rank") -> DataFrame:
-    """Adds the ordinal rank in the group by falling value, nulls last, ties by rising `ties`. The frame is read three times: stage it first."""
-    ranged = cut(frame, group, value)
-    front = ahead(ranged, group, F.count(F.lit(1)), F.desc("_range"))
-    own = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(F.desc_nulls_last(value), *ties))
+def ordinal(frame: DataFrame, group: Sequence[str], value: str, ties: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """Adds the ordinal rank in the group by falling value, nulls last, ties by rising `ties`.
+
+    Rows are dealt by ranges of group, value and ties together, so that neither a large group nor a value that most rows have makes a large task, and staged with their
+    range. The frame is read twice, once to find the ranges: stage it first if it is dear.
+    """
+    order = [F.desc_nulls_last(value), *ties]
+    ranged = staged(frame.repartitionByRange(*(F.col(f"`{g}`").asc() for g in group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    front = ahead(ranged, group, F.count(F.lit(1)), F.asc("_range"))
+    own = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
     ranked = beside(ranged.withColumn("_own", own), front, [*group, "_range"])
     return ranked.withColumn(name, (F.col("_own") + F.col("_ahead")).cast("bigint")).drop("_own", "_ahead", "_total", "_range")
 

@@ -41,9 +41,11 @@ def depth_filter(slots: DataFrame, group: Sequence[str], category: str, rank: st
 
 
 def shares(rows: DataFrame, group: Sequence[str], weight: Column, rank: Column, name: str = "share") -> DataFrame:
-    """Discounted weights as parts of their group's sum; 0 where that is 0."""
+    """Discounted weights as parts of their group's sum; 0 where that is 0. Groups are summed up first (combined before the shuffle), so that none is gathered in a task."""
     rows = rows.withColumn("_w", F.coalesce(weight, F.lit(0.0)) * rank_discount(rank))
-    return rows.withColumn(name, ratio_or_zero(F.col("_w"), F.sum("_w").over(Window.partitionBy(*group)))).drop("_w")
+    sums = rows.groupBy(*(F.col(g).alias(f"_of_{g}") for g in group)).agg(F.sum("_w").alias("_sum"))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    return rows.join(sums, same).withColumn(name, ratio_or_zero(F.col("_w"), F.col("_sum"))).drop("_w", "_sum", *(f"_of_{g}" for g in group))
 
 
 def match_report(facts: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,39 @@ def top_players(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("player_name").alias("player"), F.round(F.col("projected_points") + 1.3e-7, 4).alias("points"), F.round(F.col("projected_pace_adjusted_delta_percent") + 1.3e-7, 2).alias("gap_percent"))
 
 
+def named(labels) -> list[str]:
+    """Labels as column names that SQL takes without quotes."""
+    return [re.sub(r"_+", "_", re.sub(r"[^a-z]", "_", label.lower().replace("%", "percent"))).strip("_") for label in labels]
+
+
+_CELLS = {"team_previous_season_pass_rate": "CAST(NULL AS DOUBLE)", "model_spread": "CAST(0 AS DOUBLE)", "opportunity_basis": "'Depth-chart estimate'"}
+
+
+def _cell(v: str | tuple[str, float], label: str) -> str:
+    name, times = (v, None) if isinstance(v, str) else v
+    got = _CELLS.get(name, name) + (f" * {times}" if times else "")
+    return f"{f'round({got} + 1.3e-7, 4)' if name in (*_POINTS, 'team_previous_season_pass_rate') else got} AS {label}"
+
+
+_TABLE = ", ".join(_cell(v, n) for v, n in zip(boards.SEASON_TABLE.values(), named(boards.SEASON_TABLE), strict=True))
+
+
+@query(f"WITH {M}, {_BOARD} SELECT {_TABLE} FROM BOARD")
+def season_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table of a season's board, under its labels (as plain names here)."""
+    shown = boards.display_table(_season(spark, d), boards.SEASON_TABLE).toDF(*named(boards.SEASON_TABLE))
+    return shown.withColumns({n: F.round(F.col(n) + 1.3e-7, 4) for v, n in zip(boards.SEASON_TABLE.values(), shown.columns, strict=True) if (v if isinstance(v, str) else v[0]) in (*_POINTS, "team_previous_season_pass_rate")})
+
+
+@query(f"""WITH {CONSENSUS}, W AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY prediction DESC, player_id) AS position_rank FROM C WHERE target_season = 1997 AND target_week = 6)
+SELECT position_rank AS rank, upper(position) AS pos, player_name AS player, upper(team) AS team, 'N/A' AS opponent, round(prediction + 1.3e-7, 4) AS projected, round(spread + 1.3e-7, 4) AS model_spread,
+CASE WHEN models <= 1 THEN 'Single model' WHEN spread <= 1.5 THEN 'Tight' WHEN spread <= 3 THEN 'Mixed' ELSE 'Wide' END AS agreement, actual FROM W""")
+def week_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table of a week's board of the consensus."""
+    shown = boards.display_table(boards.weekly_board(boards.consensus(m(spark, d)), 1997, 6), boards.WEEK_TABLE).toDF(*named(boards.WEEK_TABLE))
+    return shown.withColumns({c: F.round(F.col(c) + 1.3e-7, 4) for c in ("projected", "model_spread")})
+
+
 @query(f"""WITH {M}, H AS (SELECT * FROM M WHERE model = 'A')
 SELECT player_id, target_season, target_week, 'prediction' AS series, prediction AS points FROM H UNION ALL SELECT player_id, target_season, target_week, 'actual', actual FROM H""")
 def series_long(spark: SparkSession, d: str) -> DataFrame:
@@ -110,9 +145,9 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FT} SELECT 2 * count(*) AS n_predictions, 2 * count(*) FILTER (WHERE status <> 'P') AS n_actual, max(h_through_season) AS history_through, max(season) AS target_season,
-CASE WHEN count(*) FILTER (WHERE status <> 'P') > 0 THEN 'replay' ELSE 'upcoming' END AS state FROM FT WHERE season = 1997""")
+CASE WHEN count(*) FILTER (WHERE status <> 'P') > 0 THEN 'replay' ELSE 'upcoming' END AS state FROM FT""")
 def forecast_state(spark: SparkSession, d: str) -> DataFrame:
-    return boards.forecast_state(m(spark, d).where("target_season = 1997"))
+    return boards.forecast_state(m(spark, d))
 
 
 _E = "E AS (SELECT *, actual - prediction AS e FROM M WHERE model = 'A' AND actual IS NOT NULL)"

@@ -150,8 +150,7 @@ def build_forecast(scans: Scans, path: str, seasons: football.Seasons, as_of: st
 def store_facts(scans: Scans, path: str, years: Sequence[int]) -> list[int]:
     """The scored facts of some seasons, stored by season (`season=<year>`): their folders replace those of these years, and no other. Gives the seasons that have rows now."""
     facts = archive.facts(*(scans.scan(t, years) for t in ("player_stats", "team_stats", "schedules")))
-    rows = facts.repartition("season")  # one file a season and task, a season is some ten thousand rows
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").option("compression", "zstd").parquet(path)
+    io.write_partitions(facts, path, "season")
     return sorted(int(n.removeprefix("season=")) for n in Folder(facts.sparkSession, path).names() if n.startswith("season="))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import explain, models
 from ..session import scratch
 from ..sources import io
+from ..sources.publish import Output, publish, read_published
 from .views import FT, M, features, m, p, query, table
 
 FEATURES = ["last_1", "last_10", "month"]
@@ -150,6 +151,92 @@ def shap_formula(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*IDS, "feature", *(F.round(F.col(c) + 1.3e-7, 4).alias(c) for c in ("value", "base")))
 
 
+_REPEATS, _SEED = 3, 42
+_GIVERS = " UNION ALL ".join(
+    f"SELECT *, {k} AS repeat, (n * CASE WHEN size % {one} <> 0 THEN {one} ELSE {two} END + {shift}) % size AS giver FROM N" for k, (one, two, shift) in enumerate(explain.multipliers(_REPEATS, _SEED))
+)
+_ERRORS = " UNION ALL ".join(f"SELECT '{f}' AS feature, repeat, avg(abs({_moved(f, f'new_{f}')} - target)) - avg(abs({FORMULA} - target)) AS grown FROM Z GROUP BY repeat" for f in FEATURES)
+
+
+@query(f"""WITH {FT}, X AS (SELECT entity, season, week, h_last_1_score / 1000 AS last_1, h_last_10_score / 1000 AS last_10, CAST(week AS DOUBLE) AS month, score / 1000 AS target, md5(entity || '|' || season || '|' || week) AS h FROM FT),
+N AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY substr(h, 1, 15)) - 1 AS n, count(*) OVER (PARTITION BY season) AS size FROM X), T AS ({_GIVERS}),
+Z AS (SELECT T.*, G.last_1 AS new_last_1, G.last_10 AS new_last_10, G.month AS new_month FROM T JOIN N G ON T.season = G.season AND T.giver = G.n), E AS ({_ERRORS})
+SELECT feature, round(avg(grown) + 1.3e-7, 4) AS importance, round(stddev_pop(grown) + 1.3e-7, 4) AS deviation FROM E GROUP BY feature""")
+def permutation_formula(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is numbered within its season by a hash that SQL has, too."""
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", *IDS)), 1, 15), 16, 10).cast("bigint")
+    out = explain.permutation_importance(Formula(), frame(spark, d), FEATURES, "target", _REPEATS, _SEED, order=order)
+    return out.select("feature", *(F.round(F.col(c) + 1.3e-7, 4).alias(c) for c in ("importance", "deviation")))
+
+
+class FormulaTerms:
+    """An additive model in closed form: ten steps of the last value, and the month."""
+
+    terms, intercept = ["last_1", "month"], 7.5
+
+    def coefficients(self, rows: DataFrame) -> list[tuple[str, int, float]]:
+        return [("last_1", b, 2.5 * b - 3) for b in range(10)] + [("month", b, float(b % 4)) for b in range(1, 13)]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        step = F.least(F.floor(F.col("last_1") / 50), F.lit(9)).cast("int")
+        rows = rows.withColumns({"_bin_last_1": step, "_bin_month": F.col("month").cast("int")})
+        return rows.withColumn("prediction", 7.5 + 2.5 * F.col("_bin_last_1") - 3 + F.col("_bin_month") % 4)
+
+
+_TERMS = """B AS (SELECT entity, season, week, CAST(least(floor(last_1 / 50), 9) AS INTEGER) AS b1, CAST(month AS INTEGER) AS b2 FROM X WHERE season = 1997),
+L AS (SELECT entity, season, week, 'last_1' AS feature, b1 AS bin, 2.5 * b1 - 3 AS weight, 7.5 + 2.5 * b1 - 3 + b2 % 4 AS prediction FROM B
+      UNION ALL SELECT entity, season, week, 'month', b2, b2 % 4, 7.5 + 2.5 * b1 - 3 + b2 % 4 FROM B)"""
+
+
+@query(f"WITH {FT}, {_ROWS}, {_TERMS} SELECT entity, season, week, feature, bin, CAST(weight AS DOUBLE) AS weight, CAST(7.5 AS DOUBLE) AS intercept, CAST(prediction AS DOUBLE) AS prediction FROM L")
+def local_terms_formula(spark: SparkSession, d: str) -> DataFrame:
+    return explain.local_terms(FormulaTerms(), split(spark, d)[1], IDS)
+
+
+@query(f"""WITH {FT}, {_ROWS}, {_TERMS}, C AS (SELECT feature, bin, weight, count(*) AS n FROM L GROUP BY ALL), D AS (SELECT *, weight - sum(weight * n) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS centred FROM C)
+SELECT feature, bin, n, CAST(weight AS DOUBLE) AS weight, round(centred + 1.3e-7, 4) AS centred, round(sum(abs(centred) * n) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) + 1.3e-7, 4) AS importance FROM D""")
+def additive_terms_formula(spark: SparkSession, d: str) -> DataFrame:
+    out = explain.additive_terms(FormulaTerms(), split(spark, d)[1])
+    return out.select("feature", "bin", "n", "weight", *(F.round(F.col(c) + 1.3e-7, 4).alias(c) for c in ("centred", "importance")))
+
+
+@query("""SELECT 'source' AS role, 'orders' AS name, count(*) AS n_rows, '{"entity":"customer"}' AS parameters FROM orders UNION ALL SELECT 'source', 'customer', count(*), '{"entity":"customer"}' FROM customer
+UNION ALL SELECT 'output', 'orders of customers', count(*), '{"entity":"customer"}' FROM orders JOIN customer ON o_custkey = c_custkey""")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest without its fingerprints, which SQL doesn't have."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return io.manifest([("orders", orders), ("customer", customer)], [("orders of customers", joined)], {"entity": "customer"}).select("role", "name", "n_rows", "parameters")
+
+
+def _published(spark: SparkSession, d: str) -> str:
+    """Orders published as two outputs by the year."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year(F.to_date("o_orderdate")).alias("season"), "o_totalprice")
+    path, season = scratch(spark, "published"), F.col("season")
+    out = Output("orders", rows.schema)
+    publish([(rows, {"train": (out, season.between(1994, 1996)), "test": (out, season == 1997)})], path)
+    return path
+
+
+@query("""SELECT o_orderkey, o_custkey, year(CAST(o_orderdate AS DATE)) AS season, o_totalprice, CASE WHEN year(CAST(o_orderdate AS DATE)) = 1997 THEN 'test' ELSE 'train' END AS output FROM orders
+WHERE year(CAST(o_orderdate AS DATE)) BETWEEN 1994 AND 1997""")
+def published_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Two outputs written in one pass under a contract and read back by their manifest."""
+    path = _published(spark, d)
+    parts = [read_published(spark, path, n).withColumn("output", F.lit(n)) for n in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, year(CAST(o_orderdate AS DATE)) AS season FROM orders WHERE year(CAST(o_orderdate AS DATE)) BETWEEN 1995 AND 1996 GROUP BY 3")
+def season_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders stored by season, one season replaced by itself, and two read by a filter on folders."""
+    rows, path = table(spark, d, "orders").withColumn("season", F.year(F.to_date("o_orderdate"))), scratch(spark, "seasons")
+    io.write_partitions(rows, path, "season")
+    io.write_partitions(rows.where("season = 1996"), path, "season")
+    kept = spark.read.parquet(path).where(F.col("season").between(1995, 1996))
+    return kept.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows, path = table(spark, d, "nation"), scratch(spark, "csv")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import presets, scalar
-from ..operators import absence, asof, panel, roster
+from ..operators import absence, asof, panel, ranks, roster
+from ..session import staged
 from .views import FT, G, P, PD, R, S, X, features, g, long, p, pd, query, r, r6, s, table, x
 
 KEY = ["entity", "season", "week"]
@@ -96,7 +97,7 @@ DH AS (SELECT team, season, week, lag(allowed) OVER w AS last_1, avg(allowed) OV
 
 @query(f"WITH {G}, {_DEF} SELECT seq, home, away, round(last_1 + 1.3e-7, 6) AS opponent_last_1, round(last_10 + 1.3e-7, 6) AS opponent_last_10 FROM G LEFT JOIN DH ON away = team AND G.season = DH.season AND G.week = DH.week")
 def opponent_history_join(spark: SparkSession, d: str) -> DataFrame:
-    games = g(spark, d)
+    games = staged(g(spark, d).select("seq", "season", "week", "home", "away", "home_score", "away_score"), "games")
     sides = roster.two_rows(games, ["season", "week"], {"team": ("home", "away"), "allowed": ("away_score", "home_score")})
     defense = sides.groupBy("team", "season", "week").agg(F.avg("allowed").alias("allowed"))
     history = panel.history_features(defense, ["allowed"], "d", ["team"]).select(F.col("team").alias("away"), "season", "week", "d_last_1_allowed", "d_last_10_allowed")
@@ -167,7 +168,7 @@ def depth_filter(spark: SparkSession, d: str) -> DataFrame:
 GAP AS (SELECT * FROM GRID ANTI JOIN Q USING (team, position, week)), B AS (SELECT team, position, week, entity, seq, score, row_number() OVER (PARTITION BY team, position, week ORDER BY score DESC, seq) AS rank FROM P WHERE season = 1995)
 SELECT team, position, week, entity, seq, score, rank FROM GAP JOIN B USING (team, position, week) WHERE rank <= 2""")
 def grid_completion(spark: SparkSession, d: str) -> DataFrame:
-    rows = p(spark, d)
+    rows = staged(p(spark, d).select("team", "position", "season", "week", "entity", "seq", "score"), "panel")
     slots = rows.select("team").distinct().crossJoin(F.broadcast(rows.select("position").distinct()))
     gaps = roster.grid_gaps(rows.where("season = 1996"), slots, rows.select("week").distinct())
     best = rows.where("season = 1995").select("team", "position", "week", "entity", "seq", "score")
@@ -179,7 +180,7 @@ W AS (SELECT *, greatest(c_acctbal, 0) * (1 / sqrt(greatest(rank, 1))) AS w FROM
 SELECT c_custkey, rank, round(CASE WHEN sum(w) OVER (PARTITION BY c_nationkey, c_mktsegment) > 0 THEN w / sum(w) OVER (PARTITION BY c_nationkey, c_mktsegment) ELSE 0 END + 1.3e-7, 6) AS share FROM W""")
 def share_normalise(spark: SparkSession, d: str) -> DataFrame:
     group = ["c_nationkey", "c_mktsegment"]
-    ranked = table(spark, d, "customer").withColumn("rank", long(F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("c_acctbal"), "c_custkey"))))
+    ranked = ranks.ordinal(table(spark, d, "customer").select("c_custkey", *group, "c_acctbal"), group, "c_acctbal", ["c_custkey"])
     return roster.shares(ranked, group, F.greatest("c_acctbal", F.lit(0.0)), F.col("rank")).select("c_custkey", "rank", r6(F.col("share")).alias("share"))
 
 

@@ -57,6 +57,12 @@ def read_dataset(spark: SparkSession, path: str, expected: str | None = None, sc
     return frame
 
 
+def write_partitions(frame: DataFrame, path: str, by: str) -> None:
+    """Parquet in a folder for each value of a column (of few values). Folders of the frame's own values are replaced, others stay."""
+    rows = frame.repartition(by)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).option("compression", "zstd").parquet(path)
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").option("header", True).csv(path)
 

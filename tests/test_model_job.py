@@ -173,6 +173,7 @@ def test_forecast_to_boards(spark, tmp_path):
     board = {r["player_id"]: r for r in boards.draft_board(boards.choose_model(both, "Consensus"), 2022).collect()}
     assert board["GBQB"]["actual_points"] == 22.0 and board["gone"]["injury_games"] == 1 and board["GBRB"]["opportunity_basis"] == "Depth-chart estimate"
     assert {r["model"]: r["samples"] for r in boards.scorecard(both).collect()} == {"SVR": 12, "TREES": 12, "Consensus": 12}
+    assert {r["player_id"] for r in boards.player_history(both, ["GBQB", "gone"], 2022).collect()} == {"GBQB", "gone"}
     upcoming = boards.prepare(spark.read.parquet(str(tmp_path / "next" / "predictions")))
     assert boards.forecast_state(upcoming).first()["state"] == "upcoming"
     with pytest.raises(ValueError, match="actual or fantasy_points"):
