@@ -1,22 +1,25 @@
 """Exact dedup by stateful streaming.
 
-A stream reads the document files and writes (source, locator, id, digest) of the normalised text. A second
-stream aggregates those by digest; its keyed state sits on disk (RocksDB), never expires and holds, for each
-digest, the smallest identifier with the locator (file and row) of its content, and the number of rows. Rows
-whose digest is held by more than one row are hits: their full normalised bytes are read again and
-compared, so that a digest collision never merges different texts.
-
-Under a state's path, digests, state and the streams' progress outlive a call: a later call, in the same session or another, reads only files that it hasn't
-read, and holds their rows against all rows before.
+The rows of new files land as (file, locator, id, digest) of the normalised text in one folder, and a stream over that folder aggregates them by digest; its keyed
+state sits on disk (RocksDB), never expires and holds, for each digest, the smallest identifier with the locator (file and row) of its content, and the number of
+rows. Rows whose digest is held by more than one row are hits: their full normalised bytes are read again, from the files that hits name, and compared, so that a
+digest collision never merges different texts.
+
+Under a state's path, digests, state and the stream's progress outlive a call: a later call, in the same session or another, reads only files that it hasn't
+read, and holds their rows against all rows before. The stream's input is the same folder in every call. Files are told by the full path that Spark
+has for them, however a call spells it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from urllib.parse import unquote
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.publish import Folder
 from .common import WS_RE, new_path, stage
 
 STATE_CONF = {
@@ -35,8 +38,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS_RE, " ")
 
 
+ROWS = "file string, locator string, id {kind}, sha string, digest string"
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
+
 def _locator() -> Column:
-    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    return F.concat_ws("#", _file(), F.col("_metadata.row_index").cast("string"))
+
+
+def _paths(files: DataFrame) -> list[str]:
+    """Files as paths to read; Spark's driver lists the files of whatever it reads, too. Signs that a pattern would have are escaped."""
+    return sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r["file"])) for r in files.collect())
 
 
 def _first() -> Column:
@@ -48,23 +63,29 @@ def _run(stream) -> None:
     stream.trigger(availableNow=True).start().awaitTermination()
 
 
-def digest_stream(spark: SparkSession, path: str, state: str, id_col: str, text_col: str, digest_chars: int, files_per_batch: int) -> DataFrame:
-    """(source, locator, id, sha, digest) of every row of this and earlier calls; the first stream adds those of new files. `source` is the path that a call was given."""
-    schema = spark.read.parquet(path).schema
-    # a pattern, because a stream takes a plain path for a folder and the table may be one file
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
-    rows = source.select(
-        F.lit(path).alias("source"), _locator().alias("locator"), F.col(f"`{id_col}`").alias("id"), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("sha")
-    ).withColumn("digest", F.substring("sha", 1, digest_chars))
-    _run(rows.writeStream.format("parquet").option("path", f"{state}/digests").option("checkpointLocation", f"{state}/digests-log"))
-    return spark.read.schema(rows.schema).parquet(f"{state}/digests")
+def land(spark: SparkSession, table: DataFrame, state: str, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
+    """(file, locator, id, sha, digest) of every row of this and earlier calls. Rows of files that aren't there yet are written aside and moved to the others at once."""
+    kind = dict(table.select(F.col(f"`{id_col}`").alias("id")).dtypes)["id"]
+    folder, schema = Folder(spark, state), ROWS.format(kind=kind)
+    landed = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{state}/digests") if folder.exists("digests") else None
+    files = table.select(_file().alias("file")).distinct()
+    if landed is not None:
+        files = files.join(landed.select("file").distinct(), "file", "left_anti")
+    new = _paths(files)
+    folder.make("digests")
+    if new:
+        rows = spark.read.schema(table.schema).parquet(*new).select(_file().alias("file"), _locator().alias("locator"), F.col(f"`{id_col}`").alias("id"), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("sha"))
+        name = uuid4().hex
+        rows.withColumn("digest", F.substring("sha", 1, digest_chars)).write.parquet(f"{state}/aside-{name}")
+        folder.move(f"aside-{name}", f"digests/{name}")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{state}/digests")
 
 
 def digest_state(digests: DataFrame, state: str, files_per_batch: int) -> DataFrame:
-    """(digest, keep, n): the last state of every key, from the updates that each batch of the second stream wrote, in this and earlier calls."""
+    """(digest, keep, n): the last state of every key, from the updates that each batch of the stream wrote, in this and earlier calls."""
     spark, out = digests.sparkSession, f"{state}/updates"
     held = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    keyed = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{state}/digests").groupBy("digest").agg(_first(), F.count(F.lit(1)).alias("n"))
+    keyed = spark.readStream.schema(digests.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).parquet(f"{state}/digests").groupBy("digest").agg(_first(), F.count(F.lit(1)).alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure takes its own place
@@ -93,24 +114,24 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     """One row per row of the Parquet table at `path`: id, keep_id, group_size, kept, text_sha256.
 
     Without `state` the table is held against itself. With it, a shared folder, also against all rows of earlier calls with that folder, whose
-    own results stand: a smaller id that comes later takes the place of the one that was kept. Files that a call has read must stay, as hits are
-    compared byte by byte; a file isn't read into the state twice, and `digest_chars` and the kind of ids must stay the same. Null text counts as empty. A null
+    own results stand: a smaller id that comes later takes the place of the one that was kept. `path` may be any spelling of a file, a folder or a pattern, also of tables of
+    earlier calls: it is the files that count. Files that a call has read must stay as they are, as hits are compared byte by byte; a file isn't read into the state twice, and
+    `digest_chars`, the columns' names and the kind of ids must stay the same. Null text counts as empty. A null
     id sorts after all others. Of repeated rows of one id, one (the first by file and row) is kept. Other columns are not read. An empty table gives an
     empty result. `digest_chars` is the length of the hex digest that keys the state; the byte check makes the result the same at any length.
     """
     folder = state.rstrip("/") if state else new_path(spark, "dedup-state")
-    digests = digest_stream(spark, path, folder, id_col, text_col, digest_chars, files_per_batch)
+    table = spark.read.parquet(path.rstrip("/"))
+    digests = land(spark, table, folder, id_col, text_col, digest_chars)
     state = digest_state(digests, folder, files_per_batch)
-    # one path for each call with this state
-    sources = [r[0] for r in digests.select("source").distinct().collect()] or [path]
-    own = digests.where(F.col("source") == path)
-    shared = state.where("n > 1").select("digest")
-    if len(sources) > 1:
-        shared = shared.join(own.select("digest"), "digest", "left_semi")
-    hits = stage(digests.join(shared, "digest", "left_semi").select("locator", "id", "digest"), "hits")
+    own = digests.join(table.select(_file().alias("file")).distinct(), "file", "left_semi")
+    shared = state.where("n > 1").select("digest").join(own.select("digest").distinct(), "digest", "left_semi")
+    hits = stage(digests.join(shared, "digest", "left_semi").select("file", "locator", "id", "digest"), "hits")
+    found = _paths(hits.select("file").distinct())
+    texts = spark.read.schema(table.select(F.col(f"`{text_col}`")).schema).parquet(*found) if found else table
+    text = texts.select(_locator().alias("locator"), F.col(f"`{text_col}`").alias("text"))
     few = hits.count() <= BROADCAST_HITS
-    texts = reduce(DataFrame.union, [spark.read.parquet(x).select(_locator().alias("locator"), F.col(f"`{text_col}`").alias("text")) for x in sources])
-    read = texts.join(F.broadcast(hits) if few else hits, "locator").withColumn("body", normalised(F.col("text"))).drop("text")
+    read = text.join(F.broadcast(hits.drop("file")) if few else hits.drop("file"), "locator").withColumn("body", normalised(F.col("text"))).drop("text")
     equal = read.groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n"))
     several = equal.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.first("keep").alias("keep"), F.first("n").alias("n"))
     checked = stage(several, "checked")

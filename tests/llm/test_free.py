@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -71,6 +72,42 @@ def test_exact_dedup_repeated_rows_and_empty(spark, tmp_path):
     assert exact_dedup.dedup(spark, write(frame(spark, []), tmp_path, "none.parquet")).count() == 0
 
 
+def test_exact_dedup_tells_files_by_their_path(spark, tmp_path):
+    """Other spellings of a table, a trailing slash and a pattern over earlier tables each give all rows, against one state."""
+    texts = [prose(k, 12) for k in range(4)]
+    one, two = [(k, texts[k % 3], None, None, 0) for k in range(10)], [(k + 100, texts[k % 4], None, None, 0) for k in range(10)]
+    for name, rows in (("t0", one), ("t 1[x]", two)):
+        frame(spark, rows).repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    state = str(tmp_path / "state")
+    call = lambda path: exact_dedup.dedup(spark, path, state=state).collect()
+    first = sorted(map(tuple, call(str(tmp_path / "t0.parquet"))))
+    assert len(first) == 10 and {r[1] for r in first} == {0, 1, 2}
+    for spelling in (f"./{os.path.relpath(tmp_path)}/t0.parquet", f"file:{tmp_path}/t0.parquet", f"{tmp_path}//t0.parquet/", f"{tmp_path}/t0*"):
+        assert sorted(map(tuple, call(spelling))) == first
+    both = call(str(tmp_path / "t*.parquet"))
+    assert len(both) == 20 and {(r["keep_id"], r["group_size"]) for r in both} == {(0, 7), (1, 6), (2, 5), (103, 2)}
+
+
+def test_exact_dedup_reads_hit_files_only(spark, tmp_path, monkeypatch):
+    """Texts are read again only from files that hold hits."""
+    same, state = prose(1, 20), str(tmp_path / "state")
+    for k in range(4):
+        frame(spark, [(10 * k, same if k in (0, 3) else prose(50 + k, 20), None, None, 0), (10 * k + 1, prose(90 + k, 20), None, None, 0)]).coalesce(1).write.parquet(str(tmp_path / f"t{k}.parquet"))
+    seen, real = [], exact_dedup._paths
+    monkeypatch.setattr(exact_dedup, "_paths", lambda files: seen.append(real(files)) or seen[-1])
+    for k in range(4):
+        got = exact_dedup.dedup(spark, str(tmp_path / f"t{k}.parquet"), state=state).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in got} == {30: 0, 31: 31}
+    assert [len(x) for x in seen] == [1, 0, 1, 0, 1, 0, 1, 2] and all(any(f"t{k}.parquet" in f for f in seen[-1]) for k in (0, 3))
+
+
+def test_exact_dedup_of_very_long_texts(spark, tmp_path):
+    long = prose(3, 150_000)
+    rows = [(1, long, None, None, 0), (2, long.replace(" ", "\t\n"), None, None, 0), (3, long + " more", None, None, 0), (4, None, None, None, 0), (5, "", None, None, 0)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(spark, write(frame(spark, rows), tmp_path)).collect()}
+    assert got == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True), 4: (4, 2, True), 5: (4, 2, False)}
+
+
 def links(docs, n, num, den):
     sets = {}
     for i, t, *_ in docs:
