@@ -7,25 +7,33 @@ p(w) = (c(w) + 1) / (N + V + 1) and one for all words unseen. Weights of a state
 of that one word is where the next text starts.
 
 Counts cover all training documents: blocks of documents ask buckets of keys for the counts of their n-grams, which make the states and arcs that their own texts
-can reach, and then traverse these texts once from left to right.
+can reach. An arc leads to the longest suffix of its n-gram that is a state. Texts are then traversed once from left to right, those of a block in lockstep: each has one state, which every
+word moves on. Long texts are cut into stretches that start at the root order - 1 words earlier, after which the state is the one that the whole text before leads to.
+
+`fit` writes the counts of a training table once, as a model; `score` with a model scores any other texts. Without one it fits on the table's own training rows and scores all of its rows
+with one exchange of keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U64, Block, answer, bucket_bits, chain, cut_runs, expand, meet, send, staged_pack, sums
-from .common import stage
+from .blocks import REPLIES, U64, Block, answer, bucket_bits, chain, cut_runs, expand, meet, pack_keys, send, squeeze, staged_pack, sums, unpack_keys
+from .common import new_path
 
 #: Weights of the priors in states of one word, two words and so on, in words. There is one order more than weights.
 MUS = (500.0, 50.0)
+#: Words of a stretch of a text that is traversed on its own.
+STRETCH = 1000
 #: Key of the end of a text.
 END = U64(0x5AFE_C0DE_0000_0E0D)
+COUNTS = "kind int, bucket int, keys binary, vals binary"
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -70,75 +78,101 @@ class Stream:
 class Automaton:
     """The part of the automaton that a block's texts can reach.
 
-    State 0 is the root; states of k words are the block's n-grams of k words that training has. `fail` and `weight` are each state's
-    failure arc; arcs of states of k words are the n-grams of k + 1 words that training has, and `arc[k]` holds their weights.
+    State 0 is the root; the state of an n-gram of k words is first[k - 1] + its number, if training has it. `fail` and `weight` are each state's failure arc, and `code`,
+    `gain` and `target` the arcs of the states of k words, sorted by (state, word); the root has an arc for every word.
     """
 
     def __init__(self, stream: Stream, seen: list[np.ndarray], tokens: int, kinds: int, mus: tuple[float, ...]):
-        self.stream, order = stream, len(mus) + 1
-        first = np.cumsum([1, *map(len, seen)])  # number of the first state of each length
-        self.fail, self.weight = np.zeros(first[order - 1], np.int64), np.zeros(first[order - 1])
-        # of each token: the longest state that it leads to, which is the one before the next token
-        self.after = np.zeros(len(stream.gram[0]), np.int32)
-        p = (seen[0] + 1) / (tokens + kinds + 1)
-        self.arc, self.has = [np.log10(p)], [None]
-        p = p[stream.gram[0]]
-        start = np.zeros(len(p), bool)
+        self.stream, self.order, self.words = stream, len(mus) + 1, len(stream.grams[0])
+        order = self.order
+        self.first = np.cumsum([1, *map(len, seen)])  # number of the first state of each length
+        self.fail, self.weight = np.zeros(self.first[order - 1], np.int64), np.zeros(self.first[order - 1])
+        start = np.zeros(len(stream.gram[0]), bool)
         start[stream.starts] = True
+        p = [(seen[0] + 1) / (tokens + kinds + 1)]
+        self.root_gain, self.root_target = np.log10(p[0]), np.where(seen[0] > 0, 1 + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)
+        self.code, self.gain, self.target = [None], [None], [None]
         for k in range(1, order):
-            at, number = stream.gram[k - 1], np.arange(first[k - 1], first[k])
-            known = np.flatnonzero((at >= 0) & (seen[k - 1][at] > 0))
-            own = number[at[known]]
-            self.fail[own] = self.after[known]  # up to here the longest state of fewer words
-            self.weight[number] = np.log10(mus[k - 1] / (seen[k - 1] + mus[k - 1]))
-            self.after[known] = own
-            # the n-grams of k + 1 words: count of the context of each token's, which is the state before it
-            context = np.append(0, at[:-1])
-            if k == 1:
-                context[start] = stream.end
+            own = np.arange(self.first[k - 1], self.first[k])
+            self.weight[own] = np.log10(mus[k - 1] / (seen[k - 1] + mus[k - 1]))
+            # one place of each n-gram of k + 1 words: its context, its suffix and its last word
+            at = np.full(len(seen[k]), -1)
             whole = np.flatnonzero(stream.gram[k] >= 0)
-            arc = stream.gram[k][whole]
-            p[whole] = (seen[k][arc] + mus[k - 1] * p[whole]) / (seen[k - 1][context[whole]] + mus[k - 1])
-            weights = np.zeros(len(seen[k]))
-            weights[arc] = np.log10(p[whole])
-            self.arc.append(weights)
-            self.has.append(seen[k] > 0)
-        self.length = np.searchsorted(first, np.arange(first[order - 1]), side="right")
-        self.length[0] = 0
-        self.begin = int(first[0] + stream.end) if len(mus) and seen[0][stream.end] else 0
-        self.start = start
-
-    def traverse(self) -> np.ndarray:
-        """Log-probability of each token, by arcs and failure arcs from the state that the tokens before it lead to."""
-        state = np.append(0, self.after[:-1])
-        state[self.start] = self.begin
-        total, left = np.zeros(len(state)), np.arange(len(state))
-        for k in range(len(self.arc) - 1, 0, -1):
-            here = left[self.length[state[left]] == k]
-            arc = self.stream.gram[k][here]
-            hit = (arc >= 0) & self.has[k][arc]
-            total[here[hit]] += self.arc[k][arc[hit]]
+            at[stream.gram[k][whole]] = whole
+            context = np.where(start[at], stream.end if k == 1 else -1, stream.gram[k - 1][at - 1])
+            suffix, word = stream.gram[k - 1][at], stream.gram[0][at]
+            p.append((seen[k] + mus[k - 1] * p[k - 1][suffix]) / (seen[k - 1][context] + mus[k - 1]))
+            if k > 1:  # the longest suffix of a state of k words is the n-gram without its first word
+                place = np.full(len(seen[k - 1]), -1)
+                some = np.flatnonzero(stream.gram[k - 1] >= 0)
+                place[stream.gram[k - 1][some]] = some
+                self.fail[own] = self.first[k - 2] + stream.gram[k - 2][place]
+            arcs = np.flatnonzero(seen[k] > 0)
+            code = (self.first[k - 1] + context[arcs]) * self.words + word[arcs]
+            to = self.first[k] + arcs if k + 1 < order else self.first[k - 1] + suffix[arcs]
+            turn = np.argsort(code)
+            self.code.append(code[turn])
+            self.gain.append(np.log10(p[k][arcs])[turn])
+            self.target.append(to[turn])
+        self.begin = int(1 + stream.end) if order > 1 and seen[0][stream.end] else 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that words lead to, and the weights of the arcs taken."""
+        total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left, now = np.arange(len(state)), state.copy()
+        for k in range(self.order - 1, 0, -1):
+            here = left[now[left] >= self.first[k - 1]]
+            if not len(here) or not len(self.code[k]):
+                hit = np.zeros(len(here), bool)
+            else:
+                want = now[here] * self.words + word[here]
+                at = np.minimum(np.searchsorted(self.code[k], want), len(self.code[k]) - 1)
+                hit = self.code[k][at] == want
+                total[here[hit]] += self.gain[k][at[hit]]
+                after[here[hit]] = self.target[k][at[hit]]
             miss = here[~hit]
-            total[miss] += self.weight[state[miss]]
-            state[miss] = self.fail[state[miss]]
+            total[miss] += self.weight[now[miss]]
+            now[miss] = self.fail[now[miss]]
             done = np.zeros(len(state), bool)
             done[here[hit]] = True
             left = left[~done[left]]
-        total[left] += self.arc[0][self.stream.gram[0][left]]
-        return total
+        total[left] += self.root_gain[word[left]]
+        after[left] = self.root_target[word[left]]
+        return after, total
 
+    def traverse(self, stretch: int = STRETCH) -> np.ndarray:
+        """Log-probability of each text: one pass over its words, from state to state."""
+        s, back = self.stream, self.order - 1
+        stretch = max(stretch, self.order)
+        n = -(-s.sizes // stretch)
+        text = np.repeat(np.arange(len(s.sizes)), n)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = s.starts[text] + nth * stretch, np.minimum(s.starts[text] + (nth + 1) * stretch, s.starts[text] + s.sizes[text])
+        begin = np.where(nth > 0, low - back, low)
+        order = np.argsort(begin - high, kind="stable")  # the longest first, so that those still under way are the first ones
+        begin, low, high, text = begin[order], low[order], high[order], text[order]
+        state = np.where(begin == low, np.where(nth[order] > 0, 0, self.begin), 0)
+        total = np.zeros(len(text))
+        for t in range(int((high - begin).max()) if len(text) else 0):
+            going = int(np.searchsorted(begin - high, -t))
+            at = begin[:going] + t
+            state[:going], told = self.step(state[:going], s.gram[0][at])
+            total[:going] += np.where(at >= low[:going], told, 0.0)
+        return np.bincount(text, total, len(s.sizes))
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus: tuple[float, ...] = MUS, block_words: int | None = None) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. The order of the model is len(mus) + 1.
 
-    A null text is empty and has one token, its end. A null id counts as the empty string for the split. Repeated rows each count and are each scored.
-    Ids are integers. Words and n-grams are told apart by 64-bit keys; n of them hold two with one key with a chance of about n*n / 2**65. An empty
-    table gives an empty one.
-    """
-    order = len(mus) + 1
-    size = {"block_words": block_words} if block_words else {}
-    blocks, words = staged_pack(docs, id_col, text_col, held_out(F.col(f"`{id_col}`")), name="lm-blocks", **size)
-    bits = bucket_bits(words)
+class Model(NamedTuple):
+    """Counts of all n-grams of a training table, in the shared folder: COUNTS by kind (words of an n-gram) and bucket, and what goes with them."""
+
+    path: str
+    mus: tuple[float, ...]
+    bits: int
+    tokens: int
+    kinds: int
+
+
+def _asks(order: int, bits: int):
+    """The runs of a block: all its n-grams, and how often each stands in its training texts."""
 
     def ask(row: dict) -> Iterator[tuple]:
         block = Block(row)
@@ -146,17 +180,88 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus:
         for k in range(1, order + 1):
             yield from cut_runs(k, block.block, s.grams[k - 1], s.counts(k), bits)
 
-    def totals(kind: int, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return np.array([values.sum(), (values > 0).sum()], np.int64) * (kind == 1)
+    return ask
+
+
+def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", mus: tuple[float, ...] = MUS, block_words: int | None = None) -> Model:
+    """The model of all rows, written to `path` (a new one in the shared folder if none is given). `open_model` finds it again."""
+    size = {"block_words": block_words} if block_words else {}
+    blocks, words = staged_pack(docs, id_col, text_col, name="lm-train", **size)
+    path, bits = path or new_path(docs.sparkSession, "lm-model"), bucket_bits(words)
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
+        vals = np.concatenate([expand(x.as_py(), np.uint32) for x in table.column("vals")])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = sums(0, place, vals, len(distinct))
+        cells = [table.column("kind")[0].as_py(), table.column("bucket")[0].as_py(), pack_keys(distinct), squeeze(total), int(total.sum()), len(distinct)]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["kind", "bucket", "keys", "vals", "total", "size"])
+
+    counted = send(blocks, _asks(len(mus) + 1, bits)).groupBy("kind", "bucket").applyInArrow(count, f"{COUNTS}, total bigint, size bigint")
+    counted.write.parquet(f"{path}/counts")
+    spark = docs.sparkSession
+    told = spark.read.parquet(f"{path}/counts").where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    model = Model(path, tuple(mus), bits, told[0], told[1])
+    spark.createDataFrame([(list(map(float, mus)), bits, *told)], "mus array<double>, bits int, tokens bigint, kinds bigint").coalesce(1).write.parquet(f"{path}/model")
+    return model
+
 
-    def read_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = [expand(x, np.int64) for x in b.column("vals").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[j]) for x in pairs], pa.int64()) for j in (0, 1)], names=["tokens", "kinds"])
+def _totals(blocks: DataFrame, bits: int) -> tuple[int, int]:
+    """Training tokens and the distinct ones among them, from an exchange of words alone, which are few beside longer n-grams, so that replies to these need not be kept."""
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
+        vals = np.concatenate([expand(x.as_py(), np.uint32) for x in table.column("vals")]).astype(np.int64)
+        return pa.table({"tokens": pa.array([int(vals.sum())]), "kinds": pa.array([len(np.unique(np.concatenate(keys)[vals > 0]))])})
+
+    found = send(blocks, _asks(1, bits)).groupBy("kind", "bucket").applyInArrow(count, "tokens bigint, kinds bigint")
+    return tuple(found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first())
+
+
+def open_model(spark: SparkSession, path: str) -> Model:
+    one = spark.read.parquet(f"{path}/model").first()
+    return Model(path, tuple(one["mus"]), one["bits"], one["tokens"], one["kinds"])
+
+
+def told_by(model: Model, runs: DataFrame) -> DataFrame:
+    """Replies of a model's buckets to runs; n-grams that it doesn't have count 0."""
+    counts = runs.sparkSession.read.parquet(f"{model.path}/counts").select("kind", "bucket", "keys", "vals")
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if held.num_rows:
+            known, n = unpack_keys(held.column("keys")[0].as_py()), expand(held.column("vals")[0].as_py(), np.int64)
+        else:
+            known, n = np.zeros(0, U64), np.zeros(0, np.int64)
+        for block, kind, bucket, raw in zip(*(asked.column(c).to_pylist() for c in ("block", "kind", "bucket", "keys")), strict=True):
+            keys = unpack_keys(raw)
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            out.append((block, kind, bucket, squeeze(np.where(known[at] == keys, n[at], 0) if len(known) else np.zeros(len(keys), np.int64))))
+        cells = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cells, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["block", "kind", "bucket", "vals"])
+
+    return runs.groupBy("kind", "bucket").cogroup(counts.groupBy("kind", "bucket")).applyInArrow(work, REPLIES)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus: tuple[float, ...] = MUS, block_words: int | None = None, model: Model | None = None) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. The order of the model is len(mus) + 1.
+
+    With a model all rows are scored by it (and its mus), and held_out still tells which rows the split leaves out. A null text is empty and has one token, its end. A null id counts as the empty string
+    for the split. Repeated rows each count and are each scored.
+    Ids are integers. Words and n-grams are told apart by 64-bit keys; n of them hold two with one key with a chance of about n*n / 2**65. An empty
+    table gives an empty one.
+    """
+    mus = mus if model is None else model.mus
+    order = len(mus) + 1
+    size = {"block_words": block_words} if block_words else {}
+    blocks, words = staged_pack(docs, id_col, text_col, held_out(F.col(f"`{id_col}`")), name="lm-blocks", **size)
 
-    replies = stage(answer(send(blocks, ask), np.uint32, sums, totals), "lm-counts")
-    sums_of = replies.where("block = -1 and kind = 1").select("vals").mapInArrow(read_totals, "tokens bigint, kinds bigint")
-    tokens, kinds = sums_of.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    if model is None:
+        bits = bucket_bits(words)
+        replies, (tokens, kinds) = answer(send(blocks, _asks(order, bits)), np.uint32, sums), _totals(blocks, bits)
+    else:
+        replies, tokens, kinds = told_by(model, send(blocks, _asks(order, model.bits))), model.tokens, model.kinds
 
     def run(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
         block = Block(row)
@@ -166,7 +271,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus:
         word = s.gram[0]
         cells = [
             pa.array(block.ids, pa.int64()), pa.array(block.flags != 0), pa.array(s.sizes, pa.int64()), pa.array(total((got[1][word] > 0).astype(np.int64)), pa.int64()),
-            pa.array(total(fsa.arc[0][word]), pa.float64()), pa.array(total(fsa.traverse()), pa.float64()),
+            pa.array(total(fsa.root_gain[word]), pa.float64()), pa.array(fsa.traverse(), pa.float64()),
         ]
         return pa.table(cells, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

@@ -316,6 +316,41 @@ def test_lm_score(spark, mus):
         assert sum(10 ** automaton(h, w) for (w,) in (x for x in c if len(x) == 1)) + unseen * mus[len(h) - 1] / (after[h] + mus[len(h) - 1]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("mus", [(), (500.0,), (500.0, 50.0, 5.0)])
+def test_lm_model_scores_texts_that_it_never_saw(spark, tmp_path, mus):
+    """A model fitted on the training rows scores all rows as the one exchange does, and texts of new words by the root and failure arcs."""
+    docs = corpus()
+    train = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 7 != 2]
+    model = lm_score.fit(frame(spark, train).repartition(3), str(tmp_path / "model"), mus=mus, block_words=200)
+    assert lm_score.open_model(spark, str(tmp_path / "model")) == model
+    fields = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    told = lambda f, **how: {r["doc_id"]: [r[c] for c in fields] for r in lm_score.score(f, mus=mus, **how).collect()}
+    apart, at_once = told(frame(spark, docs).repartition(2), model=model, block_words=500), told(frame(spark, docs), block_words=300)
+    assert apart.keys() == at_once.keys() and all(apart[i] == pytest.approx(at_once[i]) for i in apart)
+    new = told(frame(spark, [(900, "zzzz yyyy zzzz", None, None, 0), (901, train[0][1] + " zzzz", None, None, 0)]), model=model)
+    assert new[900][1:3] == [4, 1] and new[901][2] == new[901][1] - 1 and new[900][5] < 0
+    empty = lm_score.fit(frame(spark, train).where("false"), mus=mus)
+    assert (empty.tokens, empty.kinds) == (0, 0) and told(frame(spark, docs[:1]), model=empty)[docs[0][0]][2] == 0
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 50])
+def test_a_carried_state_is_that_of_the_whole_text(spark, stretch):
+    """Stretches of any length give the scores of texts traversed whole."""
+    docs = frame(spark, corpus())
+    whole = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
+    blocks, _ = lm_score.staged_pack(docs, "doc_id", "text", lm_score.held_out(F.col("doc_id")))
+    row = [r.asDict() for r in blocks.collect()]
+    streams = [lm_score.Stream(lm_score.Block(r), 3) for r in row]
+    keys = [np.concatenate([s.grams[k] for s in streams]) for k in range(3)]
+    counts = [dict(zip(*(x.tolist() for x in (np.unique(k), np.bincount(np.unique(k, return_inverse=True)[1], np.concatenate([s.counts(j + 1) for s in streams]))))))for j, k in enumerate(keys)]
+    tokens, kinds = int(sum(counts[0].values())), sum(v > 0 for v in counts[0].values())
+    got = {}
+    for r, s in zip(row, streams, strict=True):
+        seen = [np.array([int(counts[k][x]) for x in s.grams[k].tolist()]) for k in range(3)]
+        got |= dict(zip(r["ids"], lm_score.Automaton(s, seen, tokens, kinds, lm_score.MUS).traverse(stretch).tolist(), strict=True))
+    assert got == pytest.approx(whole)
+
+
 def test_bpe(spark):
     docs = corpus()
     lib = Tokenizer.from_file(WORD_FILE)
