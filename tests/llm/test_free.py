@@ -603,3 +603,21 @@ def test_empty(spark, tmp_path):
     blank = frame(spark, [(1, None, None, None, 0), (2, "", None, None, 0)])
     assert sorted(tuple(r) for r in ngram_join.join(blank).collect()) == [(1, 0, 1), (2, 0, 2)]
     assert chunk_dedup.repeats(blank).count() == 0 and lm_score.score(blank).count() == 2
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    """Null ids in the n-gram join, the LM scores and the license scan; rows of one id, with one text and with several, in the substring search."""
+    from panelcast.llm import license_scan
+
+    text = prose(8, 120)
+    rows = [(None, text, None, None, 0), (None, text + " All rights reserved.", None, None, 0), (3, text, None, None, 0), (5, text, None, None, 0), (5, text, None, None, 0), (5, prose(9, 40), None, None, 0), (None, None, None, None, 0)]
+    docs = frame(spark, rows)
+    told = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect() if r["doc_id"] is not None)
+    assert told == [(3, 116, 3), (5, 36, 5), (5, 116, 3), (5, 116, 3)] and ngram_join.join(docs).where("doc_id is null and component_id is null").count() == 3
+    scores = lm_score.score(docs).collect()
+    assert len(scores) == len(rows) and all(r["score"] is not None for r in scores)
+    assert {r["held_out"] for r in scores if r["doc_id"] is None} == {zlib.crc32(b"") % 7 == 2}
+    scans = license_scan.scan_licenses(docs).collect()
+    assert len(scans) == len(rows) and [r["base_labels"] for r in scans if r["doc_id"] is None and r["n_base"]] == ["reserved"]
+    found = chunk_dedup.repeats(docs.where("doc_id is not null"))
+    assert {r["doc_id"] for r in found.collect()} <= {3, 5} and found.columns == chunk_dedup.repeats(docs.where("doc_id = 3")).columns
