@@ -26,7 +26,7 @@ RIDGE = 1e-3
 
 def _bag(t: np.ndarray, bag: int, validation: float, seed: int) -> np.ndarray:
     """Which rows a bag trains on, by a hash of the row's own hash."""
-    x = (t.astype(np.uint64) + np.uint64(bag + 1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (t.astype(np.uint64) + np.uint64(((bag + 1) * 0x9E3779B97F4A7C15 + seed) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return (x >> np.uint64(11)).astype(np.float64) / 2**53 >= validation
 

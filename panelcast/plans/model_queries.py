@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import explain, models
+from ..operators import boosted, explain, models, svr
 from ..session import scratch
 from ..sources import io
 from ..sources.publish import Output, publish, read_published
@@ -42,6 +42,27 @@ def fit_tree(spark: SparkSession, d: str) -> DataFrame:
     return told(models.project(models.boosted_trees(FEATURES, "target"), train, test, "target"))
 
 
+@query()
+def fit_svr(spark: SparkSession, d: str) -> DataFrame:
+    """The kernel regression with its defaults but for the kernel."""
+    train, test = split(spark, d)
+    return told(svr.Svr(FEATURES, "target", svr.Point(kernel="rbf", gamma=0.1)).fit(train).transform(test))
+
+
+@query()
+def fit_boosted(spark: SparkSession, d: str) -> DataFrame:
+    train, test = split(spark, d)
+    return told(boosted.Boosted(FEATURES, "target", rounds=10, bags=2, pairs=1).fit(train).transform(test))
+
+
+@query()
+def svr_search(spark: SparkSession, d: str) -> DataFrame:
+    """Points of one map, side by side over all folds."""
+    points = [svr.Point(c, e) for c in (0.25, 1.0) for e in (0.05, 0.25)]
+    found = svr.search(frame(spark, d), FEATURES, "target", points, folds=3)
+    return spark.createDataFrame([(p.c, p.epsilon, round(s, 2)) for p, s in found], "c double, epsilon double, mae double")
+
+
 @query()
 def grid_select(spark: SparkSession, d: str) -> DataFrame:
     rows = frame(spark, d).persist()
