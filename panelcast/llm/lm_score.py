@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import REPLIES, U64, Block, answer, bucket_bits, chain, cut_runs, expand, meet, pack_keys, send, squeeze, staged_pack, sums, unpack_keys
-from .common import new_path
+from .common import new_path, stage
 
 #: Weights of the priors in states of one word, two words and so on, in words. There is one order more than weights.
 MUS = (500.0, 50.0)
@@ -207,18 +207,6 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     return model
 
 
-def _totals(blocks: DataFrame, bits: int) -> tuple[int, int]:
-    """Training tokens and the distinct ones among them, from an exchange of words alone, which are few beside longer n-grams, so that replies to these need not be kept."""
-
-    def count(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
-        vals = np.concatenate([expand(x.as_py(), np.uint32) for x in table.column("vals")]).astype(np.int64)
-        return pa.table({"tokens": pa.array([int(vals.sum())]), "kinds": pa.array([len(np.unique(np.concatenate(keys)[vals > 0]))])})
-
-    found = send(blocks, _asks(1, bits)).groupBy("kind", "bucket").applyInArrow(count, "tokens bigint, kinds bigint")
-    return tuple(found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first())
-
-
 def open_model(spark: SparkSession, path: str) -> Model:
     one = spark.read.parquet(f"{path}/model").first()
     return Model(path, tuple(one["mus"]), one["bits"], one["tokens"], one["kinds"])
@@ -257,9 +245,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus:
     size = {"block_words": block_words} if block_words else {}
     blocks, words = staged_pack(docs, id_col, text_col, held_out(F.col(f"`{id_col}`")), name="lm-blocks", **size)
 
+    def totals(kind: int, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return np.array([values.sum(), (values > 0).sum()], np.int64) * (kind == 1)
+
+    def read_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [expand(x, np.int64) for x in b.column("vals").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[j]) for x in pairs], pa.int64()) for j in (0, 1)], names=["tokens", "kinds"])
+
     if model is None:
-        bits = bucket_bits(words)
-        replies, (tokens, kinds) = answer(send(blocks, _asks(order, bits)), np.uint32, sums), _totals(blocks, bits)
+        # staged, so that the runs' shuffle files are gone before the replies move
+        replies = stage(answer(send(blocks, _asks(order, bucket_bits(words))), np.uint32, sums, totals), "lm-counts")
+        sums_of = replies.where("block = -1 and kind = 1").select("vals").mapInArrow(read_totals, "tokens bigint, kinds bigint")
+        tokens, kinds = sums_of.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     else:
         replies, tokens, kinds = told_by(model, send(blocks, _asks(order, model.bits))), model.tokens, model.kinds
 
