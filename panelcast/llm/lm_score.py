@@ -83,39 +83,47 @@ class Automaton:
     """
 
     def __init__(self, stream: Stream, seen: list[np.ndarray], tokens: int, kinds: int, mus: tuple[float, ...]):
-        self.stream, self.order, self.words = stream, len(mus) + 1, len(stream.grams[0])
+        self.stream, self.order, self.words = stream, len(mus) + 1, len(seen[0])
         order = self.order
         self.first = np.cumsum([1, *map(len, seen)])  # number of the first state of each length
-        self.fail, self.weight = np.zeros(self.first[order - 1], np.int64), np.zeros(self.first[order - 1])
-        start = np.zeros(len(stream.gram[0]), bool)
-        start[stream.starts] = True
-        p = [(seen[0] + 1) / (tokens + kinds + 1)]
-        self.root_gain, self.root_target = np.log10(p[0]), np.where(seen[0] > 0, 1 + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)
+        self.fail, self.weight = np.zeros(self.first[order - 1], np.int32), np.zeros(self.first[order - 1])
+        p = (seen[0] + 1) / (tokens + kinds + 1)
+        self.root_gain, self.root_target = np.log10(p), np.where(seen[0] > 0, 1 + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)
         self.code, self.gain, self.target = [None], [None], [None]
         for k in range(1, order):
-            own = np.arange(self.first[k - 1], self.first[k])
+            own = slice(self.first[k - 1], self.first[k])
             self.weight[own] = np.log10(mus[k - 1] / (seen[k - 1] + mus[k - 1]))
             # one place of each n-gram of k + 1 words: its context, its suffix and its last word
-            at = np.full(len(seen[k]), -1)
-            whole = np.flatnonzero(stream.gram[k] >= 0)
-            at[stream.gram[k][whole]] = whole
-            context = np.where(start[at], stream.end if k == 1 else -1, stream.gram[k - 1][at - 1])
-            suffix, word = stream.gram[k - 1][at], stream.gram[0][at]
-            p.append((seen[k] + mus[k - 1] * p[k - 1][suffix]) / (seen[k - 1][context] + mus[k - 1]))
+            at = self._places(k)
+            context = stream.gram[k - 1][at - 1]
+            if k == 1:  # the word before a text's first is the end
+                context[np.isin(at, stream.starts)] = stream.end
+            suffix = stream.gram[k - 1][at]
+            p = p[suffix]
+            p *= mus[k - 1]
+            p += seen[k]
+            p /= seen[k - 1][context] + mus[k - 1]
             if k > 1:  # the longest suffix of a state of k words is the n-gram without its first word
-                place = np.full(len(seen[k - 1]), -1)
-                some = np.flatnonzero(stream.gram[k - 1] >= 0)
-                place[stream.gram[k - 1][some]] = some
-                self.fail[own] = self.first[k - 2] + stream.gram[k - 2][place]
-            arcs = np.flatnonzero(seen[k] > 0)
-            code = (self.first[k - 1] + context[arcs]) * self.words + word[arcs]
-            to = self.first[k] + arcs if k + 1 < order else self.first[k - 1] + suffix[arcs]
+                self.fail[own] = self.first[k - 2] + stream.gram[k - 2][self._places(k - 1)]
+            arcs = np.flatnonzero(seen[k] > 0).astype(np.int32)
+            code = (context[arcs] + self.first[k - 1]) * self.words + stream.gram[0][at[arcs]]
+            del at, context
+            to = (self.first[k] + arcs if k + 1 < order else self.first[k - 1] + suffix[arcs]).astype(np.int32)
+            del suffix
             turn = np.argsort(code)
             self.code.append(code[turn])
-            self.gain.append(np.log10(p[k][arcs])[turn])
+            self.gain.append(np.log10(p[arcs])[turn])
             self.target.append(to[turn])
         self.begin = int(1 + stream.end) if order > 1 and seen[0][stream.end] else 0
 
+    def _places(self, k: int) -> np.ndarray:
+        """A place in the stream where each n-gram of k + 1 words ends."""
+        number = self.stream.gram[k]
+        whole = np.flatnonzero(number >= 0).astype(np.int32)
+        at = np.empty(self.first[k + 1] - self.first[k], np.int32)
+        at[number[whole]] = whole
+        return at
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states that words lead to, and the weights of the arcs taken."""
         total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
@@ -264,6 +272,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mus:
     def run(row: dict, got: dict[int, np.ndarray]) -> pa.Table:
         block = Block(row)
         s = Stream(block, order)
+        s.grams, block.words, block.stream = [], None, None  # the replies are in their order; the keys themselves have done their part
         fsa = Automaton(s, [got.get(k, np.zeros(0, np.int64)) for k in range(1, order + 1)], tokens, kinds, mus)
         total = lambda x: np.add.reduceat(x, s.starts)  # noqa: E731  no text is without its end
         word = s.gram[0]
