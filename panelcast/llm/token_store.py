@@ -39,8 +39,8 @@ from .common import integer_id, stage
 
 #: Chunk lengths in ids (48 on average), and the window of the rolling hash (no larger than the least length).
 LEAST, MOST, MEAN_BITS, WINDOW, SEED = 16, 512, 5, 16, 20_240_601
-#: Characters of text for a bucket of the store, bytes of a part that a task sends and of a pack, and chunks of a block of recipes, about.
-BUCKET_CHARS, PART_BYTES, PACK_BYTES, BLOCK_CHUNKS = 8_000_000, 4_000_000, 500_000, 200_000
+#: Bytes of text for a bucket of the store, of a part that a task sends and of a pack, and chunks of a block of recipes, about.
+BUCKET_BYTES, PART_BYTES, PACK_BYTES, BLOCK_CHUNKS = 8_000_000, 4_000_000, 500_000, 200_000
 BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_200_000
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,8 +48,9 @@ MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: characters beyond 16 bits are taken for such, too.
 PLAIN_MATCH = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 DIGEST, FAN = 16, 64
-#: A random number for each byte, and the factor from place to place, of the keys by which matches are told apart.
-SIGNS, STEP = np.random.default_rng(1).integers(0, 2**63, 256, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
+#: Matches of up to SHORT bytes are told apart by words of eight bytes; MASKS keeps the first bytes of a word, STEP mixes words.
+SHORT, STEP = 32, np.uint64(0x9E3779B97F4A7C15)
+MASKS = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
 #: Kinds of bytes: letters (with all bytes beyond ASCII), digits, other signs, the blank, other white space, and what stands between texts.
 LETTER, NUMBER, OTHER, BLANK, WHITE, TEXT_END = range(6)
 KIND = np.array([LETTER if b > 127 or chr(b).isalpha() else NUMBER if chr(b).isdigit() else BLANK if b == 32 else WHITE if 9 <= b <= 13 else OTHER for b in range(256)], np.uint8)
@@ -90,7 +91,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -99,6 +100,9 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_blank[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        # what reaches the library is cut by the pattern already
+        self.uncut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.at_blanks = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), self.uncut])
         self.known: dict[bytes, bytes] = {}
         self.forget()
         self.match, self.plain_match = regex.compile(MATCH), re.compile(PLAIN_MATCH)
@@ -118,10 +122,12 @@ class PieceEncoder:
 
     def _learn(self, spaced: list[bytes], others: list[bytes]) -> None:
         """Puts the ids of new matches into the cache; `spaced` are letters after a blank."""
-        # these are encoded many in a row: their first ids alone begin with the blank
+        # these are encoded many in a row, cut at their blanks: their first ids alone begin with one
+        self.tokenizer.pre_tokenizer = self.at_blanks
         rows = self.tokenizer.encode_batch_fast([b"".join(spaced[k : k + 500]).decode() for k in range(0, len(spaced), 500)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable([r.ids for r in rows]), "<u4")
         self._keep(spaced, ids, np.append(np.flatnonzero(self.after_blank[ids]), len(ids)))
+        self.tokenizer.pre_tokenizer = self.uncut
         lists = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False)]
         self._keep(others, np.fromiter(chain.from_iterable(lists), "<u4"), np.append(0, np.cumsum(list(map(len, lists)))))
 
@@ -149,24 +155,16 @@ class PieceEncoder:
         """All texts' matches are cut and told apart in arrays of bytes; only new ones become strings."""
         if not texts:
             return
-        raw = b"\xff".join([t.encode() for t in texts]) + b"\xff"
-        data = np.frombuffer(raw, np.uint8)
+        raw = b"\xff".join([t.encode() for t in texts]) + b"\xff" + bytes(SHORT)
+        data = np.frombuffer(raw, np.uint8, len(raw) - SHORT)
         kind = KIND[data]
         begin = np.flatnonzero(match_starts(data, kind)).astype(np.int32)
         size = np.diff(begin, append=np.int32(len(data)))
-        here = np.arange(len(data), dtype=np.int32)
-        place = here - np.repeat(begin, size)
-        power = np.multiply.accumulate(np.full(int(size.max()), STEP))
-        values = SIGNS[data]
-        values *= power[place]
-        coded = pa.array(np.add.reduceat(values, begin)).dictionary_encode()
-        which = coded.indices.to_numpy()
-        first = np.empty(len(coded.dictionary), np.int64)
-        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        # two matches with one key would differ somewhere from the first match with it
-        if not np.array_equal(data[np.repeat(begin[first][which] - begin, size) + here], data):
+        told = tell_apart(raw, begin, size)
+        if told is None:
             yield from map(self._encode_one, texts)
             return
+        which, first = told
         at, to = begin[first].tolist(), (begin + size)[first].tolist()
         names = list(map(raw.__getitem__, map(slice, at, to)))
         ends = names.index(b"\xff")  # of texts
@@ -212,6 +210,32 @@ def match_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return start
 
 
+def tell_apart(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which of the distinct matches each match is, and where each of these stands first; None if two that differ have one key. SHORT bytes follow the last match."""
+    words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
+
+    def word(rows: np.ndarray, k: int) -> np.ndarray:
+        return words[begin[rows] + k] & MASKS[np.minimum(size[rows] - k, 8)]
+
+    keys, short = size.astype(np.uint64), []
+    for k in range(0, SHORT, 8):
+        rows = np.flatnonzero(size > k)
+        short.append((rows, word(rows, k)))
+        mixed = (keys[rows] ^ short[-1][1]) * STEP
+        keys[rows] = mixed ^ (mixed >> np.uint64(29))
+    longer = np.flatnonzero(size > SHORT)
+    long = [raw[x:y] for x, y in zip(begin[longer].tolist(), (begin + size)[longer].tolist(), strict=True)]
+    keys[longer] = np.array([hash(x) for x in long], np.int64).view(np.uint64)
+    coded = pa.array(keys).dictionary_encode()
+    which = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    source = first[which]
+    same = np.array_equal(size[source], size) and all(np.array_equal(word(source[rows], k), w) for k, (rows, w) in zip(range(0, SHORT, 8), short, strict=True))
+    starts = begin[source[longer]].tolist()
+    return (which, first) if same and all(raw.startswith(x, at) for x, at in zip(long, starts, strict=True)) else None
+
+
 _LOADED: dict[str, PieceEncoder] = {}
 
 
@@ -266,11 +290,16 @@ def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
 
 
 def ranked(names: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct digests in order as pairs of numbers, the place of each digest among them, and where each stands first."""
+    """The distinct digests in order as pairs of numbers, the place of each digest among them, and one of the places where each stands."""
     pair = np.frombuffer(names, ">u8").astype(U64).reshape(-1, 2)
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    order = np.argsort(pair[:, 0])
     ordered = pair[order]
-    new = np.append(True, (ordered[1:] != ordered[:-1]).any(axis=1))[: len(order)]
+    equal = ordered[1:] == ordered[:-1]
+    if not np.array_equal(equal[:, 0], equal.all(axis=1)):  # two digests share their first half
+        order = np.lexsort((pair[:, 1], pair[:, 0]))
+        ordered = pair[order]
+        equal = ordered[1:] == ordered[:-1]
+    new = np.append(True, ~equal.all(axis=1))[: len(order)]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     return ordered[new], place, order[new]
@@ -369,8 +398,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     roots. Ids are integers. Of an empty table the store has no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.coalesce(F.sum(F.length(f"`{text_col}`")), F.lit(0))).first()[0]
-    bits = max(5, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(f"`{text_col}`")), F.lit(0))).first()[0]
+    bits = max(5, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     made = blobs(docs, tokenizer, end_id, bits, id_col, text_col)
     made.groupBy("bucket").applyInArrow(packs, BLOBS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
     stored = spark.read.schema(BLOBS).parquet(f"{path}/blobs").where("kind = 'recipe'")

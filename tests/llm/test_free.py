@@ -621,3 +621,16 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert len(scans) == len(rows) and [r["base_labels"] for r in scans if r["doc_id"] is None and r["n_base"]] == ["reserved"]
     found = chunk_dedup.repeats(docs.where("doc_id is not null"))
     assert {r["doc_id"] for r in found.collect()} <= {3, 5} and found.columns == chunk_dedup.repeats(docs.where("doc_id = 3")).columns
+
+
+def test_matches_of_any_length_are_told_apart_and_encode_as_in_the_library():
+    """Runs around and beyond the lengths that arrays compare, null bytes, repeats, and letters beyond ASCII."""
+    runs = [b"\0" * n for n in range(1, 40)] + [b"a" * n for n in (1, 7, 8, 9, 31, 32, 33, 40)] + [b"b" * 39 + x for x in (b"1", b"2")] + [b"a" * 33, b"\0\0"]
+    size = np.array([len(x) for x in runs], np.int32)
+    which, first = token_store.tell_apart(b"".join(runs) + bytes(token_store.SHORT), np.cumsum(size, dtype=np.int32) - size, size)
+    assert [runs[first[k]] for k in which] == runs and len(first) == len(set(runs))
+    assert sorted(first.tolist()) == sorted({x: k for k, x in reversed(list(enumerate(runs)))}.values())
+    texts = ["", " ", "x" * 5_000, " " * 3_000 + "end", "straße " * 400, "语言模型" * 50, "a\0\0b \0", "\t\n  x\r\n\r\n y ", "don't we'll 'tis ' re", "é" * 31 + " " + "é" * 32, "end<|endoftext|>end"]
+    whole = Tokenizer.from_file(BYTE_FILE)
+    got = list(token_store.PieceEncoder(BYTE_FILE).encode(texts * 2))
+    assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts * 2]
