@@ -41,7 +41,7 @@ from .common import integer_id, stage
 LEAST, MOST, MEAN_BITS, WINDOW, SEED = 16, 512, 5, 16, 20_240_601
 #: Bytes of text for a bucket of the store, of a part that a task sends and of a pack, and chunks of a block of recipes, about.
 BUCKET_BYTES, PART_BYTES, PACK_BYTES, BLOCK_CHUNKS = 8_000_000, 4_000_000, 500_000, 200_000
-BATCH_CHARS, CACHE_WORDS = 4_000_000, 1_200_000
+BATCH_CHARS, CACHE_WORDS = 2_000_000, 700_000
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for re, in texts without the characters that \w and \s of re see otherwise: numbers other than digits, and four control characters; texts with
