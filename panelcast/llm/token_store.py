@@ -47,6 +47,9 @@ MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for re, in texts without the characters that \w and \s of re see otherwise: numbers other than digits, and four control characters; texts with
 #: characters beyond 16 bits are taken for such, too.
 PLAIN_MATCH = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+#: The character of each byte in vocabularies of this kind: itself where Latin-1 prints it, else the next one from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 DIGEST, FAN = 16, 64
 #: Matches of up to SHORT bytes are told apart by words of eight bytes; MASKS keeps the first bytes of a word, STEP mixes words.
 SHORT, STEP = 32, np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +105,7 @@ class PieceEncoder:
         self.after_blank[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         # what reaches the library is cut by the pattern already
         self.uncut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.at_blanks = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), self.uncut])
+        self.at_blanks = pre_tokenizers.Split(BYTE_CHARS[32], "merged_with_next")
         self.known: dict[bytes, bytes] = {}
         self.forget()
         self.match, self.plain_match = regex.compile(MATCH), re.compile(PLAIN_MATCH)
@@ -122,9 +125,9 @@ class PieceEncoder:
 
     def _learn(self, spaced: list[bytes], others: list[bytes]) -> None:
         """Puts the ids of new matches into the cache; `spaced` are letters after a blank."""
-        # these are encoded many in a row, cut at their blanks: their first ids alone begin with one
+        # these are encoded many in a row, in the vocabulary's own characters and cut at their blanks: their first ids alone begin with one
         self.tokenizer.pre_tokenizer = self.at_blanks
-        rows = self.tokenizer.encode_batch_fast([b"".join(spaced[k : k + 500]).decode() for k in range(0, len(spaced), 500)], add_special_tokens=False)
+        rows = self.tokenizer.encode_batch_fast([b"".join(spaced[k : k + 100]).decode("latin-1").translate(BYTE_CHARS) for k in range(0, len(spaced), 100)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable([r.ids for r in rows]), "<u4")
         self._keep(spaced, ids, np.append(np.flatnonzero(self.after_blank[ids]), len(ids)))
         self.tokenizer.pre_tokenizer = self.uncut
