@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from . import ranks
-from .models import AdditiveModel, bin_edges
+from .models import AdditiveModel
 from .panel import PERIOD
 
 
@@ -38,16 +38,15 @@ def local_terms(model: AdditiveModel, frame: DataFrame, ids: Sequence[str]) -> D
 
 
 def accumulated_effects(model, frame: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
-    """feature, bin, upper, n, effect: mean change of the prediction over each bin, summed up and centred by counts.
+    """feature, bin, upper, n, effect: mean change of the prediction over each bin, summed up and centred by counts. Bins end at exact quantiles.
 
     Every row stands twice for each feature, with the feature at its bin's edges, in one transform.
     """
     if bins < 2:
         raise ValueError("bins must be 2 or more")
-    edges = bin_edges(frame, features, bins)
-    ends = frame.agg(*(F.min(f).alias(f"lo_{f}") for f in features), *(F.max(f).alias(f"hi_{f}") for f in features)).first()
-    one = lambda f: sorted({float(ends[f"lo_{f}"]), *edges[f], float(ends[f"hi_{f}"])})
-    cuts = {f: one(f) for f in features}
+    cuts = {f: sorted(set(found)) for f, found in ranks.quantiles(frame, features, bins).items()}
+    if empty := [f for f in features if not cuts[f]]:
+        raise ValueError(f"no values of {', '.join(empty)}")
     variants = []
     for f in features:
         arr = F.array(*map(F.lit, cuts[f]))

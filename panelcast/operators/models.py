@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from . import ranks
 from .evaluate import metrics, with_fold
 from .panel import PERIOD
 
@@ -39,10 +40,8 @@ def boosted_trees(features: Sequence[str], target: str, rounds: int = 15, depth:
 
 
 def bin_edges(frame: DataFrame, features: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
-    """Inner quantiles of each feature: a row of a few numbers a feature."""
-    at = [i / bins for i in range(1, bins)]
-    found = frame.agg(*(F.array_distinct(F.percentile_approx(f, at, 10_000)).alias(f) for f in features)).first()
-    return {f: sorted(float(x) for x in found[f] or [0.0]) for f in features}
+    """Inner quantiles of each feature, exact and each once."""
+    return {f: sorted(set(found[1:-1])) or [0.0] for f, found in ranks.quantiles(frame, features, bins).items()}
 
 
 class Additive:

@@ -72,6 +72,21 @@ def running(counts: DataFrame, group: Sequence[str], value: str, count: str = "c
     return beside(ranged.withColumn("_own", own), front, [*group, "_range"]).withColumn("_upto", F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_range")
 
 
+def quantiles(frame: DataFrame, features: Sequence[str], parts: int) -> dict[str, list[float]]:
+    """Of each feature the values at ranks ceil(k n / parts) of its n values, k from 0 (the smallest value) to parts (the largest); none where all are null.
+
+    Exact: values are counted, and the counts summed in ranges of the value. A row of a few numbers a feature comes back; the frame is read once.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("_f"), F.col(f"`{f}`").cast("double").alias("_v")) for k, f in enumerate(features))))
+    counts = frame.select(each.alias("_x")).select("_x.*").where("_v IS NOT NULL").groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("c"))
+    upto = running(staged(counts, "values"), ["_f"], "_v")
+    ranks = F.array(*(F.struct(F.lit(k).alias("k"), F.greatest(F.lit(1), F.expr(f"({k} * _total + {parts - 1}) DIV {parts}")).alias("at")) for k in range(parts + 1)))
+    held = F.filter(ranks, lambda x: (x["at"] > F.col("_upto") - F.col("c")) & (x["at"] <= F.col("_upto")))
+    got = upto.select("_f", "_v", F.explode(held["k"]).alias("_k")).collect()
+    found = {(r["_f"], r["_k"]): r["_v"] for r in got}
+    return {f: [found[k, j] for j in range(parts + 1) if (k, j) in found] for k, f in enumerate(features)}
+
+
 def by_hash(frame: DataFrame, group: Sequence[str], digest: Column, ties: Sequence[str], name: str) -> DataFrame:
     """Adds the ordinal rank in the group by a 64-bit hash. Its leading bits are the range, so that no edges are looked for."""
     bits = max(1, (range_count(frame) - 1).bit_length())

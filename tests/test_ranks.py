@@ -106,3 +106,13 @@ def test_pair_terms(spark):
     got = explain.local_terms(paired, f, ["id"]).groupBy("id").agg(F.count("weight").alias("n"), (F.sum("weight") + F.first("intercept")).alias("s"), F.first("prediction").alias("p"))
     assert got.where((F.abs(F.col("s") - F.col("p")) > 1e-6) | (F.col("n") != 4)).count() == 0 and got.count() == 800
     assert explain.additive_terms(paired, f).where("feature = 'x & z'").agg(F.sum("n")).first()[0] == 800
+
+
+def test_quantiles_are_exact(spark):
+    """Ranks of more rows than a sketch keeps apart, with ties and nulls; a feature that is null throughout has none."""
+    n = 20_963
+    rows = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("a"), (F.col("id") % 7).alias("b"), F.when(F.col("id") % 10 == 3, F.col("id")).alias("c"), F.lit(None).cast("double").alias("d"))
+    got = ranks.quantiles(rows, ["a", "b", "c", "d"], 10)
+    at = lambda values: [values[max(1, -(-k * len(values) // 10)) - 1] for k in range(11)]
+    assert got == {"a": at(list(range(n))), "b": at(sorted(k % 7 for k in range(n))), "c": at(list(range(3, n, 10))), "d": []}
+    assert models.bin_edges(rows, ["a", "b", "d"], 10) == {"a": got["a"][1:-1], "b": sorted(set(got["b"][1:-1])), "d": [0.0]}
