@@ -77,17 +77,23 @@ def union_models(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _context(columns: Sequence[str]) -> list[Column]:
-    means = [F.avg(c).alias(c) for c in OPPORTUNITY if c in columns]
-    return [*means, F.min("opportunity_basis").alias("opportunity_basis")] if "opportunity_basis" in columns else means
+def _context(columns: Sequence[str]) -> dict[str, Column]:
+    means = {c: F.avg(c) for c in OPPORTUNITY if c in columns}
+    return means | {"opportunity_basis": F.min("opportunity_basis")} if "opportunity_basis" in columns else means
 
 
 def consensus(frame: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """Mean prediction over models, their sample deviation and number, an actual if there is one (models share it), and the context's means."""
-    out = frame.groupBy(*(c for c in identity if c in frame.columns)).agg(
-        F.avg("prediction").alias("prediction"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("spread"), F.countDistinct("model").alias("models"),
-        F.max("actual").alias("actual"), *_context(frame.columns),
-    )
+    """Mean prediction over models, their sample deviation and number, an actual if there is one (models share it), and the context's means.
+
+    A forecast has a row a model, too few to be worth combining before the shuffle: rows are sorted by forecast and model and taken one forecast after the other, so that a
+    task holds no table of its forecasts, and sums don't depend on the order in which rows arrive.
+    """
+    keys = [c for c in identity if c in frame.columns]
+    ordered = Window.partitionBy(*keys).orderBy("model")
+    of = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = {"prediction": F.avg("prediction"), "spread": F.stddev_samp("prediction"), "models": F.collect_set("model"), "actual": F.max("actual")} | _context(frame.columns)
+    out = frame.select(*keys, F.row_number().over(ordered).alias("_nth"), *(c.over(of).alias(name) for name, c in found.items())).where("_nth = 1").drop("_nth")
+    out = out.withColumns({"spread": F.coalesce("spread", F.lit(0.0)), "models": F.size("models").cast("bigint")})
     return out.withColumns({"error": F.col("prediction") - F.col("actual"), "absolute_error": F.abs(F.col("prediction") - F.col("actual")), "model": F.lit(CONSENSUS)})
 
 
@@ -116,7 +122,7 @@ def draft_board(frame: DataFrame, season: int, positions: Sequence[str] | None =
         rows = rows.where(F.col("position").isin(list(positions)))
     out = rows.groupBy("player_id", "player_name", "position", "team").agg(
         F.sum("prediction").alias("projected_points"), F.avg("prediction").alias("points_per_game"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("volatility"), F.avg("spread").alias("model_spread"),
-        F.count(F.lit(1)).alias("projected_games"), F.count("actual").alias("actual_games"), F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual_points"), F.count_if("missed").alias("injury_games"), *_context(rows.columns),
+        F.count(F.lit(1)).alias("projected_games"), F.count("actual").alias("actual_games"), F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual_points"), F.count_if("missed").alias("injury_games"), *(c.alias(name) for name, c in _context(rows.columns).items()),
     )
     out = staged(out, "board")
     out = out.crossJoin(F.broadcast(out.agg((F.sum("actual_games") > 0).alias("_any"))))

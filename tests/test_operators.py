@@ -151,6 +151,19 @@ def test_consensus_keeps_forecasts_apart_and_scorecard_of_one_model(spark):
     assert {r["model"] for r in boards.scorecard(p.where("model = 'A'")).collect()} == {"A"}
 
 
+def test_consensus_takes_one_shuffle_and_holds_no_table(spark):
+    """Rows are sorted, which spills, and not hashed; a model counts once, one without a name not at all, and the order of rows makes no difference."""
+    p = predictions(spark).where("target_week = 1 AND player_id = '1'").drop("model", "prediction")
+    told = [("A", 0.1), ("A", 1e16), (None, 0.3), ("B", -1e16), ("C", 0.7)]
+    got = []
+    for data in (told, told[::-1]):
+        out = boards.consensus(p.limit(1).crossJoin(spark.createDataFrame(data, "model string, prediction double").coalesce(1)))
+        got.append(out.select("models", "actual", F.round("spread", -15)).collect())
+    assert got[0] == got[1] and [tuple(r)[:2] for r in got[0]] == [(3, 16.0)]
+    plan = boards.consensus(predictions(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
 def test_model_names_and_prediction_files(spark, tmp_path):
     from panelcast.sources import io
 
