@@ -50,6 +50,7 @@ PLAIN_MATCH = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!
 #: The character of each byte in vocabularies of this kind: itself where Latin-1 prints it, else the next one from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+BYTE_UNITS = np.array([ord(BYTE_CHARS[b]) for b in range(256)], "<u2")
 DIGEST, FAN = 16, 64
 #: Matches of up to SHORT bytes are told apart by words of eight bytes; MASKS keeps the first bytes of a word, STEP mixes words.
 SHORT, STEP = 32, np.uint64(0x9E3779B97F4A7C15)
@@ -106,14 +107,19 @@ class PieceEncoder:
         # what reaches the library is cut by the pattern already
         self.uncut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.at_blanks = pre_tokenizers.Split(BYTE_CHARS[32], "merged_with_next")
-        self.known: dict[bytes, bytes] = {}
         self.forget()
         self.match, self.plain_match = regex.compile(MATCH), re.compile(PLAIN_MATCH)
         numbers = "".join(re.escape(c) for c in map(chr, range(65_536)) if unicodedata.category(c) in ("No", "Nl"))
         self.odd, self.far = re.compile(f"[{numbers}\x1c-\x1f]"), re.compile("[\U00010000-\U0010ffff]")
 
     def forget(self) -> None:
-        self.known = {b"": b""} | {t.encode(): i for t, i in self.special_ids.items()}
+        """`known` holds matches of texts that are taken one by one. Those that arrays cut have a place each, found by their sorted keys or, beyond SHORT bytes, by name; place 0 has no ids."""
+        self.known: dict[bytes, bytes] = {b"": b""} | {t.encode(): i for t, i in self.special_ids.items()}
+        self.longer: dict[bytes, int] = {}
+        self.keys, self.places = np.empty(0, U64), np.empty(0, np.int32)
+        self.used, self.filled = 1, 0
+        self.size, self.words = np.zeros(1, np.int32), np.zeros((1, SHORT // 8), U64)
+        self.count, self.offset, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(1, "<u4")
 
     def _matches(self, text: str) -> list[str]:
         if self.special.search(text):
@@ -123,26 +129,70 @@ class PieceEncoder:
     def _parts(self, text: str) -> list[str]:
         return (self.match if self.odd.search(text) or self.far.search(text) else self.plain_match).findall(text)
 
-    def _learn(self, spaced: list[bytes], others: list[bytes]) -> None:
-        """Puts the ids of new matches into the cache; `spaced` are letters after a blank."""
+    def _learn(self, spaced: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new matches one after the other, and the number of each; `spaced` are letters after a blank."""
         # these are encoded many in a row, in the vocabulary's own characters and cut at their blanks: their first ids alone begin with one
         self.tokenizer.pre_tokenizer = self.at_blanks
-        rows = self.tokenizer.encode_batch_fast([b"".join(spaced[k : k + 100]).decode("latin-1").translate(BYTE_CHARS) for k in range(0, len(spaced), 100)], add_special_tokens=False)
+        runs = [np.frombuffer(b"".join(spaced[k : k + 100]), np.uint8) for k in range(0, len(spaced), 100)]
+        rows = self.tokenizer.encode_batch_fast([BYTE_UNITS[x].tobytes().decode("utf-16-le") for x in runs], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable([r.ids for r in rows]), "<u4")
-        self._keep(spaced, ids, np.append(np.flatnonzero(self.after_blank[ids]), len(ids)))
+        counts = np.diff(np.flatnonzero(self.after_blank[ids]), append=len(ids))
+        if len(counts) != len(spaced):
+            raise ValueError("the vocabulary has a blank within a match")
         self.tokenizer.pre_tokenizer = self.uncut
         lists = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False)]
-        self._keep(others, np.fromiter(chain.from_iterable(lists), "<u4"), np.append(0, np.cumsum(list(map(len, lists)))))
-
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> None:
-        raw, ends = ids.tobytes(), (4 * bounds.astype(np.int64)).tolist()
-        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+        return np.append(ids, np.fromiter(chain.from_iterable(lists), "<u4")), np.append(counts, np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """New places with these ids."""
+        begin, self.used = self.used, self.used + len(counts)
+        start, self.filled = self.filled, self.filled + len(ids)
+        for name, values, at, end in (
+            ("size", size, begin, self.used), ("words", words, begin, self.used), ("count", counts, begin, self.used), ("offset", start + np.cumsum(counts) - counts, begin, self.used), ("ids", ids, start, self.filled),
+        ):
+            held = getattr(self, name)
+            if end > len(held):
+                more = np.empty((max(end, len(held) * 3 // 2), *held.shape[1:]), held.dtype)
+                more[:at] = held[:at]
+                setattr(self, name, held := more)
+            held[at:end] = values
+        return np.arange(begin, self.used)
+
+    def _find(self, raw: bytes, kind: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of distinct matches, of which new ones are learnt; those of texts' ends are 0. A match whose key another one has is kept for this call alone."""
+        keys, parts = spelled(raw, begin, size)
+        words = columns(parts, len(size))
+        place, taken = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            at = self.places[near]
+            taken = self.keys[near] == keys
+            same = taken & (self.size[at] == size) & (self.words[at] == words).all(axis=1)
+            place[same] = at[same]
+        piece = lambda rows: list(map(raw.__getitem__, map(slice, begin[rows].tolist(), (begin + size)[rows].tolist())))
+        longer = np.flatnonzero(size > SHORT)
+        place[longer] = [self.longer.get(x, 0) for x in piece(longer)]
+        new = np.flatnonzero((place == 0) & (kind[begin] != TEXT_END))
+        if len(new):
+            letters = (kind[begin[new]] == BLANK) & (kind[begin[new] + 1] == LETTER)
+            spaced, others = new[letters], new[~letters]
+            new = np.append(spaced, others)
+            place[new] = self._keep(*self._learn(piece(spaced), piece(others)), size[new], words[new])
+            far = new[size[new] > SHORT]
+            self.longer.update(zip(piece(far), place[far].tolist(), strict=True))
+            added = new[(size[new] <= SHORT) & ~taken[new]]
+            added = added[np.argsort(keys[added])]
+            at = np.searchsorted(self.keys, keys[added])
+            self.keys, self.places = np.insert(self.keys, at, keys[added]), np.insert(self.places, at, place[added])
+        return place
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Texts that the arrays can't cut are matched by the pattern."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) + self.used > CACHE_WORDS:
             self.forget()
-        odd = {c for c in set().union(*(t for t in texts if not t.isascii())) if c > "\x7f" and not c.isalpha()}
+        there = np.zeros(0x110000, bool)
+        there[np.frombuffer("".join([t for t in texts if not t.isascii()]).encode("utf-32-le"), "<u4")] = True
+        odd = {c for c in map(chr, (128 + np.flatnonzero(there[128:])).tolist()) if not c.isalpha()}
         marks = [*self.special_ids, *"\x1c\x1d\x1e\x1f"]
         easy = [not any(m in t for m in marks) and (not odd or t.isascii() or odd.isdisjoint(t)) for t in texts]
         cut = self._encode_arrays([t for t, e in zip(texts, easy, strict=True) if e])
@@ -151,7 +201,10 @@ class PieceEncoder:
 
     def _encode_one(self, text: str) -> bytes:
         ms = list(map(str.encode, self._matches(text)))
-        self._learn([], list(set(ms).difference(self.known)))
+        new = list(set(ms).difference(self.known))
+        ids, counts = self._learn([], new)
+        raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         return b"".join(map(self.known.__getitem__, ms))
 
     def _encode_arrays(self, texts: list[str]) -> Iterator[bytes]:
@@ -168,23 +221,12 @@ class PieceEncoder:
             yield from map(self._encode_one, texts)
             return
         which, first = told
-        at, to = begin[first].tolist(), (begin + size)[first].tolist()
-        names = list(map(raw.__getitem__, map(slice, at, to)))
-        ends = names.index(b"\xff")  # of texts
-        names[ends] = b""
-        parts = list(map(self.known.get, names))
-        new = [k for k, x in enumerate(parts) if x is None]
-        if new:
-            starts = begin[first[new]]
-            letters = (kind[starts] == BLANK) & (kind[starts + 1] == LETTER)
-            self._learn([names[k] for k, x in zip(new, letters.tolist(), strict=True) if x], [names[k] for k, x in zip(new, letters.tolist(), strict=True) if not x])
-            for k in new:
-                parts[k] = self.known[names[k]]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids, offset = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(counts) - counts
-        n = counts[which]
+        place = self._find(raw, kind, begin[first], size[first])
+        ends = np.flatnonzero(place == 0)[0]  # of texts
+        count, offset = self.count[place], self.offset[place]
+        n = count[which]
         upto = np.cumsum(n)
-        flat = ids[np.repeat(offset[which] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        flat = self.ids[np.repeat(offset[which] - (upto - n), n) + np.arange(upto[-1])].tobytes()
         stops = (4 * upto[which == ends]).tolist()
         for x, y in zip([0, *stops], stops, strict=False):
             yield flat[x:y]
@@ -213,19 +255,29 @@ def match_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return start
 
 
-def tell_apart(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Which of the distinct matches each match is, and where each of these stands first; None if two that differ have one key. SHORT bytes follow the last match."""
+def spelled(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Keys of matches by their sizes and first SHORT bytes; and, for each eight of these bytes, the matches that have any of them, and the bytes as numbers. SHORT bytes follow the last match."""
     words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
-
-    def word(rows: np.ndarray, k: int) -> np.ndarray:
-        return words[begin[rows] + k] & MASKS[np.minimum(size[rows] - k, 8)]
-
-    keys, short = size.astype(np.uint64), []
+    keys, parts = size.astype(U64), []
     for k in range(0, SHORT, 8):
-        rows = np.flatnonzero(size > k)
-        short.append((rows, word(rows, k)))
-        mixed = (keys[rows] ^ short[-1][1]) * STEP
+        rows = np.flatnonzero(size > k) if k else slice(None)
+        part = words[begin[rows] + k] & MASKS[np.minimum(size[rows] - k, 8)]
+        mixed = (keys[rows] ^ part) * STEP
         keys[rows] = mixed ^ (mixed >> np.uint64(29))
+        parts.append((rows, part))
+    return keys, parts
+
+
+def columns(parts: list[tuple], n: int) -> np.ndarray:
+    out = np.zeros((n, len(parts)), U64)
+    for k, (rows, part) in enumerate(parts):
+        out[rows, k] = part
+    return out
+
+
+def tell_apart(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which of the distinct matches each match is, and where each of these stands first; None if two that differ have one key."""
+    keys, parts = spelled(raw, begin, size)
     longer = np.flatnonzero(size > SHORT)
     long = [raw[x:y] for x, y in zip(begin[longer].tolist(), (begin + size)[longer].tolist(), strict=True)]
     keys[longer] = np.array([hash(x) for x in long], np.int64).view(np.uint64)
@@ -233,9 +285,9 @@ def tell_apart(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     which = coded.indices.to_numpy()
     first = np.empty(len(coded.dictionary), np.int64)
     first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    source = first[which]
-    same = np.array_equal(size[source], size) and all(np.array_equal(word(source[rows], k), w) for k, (rows, w) in zip(range(0, SHORT, 8), short, strict=True))
-    starts = begin[source[longer]].tolist()
+    words = columns(spelled(raw, begin[first], size[first])[1], len(first))
+    same = np.array_equal(size[first][which], size) and all(np.array_equal(words[which[rows], k], part) for k, (rows, part) in enumerate(parts))
+    starts = begin[first[which[longer]]].tolist()
     return (which, first) if same and all(raw.startswith(x, at) for x, at in zip(long, starts, strict=True)) else None
 
 

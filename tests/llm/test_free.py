@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -634,3 +635,30 @@ def test_matches_of_any_length_are_told_apart_and_encode_as_in_the_library():
     whole = Tokenizer.from_file(BYTE_FILE)
     got = list(token_store.PieceEncoder(BYTE_FILE).encode(texts * 2))
     assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts * 2]
+
+
+def test_known_matches_are_found_by_their_keys(monkeypatch):
+    """Matches of earlier calls aren't learnt again; matches of one key, a small cache and long matches encode as in the library."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcé'1. ") for _ in range(r.choice((1, 3, 9, 40)))) for _ in range(60)) for _ in range(40)]
+    whole = Tokenizer.from_file(BYTE_FILE)
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    enc = token_store.PieceEncoder(BYTE_FILE)
+    assert list(enc.encode(texts)) == want
+    kept = enc.keys.copy()
+    assert len(kept) > 500 and (kept[1:] > kept[:-1]).all()
+    monkeypatch.setattr(enc, "_learn", None)
+    assert list(enc.encode(texts[::-1])) == want[::-1] and np.array_equal(enc.keys, kept)
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 200)
+    few = token_store.PieceEncoder(BYTE_FILE)
+    assert [x for t in texts for x in few.encode([t])] == want and few.used < 600
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 10**6)
+    full = token_store.spelled
+    monkeypatch.setattr(token_store, "spelled", lambda *a: (full(*a)[0] % token_store.U64(50), full(*a)[1]))
+    clash = token_store.PieceEncoder(BYTE_FILE)
+    assert [x for t in texts for x in clash.encode(t.split("."))] == [x for t in texts for x in (np.array(whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in t.split("."))]
+    assert len(clash.keys) <= 50
+    words = ["ab", "cd", "efg", "hi", "é"]  # a match a call: keys clash between calls, not within one
+    monkeypatch.setattr(token_store, "spelled", lambda *a: (np.where(full(*a)[1][0][1] == 255, full(*a)[0], token_store.U64(7)), full(*a)[1]))
+    clash = token_store.PieceEncoder(BYTE_FILE)
+    assert [x for w in words * 2 for x in clash.encode([w])] == [np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words * 2] and len(clash.keys) == 1
