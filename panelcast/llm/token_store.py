@@ -44,6 +44,8 @@ BUCKET_BYTES, PART_BYTES, PACK_BYTES, BLOCK_CHUNKS = 8_000_000, 4_000_000, 500_0
 BATCH_CHARS, CACHE_WORDS = 2_000_000, 700_000
 #: New matches that reach the library in one row.
 ROW_WORDS = 100
+#: Places of matches that are looked at before all others are searched: 2 ** SLOT_BITS, named by the top bits of the key.
+SLOT_BITS = 20
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 MATCH = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for re, in texts without the characters that \w and \s of re see otherwise: numbers other than digits, and four control characters; texts with
@@ -61,6 +63,7 @@ MASKS = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
 LETTER, NUMBER, OTHER, BLANK, WHITE, TEXT_END = range(6)
 KIND = np.array([LETTER if b > 127 or chr(b).isalpha() else NUMBER if chr(b).isdigit() else BLANK if b == 32 else WHITE if 9 <= b <= 13 else OTHER for b in range(256)], np.uint8)
 KIND[255] = TEXT_END
+KIND_TABLE = KIND.tobytes()
 #: Fixed value: zlib's polynomial, reflected.
 POLY = 0xEDB88320
 BLOBS = "kind string, key binary, names binary, sizes binary, payload binary, id bigint, n_tokens bigint, root binary"
@@ -125,7 +128,7 @@ class PieceEncoder:
         self.used, self.filled = 1, 0
         self.size, self.words = np.zeros(1, np.int32), np.zeros((1, SHORT // 8), U64)
         self.count, self.offset, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(1, "<u4")
-        self.uses = np.zeros(1, np.int32)
+        self.uses, self.slots = np.zeros(1, np.int32), np.zeros(2**SLOT_BITS, np.int32)
 
     def thin(self) -> None:
         """Keeps what several calls had, the most used first and at most half of CACHE_WORDS, at half its uses; the rest is forgotten."""
@@ -214,7 +217,25 @@ class PieceEncoder:
             added = added[np.argsort(keys[added])]
             at = np.searchsorted(self.keys, keys[added])
             self.keys, self.places = np.insert(self.keys, at, keys[added]), np.insert(self.places, at, place[added])
-        self.uses[place] += 1
+        self.slots[keys >> U64(64 - SLOT_BITS)] = place
+        return place
+
+    def _place(self, raw: bytes, kind: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """Places of all matches; None if two that differ have one key. The slot of a match's key holds its place or that of another match or 0, which its bytes show; only the rest is told apart and searched."""
+        keys, parts = spelled(raw, begin, size)
+        place = self.slots[keys >> U64(64 - SLOT_BITS)]
+        there = (self.size[place] == size) & (size <= SHORT)
+        for k, (rows, part) in enumerate(parts):
+            there[rows] &= self.words[place[rows], k] == part
+        rest = np.flatnonzero(~there)
+        told = tell_apart(raw, begin[rest], size[rest])
+        if told is None:
+            return None
+        which, first = told
+        place[rest] = self._find(raw, kind, begin[rest[first]], size[rest[first]])[which]
+        used = np.zeros(self.used, bool)
+        used[place] = True
+        self.uses[: self.used] += used
         return place
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -244,21 +265,17 @@ class PieceEncoder:
             return
         raw = b"\xff".join([t.encode() for t in texts]) + b"\xff" + bytes(SHORT)
         data = np.frombuffer(raw, np.uint8, len(raw) - SHORT)
-        kind = KIND[data]
+        kind = np.frombuffer(raw.translate(KIND_TABLE), np.uint8, len(data))
         begin = np.flatnonzero(match_starts(data, kind)).astype(np.int32)
         size = np.diff(begin, append=np.int32(len(data)))
-        told = tell_apart(raw, begin, size)
-        if told is None:
+        place = self._place(raw, kind, begin, size)
+        if place is None:
             yield from map(self._encode_one, texts)
             return
-        which, first = told
-        place = self._find(raw, kind, begin[first], size[first])
-        ends = np.flatnonzero(place == 0)[0]  # of texts
-        count, offset = self.count[place], self.offset[place]
-        n = count[which]
+        n = self.count[place]
         upto = np.cumsum(n)
-        flat = self.ids[np.repeat(offset[which] - (upto - n), n) + np.arange(upto[-1])].tobytes()
-        stops = (4 * upto[which == ends]).tolist()
+        flat = self.ids[np.repeat(self.offset[place] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        stops = (4 * upto[place == 0]).tolist()
         for x, y in zip([0, *stops], stops, strict=False):
             yield flat[x:y]
 
@@ -271,7 +288,8 @@ def match_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     takes one of the endings s, t, m, d, re, ve, ll with it.
     """
     before, after = np.append(np.uint8(TEXT_END), kind[:-1]), np.append(kind[1:], np.uint8(TEXT_END))
-    white, white_before = (kind == BLANK) | (kind == WHITE), (before == BLANK) | (before == WHITE)
+    white = kind - np.uint8(BLANK) <= WHITE - BLANK  # unsigned: what is less than BLANK wraps around
+    white_before = np.append(False, white[:-1])
     start = np.where(white, ~white_before | (after < BLANK), (kind != before) & (before != BLANK)) | (kind == TEXT_END)
     quote = np.flatnonzero((data == 39) & (before != BLANK) & (before != OTHER))
     get = lambda k: data[np.minimum(quote + k, len(data) - 1)]
@@ -289,7 +307,7 @@ def match_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
 def spelled(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     """Keys of matches by their sizes and first SHORT bytes; and, for each eight of these bytes, the matches that have any of them, and the bytes as numbers. SHORT bytes follow the last match."""
     words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
-    keys, parts = size.astype(U64), []
+    keys, parts = size.astype(U64) * STEP, []  # apart from the bytes also where null bytes follow them
     for k in range(0, SHORT, 8):
         rows = np.flatnonzero(size > k) if k else slice(None)
         part = words[begin[rows] + k] & MASKS[np.minimum(size[rows] - k, 8)]

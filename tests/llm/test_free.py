@@ -697,3 +697,20 @@ def test_new_matches_of_one_row_do_not_join(tmp_path):
         enc = token_store.PieceEncoder(path)
         assert list(enc.encode(texts)) == [np.array(made.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert (enc.stop is None) == (name == "no-stop")
+
+
+@pytest.mark.parametrize("bits", [1, 4, 20])
+def test_known_matches_are_looked_up_in_slots(monkeypatch, bits):
+    """What has its slot is neither told apart nor searched again; matches that share a slot encode as in the library."""
+    monkeypatch.setattr(token_store, "SLOT_BITS", bits)
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice("abé\0'1. ") for _ in range(r.choice((1, 2, 8, 9, 31, 33, 40)))) for _ in range(50)) for _ in range(30)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(BYTE_FILE).encode_batch(texts, add_special_tokens=False)]
+    enc, asked = token_store.PieceEncoder(BYTE_FILE), []
+    find = enc._find
+    monkeypatch.setattr(enc, "_find", lambda raw, kind, begin, size: asked.append(size.tolist()) or find(raw, kind, begin, size))
+    assert list(enc.encode(texts)) == want and list(enc.encode(texts[::-1])) == want[::-1]
+    first, again = ({n for n in x if n <= token_store.SHORT} for x in asked)
+    assert len(asked[0]) > 500 and len(first) > 8
+    if bits == 20:
+        assert len([n for n in asked[1] if n <= token_store.SHORT]) < 10 and len(again) < len(first)
