@@ -114,16 +114,22 @@ def draft_board(frame: DataFrame, season: int, positions: Sequence[str] | None =
     """One row a player for a season: projected and actual totals, those with games missed by injury added at the projected or the actual pace, gaps to the
     projection (in points and percent), context and its risks, ranked within the position.
 
-    The sums are staged, so that the forecast is read once; ranks are taken over ranges of the points. Actual figures are null until the selection has any result, and points also where the player neither
-    played nor missed a game by injury. The frame is one model or the consensus (see choose_model).
+    A player's rows are summed in the order of their weeks, so that equal seasons have sums equal to the last bit, in whatever order rows arrive, and rank by player_id; rows of one week are ordered by the
+    values summed. The sums are staged, so that the forecast is read once; ranks are taken over ranges of the points. Actual figures are null until the selection has any result, and points also where the
+    player neither played nor missed a game by injury. The frame is one model or the consensus (see choose_model).
     """
     rows = frame.where(F.col("target_season") == season)
     if positions is not None:
         rows = rows.where(F.col("position").isin(list(positions)))
-    out = rows.groupBy("player_id", "player_name", "position", "team").agg(
-        F.sum("prediction").alias("projected_points"), F.avg("prediction").alias("points_per_game"), F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)).alias("volatility"), F.avg("spread").alias("model_spread"),
-        F.count(F.lit(1)).alias("projected_games"), F.count("actual").alias("actual_games"), F.coalesce(F.sum("actual"), F.lit(0.0)).alias("actual_points"), F.count_if("missed").alias("injury_games"), *(c.alias(name) for name, c in _context(rows.columns).items()),
-    )
+    keys = ["player_id", "player_name", "position", "team"]
+    ordered = Window.partitionBy(*keys).orderBy("target_week", "prediction", "actual", "spread", *(c for c in OPPORTUNITY if c in rows.columns))
+    of = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = {
+        "projected_points": F.sum("prediction"), "points_per_game": F.avg("prediction"), "volatility": F.stddev_samp("prediction"), "model_spread": F.avg("spread"), "projected_games": F.count(F.lit(1)),
+        "actual_games": F.count("actual"), "actual_points": F.sum("actual"), "injury_games": F.count_if("missed"),
+    } | _context(rows.columns)
+    out = rows.select(*keys, F.row_number().over(ordered).alias("_nth"), *(c.over(of).alias(name) for name, c in found.items())).where("_nth = 1").drop("_nth")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("volatility", "actual_points")})
     out = staged(out, "board")
     out = out.crossJoin(F.broadcast(out.agg((F.sum("actual_games") > 0).alias("_any"))))
     there = F.col("_any") & ((F.col("actual_games") > 0) | (F.col("injury_games") > 0))

@@ -135,6 +135,19 @@ def test_board_of_players_without_games_and_of_missed_games_alone(spark):
     assert bars == {**{(i, "Projected"): 24.0 if i == "4" else 10.0 for i in "1234"}, ("1", "Actual"): 8.0, ("3", "Actual"): 0.0, ("4", "Actual"): 6.0, ("3", "Adjusted at projected PPG"): 10.0, ("4", "Adjusted at projected PPG"): 18.0, ("4", "Adjusted at actual PPG"): 12.0}
 
 
+def test_board_sums_weeks_in_their_order(spark):
+    """Equal seasons are equal to the last bit however their rows arrive: they rank by player_id, and a mean share at the bound is told alike."""
+    points, shares, orders = (0.1, 0.2, 0.3, 0.4), (0.03, 0.04, 0.24, 0.29), {"a": (3, 2, 1, 0), "b": (0, 1, 2, 3), "c": (0, 3, 1, 2)}
+    backwards, mixed = 0.4 + 0.3 + 0.2 + 0.1, (0.03 + 0.29 + 0.04 + 0.24) / 4
+    assert backwards < 1.0 and mixed < boards.LOW_TARGET_SHARE
+    data = [(i, "n", "WR", "t", 2024, k + 1, points[k], points[k], shares[k]) for i, order in orders.items() for k in order]
+    schema = "player_id string, player_name string, position string, team string, target_season int, target_week int, prediction double, actual double, projected_target_share double"
+    for parts in (spark.createDataFrame(data, schema).coalesce(1), spark.createDataFrame(data, schema).repartition(3, "target_week"), spark.createDataFrame(data[::-1], schema).coalesce(1)):
+        got = boards.draft_board(boards.choose_model(boards.prepare(parts, "m"), "m"), 2024).orderBy("player_id").collect()
+        assert [(r["player_id"], r["position_rank"], r["projected_points"], r["actual_points"], r["opportunity_risk"]) for r in got] == [("a", 1, 1.0, 1.0, ""), ("b", 2, 1.0, 1.0, ""), ("c", 3, 1.0, 1.0, "")]
+        assert len({(r["volatility"], r["points_per_game"], r["projected_target_share"]) for r in got}) == 1
+
+
 def test_prepare_defaults_and_state(spark):
     raw = spark.createDataFrame([("1", "n", 2024, 1, 3.0, "x")], "player_id string, player_name string, target_season int, target_week int, prediction double, own string")
     r = boards.prepare(raw, "svr").first()
